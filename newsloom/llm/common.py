@@ -45,3 +45,12 @@ def words(text: Column) -> Column:
 
 def bucket_of(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once, also where body uses it within a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
+def total(numbers: Column, start: Column) -> Column:
+    return F.aggregate(numbers, start, lambda acc, x: acc + x)

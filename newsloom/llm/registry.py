@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, quality_rules, warc
 
 
 def queries() -> dict:
-    return {"op5_mixing": mixing.op5_mixing}
+    return {
+        "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_warc": warc.op2_warc,
+        "op5_mixing": mixing.op5_mixing,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op5_mixing": mixing.mixing_sql("documents")}
+    return {
+        "op2_warc": warc.SQL,
+        "op5_mixing": mixing.mixing_sql("documents"),
+    }
