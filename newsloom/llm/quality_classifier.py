@@ -32,8 +32,8 @@ DIM = 16
 RUNS = (3, 5)
 #: Documents of each label to learn from, at most.
 PER_LABEL = 1500
-EPOCHS = 12
-RATE = 60.0
+EPOCHS = 8
+RATE = 20.0
 THRESHOLD = 0.7
 SEED = 29
 
@@ -45,19 +45,19 @@ def features(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> t
     texts = [np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(words))]
     space = T.IS_SPACE[data]
     plain = np.where(space, np.uint8(32), data).astype(T.U)
+    owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     for n in RUNS:
-        if len(data) < n:
-            continue
         m = len(data) - n + 1
-        run, inner = plain[:m].copy(), np.zeros(m, bool)
+        if m <= 0:
+            continue
+        usable = owner[:m] == owner[n - 1 :]
+        run = plain[:m].copy()
         for k in range(1, n):
             run |= plain[k : k + m] << T.U(8 * k)
             if k < n - 1:
-                inner |= space[k : k + m]
-        text = np.searchsorted(offsets, np.arange(m), "right") - 1 if len(offsets) > 2 else np.zeros(m, np.int64)
-        at = np.flatnonzero(~inner & (np.arange(m) + n <= offsets[text + 1]))
-        found.append((T.mix(run[at] ^ T.U(n << 56)) & T.U(buckets - 1)).astype(np.int32))
-        texts.append(text[at].astype(np.int32))
+                usable &= ~space[k : k + m]
+        found.append((T.mix(run[usable] ^ T.U(n << 56)) & T.U(buckets - 1)).astype(np.int32))
+        texts.append(owner[:m][usable])
     return np.concatenate(found), np.concatenate(texts)
 
 
