@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, warc
+from . import lm_score, mixing, near_dedup, quality_classifier, quality_rules, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_warc": warc.op2_warc,
+        "op3_lm_score": lm_score.op3_lm_score,
         "op5_mixing": mixing.op5_mixing,
+        "op7_near_dedup": near_dedup.op7_near_dedup,
+        "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     }
 
 
