@@ -117,16 +117,14 @@ def banded(item: np.ndarray, text: np.ndarray, low: int, width: int, free: bool)
     """Edit distances of the item to pieces of the text, by the diagonal where they end.
 
     Column j of the band is the diagonal low + j. free: a piece may begin on any diagonal;
-    else it begins on the first, at place low.
+    else it begins at place 0.
     """
     steps = np.arange(width)
-    row = np.zeros(width, np.int64) if free else steps.copy()
+    row = np.zeros(width, np.int64) if free else np.where(steps + low < 0, 1 << 40, steps + low)
     padded = np.full(len(item) + width + 1, -1, np.int64)
     a, b = max(low, 0), min(low + len(item) + width, len(text))
     if b > a:
         padded[a - low : b - low] = text[a:b]
-    if low < 0 and free:  # a piece can't begin before the text
-        row = np.maximum(row, 0)
     for i, byte in enumerate(item):
         step = row + (padded[i : i + width] != byte)
         step[:-1] = np.minimum(step[:-1], row[1:] + 1)
@@ -148,10 +146,8 @@ def verify(item: np.ndarray, text: np.ndarray, low: int, edits: int) -> tuple[in
     if best > edits:
         return None
     stop = min(len(text), int(np.flatnonzero(row == best)[0]) + low - edits + len(item))
-    back = banded(item[::-1], text[:stop][::-1], 0, 2 * edits + 1, False)
-    # backwards from the end, the piece of least distance; diagonals below 0 are reached by a longer item
-    reach = int(np.flatnonzero(back == back.min())[0])
-    return max(0, stop - len(item) - reach), stop, best
+    back = banded(item[::-1], text[:stop][::-1], -edits, 2 * edits + 1, False)  # backwards from the end
+    return max(0, stop - len(item) - int(back.argmin()) + edits), stop, best
 
 
 def find_leaks(texts, index: Index) -> list[list[dict]]:

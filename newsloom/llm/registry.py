@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lm_score, mixing, near_dedup, quality_classifier, quality_rules, warc
+from . import decontaminate, lm_score, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, warc
 
 
 def queries() -> dict:
@@ -12,7 +12,9 @@ def queries() -> dict:
         "op3_lm_score": lm_score.op3_lm_score,
         "op5_mixing": mixing.op5_mixing,
         "op7_near_dedup": near_dedup.op7_near_dedup,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_quality_classifier": quality_classifier.op9_quality_classifier,
+        "op10_secret_scan": secret_scan.op10_secret_scan,
     }
 
 
