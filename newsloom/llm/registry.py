@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm_score, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, warc
+from . import decontaminate, license_scan, lm_score, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, token_counts, warc
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_warc": warc.op2_warc,
         "op3_lm_score": lm_score.op3_lm_score,
+        "op4_license_scan": license_scan.op4_license_scan,
         "op5_mixing": mixing.op5_mixing,
+        "op6_token_counts": token_counts.op6_token_counts,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_quality_classifier": quality_classifier.op9_quality_classifier,
