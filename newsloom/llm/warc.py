@@ -12,7 +12,7 @@ so a retried or doubled task leaves at most a file that nobody reads.
 Defined results: a null html is an empty payload; of records with equal payloads of at
 least ``min_bytes`` bytes the one with the smallest page_id (nulls last) is the
 response, the others revisit it; repeated rows of that page_id are told apart by url and
-by count, so just one is the response; an empty table gives no archives and no rows;
+then by place, so just one is the response; an empty table gives no archives and no rows;
 extra columns are left out of the archive.
 """
 
@@ -73,29 +73,21 @@ def record_bytes(page_id, url, payload: bytes, refers_to, revisit: bool) -> byte
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, and for repeated payloads the response they revisit.
+    """page_id, url, payload, refers_to and is_first, which is false for revisits.
 
     Grouped by digest with partial aggregation; the rows then meet their group's response
-    in an equi-join, of which adaptive execution splits a hot digest.
+    in an equi-join, of which adaptive execution splits a hot digest. The payloads are
+    shuffled once. Rows of one page and payload are told apart by their place in the input.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
-    rank = F.struct(F.col("page_id").isNull().alias("missing"), "page_id", F.coalesce("url", F.lit("")).alias("at"))
-    same = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("copies"))
-    same = same.where("copies > 1").select("digest", "first")
-    joined = rows.join(same, "digest", "left").withColumn("is_first", rank == F.col("first"))
-    return joined.select("page_id", "url", "payload", F.col("first.page_id").alias("refers_to"), F.coalesce("is_first", F.lit(True)).alias("is_first"), F.col("first").isNotNull().alias("repeated"))
-
-
-def settle_twins(rows: DataFrame) -> DataFrame:
-    """Repeated rows of one page tie for the response; the first of them by count is it.
-
-    Only the candidates for a response are numbered, in groups of one page_id and payload.
-    """
-    tied = rows.where("is_first AND repeated").groupBy("page_id", "url", "payload", "refers_to").agg(F.count("*").alias("n"))
-    again = tied.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("page_id", "url", "payload", "refers_to", (F.col("k") == 1).alias("is_first"))
-    plain = rows.where("NOT (is_first AND repeated)").select("page_id", "url", "payload", "refers_to", "is_first")
-    return plain.unionByName(again)
+    rows = rows.withColumns({"digest": F.unhex(F.sha1("payload")), "missing": F.col("page_id").isNull(), "at": F.coalesce("url", F.lit("")), "row": F.monotonically_increasing_id()})
+    page = ("missing", "page_id", "at")
+    by_page = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest", *page).agg(F.count("*").alias("twins"), F.min("row").alias("row"))
+    same = by_page.groupBy("digest").agg(F.min(F.struct(*page, "twins", "row")).alias("first"), F.sum("twins").alias("copies")).where("copies > 1").select("digest", "first")
+    is_page = F.struct(*page) == F.struct(*[F.col(f"first.{c}") for c in page])
+    is_first = is_page & ((F.col("first.twins") == 1) | (F.col("first.row") == F.col("row")))
+    joined = rows.join(same, "digest", "left")
+    return joined.select("page_id", "url", "payload", F.col("first.page_id").alias("refers_to"), F.coalesce(F.col("first").isNull() | is_first, F.lit(False)).alias("is_first"))
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -127,7 +119,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
         if out is not None:
             yield done()
 
-    listed = settle_twins(with_revisits(pages, min_bytes)).mapInArrow(write, MANIFEST)
+    listed = with_revisits(pages, min_bytes).mapInArrow(write, MANIFEST)
     listed.write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
