@@ -1,0 +1,91 @@
+import json
+from datetime import datetime
+
+from newsloom.sources import feeds, json_api
+
+RSS = """<?xml version="1.0"?><rss xmlns:dc="d" xmlns:media="m" xmlns:content="c"><channel><title>T</title>
+<item><title><![CDATA[Hawks &amp; Doves win]]></title><link>http://a/1</link><description>&lt;p&gt;Big  &lt;b&gt;night&lt;/b&gt;&lt;/p&gt;</description><pubDate>Tue, 02 Jan 2024 10:30:00 GMT</pubDate><dc:creator>Ann</dc:creator><enclosure url="http://i/1.mp3" type="audio/mpeg"/><media:content url="http://i/1.jpg"/></item>
+<item><title>No link</title></item>
+<item><title>Wire story</title><link>http://a/2</link><source url="http://w">The Wire</source><pubDate>nonsense</pubDate></item></channel></rss>"""
+ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>x1</id><title type="html">Road &lt;i&gt;win&lt;/i&gt;</title><link rel="replies" href="http://b/r"/><link href="http://b/1"/><updated>2024-01-03T17:00Z</updated><content type="html">&lt;img src="http://i/b.png"&gt; text</content><author><name>Bo</name></author></entry>
+<entry><title>Lost</title><link rel="alternate"/></entry></feed>"""
+SITEMAP = """<urlset xmlns:news="n" xmlns:image="i"><url><loc> http://c/sports/1 </loc><news:news><news:title>Cup &amp; ball</news:title><news:publication_date>2024-01-04</news:publication_date></news:news><image:image><image:loc>http://i/c.jpg</image:loc></image:image></url>
+<url><loc>http://c/politics/2</loc><news:news><news:title>Other</news:title></news:news></url></urlset>"""
+
+
+def test_feeds(spark):
+    rows = [("R", RSS), ("A", ATOM), ("S", SITEMAP), ("cut", RSS[:200]), ("html", "<html></html>"), ("none", None), ("index", "<sitemapindex></sitemapindex>"), ("quiet", "<rss><channel></channel></rss>")]
+    fetched = spark.createDataFrame([(n, 2, None, "broad", b) for n, b in rows], "name string, tier int, reach string, scope string, body string")
+    articles, failed = feeds.articles_of(fetched)
+    got = {r.link: r for r in articles.collect()}
+    assert set(got) == {"http://a/1", "http://a/2", "http://b/1", "http://c/sports/1"}
+    one = got["http://a/1"]
+    assert (one.title, one.description, one.author, one.image_url, one.published, one.tier, one.reach) == ("Hawks & Doves win", "Big night", "Ann", "http://i/1.jpg", datetime(2024, 1, 2, 10, 30), 2, "national")
+    assert (got["http://a/2"].source, got["http://a/2"].tier, got["http://a/2"].published) == ("The Wire", 0, None)
+    atom = got["http://b/1"]
+    assert (atom.title, atom.author, atom.image_url, atom.published) == ("Road win", "Bo", "http://i/b.png", datetime(2024, 1, 3, 17))
+    site = got["http://c/sports/1"]
+    assert (site.title, site.image_url, site.published) == ("Cup & ball", "http://i/c.jpg", datetime(2024, 1, 4))
+    assert {r[0] for r in failed.collect()} == {"cut", "html", "none", "index"}
+
+
+def bodies(spark, column, *values):
+    return spark.createDataFrame([(f"k{i}", v if isinstance(v, str) or v is None else json.dumps(v)) for i, v in enumerate(values)], f"{column} string, body string")
+
+
+MALFORMED = [None, "null", "3", '"x"', "[]", "{}", "{not json", '{"events":3,"articles":{},"categories":null,"athletes":[1],"items":"x","leagues":[3]}']
+
+
+def test_malformed_bodies_give_no_rows(spark):
+    for reader, column in ((lambda b: json_api.news(b, "S", "team"), "k"), (json_api.teams, "league_id"), (json_api.roster, "team_id"), (json_api.leaders, "team_id"), (lambda b: json_api.player_stats(b, 2024), "athlete_id"), (json_api.schedule, "team_id"), (json_api.scoreboard, "league_id"), (json_api.summary_probability, "game_id"), (json_api.leagues, "k"), (json_api.stored_articles, "team")):
+        assert reader(bodies(spark, column, *MALFORMED)).count() == 0
+
+
+def test_teams_flat_and_nested(spark):
+    team = lambda i, n: {"team": {"id": i, "displayName": n, "shortDisplayName": n[:4]}}
+    flat = {"standings": {"entries": [team("2", "Zebras"), team("1", "Apes"), team("2", "Again"), {"team": {}}]}}
+    nested = {"children": [{"standings": {"entries": [team("9", "Bears")]}}, {"x": 1}]}
+    got = [(r.league_id, r.id, r.name, r.short_name) for r in json_api.by_short_name(json_api.teams(bodies(spark, "league_id", flat, nested))).collect()]
+    assert got == [("k0", "1", "Apes", "Apes"), ("k0", "2", "Zebras", "Zebr"), ("k1", "9", "Bears", "Bear")]
+
+
+def test_leaders_keep_ranks(spark):
+    body = {"categories": [{"name": "yards", "displayName": "Yards Leaders", "leaders": [{"displayValue": "9", "athlete": {"$ref": "http://x/athletes/7?y"}}, {"athlete": {"$ref": "http://x/none"}}, {"displayValue": 5, "athlete": {"$ref": "http://x/athletes/8"}}]}, {"leaders": []}]}
+    assert [(r.athlete_id, r.rank) for r in json_api.leaders(bodies(spark, "team_id", body)).orderBy("rank").collect()] == [("7", 1), ("8", 3)]
+
+
+def test_schedule_and_scoreboard(spark):
+    side = lambda i, ha, score, win=None: {"homeAway": ha, "winner": win, "score": score, "team": {"id": i, "displayName": f"T{i}"}, "record": [{"type": "home", "displayValue": "1-0"}, {"type": "total", "displayValue": "3-1"}]}
+    done = {"type": {"state": "post", "completed": True}}
+    events = [
+        {"id": "a", "date": "2024-09-01T17:00Z", "competitions": [{"competitors": [side("k0", "away", {"value": 21.0}, True), side("5", "home", {"value": 20})], "status": done, "broadcasts": [{"media": {"shortName": "NET"}}]}]},
+        {"id": "b", "date": "bad", "competitions": [{"neutralSite": True, "competitors": [side("k0", "home", "0"), side("6", "away", "0")], "status": {"type": {"state": "post", "completed": False}}}]},
+        {"id": "c", "competitions": [{"competitors": [side("k0", "home", 1)]}]},
+    ]
+    got = {r.id: r for r in json_api.schedule(bodies(spark, "team_id", {"events": events})).collect()}
+    assert set(got) == {"a", "b"}
+    assert (got["a"].result, got["a"].own_score, got["a"].record, got["a"].place, got["a"].network) == ("W", 21.0, "3-1", "away", "NET")
+    assert (got["b"].result, got["b"].own_score, got["b"].place, got["b"].state, got["b"].kickoff) == (None, None, "neutral", "post", None)
+    live = {"id": "z", "date": "2024-09-01T17:00Z", "competitions": [{"competitors": [side("1", "home", "14"), side("2", "away", 7)], "situation": {"possession": "1"}, "status": {"period": 2, "displayClock": "1:00", "type": {"state": "in"}}}]}
+    over = live | {"id": "y", "competitions": [live["competitions"][0] | {"status": done}]}
+    board = {r.id: r for r in json_api.scoreboard(bodies(spark, "league_id", {"events": [live, over, {"competitions": [{}]}]})).collect()}
+    assert (board["z"].home_score, board["z"].away_score, board["z"].possession, board["z"].period) == (14, 7, "1", 2)
+    assert board["y"].possession is None and board["y"].state == "post"
+
+
+def test_summary(spark):
+    play = lambda i, **k: {"id": i, "text": "t", "homeScore": 0, "awayScore": 0} | k
+    body = {"drives": {"previous": [{"id": "1", "result": "PUNT", "plays": [play(1), {"text": "no id"}]}, {"id": "2", "result": "old", "plays": []}], "current": {"id": "2", "displayResult": "Touchdown", "plays": [play("5")]}}, "winprobability": [{"playId": 1, "homeWinPercentage": 0.5}, {"playId": 5, "homeWinPercentage": 1.5}]}
+    drives = json_api.summary_drives(bodies(spark, "game_id", body))
+    assert [(r.id, r.outcome, r.is_current) for r in drives.orderBy("pos").collect()] == [("1", "punt", False), ("2", "touchdown", True)]
+    assert [(r.play_id, r.pos) for r in json_api.summary_plays(drives).orderBy("pos").collect()] == [("1", 1), ("5", 2)]
+    assert [r.play_id for r in json_api.summary_probability(bodies(spark, "game_id", body)).collect()] == ["1"]
+
+
+def test_leagues_and_worksheet(spark):
+    league = {"id": "a", "displayName": "A", "espnSport": "s", "espnLeaguePath": "p", "status": "available", "seasonStartMonth": 13}
+    rows = json_api.leagues(bodies(spark, "k", {"leagues": [league, league | {"displayName": "B"}, {"id": "x"}]})).collect()
+    assert [(r.display_name, r.season_start_month) for r in rows] == [("A", None)]
+    text = "# head\n## One\n- keep: yes\n- why: a: b\n## Two\n- keep: no\n"
+    got = {(r.subject, r.question): r.answer for r in json_api.worksheet(spark.createDataFrame([(text,)], "text string")).collect()}
+    assert got == {("One", "keep"): "yes", ("One", "why"): "a: b", ("Two", "keep"): "no"}
