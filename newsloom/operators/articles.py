@@ -170,7 +170,7 @@ def balanced(articles: DataFrame, window: int = 5, most: int = 2) -> DataFrame:
             out.append(pending.pop(i))
         return pd.DataFrame([r | {"rank": i} for i, r in enumerate(out)], columns=[*rows.columns, "rank"])
 
-    schema = articles.schema.add("rank", "int")
+    schema = articles.withColumn("rank", F.lit(0)).schema
     return articles.groupBy("feed").applyInPandas(fold, schema)
 
 
