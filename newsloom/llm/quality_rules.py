@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import let, table, total, words
 
 BUCKETS = 1 << 14
-#: Added to each count of either multinomial.
-SMOOTHING = 1.0
+#: The target multinomial is drawn to the raw one by as many n-grams as this times the buckets, so ratios of little evidence stay near 0.
+SMOOTHING = 8.0
 #: Mean log ratio from which a document is kept.
 THRESHOLD = -0.1
 WINDOW = 8
@@ -88,8 +88,8 @@ def ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHI
         raw[bucket], target[bucket] = r, t
     if not sum(target):
         return [0.0] * buckets
-    of_raw, of_target = math.log(sum(raw) + smoothing * buckets), math.log(sum(target) + smoothing * buckets)
-    return [round((math.log(t + smoothing) - of_target) - (math.log(r + smoothing) - of_raw), 4) for r, t in zip(raw, target, strict=True)]
+    prior, of_raw, sum_target = smoothing * buckets, sum(raw), sum(target)
+    return [round(math.log((t * of_raw / r + prior) / (sum_target + prior)), 4) if r else 0.0 for r, t in zip(raw, target, strict=True)]
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, threshold: float = THRESHOLD) -> DataFrame:
