@@ -12,9 +12,8 @@ product with the difference of the two output rows. Scoring is then a map over a
 
 Defined results: a null or empty text has no vectors, so its score is 0.5; a null doc_id
 is never learned from; repeated rows each get a row, and repeated labels of a document
-count once each; an empty table gives an empty result; without labels, or with one label
-only, scores are what the one-sided training gives, from 0 to 1; extra columns are left
-out.
+count once each; an empty table gives an empty result; without labels all scores are 0.5,
+with one label only they are what the one-sided training gives; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -121,7 +120,7 @@ def fit(sample: DataFrame, **how) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"weights": [weights.tobytes()]})
 
     rows = sample.select("text", F.col("quality").cast("int").alias("quality"), "rank").coalesce(1).mapInArrow(one, "weights binary").collect()
-    return np.frombuffer(rows[0][0], np.float32)
+    return np.frombuffer(rows[0][0], np.float32) if rows else np.zeros(how.get("buckets", BUCKETS), np.float32)
 
 
 def classify(docs: DataFrame, weights: np.ndarray, held_out: Column, threshold: float = THRESHOLD) -> DataFrame:
