@@ -57,7 +57,7 @@ def luminance(colour: Column) -> Column:
 
 def contrast(a: Column, b: Column) -> Column:
     x, y = luminance(a), luminance(b)
-    return (F.greatest(x, y) + 0.05) / (F.least(x, y) + 0.05)
+    return F.when(x.isNotNull() & y.isNotNull(), (F.greatest(x, y) + 0.05) / (F.least(x, y) + 0.05))
 
 
 def ink_on(ground: Column) -> Column:

@@ -9,11 +9,10 @@ sys.path.insert(0, REPO)
 os.environ["PYTHONPATH"] = REPO + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 
-@pytest.fixture(scope="session")
-def spark():
+def session():
     from pyspark.sql import SparkSession
 
-    session = (
+    return (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
@@ -22,6 +21,13 @@ def spark():
         .config("spark.default.parallelism", "2")
         .getOrCreate()
     )
-    session.sparkContext.setLogLevel("ERROR")
-    yield session
-    session.stop()
+
+
+def pytest_sessionstart():
+    """Column expressions in test modules need a session when they are collected."""
+    session().sparkContext.setLogLevel("ERROR")
+
+
+@pytest.fixture(scope="session")
+def spark():
+    return session()
