@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from . import textbuf as T
 from .common import table
 
-Q = 12
-BUDGET = 0.06
+Q = 9
+BUDGET = 0.09
 BLOCK_BYTES = 4 << 20
 TABLE_BITS = 21
 U = T.U

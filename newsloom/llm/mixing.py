@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored, words
+from .common import stored, words
 
 #: Weights dealt to the sources in code point order, over and over.
 WEIGHTS = (5, 2, 1)
