@@ -35,10 +35,12 @@ from pyspark.sql import functions as F
 from . import textbuf as T
 from .common import table
 
-BLOCK_BYTES = 20 << 20
+BLOCK_BYTES = 15 << 20
 #: A range of hashes has about as many n-grams as this many bytes of text.
 RANGE_BYTES = 8 << 20
 STRENGTH = 100.0
+#: Tokens scored at once.
+SLICE = 1 << 18
 U = T.U
 END, START = U(0x5851F42D4C957F2C), U(0x14057B7EF767814E)
 LISTS = "range int, block int, keys binary, counts binary"
@@ -67,22 +69,44 @@ def unpack(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
 def with_ends(texts) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens, an end after the words of each text, and the offsets by text."""
     hashes, offsets = T.hash_words(texts, lower=True)
-    return np.insert(hashes, offsets[1:], END), offsets + np.arange(len(offsets))
+    offsets = offsets + np.arange(len(offsets))
+    tokens, is_word = np.empty(offsets[-1], U), np.ones(offsets[-1], bool)
+    is_word[offsets[1:] - 1] = False
+    tokens[is_word] = hashes
+    tokens[offsets[1:] - 1] = END
+    return tokens, offsets
 
 
-def ngrams(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the unigram (even) and of the bigram (odd) that ends at each token."""
+def unigrams(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Even keys, of the token alone."""
+    return hashes & ~U(1)
+
+
+def bigrams(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Odd keys, of each token and the one before, or the start."""
     before = np.empty_like(hashes)
     before[1:] = hashes[:-1]
     before[offsets[:-1]] = START
     with np.errstate(over="ignore"):
-        return hashes & ~U(1), T.mix(before * T.M3 + hashes) | U(1)
+        before *= T.M3
+        before += hashes
+    before = T.mix(before)
+    before |= U(1)
+    return before
 
 
 def counted(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, how many of each are to be learned, and the place of each token's key."""
-    distinct, place = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(place[learn], minlength=len(distinct)), place.astype(np.int32)
+    """Distinct keys, how many of each are to be learned, and the place of each token's key. Spends keys: they are sorted in place."""
+    order = np.argsort(keys)
+    keys[:] = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    starts = np.flatnonzero(new)
+    distinct = keys[starts]
+    counts = np.add.reduceat(learn[order], starts, dtype=np.int64) if len(keys) else np.zeros(0, np.int64)
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return distinct, counts, place
 
 
 class Automaton:
@@ -92,31 +116,41 @@ class Automaton:
         (self.words, self.word_counts), (self.arcs, self.arc_counts) = root, arcs
         self.size, self.strength = size, strength
 
-    def root_weights(self, place: np.ndarray) -> np.ndarray:
-        """Probability of the root's arc for each token."""
-        return (self.word_counts[place] + 1.0) / (self.size["tokens"] + self.size["types"] + 1.0)
+    def traverse(self, words: np.ndarray, arcs: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log10 probabilities of each text by the root's arcs alone and by the automaton.
 
-    def traverse(self, words: np.ndarray, arcs: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Log10 probability of each text; words, arcs: places of each token's two keys.
-
-        The state after a token is the token, so the state before each is known at once.
+        words, arcs: places of each token's two keys. The state after a token is the token,
+        so the states before all tokens are known at once. Texts go in slices, to bound memory.
         """
-        state = np.empty(len(words), np.int64)
-        state[1:] = self.word_counts[words[:-1]]
-        state[offsets[:-1]] = self.size["texts"]
-        p = self.root_weights(words)
-        followed = self.arc_counts[arcs]
-        arc = np.log10((followed + self.strength * p) / (state + self.strength))
-        failure = np.log10(self.strength / (state + self.strength)) + np.log10(p)
-        return np.add.reduceat(np.where(followed > 0, arc, failure), offsets[:-1])
+        alone, score = np.empty(len(offsets) - 1), np.empty(len(offsets) - 1)
+        first = 0
+        while first < len(alone):
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE, "right")) - 1)
+            a, b, starts = offsets[first], offsets[last], offsets[first:last] - offsets[first]
+            state = np.empty(b - a)
+            state[1:] = self.word_counts[words[a : b - 1]]
+            state[starts] = self.size["texts"]
+            state += self.strength
+            p = (self.word_counts[words[a:b]] + 1.0) / (self.size["tokens"] + self.size["types"] + 1.0)
+            followed = self.arc_counts[arcs[a:b]]
+            arc = np.log10((followed + self.strength * p) / state)
+            root = np.log10(p)
+            failure = np.log10(self.strength / state) + root
+            alone[first:last] = np.add.reduceat(root, starts)
+            score[first:last] = np.add.reduceat(np.where(followed > 0, arc, failure), starts)
+            first = last
+        return alone, score
 
 
 def block_lists(block: int, texts, train: np.ndarray, ranges: int) -> dict:
     hashes, offsets = with_ends(texts)
     learn = np.repeat(train, np.diff(offsets))
     out: dict = {"range": [], "block": [], "keys": [], "counts": []}
-    for keys in ngrams(hashes, offsets):
+    for kind in (unigrams, bigrams):
+        keys = kind(hashes, offsets)
+        hashes = hashes if kind is unigrams else None
         distinct, counts, _ = counted(keys, learn)
+        del keys
         edges = np.searchsorted(distinct, (np.arange(ranges + 1, dtype=object) * (1 << 64) // ranges).clip(max=(1 << 64) - 1).astype(U))
         edges[-1] = len(distinct)
         for r in np.flatnonzero(np.diff(edges)):
@@ -158,19 +192,16 @@ def with_totals(keys: np.ndarray, counts: np.ndarray, lists: list[tuple[bytes, b
 def score_block(texts, train: np.ndarray, lists: list, size: dict, strength: float) -> dict:
     hashes, offsets = with_ends(texts)
     learn = np.repeat(train, np.diff(offsets))
-    unigrams, bigrams = ngrams(hashes, offsets)
-    del hashes
-    words, own, at = counted(unigrams, learn)
+    words, own, at = counted(unigrams(hashes, offsets), learn)
     root = (words, with_totals(words, own, lists))
-    del unigrams
-    arcs, own, via = counted(bigrams, learn)
-    del bigrams, learn
+    keys = bigrams(hashes, offsets)
+    del hashes
+    arcs, own, via = counted(keys, learn)
+    del keys, learn
     model = Automaton(root, (arcs, with_totals(arcs, own, lists)), size, strength)
-    sums = lambda x: np.add.reduceat(x, offsets[:-1])
-    return {
-        "n_tokens": np.diff(offsets), "n_known": sums((model.word_counts[at] > 0).astype(np.int64)),
-        "base_score": sums(np.log10(model.root_weights(at))), "score": model.traverse(at, via, offsets),
-    }
+    known = np.add.reduceat((model.word_counts > 0)[at], offsets[:-1], dtype=np.int64)
+    alone, score = model.traverse(at, via, offsets)
+    return {"n_tokens": np.diff(offsets), "n_known": known, "base_score": alone, "score": score}
 
 
 def corpus_size(docs: DataFrame) -> dict:

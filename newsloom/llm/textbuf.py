@@ -26,9 +26,16 @@ LOWER[65:91] += 32
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> U(30))) * M1
-    x = (x ^ (x >> U(27))) * M2
-    return x ^ (x >> U(31))
+    with np.errstate(over="ignore"):
+        y = x >> U(30)
+        y ^= x
+        y *= M1
+        z = y >> U(27)
+        y ^= z
+        y *= M2
+        z = y >> U(31)
+        y ^= z
+    return y
 
 
 @functools.lru_cache(2)
@@ -61,16 +68,18 @@ def hash_words(texts, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_bytes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    hashes, starts_at = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-    begin, n = 0, len(data)
+    hashes, first = [np.zeros(0, U)], np.zeros(len(offsets), np.int64)
+    begin, n, words = 0, len(data), 0
     while begin < n:
         end = cut(data, begin, n)
         piece = LOWER[data[begin:end]] if lower else data[begin:end]
         starts, ends = bounds(piece, offsets, begin, end)
         hashes.append(span_hashes(piece, starts, ends))
-        starts_at.append(starts + begin)
-        begin = end
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts_at), offsets, side="left")
+        i, j = np.searchsorted(offsets, [begin, end])
+        first[i:j] = words + np.searchsorted(starts, offsets[i:j] - begin)
+        begin, words = end, words + len(starts)
+    first[offsets == n] = words
+    return np.concatenate(hashes), first
 
 
 def cut(data: np.ndarray, begin: int, n: int) -> int:
