@@ -3,7 +3,8 @@
 Tokens (words) are summed per source, a repetition rate is derived for each source, and
 each document is emitted floor(rate) times plus once more with a probability equal to
 the fraction, decided by a hash of the document's id and a seed. Nothing is drawn at
-random, so reruns agree.
+random, so reruns agree. With few or very uneven documents one draw can miss a source's
+target by far, so of ``SEEDS`` seeds each source takes the one whose draw comes nearest.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in
 order; a null doc_id is hashed by its text, so equal rows get equal decisions; repeated
@@ -28,21 +29,22 @@ MOST = 2
 #: Up to so many sources the table of rates is broadcast; beyond, it is joined with salted keys.
 BROADCAST_SOURCES = 10_000
 SALTS = 64
+SEEDS = 8
 
 
 def size_of(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def source_targets(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """One row per source: source, source_size, target, rate.
+def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """One row per source: source, source_size, target, rate. sizes: source, size.
 
     Shares proportional to weight, those over ``most`` times their size cut to it and the
     excess dealt to the rest again until none is above, end where every uncapped source gets
     level * weight. The capped ones are those with the smallest cap to weight, so one pass
     over the sources in that order finds the level. The windows are over one row per source.
     """
-    sizes = docs.groupBy("source").agg(F.sum(size_of(F.col("text"))).alias("source_size"))
+    sizes = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     in_order = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), F.pmod(F.col("ord"), F.lit(len(weights))) + 1).cast("long")
     by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), "ord")
@@ -66,27 +68,40 @@ def source_targets(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHA
     )
 
 
-def uniform(doc_id: Column, text: Column, seed: int) -> Column:
-    """A number from 0 up to 1 that depends on the document and the seed only."""
+def hashed_id(doc_id: Column, text: Column, seed: int) -> Column:
     key = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null "), F.coalesce(text, F.lit(""))))
-    return F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{seed}"))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    return F.md5(F.concat(key, F.lit(f":{seed}")))
 
 
-def mixing_plan(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 17) -> DataFrame:
+def copies_of(rate: Column, hashed: Column, k: Column) -> Column:
+    """floor(rate), and one more if the document's number for seed k, from 0 up to 1, is under the fraction."""
+    uniform = F.conv(F.substring(F.md5(F.concat(hashed, F.lit(":"), k.cast("string"))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    return F.floor(rate) + (uniform < rate - F.floor(rate)).cast("long")
+
+
+def with_sources(rows: DataFrame, sources: DataFrame, n: int, salt: Column) -> DataFrame:
+    """rows with the columns of their source: broadcast if n sources are few, else joined with salted keys."""
+    named = sources.withColumnRenamed("source", "_s")
+    if n <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    named = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_k", F.pmod(salt, F.lit(SALTS))).join(named, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_k") == F.col("_salt"))).drop("_s", "_k", "_salt")
+
+
+def mixing_plan(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 17, seeds: int = SEEDS) -> DataFrame:
     """docs with size, source_size, target and copies: how often the mix takes each document."""
-    targets = stored(source_targets(docs, weights, share, most), "mix-targets")
-    docs = docs.drop("size", "source_size", "target", "copies")
+    hashed = hashed_id(F.col("doc_id"), F.col("text"), seed)
+    sizes = stored(docs.select("source", size_of(F.col("text")).alias("size"), hashed.alias("hashed")), "mix-sizes")
+    targets = stored(source_targets(sizes, weights, share, most), "mix-targets")
     n = targets.count()
-    named = targets.select(F.col("source").alias("_s"), "source_size", "target", "rate")
-    if n <= BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("_s")))
-    else:
-        named = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = docs.withColumn("_k", F.pmod(F.hash("doc_id", "text"), F.lit(SALTS)))
-        joined = salted.join(named, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_k") == F.col("_salt"))).drop("_k", "_salt")
-    whole = F.floor("rate")
-    extra = (uniform(F.col("doc_id"), F.col("text"), seed) < F.col("rate") - whole).cast("long")
-    return joined.withColumn("size", size_of(F.col("text"))).withColumn("copies", whole + extra).drop("_s", "rate")
+    drawn = with_sources(sizes, targets, n, F.hash("hashed"))
+    sums = drawn.groupBy("source").agg(F.first("target").alias("target"), *[F.sum(F.col("size") * copies_of(F.col("rate"), F.col("hashed"), F.lit(k))).alias(f"s{k}") for k in range(seeds)])
+    misses = F.array(*[F.abs(F.col(f"s{k}") - F.col("target")) for k in range(seeds)])
+    best = stored(sums.select("source", (F.array_position(misses, F.array_min(misses)) - 1).alias("_seed")), "mix-seeds")
+    chosen = targets.join(best.withColumnRenamed("source", "_b"), F.col("source").eqNullSafe(F.col("_b"))).drop("_b")
+    rows = docs.drop("size", "source_size", "target", "copies").withColumn("_h", hashed)
+    out = with_sources(rows, chosen.withColumnRenamed("rate", "_rate"), n, F.hash("_h"))
+    return out.withColumn("size", size_of(F.col("text"))).withColumn("copies", copies_of(F.col("_rate"), F.col("_h"), F.col("_seed"))).drop("_h", "_rate", "_seed")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
@@ -126,10 +141,14 @@ WITH mix_sized AS (
   FROM mix_levels, mix_level l
 ), mix_rates AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM mix_targets
-), mix_plan AS (
-  SELECT d.*, r.source_size, r.target,
-         floor(rate)::BIGINT + (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null ' || coalesce(text, '')) || ':{seed}'), 1, 13))::BIGINT
+), mix_drawn AS (
+  SELECT d.*, r.source_size, r.target, k,
+         floor(rate)::BIGINT + (('0x' || substr(md5(md5(coalesce(doc_id::VARCHAR, 'null ' || coalesce(text, '')) || ':{seed}') || ':' || k), 1, 13))::BIGINT
            / 4503599627370496.0::DOUBLE < rate - floor(rate))::BIGINT AS copies
-  FROM mix_sized d JOIN mix_rates r ON d.source IS NOT DISTINCT FROM r.source
+  FROM mix_sized d JOIN mix_rates r ON d.source IS NOT DISTINCT FROM r.source, range({SEEDS}) AS seeds(k)
+), mix_seeds AS (
+  SELECT source, arg_min(k, (miss, k)) AS k FROM (SELECT source, k, abs(sum(size * copies)::BIGINT - any_value(target)) AS miss FROM mix_drawn GROUP BY source, k) GROUP BY source
+), mix_plan AS (
+  SELECT d.* EXCLUDE (k) FROM mix_drawn d JOIN mix_seeds s ON d.source IS NOT DISTINCT FROM s.source AND d.k = s.k
 )
 SELECT {columns} FROM mix_plan"""

@@ -30,7 +30,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 VOCABULARY_BYTES = 64 << 20
 #: How the tokenizer parts a text before merging (a fixed value of the public vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-RANGE = 4096
+RANGE = 512
 LIMITS = (512, 1024, 2048, 4096, 8192, 32768)
 QUANTILES = (0.5, 0.9, 0.99)
 
