@@ -36,6 +36,8 @@ from . import textbuf as T
 from .common import table
 
 BLOCK_BYTES = 15 << 20
+#: Blocks are not made smaller than this to occupy more cores.
+LEAST_BYTES = 1 << 20
 #: A range of hashes has about as many n-grams as this many bytes of text.
 RANGE_BYTES = 8 << 20
 STRENGTH = 100.0
@@ -44,6 +46,7 @@ SLICE = 1 << 18
 U = T.U
 END, START = U(0x5851F42D4C957F2C), U(0x14057B7EF767814E)
 LISTS = "range int, block int, keys binary, counts binary"
+LIST = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 TOTALS = "block int, keys binary, counts binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -142,21 +145,23 @@ class Automaton:
         return alone, score
 
 
-def block_lists(block: int, texts, train: np.ndarray, ranges: int) -> dict:
+def by_range(keys: np.ndarray, counts: np.ndarray, ranges: int) -> list[tuple[int, bytes, bytes]]:
+    """Sorted keys and their counts, packed by equal ranges of the keys."""
+    edges = np.searchsorted(keys, (np.arange(ranges, dtype=object) * (1 << 64) // ranges).astype(U))
+    edges = np.append(edges, len(keys))
+    return [(int(r), *pack(keys[edges[r] : edges[r + 1]], counts[edges[r] : edges[r + 1]])) for r in np.flatnonzero(np.diff(edges))]
+
+
+def block_lists(block: int, texts, train: np.ndarray, ranges: int) -> list[dict]:
     hashes, offsets = with_ends(texts)
     learn = np.repeat(train, np.diff(offsets))
-    out: dict = {"range": [], "block": [], "keys": [], "counts": []}
+    out = []
     for kind in (unigrams, bigrams):
         keys = kind(hashes, offsets)
         hashes = hashes if kind is unigrams else None
         distinct, counts, _ = counted(keys, learn)
         del keys
-        edges = np.searchsorted(distinct, (np.arange(ranges + 1, dtype=object) * (1 << 64) // ranges).clip(max=(1 << 64) - 1).astype(U))
-        edges[-1] = len(distinct)
-        for r in np.flatnonzero(np.diff(edges)):
-            a, b = pack(distinct[edges[r] : edges[r + 1]], counts[edges[r] : edges[r + 1]])
-            for name, value in (("range", int(r)), ("block", block), ("keys", a), ("counts", b)):
-                out[name].append(value)
+        out += [{"range": r, "block": block, "keys": a, "counts": b} for r, a, b in by_range(distinct, counts, ranges)]
     return out
 
 
@@ -204,33 +209,38 @@ def score_block(texts, train: np.ndarray, lists: list, size: dict, strength: flo
     return {"n_tokens": np.diff(offsets), "n_known": known, "base_score": alone, "score": score}
 
 
-def corpus_size(docs: DataFrame) -> dict:
-    """Training texts, tokens and distinct tokens; docs: text, train. Each task counts its batches' words before they are dealt out."""
+def corpus_size(docs: DataFrame, ranges: int) -> dict:
+    """Training texts, tokens and distinct tokens; docs: text, train. Each task lists its batches' words before they are dealt out."""
 
     def count(batches):
         for batch in T.batches_of(batches, rows=1 << 20, size=16 << 20):
-            texts = batch.filter(batch.column("train"))
-            hashes, _ = with_ends(texts.column("text"))
-            keys, n = np.unique(hashes & ~U(1), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+            hashes, offsets = with_ends(batch.filter(batch.column("train")).column("text"))
+            keys, n = np.unique(unigrams(hashes, offsets), return_counts=True)
+            yield pa.RecordBatch.from_pylist([{"range": r, "keys": a, "counts": b} for r, a, b in by_range(keys, n, ranges)], LIST.remove(1))
 
-    words = docs.select("text", "train").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    end = int(np.uint64(END & ~U(1)).view(np.int64))
-    row = words.agg(F.count("*").alias("types"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.when(F.col("key") == end, F.col("n"))), F.lit(0)).alias("texts")).first()
-    return row.asDict()
+    def add(group: pa.Table) -> pa.Table:
+        parts = [unpack(*x) for x in zip(group.column("keys").to_pylist(), group.column("counts").to_pylist(), strict=True)]
+        keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        return pa.table({"types": [len(np.unique(keys))], "tokens": [int(n.sum())], "texts": [int(n[keys == (END & ~U(1))].sum())]})
+
+    lists = docs.select("text", "train").mapInArrow(count, "range int, keys binary, counts binary")
+    sums = lists.groupBy("range").applyInArrow(add, "types long, tokens long, texts long")
+    return sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "tokens", "texts")]).first().asDict()
 
 
 def lm_scores(docs: DataFrame, held_out, strength: float = STRENGTH, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Scores every row of docs (doc_id, text); held_out: a boolean column, true for those not to learn from."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (~held_out).alias("train"))
     octets = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks, ranges = max(1, math.ceil(octets / block_bytes)), max(1, math.ceil(octets / range_bytes))
-    size = corpus_size(keyed)
+    # blocks of bounded size, and of small inputs enough for all cores
+    slots = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, math.ceil(octets / block_bytes), min(slots, math.ceil(octets / LEAST_BYTES)))
+    ranges = max(1, math.ceil(octets / range_bytes))
+    size = corpus_size(keyed, ranges)
     keyed = keyed.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def lists(group: pa.Table) -> pa.Table:
-        train = group.column("train").to_numpy()
-        return pa.Table.from_pydict(block_lists(group.column("block")[0].as_py(), group.column("text"), train, ranges), pa.schema([("range", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+        return pa.Table.from_pylist(block_lists(group.column("block")[0].as_py(), group.column("text"), group.column("train").to_numpy(), ranges), LIST)
 
     def totals(group: pa.Table) -> pa.Table:
         pairs = list(zip(group.column("keys").to_pylist(), group.column("counts").to_pylist(), strict=True))

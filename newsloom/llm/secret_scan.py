@@ -50,6 +50,7 @@ RATE = 0.05
 BITS = 80.0
 LEVELS = 400
 MASK = "[SECRET]"
+RUN = 512
 SPAN = "array<struct<start: int, kind: int, end: int, value: string>>"
 
 
@@ -60,14 +61,20 @@ def matches(text: Column, pattern: str, kind: int, value: int = 0, least: int =
     """
 
     def places(pieces: Column, whole: Column, values: Column) -> Column:
+        n = F.size(whole)
+
         def step(acc: Column, i: Column) -> Column:
             start = acc["at"] + F.length(F.get(pieces, i))
             end = start + F.length(F.get(whole, i))
             span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.get(values, i).alias("value"))
             return F.struct(end.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
 
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(whole) - 1), zero, step, lambda acc: acc["spans"])
+        # in runs of RUN matches, so that appending to an array doesn't cost the square of all matches
+        run = lambda c: F.sequence(c * RUN, F.least((c + 1) * RUN, n) - 1)
+        length = lambda c: F.aggregate(run(c), F.lit(0), lambda acc, i: acc + F.length(F.get(pieces, i)) + F.length(F.get(whole, i)))
+        begins = F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / RUN).cast("int")), F.array(F.lit(0)), lambda acc, c: F.array_append(acc, F.element_at(acc, -1) + length(c)))
+        one = lambda begin, c: F.aggregate(run(c), F.struct(begin.alias("at"), F.array().cast(SPAN).alias("spans")), step, lambda acc: acc["spans"])
+        return let(begins, lambda b: F.flatten(F.transform(F.slice(b, F.lit(1), F.size(b) - 1), one)))
 
     parts = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(value)).alias("values"))
     found = let(parts, lambda p: places(p["pieces"], p["whole"], p["values"]))
