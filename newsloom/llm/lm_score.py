@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import textbuf as T
 from .common import table
 
-BLOCK_BYTES = 15 << 20
+BLOCK_BYTES = 12 << 20
 #: Blocks are not made smaller than this to occupy more cores.
 LEAST_BYTES = 1 << 20
 #: A range of hashes has about as many n-grams as this many bytes of text.
@@ -252,6 +252,7 @@ def lm_scores(docs: DataFrame, held_out, strength: float = STRENGTH, block_bytes
         if not len(train):
             return pa.Table.from_pydict({k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}, schema)
         found = score_block(group.column("text"), train, pairs, size, strength)
+        pa.default_memory_pool().release_unused()
         return pa.table({"doc_id": group.column("doc_id"), "held_out": ~train} | found)
 
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
