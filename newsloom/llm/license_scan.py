@@ -2,11 +2,13 @@
 
 Texts are cut into sentences (at line ends too), sentences are normalised to lower-case
 words, and those known get an identifier from the table of sentences; a known sentence may
-be broken over lines. The identifiers of a text, in order, are then matched against the
+be broken over any number of lines, and holds full stops where the table's sentence has them.
+The identifiers of a text, in order, are then matched against the
 rules, which are ordered: a rule takes the identifiers it matches, and later rules see the
 rest. So the long form of a licence goes before its parts.
 
-Both tables are parameters, small ones with the common open-source notices are built in.
+Both tables are parameters. Built in are small ones (``SENTENCES``, ``RULES``) and those that the
+registered query scans with (``NOTICES``, ``NOTICE_RULES``), which have more licences and SPDX tags of one licence.
 They are broadcast; their size is checked against RULE_LIMIT. The scan is one map over the
 documents.
 
@@ -18,6 +20,7 @@ rows each give their rows; an empty table gives an empty result; extra columns a
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +29,6 @@ from . import textbuf as T
 from .common import table
 
 RULE_LIMIT = 100_000
-#: A known sentence may be broken over so many lines.
-LINES = 8
 WORD = re.compile(r"[^\W_]+")
 END = re.compile(r"[.!?;:]+(?=\s|$)|\n|$")
 
@@ -68,40 +69,109 @@ RULES = (
     ("CC-BY-SA-4.0", (18,)),
     ("MPL-2.0", (19,)),
 )
+GNU = "you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version"
+# Creative Commons licences, short and long.
+COMMONS = {
+    "BY": "Attribution",
+    "BY-SA": "Attribution-ShareAlike",
+    "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC": "Attribution-NonCommercial",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+# More sentences, of which some have stops inside.
+NOTICES = SENTENCES | {
+    12: GNU.format("General Public License", ";", "2"),
+    20: "Licensed under the MIT License",
+    21: "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    22: "This library is free software",
+    23: GNU.format("Lesser General Public License", ";", "2.1"),
+    24: GNU.format("Lesser General Public License", ",", "3"),
+    25: GNU.format("Affero General Public License", ",", "3"),
+    26: "This work is licensed under the GNU Lesser General Public License, version 3",
+    27: "This work is licensed under the GNU Affero General Public License, version 3",
+    28: "This work is licensed under the GNU General Public License, version 2",
+    29: "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    30: "Licensed under CC0 1.0",
+    31: "This is free and unencumbered software released into the public domain",
+}
+NOTICE_RULES = (
+    *RULES,
+    ("MIT", (20,)),
+    ("ISC", (21, -4)),
+    ("LGPL-2.1-or-later", (22, 23)),
+    ("LGPL-2.1-or-later", (10, 23)),
+    ("LGPL-3.0-or-later", (10, 24)),
+    ("LGPL-3.0-or-later", (22, 24)),
+    ("AGPL-3.0-or-later", (10, 25)),
+    ("LGPL-3.0", (26,)),
+    ("AGPL-3.0", (27,)),
+    ("GPL-2.0", (28,)),
+    ("CC0-1.0", (29,)),
+    ("CC0-1.0", (30,)),
+    ("Unlicense", (31,)),
+)
+for _kind, _name in COMMONS.items():
+    for _form in ("Licensed under CC {0} 4.0", "This work is licensed under CC {0} 4.0", "This work is licensed under a Creative Commons {1} 4.0 International License", "Licensed under a Creative Commons {1} 4.0 International License"):
+        if (_text := _form.format(_kind, _name)) not in NOTICES.values():
+            NOTICES[max(NOTICES) + 1] = _text
+            NOTICE_RULES += ((f"CC-{_kind}-4.0", (max(NOTICES),)),)
+for _name in ("0BSD", "AGPL-3.0-only", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", *dict.fromkeys(name for name, _ in NOTICE_RULES)):
+    NOTICES[max(NOTICES) + 1] = f"SPDX-License-Identifier: {_name}"
+    NOTICE_RULES += ((_name, (max(NOTICES),)),)
 FOUND = "doc_id long, license string, rule int, sentences array<int>, start long, end long"
 
 
 def normal(text: str) -> str:
-    return " ".join(WORD.findall(text.lower()))
+    return " ".join(WORD.findall(text.lower())).replace("licenc", "licens")
+
+
+def stops_in(text: str) -> set[int]:
+    """The numbers of words after which a sentence has a stop of its own."""
+    return {len(WORD.findall(text[: m.start()])) for m in END.finditer(text) if m.group().strip("\n:") and WORD.search(text, m.end())}
 
 
 class Scanner:
     def __init__(self, sentences: dict[int, str], rules):
-        self.known = {normal(t): i for i, t in sentences.items()}
+        self.known = {normal(t): (i, stops_in(t)) for i, t in sentences.items()}
         self.heads = {s.split(" ", 1)[0] for s in self.known}
+        self.sorted = sorted(self.known)
         # a rule is a pattern over identifiers written as ",3,7,"
         self.rules = [(name, re.compile("".join(f"(?:{-i},)?" if i < 0 else f"{i}," for i in ids))) for name, ids in rules]
 
+    def goes_on(self, words: str) -> bool:
+        """Does a known sentence begin with the words and have more."""
+        at = bisect_left(self.sorted, words + " ")
+        return at < len(self.sorted) and self.sorted[at].startswith(words + " ")
+
     def recognised(self, text: str) -> list[tuple[int, int, int]]:
         """Identifier, start and end of the known sentences, in order; the longest from each place."""
-        parts, at = [], 0
+        parts, at, ended = [], 0, "\n"  # of a part: start, end and what ends it, "" for an empty line or the text's end
         for m in END.finditer(text):
             if m.start() > at or m.group() == "":
-                parts.append((at, m.start(), m.group() in ("\n", ":")))
-            elif parts and m.group() == "\n" and not text[at : m.start()].strip():
-                parts.append((at, at, False))  # an empty line ends a sentence
-            at = m.end()
+                parts.append((at, m.start(), m.group()))
+            elif parts and m.group() == "\n" and ended == "\n":
+                parts.append((at, at, ""))  # an empty line ends a sentence
+            at, ended = m.end(), m.group()
         found, i = [], 0
         while i < len(parts):
-            a, _, _ = parts[i]
+            a = parts[i][0]
             head = WORD.search(text, a, parts[i][1])
             best = None
-            if head and head.group().lower() in self.heads:
-                for j in range(i, min(i + LINES, len(parts))):
-                    if sentence := self.known.get(normal(text[a : parts[j][1]])):
-                        best = (sentence, head.start(), parts[j][1], j)
+            if head and normal(head.group()) in self.heads:
+                words, stops = "", set()
+                for j in range(i, len(parts)):
+                    if more := normal(text[parts[j][0] : parts[j][1]]):
+                        words = f"{words} {more}" if words else more
+                        sentence, own = self.known.get(words, (None, ()))
+                        if sentence is not None and stops <= own:
+                            best = (sentence, head.start(), parts[j][1], j)
+                        if not self.goes_on(words):
+                            break
                     if not parts[j][2]:
                         break
+                    if parts[j][2].strip("\n:"):
+                        stops.add(words.count(" ") + 1)
             if best:
                 found.append(best[:3])
                 i = best[3]
@@ -142,4 +212,4 @@ def license_matches(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rule
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_matches(table(spark, sf_dir, "documents"))
+    return license_matches(table(spark, sf_dir, "documents"), NOTICES, NOTICE_RULES)

@@ -1,5 +1,9 @@
+import textwrap
+
 from newsloom.llm import license_scan as L
 
+from .conftest import SF
+
 TOY = {1: "Alpha rules apply", 2: "Beta follows alpha", 3: "Gamma may follow"}
 RULES = (("Long", (1, -3, 2)), ("Short", (1,)), ("Tail", (2, 2)))
 
@@ -32,3 +36,26 @@ def test_edges(edge_docs, no_docs):
     assert L.license_matches(edge_docs).count() == 0 and L.license_matches(no_docs).count() == 0
     rows = L.license_matches(edge_docs, {1: "A b c d e f g"}, ()).collect()
     assert sorted((r.doc_id, r.license) for r in rows) == [(1, None), (2, None), (2, None)]
+
+
+def test_every_rule_by_its_own_text():
+    """Each rule's sentences, also with a word a line and with the other spelling, are found as its licence."""
+    scan = L.Scanner(L.NOTICES, L.NOTICE_RULES).scan
+    for name, ids in L.NOTICE_RULES:
+        text = ". ".join(L.NOTICES[abs(i)] for i in ids) + "."
+        for form in (text, text.replace(" ", "\n"), textwrap.fill(text, 30), text.replace("License", "Licence").replace("icensed", "icenced")):
+            assert [m[0] for m in scan(form)] == [name], form
+
+
+def test_stops_end_other_sentences():
+    scan = L.Scanner({1: "See the list, v. 2 here", 2: "See the list", 3: "v 3 here"}, ()).scan
+    found = lambda t: [m[2] for m in scan(t)]
+    assert found("See the list, v. 2 here.") == found("See the list, v.\n2\nhere") == found("See the list v 2 here") == [[1]]
+    assert found("See the list. v 3 here") == [[2], [3]] and found("See the list.\n\nv 3 here") == [[2], [3]]
+    assert found("See the. list v 2 here") == found("See the list, v\n\n2 here") == found("v. 3 here") == []
+
+
+def test_query_finds_all_planted_lines(spark, documents):
+    lines = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0."}
+    want = sorted((r.doc_id, k) for r in documents.collect() for k, line in lines.items() for x in r.text.split("\n") if x == line)
+    assert "CC-BY-NC-4.0" in {k for _, k in want} and sorted((r.doc_id, r.license) for r in L.op4_license_scan(spark, SF).collect()) == want
