@@ -20,7 +20,8 @@
 6. That settles the buckets whose texts are all of one class. In the others all texts of
    different classes are compared, in blocks of bounded size: first their draws, then, of
    those that agree often enough, the texts, each sent once to a block and not once a pair.
-   In buckets of more than ``LIMIT`` texts that is done where a second band agrees too.
+   In buckets of more than ``LIMIT`` texts the largest class isn't dealt to blocks of its own,
+   as none of its texts are compared with each other.
    The links found join classes to the final ones.
 
 Defined results: a null text is empty; texts of fewer than five words have one shingle of
@@ -52,7 +53,7 @@ BUCKETS = 1 << 18
 SLACK = 0.21
 SEED = 41
 CELLS = 1 << 12
-#: Unsettled buckets of more texts are split by a second band.
+#: In unsettled buckets of more texts the largest class is told apart from the others, to spare blocks; the links are the same.
 LIMIT = 1 << 14
 #: A block of an unsettled bucket has about so many texts and bytes at most; blocks are compared in bins of so many bytes.
 CHUNK, CHUNK_BYTES, BIN_BYTES = 256, 4 << 20, 16 << 20
@@ -247,32 +248,28 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, similarity
 
 
 def unsettled(rooted: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """node, root, size, band, other, key, n and bytes for each member of a bucket with more than one class.
+    """node, root, size, band, key, main, main_n, main_bytes, n and bytes for each member of a bucket with more than one class.
 
-    rooted: node, root, size, bands. A bucket of more than limit members is replaced by those
-    of its band and each other one (other is -1 else).
+    rooted: node, root, size, bands. In buckets of more than limit members main tells those of the
+    largest class, else it is false; n and bytes are of the others, main_n and main_bytes of that class.
     """
-
-    def mixed(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "n", "bytes")
-
-    held = rooted.select("node", "root", F.greatest("size", F.lit(1024)).alias("size"), F.lit(-1).alias("other"), F.posexplode("bands").alias("band", "key"))
-    sizes = stored(mixed(held), "sizes")
-    few = held.join(sizes.where(F.col("n") <= limit), "key")
-    large = sizes.where(F.col("n") > limit).select("key")
-    if large.isEmpty():
-        return few
-    split = held.drop("other").join(large, "key").join(rooted.select("node", "bands"), "node").select("node", "root", "size", "band", "key", F.posexplode("bands").alias("other", "second"))
-    finer = split.where("other <> band").select("node", "root", "size", "band", "other", F.xxhash64("key", "second", "other").alias("key"))
-    return few.unionByName(finer.join(mixed(finer), "key"))
+    held = rooted.select("node", "root", F.greatest("size", F.lit(1024)).alias("size"), F.posexplode("bands").alias("band", "key"))
+    count = (F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    sizes = stored(held.groupBy("key").agg(*count, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "n", "bytes"), "sizes")
+    large = sizes.where(F.col("n") > limit)
+    largest = held.join(F.broadcast(large.select("key")), "key").groupBy("key", "root").agg(*count).groupBy("key").agg(F.max(F.struct("n", "bytes", "root")).alias("top"))
+    sides = sizes.join(stored(largest, "largest"), "key", "left") if not large.isEmpty() else sizes.withColumn("top", F.lit(None).cast("struct<n:bigint,bytes:bigint,root:bigint>"))
+    top_n, top_bytes = F.coalesce(F.col("top.n"), F.lit(0)), F.coalesce(F.col("top.bytes"), F.lit(0))
+    sides = sides.select("key", (F.col("n") - top_n).alias("n"), (F.col("bytes") - top_bytes).alias("bytes"), top_n.alias("main_n"), top_bytes.alias("main_bytes"), F.col("top.root").alias("main_root"))
+    return held.join(sides, "key").withColumn("main", F.coalesce(F.col("root") == F.col("main_root"), F.lit(False))).drop("main_root")
 
 
 def block_partners(group: pa.Table, least: float) -> dict[int, list[int]]:
     """Of the blocks of a bin, each node's partners: of another class, with enough equal draws.
 
-    A pair counts only in the bucket of the first band that it shares (where split, of the first two).
+    A pair counts only in the bucket of the first band that it shares.
     """
-    key, i, j, c, band, other, node, root = (group.column(x).to_numpy() for x in ("key", "i", "j", "c", "band", "other", "node", "root"))
+    key, i, j, c, band, node, root = (group.column(x).to_numpy() for x in ("key", "i", "j", "c", "band", "node", "root"))
     draws = np.frombuffer(b"".join(group.column("draws").to_pylist()), np.uint16).reshape(len(node), -1)
     bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
     order = np.lexsort((c, j, i, key))
@@ -288,12 +285,7 @@ def block_partners(group: pa.Table, least: float) -> dict[int, list[int]]:
             rest = rest[(draws[rest] == draws[x]).sum(axis=1) >= least]
             if not len(rest):
                 continue
-            same = bands[rest] == bands[x]
-            first = same.argmax(axis=1)
-            own = first == band[x]
-            if other[x] >= 0:
-                same[np.arange(len(rest)), first] = False
-                own &= same[:, other[x]] & (same.argmax(axis=1) == other[x])
+            own = (bands[rest] == bands[x]).argmax(axis=1) == band[x]
             for y in node[rest[own]].tolist():
                 found.setdefault(int(node[x]), []).append(y)
                 found.setdefault(y, [])
@@ -306,10 +298,14 @@ def more_links(rooted: DataFrame, texts_of, weights: np.ndarray, similarity: flo
     spark = rooted.sparkSession
     least = (similarity - SLACK) * BANDS * ROWS
     shared = spark.sparkContext.broadcast(weights)
-    chunks = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("bytes") / CHUNK_BYTES)).cast("int")
-    members = unsettled(rooted.select("node", "root", "size", "bands"), limit).withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("node", "key"), "chunks").cast("int"))
-    dealt = members.select("key", "band", "other", "node", "root", "size", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("d"))
-    dealt = stored(dealt.select("key", "band", "other", "node", "root", "size", "c", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j")), "blocks")
+    chunks = lambda n, octets: F.greatest(F.ceil(F.col(n) / chunk), F.ceil(F.col(octets) / CHUNK_BYTES)).cast("int")
+    members = unsettled(rooted.select("node", "root", "size", "bands"), limit).withColumns({"mains": chunks("main_n", "main_bytes"), "others": chunks("n", "bytes")})
+    # the largest class has the first chunks, which meet only those of the others
+    place = lambda of: F.pmod(F.xxhash64("node", "key"), of).cast("int")
+    members = members.withColumn("c", F.when(F.col("main"), place(F.col("mains"))).otherwise(F.col("mains") + place(F.col("others"))))
+    met = F.sequence(F.when(F.col("main"), F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1)
+    dealt = members.select("key", "band", "node", "root", "size", "c", F.explode(met).alias("d"))
+    dealt = stored(dealt.select("key", "band", "node", "root", "size", "c", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j")), "blocks")
     octets = dealt.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     bins = max(1, math.ceil(octets / BIN_BYTES), min(2 * spark.sparkContext.defaultParallelism, math.ceil(octets / (1 << 20))))
 

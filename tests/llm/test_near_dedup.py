@@ -128,6 +128,21 @@ def test_group_around_the_threshold(spark, limit):
     assert {r.doc_id: r.class_id for r in N.classes_of(docs, limit=limit).collect()} == want
 
 
+@pytest.mark.parametrize(("limit", "chunk"), [(N.LIMIT, N.CHUNK), (4, 3), (4, 1)])
+def test_one_shared_band_in_a_large_bucket(spark, limit, chunk):
+    """All pairs of different classes in a bucket above the limit are compared, also those that share no second band."""
+    random.seed(29)
+    base = [[str(random.randrange(10**6)) for _ in range(200)] for _ in range(6)]
+    texts = {i: " ".join([*base[i % 6][:-1], f"end{i}"]) for i in range(24)}  # nodes are alike if they are so modulo 6
+    root = {i: 0 if i % 6 == 0 and i < 18 else i for i in texts}
+    rows = [(i, root[i], len(t), bytes(112), [7] + [1000 + 100 * i + k for k in range(1, N.BANDS)]) for i, t in texts.items()]
+    rooted = spark.createDataFrame(rows, "node long, root long, size long, draws binary, bands array<long>")
+    held = spark.createDataFrame(list(texts.items()), "node long, text string")
+    links = N.more_links(rooted, lambda nodes: held.join(nodes, "node"), N.idf(24, np.ones(N.BUCKETS, np.int64)), N.SIMILARITY, limit, chunk).collect()
+    want = sorted((a, b) for a in texts for b in range(a) if a % 6 == b % 6 and root[a] != root[b])
+    assert sorted((r.a, r.b) for r in links) == want
+
+
 def test_edges(edge_docs, no_docs):
     got = sorted(((-1 if r.doc_id is None else r.doc_id, r.class_id, r.links) for r in N.near_classes(edge_docs).collect()), key=str)
     assert got == sorted([(1, 1, 0), (2, 1, 0), (2, 1, 0), (-1, 3, 0), (3, 3, 0), (-1, None, 0), (4, 4, 0), (5, 5, 1), (6, 5, 1), (7, 7, 0)], key=str)
