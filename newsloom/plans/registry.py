@@ -12,7 +12,7 @@ from newsloom.functions import dates, numbers, text
 from newsloom.operators import articles as A
 from newsloom.operators import boards, claims, cluster, curation, games, tagging
 
-from .views import NOW, SQL_ARTICLES, SQL_PLAYS, articles, load, now, plays
+from .views import NOW, SQL_ARTICLES, SQL_PLAYS, SQL_WHOLE_ARTICLES, articles, load, now, plays, whole_articles
 
 NAMES = ["with", "that", "para"]
 COMMERCE, INSTITUTIONAL, ATHLETIC = ("worthless", "license"), ("that", "les"), ("the", "la")
@@ -39,26 +39,39 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def over_texts(f):
+    """Registers a query of articles once more, as name_whole, over texts that aren't cut; so does its SQL."""
+    name = f.__name__
+    QUERIES[f"{name}_whole"] = lambda spark, sf: f(spark, sf, whole_articles)
+    if name in SQL:
+        SQL[f"{name}_whole"] = SQL[name].replace(SQL_ARTICLES, SQL_WHOLE_ARTICLES)
+    return f
+
+
+@over_texts
 @query("name_filter", f"WITH {SQL_ARTICLES} SELECT link, title FROM a WHERE regexp_matches(title || ' ' || description, '{WORDS(NAMES)}')")
-def name_filter(spark: SparkSession, sf: str) -> DataFrame:
+def name_filter(spark: SparkSession, sf: str, articles=articles) -> DataFrame:
     return A.naming(articles(spark, sf), NAMES).select("link", "title")
 
 
+@over_texts
 @query("name_filter_by_table", f"WITH {SQL_ARTICLES} SELECT link FROM a WHERE regexp_matches(title || ' ' || description, '{WORDS(['with', 'of the'])}')")
-def name_filter_by_table(spark, sf):
+def name_filter_by_table(spark, sf, articles=articles):
     names = spark.createDataFrame([("with",), ("of the",)], "name string")
     return A.naming_any(articles(spark, sf), names).select("link")
 
 
+@over_texts
 @query("off_topic_filter", f"""WITH {SQL_ARTICLES} SELECT link, CASE WHEN regexp_matches(title, '{WORDS(COMMERCE)}') OR regexp_matches(description, '{WORDS(COMMERCE)}') THEN 'commerce'
   WHEN regexp_matches(title, '{WORDS(INSTITUTIONAL)}') AND NOT regexp_matches(title, '{WORDS(ATHLETIC)}') THEN 'institutional' END AS reason FROM a""")
-def off_topic_filter(spark, sf):
+def off_topic_filter(spark, sf, articles=articles):
     return articles(spark, sf).select("link", A.off_topic_reason(COMMERCE, INSTITUTIONAL, ATHLETIC).alias("reason"))
 
 
+@over_texts
 @query("other_sport_filter", f"""WITH {SQL_ARTICLES} SELECT link, CASE WHEN trim(title) = '' OR regexp_matches(title, '{WORDS(SPORTS["football"])}') THEN NULL
   WHEN regexp_matches(title, '{WORDS(SPORTS["basketball"])}') THEN 'basketball' WHEN regexp_matches(title, '{WORDS(SPORTS["baseball"])}') THEN 'baseball' END AS label FROM a""")
-def other_sport_filter(spark, sf):
+def other_sport_filter(spark, sf, articles=articles):
     return articles(spark, sf).select("link", A.other_sport("football", SPORTS).alias("label"))
 
 
@@ -93,47 +106,53 @@ SQL_TOKENS = """tk AS (
 wt AS (SELECT token, count(*) AS df, greatest(ln((SELECT count(DISTINCT link) FROM w) / (1 + count(*))), 0.05) AS weight FROM w GROUP BY token)"""
 
 
-def feed(spark, sf):
+def feed(spark, sf, articles=articles):
     return articles(spark, sf).withColumns({"feed": F.lit("all"), "published": F.col("published").cast("timestamp"), "reach": F.when(F.col("scope") == "team", "beat").otherwise("national")})
 
 
+@over_texts
 @query("title_tokens", f"WITH {SQL_ARTICLES}, {SQL_TOKENS} SELECT link, token FROM w")
-def title_tokens(spark, sf):
-    return cluster.tokens_of(feed(spark, sf)).select("link", "token")
+def title_tokens(spark, sf, articles=articles):
+    return cluster.tokens_of(feed(spark, sf, articles)).select("link", "token")
 
 
+@over_texts
 @query("idf_weights", f"WITH {SQL_ARTICLES}, {SQL_TOKENS} SELECT token, df, round(weight, 6) AS weight FROM wt")
-def idf_weights(spark, sf):
-    return cluster.weights_of(cluster.tokens_of(feed(spark, sf))).select("token", "df", F.round("weight", 6).alias("weight"))
+def idf_weights(spark, sf, articles=articles):
+    return cluster.weights_of(cluster.tokens_of(feed(spark, sf, articles))).select("token", "df", F.round("weight", 6).alias("weight"))
 
 
+@over_texts
 @query("upper_median", f"WITH {SQL_ARTICLES}, {SQL_TOKENS} SELECT round(weight, 6) AS median FROM (SELECT weight, row_number() OVER (ORDER BY weight, token) - 1 AS rn, count(*) OVER () AS n FROM wt) WHERE rn = n // 2")
-def upper_median(spark, sf):
-    return cluster.upper_median(cluster.weights_of(cluster.tokens_of(feed(spark, sf)))).select(F.round("median", 6).alias("median"))
+def upper_median(spark, sf, articles=articles):
+    return cluster.upper_median(cluster.weights_of(cluster.tokens_of(feed(spark, sf, articles)))).select(F.round("median", 6).alias("median"))
 
 
+@over_texts
 @query("pair_score", f"""WITH {SQL_ARTICLES}, {SQL_TOKENS}, x AS (SELECT w.link, w.token, wt.weight, tk.published FROM w JOIN wt USING (token) JOIN tk USING (link)),
 s AS (SELECT link, sum(weight) AS total FROM x GROUP BY link)
 SELECT m.*, round(2 * m.sh / (s1.total + s2.total), 6) AS dice FROM (
   SELECT x.link AS anchor, y.link AS link, count(*) AS shared, sum(x.weight) AS sh FROM x JOIN x y ON x.token = y.token AND (x.published > y.published OR (x.published = y.published AND x.link < y.link)) AND x.published - y.published <= INTERVAL 36 HOURS GROUP BY 1, 2 HAVING count(*) >= 3
 ) m JOIN s s1 ON s1.link = m.anchor JOIN s s2 ON s2.link = m.link""".replace("SELECT m.*, round", "SELECT m.anchor, m.link, m.shared, round"))
-def pair_score(spark, sf):
-    return cluster.pair_scores(feed(spark, sf)).where("shared >= 3").select("anchor", "link", "shared", F.round("dice", 6).alias("dice"))
+def pair_score(spark, sf, articles=articles):
+    return cluster.pair_scores(feed(spark, sf, articles)).where("shared >= 3").select("anchor", "link", "shared", F.round("dice", 6).alias("dice"))
 
 
+@over_texts
 @query("cluster_rollup")
-def cluster_rollup(spark, sf):
-    rows = feed(spark, sf)
+def cluster_rollup(spark, sf, articles=articles):
+    rows = feed(spark, sf, articles)
     return cluster.rolled_up(rows, cluster.clusters(rows, None)).select("lead", "duplicate_count", "also_covered_by", "latest_published_at", "anchor_pos")
 
 
+@over_texts
 @query("claim_type", f"""WITH {SQL_ARTICLES}, v AS (SELECT doc_id, min(CASE WHEN toxic = 1 THEN 'rumor' ELSE 'take' END) AS remote FROM labels GROUP BY doc_id), f AS (
   SELECT a.*, v.remote, regexp_matches(title, '{WORDS(CLAIMS["takes"])}') AS tk, regexp_matches(title, '{WORDS(CLAIMS["evaluative"])}') AS ev, regexp_matches(title, '{WORDS(CLAIMS["completed"])}') AS co,
          regexp_matches(title, '{WORDS(CLAIMS["rumors"])}') OR regexp_matches(description, '{WORDS(CLAIMS["rumors"])}') AS ru, rtrim(title) LIKE '%?' AND NOT regexp_matches(title, '{WORDS(CLAIMS["service"])}') AS qu
   FROM a LEFT JOIN v ON v.doc_id = a.pos)
 SELECT link, CASE WHEN tk OR (NOT ev AND co) OR ru OR qu THEN 'evidence' ELSE 'default' END AS basis,
   CASE WHEN tk THEN 'take' WHEN NOT ev AND co THEN 'reported' WHEN ru THEN 'rumor' WHEN qu THEN 'take' ELSE coalesce(remote, 'unlabeled') END AS claim_type FROM f""")
-def claim_type(spark, sf):
+def claim_type(spark, sf, articles=articles):
     labels = load(spark, sf, "labels").groupBy(F.col("doc_id").alias("pos")).agg(F.min(F.when(F.col("toxic") == 1, "rumor").otherwise("take")).alias("remote"))
     rows = articles(spark, sf).join(labels, "pos", "left")
     return rows.select("link", claims.local_claim(CLAIMS)["basis"].alias("basis"), claims.merged_claim(F.col("remote"), CLAIMS).alias("claim_type"))
@@ -142,19 +161,21 @@ def claim_type(spark, sf):
 SQL_MASKED = "CASE WHEN regexp_matches({0}, '(?i)\\b(of the|the)\\b') THEN 'One' WHEN regexp_matches({0}, '(?i)\\b(and|und)\\b') THEN 'Two' WHEN regexp_matches({0}, '(?i)\\b(le|la)\\b') THEN 'Three' END"
 
 
+@over_texts
 @query("team_tag", f"WITH {SQL_ARTICLES} SELECT link, coalesce({SQL_MASKED.format('title')}, {SQL_MASKED.format('description')}) AS mentioned FROM a")
-def team_tag(spark, sf):
+def team_tag(spark, sf, articles=articles):
     return tagging.tagged(articles(spark, sf), TEAMS).select("link", F.col("mentioned_team.short_name").alias("mentioned"))
 
 
 PLAYERS = ["Of The", "An Anthat", "That", "Elle Pour", "Und Der"]
 
 
+@over_texts
 @query("player_match", f"""WITH {SQL_ARTICLES}, n AS (SELECT unnest({PLAYERS}) AS name), s AS (SELECT name, lower(string_split(name, ' ')[-1]) AS word, count(*) OVER (PARTITION BY lower(string_split(name, ' ')[-1])) AS bearers FROM n),
 t AS (SELECT link, ' ' || regexp_replace(lower(title || ' ' || description), '[^\\p{{L}}\\p{{N}}'']+', ' ', 'g') || ' ' AS text FROM a),
 k AS (SELECT name, link, CASE WHEN contains(text, ' ' || lower(name) || ' ') THEN 'full' WHEN length(word) >= 5 AND bearers = 1 AND contains(text, ' ' || word || ' ') THEN 'surname' END AS kind FROM t, s)
 SELECT name, link, kind FROM (SELECT *, bool_or(kind = 'full') OVER (PARTITION BY name) AS f FROM k WHERE kind IS NOT NULL) WHERE kind = 'full' OR NOT f""")
-def player_match(spark, sf):
+def player_match(spark, sf, articles=articles):
     return tagging.player_matches(articles(spark, sf), spark.createDataFrame([(n,) for n in PLAYERS], "name string"))
 
 
@@ -229,9 +250,10 @@ def read_split(spark, sf):
     return A.split_brief(articles(spark, sf), marks).groupBy("section").agg(F.count("*").alias("n"))
 
 
+@over_texts
 @query("source_yield", f"""WITH {SQL_ARTICLES}, f AS (SELECT source, regexp_matches(title || ' ' || description, '{WORDS(NAMES)}') AS named, NOT regexp_matches(title, '{WORDS(COMMERCE)}') AS keep FROM a)
 SELECT *, floor(100 * kept / items + 0.5)::BIGINT AS pct FROM (SELECT source, count(*) AS items, count(*) FILTER (WHERE named) AS named, count(*) FILTER (WHERE named AND keep) AS kept FROM f GROUP BY 1)""")
-def source_yield(spark, sf):
+def source_yield(spark, sf, articles=articles):
     rows = articles(spark, sf).withColumn("list_ord", F.lit(0))
     return curation.source_yield(rows, text.contains_any(A.title_and_description(), NAMES), ~text.contains_any(F.col("title"), list(COMMERCE)))
 
@@ -250,8 +272,9 @@ def period_refresh(spark, sf):
     return load(spark, sf, "events").groupBy(dates.period_key(F.col("ts")).alias("period_key")).agg(F.count("*").alias("n"))
 
 
+@over_texts
 @query("verdict_cache_key", f"WITH {SQL_ARTICLES} SELECT link, 'v1:' || sha256(trim(regexp_replace(lower(title), '\\s+', ' ', 'g'))) AS key FROM a")
-def verdict_cache_key(spark, sf):
+def verdict_cache_key(spark, sf, articles=articles):
     return articles(spark, sf).select("link", text.cache_key(F.col("title")).alias("key"))
 
 
@@ -267,9 +290,10 @@ def page_decoded(spark, sf):
     return load(spark, sf, "pages").select("page_id", F.length(text.strip_tags(F.col("html"))).alias("decoded_len"))
 
 
+@over_texts
 @query("truncated_teaser", f"""WITH {SQL_ARTICLES}, h AS (SELECT link, description AS t, substr(description, 1, 100) AS head FROM a)
 SELECT link, CASE WHEN length(t) <= 100 THEN t ELSE rtrim(CASE WHEN contains(head, ' ') AND length(head) - length(regexp_extract(head, ' ([^ ]*)$', 1)) - 1 > 50 THEN substr(head, 1, length(head) - length(regexp_extract(head, ' ([^ ]*)$', 1)) - 1) ELSE head END, ' ') || '…' END AS teaser FROM h""")
-def truncated_teaser(spark, sf):
+def truncated_teaser(spark, sf, articles=articles):
     return articles(spark, sf).select("link", text.truncated(F.col("description"), 100).alias("teaser"))
 
 
