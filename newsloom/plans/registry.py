@@ -5,6 +5,8 @@ Lexicons are words that the tables have; thresholds are scaled to their dates.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,22 @@ def over_texts(f):
     return f
 
 
+#: The modulo filters of SQL twins that over_tables() leaves out.
+SUBSET = re.compile(r" WHERE (?:pos|s_suppkey|l_orderkey|c_nationkey) % \d = 0")
+
+
+def subset(rows: DataFrame, condition: str) -> DataFrame:
+    return rows.where(condition)
+
+
+def over_tables(f):
+    """Registers a query of subsets once more, as name_whole, over whole tables; so does its SQL."""
+    name = f.__name__
+    QUERIES[f"{name}_whole"] = lambda spark, sf: f(spark, sf, lambda rows, condition: rows)
+    SQL[f"{name}_whole"] = SUBSET.sub("", SQL[name])
+    return f
+
+
 @over_texts
 @query("name_filter", f"WITH {SQL_ARTICLES} SELECT link, title FROM a WHERE regexp_matches(title || ' ' || description, '{WORDS(NAMES)}')")
 def name_filter(spark: SparkSession, sf: str, articles=articles) -> DataFrame:
@@ -80,11 +98,12 @@ def feed_window(spark, sf):
     return articles(spark, sf).where(A.within_week(F.col("published").cast("timestamp"), now().cast("timestamp"))).select("link", "published")
 
 
+@over_tables
 @query("dedupe_first", f"""WITH {SQL_ARTICLES}, u AS (SELECT *, 1 AS list_ord FROM a WHERE pos % 2 = 0 UNION ALL SELECT *, 0 AS list_ord FROM a WHERE pos % 3 = 0)
 SELECT link, list_ord::INT AS list_ord FROM (SELECT *, row_number() OVER (PARTITION BY link ORDER BY list_ord, pos) AS n FROM u) WHERE n = 1""")
-def dedupe_first(spark, sf):
+def dedupe_first(spark, sf, subset=subset):
     a = articles(spark, sf)
-    return A.first_of_each(A.union_lists([a.where("pos % 3 = 0"), a.where("pos % 2 = 0")])).select("link", "list_ord")
+    return A.first_of_each(A.union_lists([subset(a, "pos % 3 = 0"), subset(a, "pos % 2 = 0")])).select("link", "list_ord")
 
 
 @query("syndication_tier", f"""WITH {SQL_ARTICLES}, s AS (SELECT *, CASE WHEN pos % 5 = 0 THEN 'Wire' WHEN pos % 7 = 0 THEN upper(source) END AS item_source FROM a)
@@ -179,23 +198,25 @@ def player_match(spark, sf, articles=articles):
     return tagging.player_matches(articles(spark, sf), spark.createDataFrame([(n,) for n in PLAYERS], "name string"))
 
 
+@over_tables
 @query("leader_boards", """WITH r AS (SELECT p_brand, l_suppkey, sum((l_extendedprice * 100)::BIGINT) AS cents FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY cents DESC, l_suppkey) AS rank FROM r)
 SELECT p_brand, l_suppkey AS s_suppkey, s_name, place FROM (SELECT k.*, s_name, row_number() OVER (PARTITION BY p_brand ORDER BY rank, l_suppkey) AS place FROM k JOIN supplier ON l_suppkey = s_suppkey WHERE s_suppkey % 2 = 0) WHERE place <= 3""")
-def leader_boards(spark, sf):
+def leader_boards(spark, sf, subset=subset):
     revenue = load(spark, sf, "lineitem").join(load(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", "l_suppkey").agg(F.sum((F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
     ranked = revenue.withColumn("rank", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("cents"), "l_suppkey")))
     leaders = ranked.select(F.lit(1).alias("team_id"), F.col("p_brand").alias("category"), F.col("p_brand").alias("title"), F.col("l_suppkey").alias("athlete_id"), "rank")
-    roster = load(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(F.lit(1).alias("team_id"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("full_name"))
+    roster = subset(load(spark, sf, "supplier"), "s_suppkey % 2 = 0").select(F.lit(1).alias("team_id"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("full_name"))
     return boards.leader_boards(leaders, roster).select(F.col("category").alias("p_brand"), F.col("athlete_id").alias("s_suppkey"), F.col("full_name").alias("s_name"), "place")
 
 
+@over_tables
 @query("schedule_odds", """WITH s AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_orderstatus <> 'F'), o AS (SELECT l_orderkey, max(l_quantity) AS over_under FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1)
 SELECT o_orderkey, o_custkey, over_under, CASE WHEN o_totalprice > 100000 THEN 'W' WHEN o_totalprice < 100000 THEN 'L' ELSE 'T' END AS result FROM s LEFT JOIN o ON o_orderkey = l_orderkey WHERE n <= 5""")
-def schedule_odds(spark, sf):
+def schedule_odds(spark, sf, subset=subset):
     orders = load(spark, sf, "orders")
     schedule = orders.select(F.col("o_custkey").alias("team_id"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("kickoff"), F.when(F.col("o_orderstatus") == "F", "post").otherwise("pre").alias("state"), "o_totalprice")
-    odds = load(spark, sf, "lineitem").where("l_orderkey % 3 = 0").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_quantity").alias("over_under"))
+    odds = subset(load(spark, sf, "lineitem"), "l_orderkey % 3 = 0").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_quantity").alias("over_under"))
     no = F.lit(None).cast("boolean")
     return games.upcoming_with_odds(schedule, odds).select(F.col("id").alias("o_orderkey"), F.col("team_id").alias("o_custkey"), "over_under", games.result_of(no, no, F.col("o_totalprice"), F.lit(100000.0)).alias("result"))
 
@@ -232,11 +253,12 @@ merged AS (SELECT fresh.team, fresh.link, fresh.published, coalesce(st.seen, {T0
   UNION ALL SELECT team, link, published, seen FROM st WHERE {T0} - coalesce(published, seen) <= INTERVAL 7 DAYS AND NOT EXISTS (SELECT 1 FROM fresh f WHERE f.link = st.link AND f.team = st.team))"""
 
 
+@over_tables
 @query("retention_merge", f"WITH {SQL_MERGED} SELECT team, link, first_seen, row_number() OVER (PARTITION BY team ORDER BY published DESC NULLS LAST, link) AS rn FROM merged")
-def retention_merge(spark, sf):
+def retention_merge(spark, sf, subset=subset):
     rows = articles(spark, sf).withColumn("published", F.col("published").cast("timestamp"))
-    stored = rows.where("pos % 3 = 0").withColumn("first_seen", F.lit("2024-01-01 06:00:00").cast("timestamp"))
-    return A.merged_with_stored(rows.where("pos % 2 = 0"), stored, now().cast("timestamp")).select("team", "link", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), "rn")
+    stored = subset(rows, "pos % 3 = 0").withColumn("first_seen", F.lit("2024-01-01 06:00:00").cast("timestamp"))
+    return A.merged_with_stored(subset(rows, "pos % 2 = 0"), stored, now().cast("timestamp")).select("team", "link", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), "rn")
 
 
 @query("lru_evict", "SELECT user_id, row_number() OVER (ORDER BY m DESC, user_id) > 50 AS evicted FROM (SELECT user_id, max(ts) AS m FROM events GROUP BY 1)")
@@ -349,9 +371,10 @@ def coverage(spark, sf):
     return A.coverage(rows.where("tier = 1"), curated)
 
 
+@over_tables
 @query("review_audit", "SELECT coalesce(s.k, c.k) AS slug, s.k IS NOT NULL AS in_teams, c.k IS NOT NULL AS in_reviewed, CASE WHEN c.k IS NULL THEN 'unreviewed' WHEN s.k IS NULL THEN 'unknown team' END AS issue FROM (SELECT DISTINCT s_nationkey AS k FROM supplier) s FULL JOIN (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_nationkey % 2 = 0) c ON s.k = c.k")
-def review_audit(spark, sf):
-    return curation.review_state(load(spark, sf, "supplier").select(F.col("s_nationkey").alias("slug")), load(spark, sf, "customer").where("c_nationkey % 2 = 0").select(F.col("c_nationkey").alias("slug")))
+def review_audit(spark, sf, subset=subset):
+    return curation.review_state(load(spark, sf, "supplier").select(F.col("s_nationkey").alias("slug")), subset(load(spark, sf, "customer"), "c_nationkey % 2 = 0").select(F.col("c_nationkey").alias("slug")))
 
 
 @query("followed_ticker", """WITH g AS (SELECT o_orderkey AS id, o_custkey AS home, o_custkey + 1 AS away, o_orderdate AS kickoff, CASE o_orderstatus WHEN 'O' THEN 'pre' WHEN 'F' THEN 'post' ELSE 'in' END AS state FROM orders)
@@ -363,6 +386,16 @@ def followed_ticker(spark, sf):
     return games.followed_games(rows, followed).select("id", "state", "followed_side")
 
 
+@query("followed_ticker_whole", """WITH g AS (SELECT o_orderkey AS id, o_custkey AS home, o_custkey + 1 AS away, CASE o_orderstatus WHEN 'O' THEN 'pre' WHEN 'F' THEN 'post' ELSE 'in' END AS state FROM orders)
+SELECT id, state, CASE WHEN home IN (SELECT s_suppkey FROM supplier) THEN 'home' ELSE 'away' END AS followed_side FROM g WHERE home IN (SELECT s_suppkey FROM supplier) OR away IN (SELECT s_suppkey FROM supplier)""")
+def followed_ticker_whole(spark, sf):
+    """Followed are the teams of a table, the suppliers."""
+    o = load(spark, sf, "orders")
+    rows = o.select(F.lit("l").alias("league_id"), F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("home_id"), (F.col("o_custkey") + 1).alias("away_id"), F.when(F.col("o_orderstatus") == "O", "pre").when(F.col("o_orderstatus") == "F", "post").otherwise("in").alias("state"))
+    followed = load(spark, sf, "supplier").select(F.lit("l").alias("league_id"), F.col("s_suppkey").alias("team_id")).distinct()
+    return games.followed_games(rows, followed).select("id", "state", "followed_side")
+
+
 @query("yield_groups", "SELECT event_type AS \"group\", count(*) AS n, sum(user_id) AS items_in, sum(user_id % 3) AS items_out, bool_or(user_id % 3 = 0) AS any_zero, bool_or(user_id % 3 = user_id) AS any_full FROM events WHERE user_id > 0 GROUP BY 1")
 def yield_groups(spark, sf):
     e = load(spark, sf, "events").select(F.col("event_type").alias("group"), F.col("user_id").alias("items_in"), (F.col("user_id") % 3).alias("items_out"))

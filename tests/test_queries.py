@@ -1,6 +1,7 @@
 """Each registered query with a SQL twin against DuckDB on the smallest tables."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -58,3 +59,15 @@ def test_whole_names_are_registered():
     for name in texts.split():
         assert f"{name}_whole" in entry.queries() and (name in entry.oracle_sql()) == (f"{name}_whole" in entry.oracle_sql())
         assert entry.oracle_sql().get(name, "") != entry.oracle_sql().get(f"{name}_whole", None)
+
+
+@pytest.mark.parametrize("name", ["dedupe_first", "leader_boards", "schedule_odds", "retention_merge", "review_audit", "followed_ticker"])
+def test_whole_tables_have_no_subsets(name):
+    conditions = r"WHERE (pos|\w+key|home|away) % \d+ = 0"
+    assert re.search(conditions, entry.oracle_sql()[name]) and not re.search(conditions, entry.oracle_sql()[f"{name}_whole"])
+
+
+def test_dedupe_takes_all_documents(spark):
+    rows = entry.queries()["dedupe_first_whole"](spark, SF).collect()
+    texts = views.load(spark, SF, "documents").where("text IS NOT NULL AND doc_id IS NOT NULL")
+    assert {r.link for r in rows} == {f"doc:{r.doc_id}" for r in texts.collect()}
