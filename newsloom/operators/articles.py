@@ -160,14 +160,26 @@ def balanced(articles: DataFrame, window: int = 5, most: int = 2) -> DataFrame:
 
     A fold over one feed at a time (column ``feed``), for feeds of bounded length. Off in pipelines by default.
     """
+    import heapq
+    from collections import deque
+
     import pandas as pd
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        pending, out = rows.sort_values(["list_ord", "pos"]).to_dict("records"), []
-        while pending:
-            recent = [r["source"] for r in out[-window:]]
-            i = next((i for i, r in enumerate(pending) if recent.count(r["source"]) < most), 0)
-            out.append(pending.pop(i))
+        queues, out = {}, []
+        for i, r in enumerate(rows.sort_values(["list_ord", "pos"]).to_dict("records")):
+            queues.setdefault(r["source"], deque()).append((i, r))
+        heads = [(q[0][0], source) for source, q in queues.items()]  # in order, so a heap; places differ
+        while heads:
+            recent, held = [r["source"] for r in out[-window:]], []
+            while heads and recent.count(heads[0][1]) >= most:
+                held.append(heapq.heappop(heads))
+            _, source = heapq.heappop(heads) if heads else held.pop(0)
+            out.append(queues[source].popleft()[1])
+            if queues[source]:
+                held.append((queues[source][0][0], source))
+            for head in held:
+                heapq.heappush(heads, head)
         return pd.DataFrame([r | {"rank": i} for i, r in enumerate(out)], columns=[*rows.columns, "rank"])
 
     schema = articles.withColumn("rank", F.lit(0)).schema

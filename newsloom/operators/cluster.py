@@ -2,7 +2,7 @@
 
 Pairs are found and scored by joins: headlines within the window meet by a shared token, in
 bands of time. Which are accepted depends on order: newest first, each unassigned row takes
-the pairs it may, and they are gone. That fold runs per feed over accepted pairs only.
+the pairs it may, and they are gone. That fold runs per connected component of accepted pairs.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from newsloom import config
 from newsloom.functions import text as T
+from newsloom.llm.common import stored
+from newsloom.llm.components import components
 
 WINDOW_HOURS, SIMILAR, RARE_SHARE, FEWEST, FLOOR, MOST_ROWS = 36, 0.55, 0.5, 15, 0.05, 1500
 
@@ -32,9 +34,10 @@ def weights_of(tokens: DataFrame) -> DataFrame:
 
 def upper_median(weights: DataFrame) -> DataFrame:
     """feed, median: the weight at half the count of tokens, rounded down, from 0; null (nothing is rare) in small feeds."""
-    order = Window.partitionBy("feed").orderBy("weight", "token")
-    ranked = weights.withColumns({"rn": F.row_number().over(order) - 1, "cnt": F.count("*").over(Window.partitionBy("feed"))})
-    return ranked.where(F.col("rn") == F.floor(F.col("cnt") / 2)).select("feed", F.when(F.col("n") >= FEWEST, F.col("weight")).alias("median"))
+    order = Window.partitionBy("feed").orderBy("weight")  # of distinct weights, which are as few as distinct counts
+    counted = weights.groupBy("feed", "weight").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    ranked = counted.withColumns({"upto": F.sum("c").over(order), "half": F.floor(F.sum("c").over(Window.partitionBy("feed")) / 2)})
+    return ranked.where("upto > half AND upto - c <= half").select("feed", F.when(F.col("n") >= FEWEST, F.col("weight")).alias("median"))
 
 
 def opposed(a: Column, b: Column, terms=config.OPPOSED) -> Column:
@@ -81,6 +84,18 @@ def lead_order(published: Column) -> Column:
     return F.when(F.date_trunc("day", published) == published, published + F.expr("INTERVAL 86399.999 SECONDS")).otherwise(published)
 
 
+def numbered(articles: DataFrame) -> DataFrame:
+    """feed, link, rank, pos: places over all feeds from 0, and in the feed from 1, newest first; counted by sorted ranges."""
+    order = (F.asc("feed"), F.desc_nulls_last("published"), F.asc("link"))
+    rows = articles.select("feed", "link", "published").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stored(rows.select("feed", "link", F.monotonically_increasing_id().alias("_id")), "ranges")
+    part = F.shiftright("_id", 33)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # a row for each range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = rows.withColumn("part", part).join(F.broadcast(sizes.select("part", before.alias("before"))), "part").select("feed", "link", (F.col("before") + F.col("_id").bitwiseAND((1 << 33) - 1)).alias("rank"))
+    return ranked.join(ranked.groupBy("feed").agg(F.min("rank").alias("start")), "feed").select("feed", "link", "rank", (F.col("rank") - F.col("start") + 1).cast("int").alias("pos"))
+
+
 def clusters(articles: DataFrame, max_input: int | None = MOST_ROWS) -> DataFrame:
     """feed, anchor, link, anchor_pos for every article: the cluster it is in by its newest member.
 
@@ -90,22 +105,25 @@ def clusters(articles: DataFrame, max_input: int | None = MOST_ROWS) -> DataFram
     size = articles.groupBy("feed").agg(F.count("*").alias("rows"))
     small = articles if max_input is None else articles.join(size.where(F.col("rows") <= max_input).select("feed"), "feed", "left_semi")
     pairs = accepted(pair_scores(small), small)
-    order = Window.partitionBy("feed").orderBy(F.desc_nulls_last("published"), "link")
-    listed = articles.select("feed", "link", F.row_number().over(order).alias("pos"))
-    named = pairs.groupBy("feed", "anchor").agg(F.collect_list("link").alias("links")).withColumnRenamed("anchor", "link")
-    rows = listed.join(named, ["feed", "link"], "left")
+    listed = numbered(articles)
+    nodes = stored(listed.groupBy("feed", "link").agg(F.min("rank").alias("rank"), F.min("pos").alias("pos")), "nodes")
+    at = lambda link, rank: nodes.select("feed", F.col("link").alias(link), F.col("rank").alias(rank))
+    links = stored(pairs.join(at("anchor", "a"), ["feed", "anchor"]).join(at("link", "b"), ["feed", "link"]).select("a", "b"), "accepted")
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, home = rows.sort_values("pos"), {}
-        for link, pos, links in zip(rows["link"], rows["pos"], rows["links"], strict=True):
-            if link not in home:
-                home[link] = (link, pos)
-                for other in links if links is not None else ():
-                    home.setdefault(other, (link, pos))
-        out = [(rows["feed"].iloc[0], home[x][0], x, home[x][1]) for x in rows["link"]]
-        return pd.DataFrame(out, columns=["feed", "anchor", "link", "anchor_pos"])
-
-    return rows.groupBy("feed").applyInPandas(fold, "feed string, anchor string, link string, anchor_pos int")
+        others, home = rows.groupby("a")["b"].agg(list).to_dict(), {}
+        for x in sorted({*rows["a"], *rows["b"]}):
+            if x not in home:
+                home[x] = x
+                for other in others.get(x, ()):
+                    home.setdefault(other, x)
+        return pd.DataFrame(list(home.items()), columns=["rank", "home"])
+
+    homes = links.join(components(links).withColumnRenamed("node", "a"), "a").groupBy("root").applyInPandas(fold, "rank long, home long")
+    placed = nodes.join(homes, "rank", "left").withColumn("home", F.coalesce("home", "rank"))
+    anchors = nodes.select(F.col("rank").alias("home"), F.col("link").alias("anchor"), F.col("pos").alias("anchor_pos"))
+    assigned = placed.join(anchors, "home").select("feed", "link", "anchor", "anchor_pos")
+    return articles.select("feed", "link").join(assigned, ["feed", "link"]).select("feed", "anchor", "link", "anchor_pos")
 
 
 def rolled_up(articles: DataFrame, assigned: DataFrame) -> DataFrame:

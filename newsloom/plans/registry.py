@@ -360,7 +360,9 @@ def visible_colours(spark, sf):
 
 @query("balanced_feed")
 def balanced_feed(spark, sf):
-    rows = articles(spark, sf).select(F.col("team").alias("feed"), "link", "source", F.lit(0).alias("list_ord"), "pos")
+    day = F.coalesce(F.date_format("published", "yyyy-MM-dd"), F.lit("undated"))
+    team = F.concat_ws(" ", "team", day, F.when(F.col("published").isNull(), F.floor(F.col("pos") / 10_000).cast("string")))  # the undated by runs of places
+    rows = articles(spark, sf).select(team.alias("feed"), "link", "source", F.lit(0).alias("list_ord"), "pos")
     return A.balanced(rows).select("feed", "link", "source", "rank")
 
 

@@ -193,3 +193,53 @@ def test_logs_and_status(spark):
     assert curation.shaped_logs(events).where(curation.interesting()).count() == 2
     bodies = frame(spark, "url string, http_status int, body string, ms int", ("a", 200, "<rss><channel><item>x</item></channel></rss>", 5), ("b", 200, "<feed></feed>", 5), ("c", 404, None, 20_000))
     assert [(r.status, r.format, r["items"], r.slow) for r in curation.feed_status(bodies.coalesce(1)).collect()] == [("OK", "rss", 1, False), ("EMPTY", "atom", 0, False), ("HTTP", None, 0, True)]
+
+
+def test_balanced_against_the_plain_fold(spark):
+    import random
+
+    random.seed(3)
+    rows = [("f", f"l{i}", random.choice("aaaabbc"), 0, i) for i in range(300)]
+    pending, want = list(rows), []
+    while pending:
+        recent = [r[2] for r in want[-5:]]
+        want.append(pending.pop(next((i for i, r in enumerate(pending) if recent.count(r[2]) < 2), 0)))
+    got = articles.balanced(frame(spark, "feed string, link string, source string, list_ord int, pos int", *rows)).orderBy("rank").collect()
+    assert [r.link for r in got] == [r[1] for r in want]
+
+
+def clusters_by_feed(a):
+    """The fold over whole feeds, and the plan's pairs: the result to match."""
+    pairs, rows = cluster.accepted(cluster.pair_scores(a), a).collect(), a.collect()
+    rows = sorted(rows, key=lambda r: (r.feed, -r.published.timestamp() if r.published else float("inf"), r.link))
+    home, place = {}, {}
+    for r in rows:
+        place[r.feed] = place.get(r.feed, 0) + 1
+        if (r.feed, r.link) not in home:
+            home[r.feed, r.link] = (r.link, place[r.feed])
+            for p in pairs:
+                if (p.feed, p.anchor) == (r.feed, r.link):
+                    home.setdefault((p.feed, p.link), (r.link, place[r.feed]))
+    return sorted((f, h[0], link, h[1]) for (f, link), h in home.items())
+
+
+def test_clusters_by_component(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    random.seed(11)
+    words = ["harbor", "council", "bridge", "market", "garden", "winter", "player", "signing"]
+    rows = [(f"f{i % 2}", f"l{i}", " ".join(random.sample(words, 4)), "s", datetime(2024, 1, 1) + timedelta(hours=i) if i % 11 else None) for i in range(120)]
+    a = spark.createDataFrame(rows, "feed string, link string, title string, source string, published timestamp")
+    got = cluster.clusters(a)
+    plan = got._jdf.queryExecution().toString()
+    assert 'row_number' not in plan and "flatMapGroupsInPandas(feed" not in plan.replace("FlatMapGroupsInPandas [feed", "flatMapGroupsInPandas(feed")
+    got = sorted(map(tuple, got.collect()))
+    assert got == clusters_by_feed(a) and 10 < len({r[:2] for r in got}) < 110
+
+
+def test_upper_median_ranks_no_tokens(spark):
+    weights = frame(spark, "feed string, token string, df long, n long, weight double", *[("f", f"t{i}", 1, 20, float(i % 7)) for i in range(30)], *[("g", f"t{i}", 1, 3, 1.0) for i in range(4)])
+    got = cluster.upper_median(weights)
+    assert {r.feed: r.median for r in got.collect()} == {"f": sorted(i % 7 for i in range(30))[15], "g": None}
+    assert "row_number" not in got._jdf.queryExecution().toString()
