@@ -6,13 +6,14 @@ a softmax over two classes makes the output, and both layers are learned by stoc
 gradient descent in numpy, one document at a time.
 
 It learns from a bounded sample: of each label the ``per_label`` labelled documents that
-come first by a hash of their id. They fit in one task, whose result is the table of the
+come first by a hash of their id, one row of each (the least of its texts), as far as they have
+``SAMPLE_BYTES`` and the one that goes over it. They fit in one task, whose result is the table of the
 vectors' contributions to the output: the mean is linear, so each vector counts by its
 product with the difference of the two output rows. Scoring is then a map over all rows.
 
 Defined results: a null or empty text has no vectors, so its score is 0.5; a null doc_id
 is never learned from; repeated rows each get a row, and repeated labels of a document
-count once each; an empty table gives an empty result; without labels all scores are 0.5,
+count once; an empty table gives an empty result; without labels all scores are 0.5,
 with one label only they are what the one-sided training gives; extra columns are left out.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textbuf as T
@@ -31,6 +32,8 @@ DIM = 16
 RUNS = (3, 5)
 #: Documents of each label to learn from, at most.
 PER_LABEL = 1500
+#: And so many bytes of text of each label; the document that goes over them is the last.
+SAMPLE_BYTES = 32 << 20
 EPOCHS = 8
 RATE = 20.0
 THRESHOLD = 0.7
@@ -102,12 +105,16 @@ def score_texts(texts, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-logit.clip(-500, 500)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, held_out: Column, per_label: int = PER_LABEL) -> DataFrame:
-    """text, quality and rank of at most per_label documents of each label; held_out is of labels' doc_id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, held_out: Column, per_label: int = PER_LABEL, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """text, quality and rank of at most per_label documents, and about most_bytes, of each label; held_out is of labels' doc_id."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out)
-    usable = usable.select(F.col("doc_id").alias("_id"), "quality", F.md5(F.col("doc_id").cast("string")).alias("rank"))
+    usable = usable.select(F.col("doc_id").alias("_id"), "quality", F.md5(F.col("doc_id").cast("string")).alias("rank")).distinct()
     first = [usable.where(F.col("quality") == label).orderBy("rank").limit(per_label) for label in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(first[0].unionByName(first[1])), F.col("doc_id") == F.col("_id")).select("text", "quality", "rank")
+    found = docs.select("doc_id", "text").join(F.broadcast(first[0].unionByName(first[1])), F.col("doc_id") == F.col("_id"))
+    once = found.groupBy("_id", "quality", "rank").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("quality").orderBy("rank", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    return once.withColumn("before", F.sum(size).over(order) - size).where(F.col("before") < most_bytes).select("text", "quality", "rank")
 
 
 def fit(sample: DataFrame, **how) -> np.ndarray:
@@ -119,7 +126,7 @@ def fit(sample: DataFrame, **how) -> np.ndarray:
         weights = train(whole.column("text").combine_chunks(), whole.column("quality").to_numpy(), **how)
         yield pa.RecordBatch.from_pydict({"weights": [weights.tobytes()]})
 
-    rows = sample.select("text", F.col("quality").cast("int").alias("quality"), "rank").coalesce(1).mapInArrow(one, "weights binary").collect()
+    rows = sample.select("text", F.col("quality").cast("int").alias("quality"), "rank").repartition(1).mapInArrow(one, "weights binary").collect()
     return np.frombuffer(rows[0][0], np.float32) if rows else np.zeros(how.get("buckets", BUCKETS), np.float32)
 
 

@@ -44,3 +44,19 @@ def test_edges(spark, edge_docs, no_docs):
     assert [r.score for r in rows if r.doc_id in (3, 4)] == [0.5, 0.5]
     none = C.fit(C.labelled_sample(edge_docs, labels.limit(0), F.lit(False)), epochs=1)
     assert C.classify(no_docs, none, F.lit(False)).count() == 0
+
+
+def test_sample_has_a_row_a_document_and_a_bound_of_bytes(spark):
+    docs = spark.createDataFrame([(i % 40, "word " * 20) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 40, i % 2) for i in range(80)], "doc_id long, quality int")
+    sample = lambda **how: C.labelled_sample(docs, labels, F.lit(False), **how)
+    assert sample().groupBy("quality").count().collect() and {(r.quality, r["count"]) for r in sample().groupBy("quality").count().collect()} == {(0, 20), (1, 20)}
+    assert {(r.quality, r["count"]) for r in sample(most_bytes=250).groupBy("quality").count().collect()} == {(0, 3), (1, 3)}
+
+
+def test_scan_is_not_in_the_task_that_learns(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", lambda *a: seen.append(a), raising=True)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(4)], "doc_id long, text string")
+    C.fit(C.labelled_sample(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality"), F.lit(False)), epochs=1)
+    assert not seen
