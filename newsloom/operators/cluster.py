@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from newsloom import config
 from newsloom.functions import text as T
-from newsloom.llm.common import stored
-from newsloom.llm.components import components
+from newsloom.shared import stored
+from .components import components
 
 WINDOW_HOURS, SIMILAR, RARE_SHARE, FEWEST, FLOOR, MOST_ROWS = 36, 0.55, 0.5, 15, 0.05, 1500
 
