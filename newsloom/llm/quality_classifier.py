@@ -1,13 +1,13 @@
 """Quality classifier: supervised subword embeddings.
 
-Every word and every run of 3 and 5 bytes of a word (a space next to it may be an end of
-the run) is hashed to one of ``buckets`` vectors. A document is the mean of its vectors,
+Every word and every run of 3 and 5 characters of a word (a space next to it may be an end
+of the run) is hashed to one of ``buckets`` vectors. A document is the mean of its vectors,
 a softmax over two classes makes the output, and both layers are learned by stochastic
 gradient descent in numpy, one document at a time.
 
-It learns from a bounded sample: of each label the ``per_label`` labelled documents that
-come first by a hash of their id, one row of each (the least of its texts), as far as they have
-``SAMPLE_BYTES`` and the one that goes over it. They fit in one task, whose result is the table of the
+It learns from a bounded sample: of each label the ``per_label`` labelled documents of the
+table that come first by a hash of their id, one row of each (the least of its texts), as far as
+they have ``SAMPLE_BYTES`` and the one that goes over it. They fit in one task, whose result is the table of the
 vectors' contributions to the output: the mean is linear, so each vector counts by its
 product with the difference of the two output rows. Scoring is then a map over all rows.
 
@@ -42,24 +42,25 @@ SEED = 29
 
 def features(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all features in the texts, and the text of each."""
+    data = np.where(T.IS_SPACE[data], np.uint8(32), data)
     hashes, words = T.hash_bytes(data, offsets)
     found = [(hashes & T.U(buckets - 1)).astype(np.int32)]
     texts = [np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(words))]
-    space = T.IS_SPACE[data]
-    plain = np.where(space, np.uint8(32), data).astype(T.U)
-    owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+    first = np.flatnonzero((data & 0xC0) != 0x80)  # the bytes where characters begin
+    edges = np.append(first, len(data))
+    space = data[first] == 32
+    owner = (np.searchsorted(offsets, first, "right") - 1).astype(np.int32)
     for n in RUNS:
-        m = len(data) - n + 1
+        m = len(first) - n + 1
         if m <= 0:
             continue
         usable = owner[:m] == owner[n - 1 :]
-        run = plain[:m].copy()
-        for k in range(1, n):
-            run |= plain[k : k + m] << T.U(8 * k)
-            if k < n - 1:
-                usable &= ~space[k : k + m]
-        found.append((T.mix(run[usable] ^ T.U(n << 56)) & T.U(buckets - 1)).astype(np.int32))
-        texts.append(owner[:m][usable])
+        for k in range(1, n - 1):
+            usable &= ~space[k : k + m]
+        at = np.flatnonzero(usable)
+        runs = T.span_hashes(data, edges[at], edges[at + n])
+        found.append((T.mix(runs ^ T.U(n << 56)) & T.U(buckets - 1)).astype(np.int32))
+        texts.append(owner[at])
     return np.concatenate(found), np.concatenate(texts)
 
 
@@ -109,6 +110,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, held_out: Column, per_la
     """text, quality and rank of at most per_label documents, and about most_bytes, of each label; held_out is of labels' doc_id."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out)
     usable = usable.select(F.col("doc_id").alias("_id"), "quality", F.md5(F.col("doc_id").cast("string")).alias("rank")).distinct()
+    usable = usable.join(docs.select(F.col("doc_id").alias("_id")), "_id", "left_semi")
     first = [usable.where(F.col("quality") == label).orderBy("rank").limit(per_label) for label in (0, 1)]
     found = docs.select("doc_id", "text").join(F.broadcast(first[0].unionByName(first[1])), F.col("doc_id") == F.col("_id"))
     once = found.groupBy("_id", "quality", "rank").agg(F.min("text").alias("text"))
