@@ -4,6 +4,10 @@ Each record is a gzip member of its own. The reader goes through an archive once
 blocks: it inflates member after member with an incremental zlib object, takes the
 header up to the blank line, frames the block by Content-Length, and checks the block
 and payload digests. Neither side holds more than one record and one block of input.
+What doesn't hold is told in the column ``problem`` and never fails the job: a damaged or cut
+member (reading of that archive ends there, as nothing tells where the next begins), one of more
+than ``MEMBER_BYTES``, a header that isn't WARC's, lengths and digests that differ. Identifiers
+of other writers are read as a null page_id.
 
 Archives lie in the shared folder, under a name of the task attempt that wrote them;
 the manifest, written when all are done, lists the archives of the attempts that count,
@@ -11,28 +15,32 @@ so a retried or doubled task leaves at most a file that nobody reads.
 
 Defined results: a null html is an empty payload; of records with equal payloads of at
 least ``min_bytes`` bytes the one with the smallest page_id (nulls last) is the
-response, the others revisit it; repeated rows of that page_id are told apart by url and
-then by place, so just one is the response; an empty table gives no archives and no rows;
-extra columns are left out of the archive.
+response, the others revisit it; repeated rows of that page_id are told apart by url, and of
+those alike in all just one is the response; control characters of a url are written as
+percent codes; an empty table gives no archives and no rows; extra columns are left out of the archive.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import shared_path, stored
 
 BLOCK = 1 << 16
 #: A new archive is begun after so many bytes.
 ARCHIVE_BYTES = 64 << 20
+#: A record that inflates to more is reported as a problem, without its payload.
+MEMBER_BYTES = 1 << 30
 PREFIX = "urn:newsloom:page:"
 
 MANIFEST = "path string, records long, bytes long"
@@ -51,16 +59,22 @@ def sha1_32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_bytes(page_id, url, payload: bytes, refers_to, revisit: bool) -> bytes:
-    """One gzip member holding one WARC/1.1 record."""
+def plain_url(url: str | None) -> str:
+    """A url for a header line."""
+    return re.sub(r"[\x00-\x1f\x7f-\x9f\u2028\u2029]", lambda m: quote(m[0]), url or "")
+
+
+def record_bytes(page_id, url, payload: bytes | None, refers_to, revisit: bool, digest: str | None = None, size: int | None = None) -> bytes:
+    """One gzip member holding one WARC/1.1 record; digest and size of the full payload may be given."""
     block = b"" if revisit else payload
+    digest, size = digest or sha1_32(payload), len(payload) if size is None else size
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", f"<{PREFIX}{'' if page_id is None else page_id}>"),
-        ("WARC-Target-URI", "" if url is None else "".join(url.splitlines())),
-        ("WARC-Payload-Digest", f"sha1:{sha1_32(payload)}"),
+        ("WARC-Target-URI", plain_url(url)),
+        ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Block-Digest", f"sha1:{sha1_32(block)}"),
-        ("WARC-Payload-Length", str(len(payload))),
+        ("WARC-Payload-Length", str(size)),
     ]
     if revisit:
         fields.append(("WARC-Refers-To", f"<{PREFIX}{'' if refers_to is None else refers_to}>"))
@@ -73,21 +87,30 @@ def record_bytes(page_id, url, payload: bytes, refers_to, revisit: bool) -> byte
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, refers_to and is_first, which is false for revisits.
+    """page_id, url, payload, digest (bytes), size, refers_to and is_first, which is false for revisits; those have no payload.
 
-    Grouped by digest with partial aggregation; the rows then meet their group's response
-    in an equi-join, of which adaptive execution splits a hot digest. The payloads are
-    shuffled once. Rows of one page and payload are told apart by their place in the input.
+    Payloads are grouped by digest with partial aggregation, so copies are shuffled at most once a task. The pages that
+    share one, without it, meet its response in an equi-join of plain shuffles, of which adaptive execution splits a hot digest.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumns({"digest": F.unhex(F.sha1("payload")), "missing": F.col("page_id").isNull(), "at": F.coalesce("url", F.lit("")), "row": F.monotonically_increasing_id()})
-    page = ("missing", "page_id", "at")
-    by_page = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest", *page).agg(F.count("*").alias("twins"), F.min("row").alias("row"))
-    same = by_page.groupBy("digest").agg(F.min(F.struct(*page, "twins", "row")).alias("first"), F.sum("twins").alias("copies")).where("copies > 1").select("digest", "first")
-    is_page = F.struct(*page) == F.struct(*[F.col(f"first.{c}") for c in page])
-    is_first = is_page & ((F.col("first.twins") == 1) | (F.col("first.row") == F.col("row")))
-    joined = rows.join(same, "digest", "left")
-    return joined.select("page_id", "url", "payload", F.col("first.page_id").alias("refers_to"), F.coalesce(F.col("first").isNull() | is_first, F.lit(False)).alias("is_first"))
+    payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
+    rows = rows.withColumns({"digest": F.unhex(F.sha1("payload")), "size": F.octet_length("payload").cast("long")})
+    page = F.struct(F.col("page_id").isNull().alias("missing"), "page_id", "url").alias("page")
+    first = rows.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min(page).alias("page"), F.first("payload").alias("payload"), F.first("size").alias("size"), F.count("*").alias("n"))
+    first = stored(first, "payloads")
+    none = F.lit(None)
+    responses = first.select("page.page_id", "page.url", "payload", "digest", "size", none.cast("long").alias("refers_to"), F.lit(True).alias("is_first"))
+    small = rows.where(F.col("size") < min_bytes).select("page_id", "url", "payload", "digest", "size", none.cast("long").alias("refers_to"), F.lit(True).alias("is_first"))
+    repeated = first.where("n > 1").select("digest", F.col("page").alias("first"))
+    met = rows.select("page_id", "url", "digest", "size", page).join(repeated, "digest")
+    others = met.where(~F.col("page").eqNullSafe(F.col("first"))).select("page_id", "url", "digest", "size", F.col("first.page_id").alias("refers_to"), F.lit(1).alias("n"))
+    # rows that are the response's in all: one of them is it, the rest are as many revisits less one
+    alike = met.where(F.col("page").eqNullSafe(F.col("first"))).groupBy("digest", "page_id", "url", "size").agg((F.count("*") - 1).cast("int").alias("n")).where("n > 0")
+    alike = alike.select("page_id", "url", "digest", "size", F.col("page_id").alias("refers_to"), "n")
+    revisits = others.unionByName(alike.withColumn("n", F.explode(F.sequence(F.lit(1), "n"))))
+    revisits = revisits.select("page_id", "url", none.cast("binary").alias("payload"), "digest", "size", "refers_to", F.lit(False).alias("is_first"))
+    whole = responses.unionByName(small) if min_bytes else responses
+    return whole.unionByName(revisits)
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -103,14 +126,14 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
             return pa.RecordBatch.from_pydict({"path": [path], "records": [records], "bytes": [size]}, pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
         for batch in batches:
-            for page_id, url, payload, refers_to, is_first in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "refers_to", "is_first")), strict=True):
+            for page_id, url, payload, digest, length, refers_to, is_first in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "size", "refers_to", "is_first")), strict=True):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     path, records, size = f"{folder}/{name}", 0, 0
                     system.create_dir(root, recursive=True)
                     out = system.open_output_stream(f"{root}/{name}", compression=None)
                 first = is_first.as_py()
-                data = record_bytes(page_id.as_py(), url.as_py(), payload.as_py(), None if first else refers_to.as_py(), not first)
+                data = record_bytes(page_id.as_py(), url.as_py(), payload.as_py(), refers_to.as_py(), not first, base64.b32encode(digest.as_py()).decode(), length.as_py())
                 out.write(data)
                 records, size = records + 1, size + len(data)
                 if size >= archive_bytes:
@@ -124,43 +147,60 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
-def members(stream) -> Iterator[bytes]:
-    """The inflated gzip members of a stream, read in blocks."""
-    z, parts, data = zlib.decompressobj(31), [], b""
+def members(stream, most: int = MEMBER_BYTES) -> Iterator[tuple[bytes, str | None]]:
+    """The inflated gzip members of a stream, read in blocks, each with what is wrong with it."""
+    z, parts, size, data = zlib.decompressobj(31), [], 0, b""
+    begun = False
     while True:
         data = data or stream.read(BLOCK)
         if not data:
-            if parts:
-                raise ValueError("the archive ends within a member")
+            if begun:
+                yield b"".join(parts), "cut member"
             return
-        parts.append(z.decompress(data))
-        data = b""
+        begun = True
+        try:
+            part = z.decompress(data, BLOCK)
+        except zlib.error:
+            yield b"".join(parts), "damaged member"
+            return
+        size += len(part)
+        if size <= most:
+            parts.append(part)
         if z.eof:
-            yield b"".join(parts)
-            z, parts, data = zlib.decompressobj(31), [], z.unused_data
+            yield (b"".join(parts), None) if size <= most else (b"", "too long")
+            data = z.unused_data
+            z, parts, size, begun = zlib.decompressobj(31), [], 0, bool(data)
+        else:
+            data = z.unconsumed_tail
 
 
-def parse_record(member: bytes) -> dict:
+def parse_record(member: bytes, problem: str | None = None) -> dict:
     """The fields of RECORDS; problem says what didn't hold, or is null."""
     head, found, rest = member.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-    block = rest[: int(fields.get("content-length", 0))]
-    problem = None
-    if not found or not lines[0].startswith("WARC/"):
+
+    def number(name: str, pattern: str = r"(\d{1,18})") -> int | None:
+        m = re.fullmatch(pattern, fields.get(name, ""))
+        return int(m[1]) if m else None
+
+    length, page = number("content-length"), rf"<?{PREFIX}(-?\d{{1,18}})>?"
+    block = rest[: length or 0]
+    kind, digest = fields.get("warc-type"), fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    if problem:
+        block = b""
+    elif not found or not lines[0].startswith("WARC/"):
         problem = "no record header"
-    elif rest[len(block) :] != b"\r\n\r\n" or len(block) != int(fields.get("content-length", -1)):
+    elif length is None or rest[length:] != b"\r\n\r\n":
         problem = "content length"
-    elif fields.get("warc-block-digest") != f"sha1:{sha1_32(block)}":
+    elif "warc-block-digest" in fields and fields["warc-block-digest"] != f"sha1:{sha1_32(block)}":
         problem = "block digest"
-    kind, digest = fields.get("warc-type"), fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    if not problem and kind == "response" and digest != sha1_32(block):
+    elif kind == "response" and "warc-payload-length" in fields and digest != sha1_32(block):
         problem = "payload digest"
-    number = lambda name: (x := fields.get(name, "").strip("<>").removeprefix(PREFIX)) and int(x) or (0 if x == "0" else None)
+    size = number("warc-payload-length")
     return {
-        "page_id": number("warc-record-id"), "url": fields.get("warc-target-uri"), "record_type": kind,
-        "payload_bytes": int(fields.get("warc-payload-length", len(block))), "payload_digest": digest,
-        "refers_to": number("warc-refers-to"), "payload": block, "problem": problem,
+        "page_id": number("warc-record-id", page), "url": fields.get("warc-target-uri"), "record_type": kind, "payload_bytes": len(block) if size is None else size,
+        "payload_digest": digest, "refers_to": number("warc-refers-to", page), "payload": block, "problem": problem,
     }
 
 
@@ -174,8 +214,8 @@ def read_archives(manifest: DataFrame, payloads: bool = True, batch_bytes: int =
                 system, at = filesystem(path)
                 rows, size = [], 0
                 with system.open_input_stream(at, compression=None) as stream:
-                    for member in members(stream):
-                        row = parse_record(member)
+                    for member, problem in members(stream):
+                        row = parse_record(member, problem)
                         if not payloads:
                             row.pop("payload")
                         rows.append(row)

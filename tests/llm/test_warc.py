@@ -25,6 +25,7 @@ def test_round_trip(spark):
         if r.record_type == "response":
             assert r.payload_digest == base64.b32encode(hashlib.sha1(r.payload).digest()).decode() and len(r.payload) == r.payload_bytes and r.refers_to is None
     kinds = sorted((str(r.page_id), r.record_type, r.refers_to, r.payload_bytes) for r in got)
+    assert {r.url for r in got if r.page_id == 1} == {"u%0A1"}
     assert kinds == sorted([("5", "revisit", 3, 4), ("3", "response", None, 4), ("9", "revisit", 8, 0), ("8", "response", None, 0), ("1", "response", None, 6), ("None", "revisit", 3, 4), ("7", "response", None, 4), ("7", "revisit", 7, 4), ("7", "revisit", 7, 4), ("2", "response", None, 300_000)])
 
 
@@ -41,13 +42,37 @@ def test_empty_and_rolled_over(spark):
 
 def test_each_record_is_a_member():
     data = b"".join(W.record_bytes(i, "u", b"payload %d" % i, None, False) for i in range(3))
-    assert len(list(W.members(io.BytesIO(data)))) == 3 and gzip.decompress(data).count(b"WARC/1.1") == 3
-    with pytest.raises(ValueError):
-        list(W.members(io.BytesIO(data[:-5])))
+    assert [p for _, p in W.members(io.BytesIO(data))] == [None] * 3 and gzip.decompress(data).count(b"WARC/1.1") == 3
+
+
+def test_damaged_archives_are_told_not_raised():
+    data = b"".join(W.record_bytes(i, "u", b"payload %d" % i, None, False) for i in range(3))
+    one = len(W.record_bytes(0, "u", b"payload 0", None, False))
+    problems = lambda d, **how: [W.parse_record(m, p)["problem"] for m, p in W.members(io.BytesIO(d), **how)]
+    assert problems(data[:-5]) == [None, None, "cut member"]
+    assert problems(data[:one] + b"junk" * 9) == [None, "damaged member"]
+    assert problems(b"") == [] and problems(b"no archive at all") == ["damaged member"]
+    long = W.record_bytes(7, "u", b"x" * 300_000, None, False)
+    assert problems(data[:one] + long + data[:one], most=200_000) == [None, "too long", None]
+    assert problems(long) == [None]
+
+
+def test_headers_of_other_writers():
+    def member(**fields):
+        head = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in fields.items())
+        return f"WARC/1.0\r\n{head}\r\npayload\r\n\r\n".encode()
+
+    uuid = "<urn:uuid:92283950-ef2f-4d72-b224-f54c6ec90bb0>"
+    row = W.parse_record(member(WARC_Type="response", WARC_Record_ID=uuid, Content_Length=7))
+    assert (row["page_id"], row["payload"], row["problem"], row["payload_bytes"]) == (None, b"payload", None, 7)
+    for length in ("x", "", "-1", "8", "99999999999999999999"):
+        assert W.parse_record(member(WARC_Type="response", Content_Length=length))["problem"] == "content length"
+    assert W.parse_record(member(WARC_Type="warcinfo"))["problem"] == "content length"
+    assert W.parse_record(b"")["problem"] == "no record header" == W.parse_record(b"\xff\xfe\r\n\r\n")["problem"]
 
 
 @pytest.mark.parametrize(("old", "new", "problem"), [(b"payload 0", b"payload 1", "block digest"), (b"WARC/1.1", b"HTTP/1.1", "no record header"), (b"Content-Length: 9", b"Content-Length: 8", "content length")])
 def test_damage_is_told(old, new, problem):
-    (member,) = W.members(io.BytesIO(W.record_bytes(0, "u", b"payload 0", None, False)))
+    ((member, _),) = W.members(io.BytesIO(W.record_bytes(0, "u", b"payload 0", None, False)))
     assert W.parse_record(member)["problem"] is None
     assert W.parse_record(member.replace(old, new))["problem"] == problem
