@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textbuf as T
-from .common import table
+from .common import stored, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 VOCABULARY_BYTES = 64 << 20
@@ -63,9 +63,10 @@ def histogram(docs: DataFrame, vocabulary_path: str = VOCABULARY) -> DataFrame:
 
 
 def suffix_sums(counts: DataFrame) -> DataFrame:
-    """For each length as a context limit: documents and tokens of at least it, all tokens, and tokens left by truncation.
+    """For each length as a context limit: documents of at most it (over total_docs: the quantile that it is), documents
+    and tokens of at least it, all tokens, and tokens left by truncation.
 
-    truncated_tokens(L) = tokens of shorter documents + L * documents of at least L.
+    truncated_tokens(L) = tokens of shorter documents + L * documents of at least L. counts is read twice.
     """
     tokens = F.col("length") * F.col("n_docs")
     ranged = counts.withColumn("range", F.floor(F.col("length") / RANGE))
@@ -76,6 +77,7 @@ def suffix_sums(counts: DataFrame) -> DataFrame:
     within = Window.partitionBy("range").orderBy(F.desc("length"))
     own = ranged.withColumn("d", F.sum("n_docs").over(within)).withColumn("t", F.sum(tokens).over(within))
     sums = own.join(tops, "range").select("length", "n_docs", (F.col("d") + F.col("docs_above")).alias("docs_at_least"), (F.col("t") + F.col("tokens_above")).alias("tokens_at_least"), "total_docs", "total_tokens")
+    sums = sums.withColumn("docs_at_most", F.col("total_docs") - F.col("docs_at_least") + F.col("n_docs"))
     return sums.withColumn("truncated_tokens", F.col("total_tokens") - F.col("tokens_at_least") + F.col("length") * F.col("docs_at_least"))
 
 
@@ -92,10 +94,10 @@ def answers(sums: DataFrame, limits: tuple = LIMITS) -> DataFrame:
 
 def quantiles(sums: DataFrame, wanted: tuple = QUANTILES) -> dict[float, int | None]:
     """The least length that at least the share q of the documents don't exceed."""
-    at_most = F.col("total_docs") - F.col("docs_at_least") + F.col("n_docs")
-    row = sums.agg(*[F.min(F.when(at_most >= F.ceil(F.col("total_docs") * q), F.col("length"))).alias(f"q{i}") for i, q in enumerate(wanted)]).first()
+    row = sums.agg(*[F.min(F.when(F.col("docs_at_most") >= F.ceil(F.col("total_docs") * q), F.col("length"))).alias(f"q{i}") for i, q in enumerate(wanted)]).first()
     return dict(zip(wanted, row, strict=True))
 
 
-def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_sums(histogram(table(spark, sf_dir, "documents")))
+def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary_path: str = VOCABULARY) -> DataFrame:
+    """Each length that occurs, with the sums; the histogram is written, so that texts are encoded once."""
+    return suffix_sums(stored(histogram(table(spark, sf_dir, "documents"), vocabulary_path), "lengths"))
