@@ -64,10 +64,47 @@ def test_against_full_tables(items, documents):
 def test_table_against_exact_search(spark, documents):
     items = [(r.item_id, fold(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     exact = {(r.doc_id, i) for r in documents.collect() for i, t in items if t in fold(r.text)}
-    for block in (D.BLOCK_BYTES, 2000):
-        rows = D.marked(documents, spark.read.parquet(f"{SF}/benchmark.parquet"), block).collect()
-        got = {(r.doc_id, leak.item_id) for r in rows for leak in r.leaks}
-        assert exact and exact <= got
+    seen = []
+    for block, group in ((D.BLOCK_BYTES, D.GROUP_BYTES), (2000, 50_000)):
+        rows = D.marked(documents, spark.read.parquet(f"{SF}/benchmark.parquet"), block, group).collect()
+        seen.append({(r.doc_id, leak.item_id, leak.start, leak.end, leak.edits) for r in rows for leak in r.leaks})
+        assert exact and exact <= {x[:2] for x in seen[-1]}
+    assert seen[0] == seen[1]
+
+
+def test_common_qgrams_lose_nothing(monkeypatch):
+    """With hardly any q-gram left and runs of few hits the matches are the same."""
+    random_ = random.Random(3)
+    shared = " ".join(random_.choice(("alpha", "beta", "gamma")) for _ in range(20))
+    items = [(i, f"{shared} item {i} {shared}") for i in range(12)] + [(99, "aaaaaaaaaaaaaaaaaaaaaaaa")]
+    texts = [f"before {edited(random_, t, 4)} after" for _, t in items] * 2 + ["aaaaaaaaaaaaaaaaaaaaaaaa" * 3, "", shared]
+    want = D.find_leaks(pa.array(texts), D.Index(items))
+    assert all(any(x["item_id"] == i for x in leaks) for (i, _), leaks in zip(items[:12], want))  # 4 edits are too many for the last
+    for common, hits in ((0, 1 << 22), (5, 7), (1 << 40, 1)):
+        monkeypatch.setattr(D, "COMMON", common)
+        monkeypatch.setattr(D, "HITS", hits)
+        assert D.find_leaks(pa.array(texts), D.Index(items)) == want
+
+
+def test_short_items_and_repeats():
+    found = D.find_leaks(pa.array(["cat cat dog cat", "a whole sentence here, a whole sentence here"]), D.Index([(1, "cat"), (2, "a whole sentence here")]))
+    assert [(x["start"], x["end"]) for x in found[0]] == [(0, 3), (4, 7), (12, 15)]
+    assert [(x["start"], x["end"]) for x in found[1]] == [(0, 21), (23, 44)]
+
+
+def test_held_out_recall(items, documents):
+    """Items planted with edits within the budget are all found, and texts without them stay clean."""
+    random_ = random.Random(17)
+    index = D.Index(items)
+    hosts = [r.text[:300] for r in documents.limit(60).collect()]
+    clean = D.find_leaks(pa.array(hosts), index)
+    planted = []
+    for i, host in enumerate(hosts):
+        n = i % len(items)
+        planted.append(host + " " + edited(random_, items[n][1], random_.randrange(int(index.edits[n]) + 1)) + " " + host)
+    found = D.find_leaks(pa.array(planted), index)
+    assert all(any(x["item_id"] == items[i % len(items)][0] for x in leaks) for i, leaks in enumerate(found))
+    assert sum(len(x) for x in clean) <= 2
 
 
 def test_edges(spark, edge_docs, no_docs):
