@@ -1,26 +1,35 @@
-"""Language-model scoring with a weighted backoff automaton.
+"""Language-model scoring with a weighted backoff automaton of trigrams.
 
-The model is a bigram model with Dirichlet smoothing:
+Probabilities are smoothed towards the next lower order:
 
-    p(w)     = (c(w) + 1) / (N + V + 1)
-    p(w | h) = (c(h w) + strength * p(w)) / (c(h) + strength)
+    p(w)       = (c(w) + 1) / (N + V + 1)
+    p(w | v)   = (c(v w) + s1 p(w)) / (c(v) + s1)
+    p(w | u v) = (c(u v w) + s2 p(w | v)) / (c(u v) + s2)
 
-As an automaton: each history h is a state; it has an arc for each w that followed it,
-of weight log p(w | h), and a failure arc of weight log(strength / (c(h) + strength))
-to the root, which has an arc of weight log p(w) for each word. Left to right, a text
-carries its state from token to token and adds up the weights.
+As an automaton: the root, each word and each pair of words that occurred are states. A state
+has an arc for each w that followed it, of weight log p(w | state), which leads to the longest
+suffix that is a state; and a failure arc of weight log(s / (c(state) + s)) to the state of its
+last word, or to the root, which has an arc of weight log p(w) for each word. A text is read left
+to right: at each token it takes failure arcs until there is an arc, adds up the weights, and
+carries the state on. A text begins in the state of the start.
 
 No task sees the whole model. Documents are dealt to blocks of bounded size by a hash.
 A block lists its distinct n-grams with their counts in its own training documents;
 lists of all blocks meet by ranges of the n-gram's hash, where counts are added up; and
-a block gets back the totals of those n-grams that other blocks count too. With them and
+a block gets back what other blocks have of its n-grams. With that and
 its own counts it builds the part of the automaton that its texts can reach.
-Lists travel as sorted, delta-coded arrays.
+Lists travel as sorted, delta-coded arrays, answers as arrays in the order of the lists.
+With more than ``FAN`` blocks, lists are first merged over groups of FAN blocks, and answers
+come back the same way, so that no group reads more than FAN lists and no list is cut
+finer than its size allows: a very common n-gram is summed up level by level.
+
+Keys of words have 62 bits of a hash. Keys of pairs and triples have 20 bits more than it takes to
+number the tokens, so one in a million of them, at any size, has the count of another added.
 
 Defined results: a null text is empty (one token, the end); a null doc_id counts as the
-empty text for crc32, so it is learned from; repeated rows each get a row; an empty table
-gives an empty result; extra columns are left out; a text longer than a block is a block
-mostly of its own.
+empty text for crc32, so it is learned from; repeated rows each get a row, and are dealt to
+blocks by input partition; an empty table gives an empty result; extra columns are left out; a
+text longer than a block is a block mostly of its own.
 """
 
 from __future__ import annotations
@@ -33,24 +42,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbuf as T
-from .common import table
+from .common import stored, table
 
 BLOCK_BYTES = 12 << 20
 #: Blocks are not made smaller than this to occupy more cores.
 LEAST_BYTES = 1 << 20
 #: A range of hashes has about as many n-grams as this many bytes of text.
-RANGE_BYTES = 8 << 20
-STRENGTH = 100.0
+RANGE_BYTES = 4 << 20
+#: So many lists meet in a group at most.
+FAN = 4096
+#: Of words after a word, and after two: how much the lower order counts.
+STRENGTHS = (100.0, 10.0)
+#: Bits of a key beyond those that number the tokens.
+SPARE_BITS = 20
 #: Tokens scored at once.
 SLICE = 1 << 18
 U = T.U
 END, START = U(0x5851F42D4C957F2C), U(0x14057B7EF767814E)
-LISTS = "range int, block int, keys binary, counts binary"
-LIST = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-TOTALS = "block int, keys binary, counts binary"
+LISTS = "range int, block int, kind int, keys binary, counts binary"
+ANSWERS = "block int, range int, kind int, more binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
+def schema_of(ddl: str) -> pa.Schema:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    return pa.schema([(name, types[kind]) for name, kind in (x.split(" ") for x in ddl.split(", "))])
+
+
 def planes(x: np.ndarray) -> bytes:
     """The bytes of numbers, all first bytes first, so that those of no use compress away."""
     return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
@@ -62,11 +80,11 @@ def from_planes(data: bytes, dtype) -> np.ndarray:
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    return planes(np.diff(keys, prepend=U(0))), planes(counts.astype(np.uint32))
+    return planes(np.diff(keys, prepend=U(0))), planes(counts.astype(U))
 
 
 def unpack(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.cumsum(from_planes(keys, U)), from_planes(counts, np.uint32).astype(np.int64)
+    return np.cumsum(from_planes(keys, U)), from_planes(counts, np.int64)
 
 
 def with_ends(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -80,22 +98,30 @@ def with_ends(texts) -> tuple[np.ndarray, np.ndarray]:
     return tokens, offsets
 
 
-def unigrams(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Even keys, of the token alone."""
-    return hashes & ~U(1)
+def unigrams(hashes: np.ndarray) -> np.ndarray:
+    return hashes & ~U(3)
+
+
+def follow(context: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Hashes of contexts with a token after them."""
+    with np.errstate(over="ignore"):
+        return T.mix(context * T.M3 + hashes)
 
 
-def bigrams(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Odd keys, of each token and the one before, or the start."""
+def ngrams(hashes: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of width bits: odd ones of each token and the one before or the start, and, but for first tokens, even ones
+    of each token and the two before. The second result is where the even ones belong."""
+    first = offsets[:-1]
     before = np.empty_like(hashes)
     before[1:] = hashes[:-1]
-    before[offsets[:-1]] = START
-    with np.errstate(over="ignore"):
-        before *= T.M3
-        before += hashes
-    before = T.mix(before)
-    before |= U(1)
-    return before
+    before[first] = START
+    pairs = follow(before, hashes)
+    deep = np.ones(len(hashes), bool)
+    deep[first] = False
+    deep = np.flatnonzero(deep)
+    triples = follow(pairs[deep - 1], hashes[deep])
+    spare = U(64 - width)
+    return np.concatenate([(pairs >> spare) | U(1), (triples >> spare) & ~U(1)]), deep
 
 
 def counted(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,150 +139,220 @@ def counted(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Automaton:
-    """The arcs that the texts of a block can reach: sorted keys and the counts behind their weights."""
-
-    def __init__(self, root: tuple, arcs: tuple, size: dict, strength: float):
-        (self.words, self.word_counts), (self.arcs, self.arc_counts) = root, arcs
-        self.size, self.strength = size, strength
-
-    def traverse(self, words: np.ndarray, arcs: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The part that the texts of a block can reach.
+
+    States are numbered: the root, the words, the start, the pairs. A state that training
+    hasn't seen has no arcs and a failure arc that costs nothing.
+    """
+
+    def __init__(self, words: np.ndarray, grams: np.ndarray, size: dict, strengths: tuple):
+        """words, grams: the counts behind the arcs, by place."""
+        self.words, self.grams, self.strengths = words, grams, strengths
+        self.root = np.log10((words + 1.0) / (size["tokens"] + size["types"] + 1.0))  # the root's arcs, by word
+        self.start = len(words) + 1
+        low, high = strengths
+        seen = np.concatenate([words, [size["texts"]]]) + low
+        pairs = grams + high
+        self.total = np.concatenate([[1.0], seen, pairs])
+        self.failure = np.concatenate([[0.0], np.log10(low / seen), np.log10(high / pairs)])
+
+    def pair(self, place: np.ndarray) -> np.ndarray:
+        return place + (len(self.words) + 2)
+
+    def traverse(self, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log10 probabilities of each text by the root's arcs alone and by the automaton.
 
-        words, arcs: places of each token's two keys. The state after a token is the token,
-        so the states before all tokens are known at once. Texts go in slices, to bound memory.
+        words, pairs, triples: places of each token's keys. The state after a token depends on it and the one before only,
+        so all states that a text is carried through are known, and slices of texts are read side by side.
         """
         alone, score = np.empty(len(offsets) - 1), np.empty(len(offsets) - 1)
         first = 0
         while first < len(alone):
             last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE, "right")) - 1)
             a, b, starts = offsets[first], offsets[last], offsets[first:last] - offsets[first]
-            state = np.empty(b - a)
-            state[1:] = self.word_counts[words[a : b - 1]]
-            state[starts] = self.size["texts"]
-            state += self.strength
-            p = (self.word_counts[words[a:b]] + 1.0) / (self.size["tokens"] + self.size["types"] + 1.0)
-            followed = self.arc_counts[arcs[a:b]]
-            arc = np.log10((followed + self.strength * p) / state)
-            root = np.log10(p)
-            failure = np.log10(self.strength / state) + root
+            root, weights = self.read(words[a:b], pairs[a:b], triples[a:b], starts)
             alone[first:last] = np.add.reduceat(root, starts)
-            score[first:last] = np.add.reduceat(np.where(followed > 0, arc, failure), starts)
+            score[first:last] = np.add.reduceat(weights, starts)
             first = last
         return alone, score
 
-
-def by_range(keys: np.ndarray, counts: np.ndarray, ranges: int) -> list[tuple[int, bytes, bytes]]:
-    """Sorted keys and their counts, packed by equal ranges of the keys."""
-    edges = np.searchsorted(keys, (np.arange(ranges, dtype=object) * (1 << 64) // ranges).astype(U))
-    edges = np.append(edges, len(keys))
+    def read(self, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token the weight of the root's arc, and the sum of weights from the state before it."""
+        root = self.root[words]
+        state = np.empty(len(words), np.int64)  # the words before: what the state of a pair fails to
+        state[1:] = words[:-1] + np.int64(1)
+        state[starts] = self.start
+        low, high = self.strengths
+        followed = self.grams[pairs]
+        arc = np.log10((followed + low * 10.0**root) / self.total[state])
+        weight = np.where(followed > 0, arc, self.failure[state] + root)
+        deep = np.ones(len(words), bool)
+        deep[starts] = False  # the start has no pair before it
+        deep = np.flatnonzero(deep)
+        state = self.pair(pairs[deep - 1])
+        followed, lower = self.grams[triples[deep]], weight[deep]
+        arc = np.log10((followed + high * 10.0**lower) / self.total[state])
+        weight[deep] = np.where(followed > 0, arc, self.failure[state] + lower)
+        return root, weight
+
+
+def edges_of(keys: np.ndarray, width: int, bits: int) -> np.ndarray:
+    """Where each of 2^bits equal ranges of keys of width bits begins, the end included."""
+    return np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=U) << U(width - bits)), len(keys))
+
+
+def by_range(keys: np.ndarray, counts: np.ndarray, width: int, bits: int) -> list[tuple[int, bytes, bytes]]:
+    """Sorted keys and their counts, packed by ranges."""
+    edges = edges_of(keys, width, bits)
     return [(int(r), *pack(keys[edges[r] : edges[r + 1]], counts[edges[r] : edges[r + 1]])) for r in np.flatnonzero(np.diff(edges))]
 
 
-def block_lists(block: int, texts, train: np.ndarray, ranges: int) -> list[dict]:
-    hashes, offsets = with_ends(texts)
-    learn = np.repeat(train, np.diff(offsets))
-    out = []
-    for kind in (unigrams, bigrams):
-        keys = kind(hashes, offsets)
-        hashes = hashes if kind is unigrams else None
-        distinct, counts, _ = counted(keys, learn)
-        del keys
-        out += [{"range": r, "block": block, "keys": a, "counts": b} for r, a, b in by_range(distinct, counts, ranges)]
-    return out
-
-
-def range_totals(blocks: list[int], lists: list[tuple[bytes, bytes]]) -> dict:
-    """For each block those of its keys whose total isn't its own count."""
-    parts = [unpack(*x) for x in lists]
-    keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    distinct, place = np.unique(keys, return_inverse=True)
-    totals = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64)[place]
-    out: dict = {"block": [], "keys": [], "counts": []}
-    at = 0
-    for block, (own, count) in zip(blocks, parts, strict=True):
-        total = totals[at : at + len(own)]
-        at += len(own)
-        if (other := total != count).any():
-            a, b = planes(np.diff(own[other], prepend=U(0))), planes(total[other])
-            for name, value in (("block", block), ("keys", a), ("counts", b)):
-                out[name].append(value)
-    return out
-
-
-def with_totals(keys: np.ndarray, counts: np.ndarray, lists: list[tuple[bytes, bytes]]) -> np.ndarray:
-    counts = counts.copy()
-    for a, b in lists:
-        theirs = np.cumsum(from_planes(a, U))
-        if len(theirs) and theirs[0] <= keys[-1]:
-            at = np.searchsorted(keys, theirs).clip(max=len(keys) - 1)
-            mine = keys[at] == theirs
-            counts[at[mine]] = from_planes(b, np.int64)[mine]
-    return counts
-
-
-def score_block(texts, train: np.ndarray, lists: list, size: dict, strength: float) -> dict:
+def widths(width: int) -> tuple[int, int]:
+    """Of keys by kind: words, and pairs and triples."""
+    return 64, width
+
+
+def block_keys(texts, train: np.ndarray, width: int):
+    """Of both kinds distinct keys, own counts and the places of the tokens; offsets, and which tokens have a triple."""
     hashes, offsets = with_ends(texts)
     learn = np.repeat(train, np.diff(offsets))
-    words, own, at = counted(unigrams(hashes, offsets), learn)
-    root = (words, with_totals(words, own, lists))
-    keys = bigrams(hashes, offsets)
-    del hashes
-    arcs, own, via = counted(keys, learn)
-    del keys, learn
-    model = Automaton(root, (arcs, with_totals(arcs, own, lists)), size, strength)
-    known = np.add.reduceat((model.word_counts > 0)[at], offsets[:-1], dtype=np.int64)
-    alone, score = model.traverse(at, via, offsets)
+    keys, deep = ngrams(hashes, offsets, width)
+    return counted(unigrams(hashes), learn), counted(keys, np.concatenate([learn, learn[deep]])), offsets, deep
+
+
+def block_lists(block: int, texts, train: np.ndarray, width: int, bits: int) -> list[dict]:
+    kinds = block_keys(texts, train, width)[:2]
+    return [{"range": r, "block": block, "kind": k, "keys": a, "counts": b} for k, (keys, counts, _) in enumerate(kinds) for r, a, b in by_range(keys, counts, widths(width)[k], bits)]
+
+
+def merged(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their totals, and the place of each list's keys, one list after another."""
+    keys, place = np.unique(np.concatenate([k for k, _ in lists]), return_inverse=True)
+    totals = np.zeros(len(keys), np.int64)
+    np.add.at(totals, place, np.concatenate([c for _, c in lists]))
+    return keys, totals, place
+
+
+def by_kind(group: pa.Table):
+    """The kinds in a group of lists: kind, blocks and unpacked lists."""
+    rows = list(zip(*(group.column(c).to_pylist() for c in ("kind", "block", "keys", "counts")), strict=True))
+    for kind in sorted({r[0] for r in rows}):
+        own = [r for r in rows if r[0] == kind]
+        yield kind, [r[1] for r in own], [unpack(*r[2:]) for r in own]
+
+
+def answers(group: pa.Table, beyond: dict | None = None) -> pa.Table:
+    """For each list of a group of one range what the others of the group have of its keys, and beyond:
+    by kind what other groups have, in the order of the group's distinct keys."""
+    place_of_range, out = group.column("range")[0].as_py() if len(group) else 0, []
+    for kind, blocks, lists in by_kind(group):
+        _, totals, place = merged(lists)
+        if beyond and kind in beyond:
+            totals = totals + beyond[kind]
+        at = 0
+        for block, (keys, counts) in zip(blocks, lists, strict=True):
+            more = totals[place[at : at + len(keys)]] - counts
+            at += len(keys)
+            if more.any():
+                out.append({"block": block, "range": place_of_range, "kind": kind, "more": planes(more)})
+    return pa.Table.from_pylist(out, schema_of(ANSWERS))
+
+
+def exchange(lists: DataFrame, blocks: int, width: int, bits: int, top: int, fan: int) -> DataFrame:
+    """ANSWERS for LISTS, whose ranges have the given bits; at the top they have ``top`` bits."""
+    if blocks <= fan:
+        return lists.repartition(1 << bits, "range").groupBy("range").applyInArrow(lambda group: answers(group), ANSWERS)
+    groups = -(-blocks // fan)
+    finer = top if groups <= fan else min(top, bits + (fan - 1).bit_length())
+    lists = stored(lists.withColumn("group", F.floor(F.col("block") / fan).cast("int")), "lists")
+    parts = min(groups << bits, 1 << 20)
+
+    def merge(group: pa.Table) -> pa.Table:
+        out = []
+        for kind, _, parts_of in by_kind(group):
+            keys, totals, _ = merged(parts_of)
+            out += [{"range": r, "block": group.column("group")[0].as_py(), "kind": kind, "keys": a, "counts": b} for r, a, b in by_range(keys, totals, widths(width)[kind], finer)]
+        return pa.Table.from_pylist(out, schema_of(LISTS))
+
+    def down(group: pa.Table, got: pa.Table) -> pa.Table:
+        beyond: dict = {}
+        answered = {(k, r): m for k, r, m in zip(*(got.column(c).to_pylist() for c in ("kind", "range", "more")), strict=True)}
+        for kind, _, parts_of in by_kind(group):
+            keys = merged(parts_of)[0]
+            edges = edges_of(keys, widths(width)[kind], finer)
+            beyond[kind] = np.zeros(len(keys), np.int64)
+            for r in np.flatnonzero(np.diff(edges)).tolist():
+                if (kind, r) in answered:
+                    beyond[kind][edges[r] : edges[r + 1]] = from_planes(answered[kind, r], np.int64)
+        return answers(group, beyond)
+
+    dealt = lists.repartition(parts, "range", "group")
+    up = dealt.groupBy("range", "group").applyInArrow(merge, LISTS)
+    got = exchange(up, groups, width, finer, top, fan)
+    got = got.select(F.shiftright("range", finer - bits).alias("coarse"), F.col("block").alias("group"), "range", "kind", "more").repartition(parts, "coarse", "group")
+    return dealt.groupBy("range", "group").cogroup(got.groupBy("coarse", "group")).applyInArrow(down, ANSWERS)
+
+
+def score_block(texts, train: np.ndarray, got: list[tuple[int, int, bytes]], size: dict, strengths: tuple, width: int, bits: int) -> dict:
+    """got: kind, range and answer."""
+    words, grams, offsets, deep = block_keys(texts, train, width)
+    for kind, (keys, counts, _) in enumerate((words, grams)):
+        edges = edges_of(keys, widths(width)[kind], bits)
+        for _, r, more in (x for x in got if x[0] == kind):
+            counts[edges[r] : edges[r + 1]] += from_planes(more, np.int64)
+    model = Automaton(words[1], grams[1], size, strengths)
+    n = int(offsets[-1])
+    triples = np.zeros(n, np.int32)
+    triples[deep] = grams[2][n:]
+    known = np.add.reduceat((words[1] > 0)[words[2]], offsets[:-1], dtype=np.int64)
+    alone, score = model.traverse(words[2], grams[2][:n], triples, offsets)
     return {"n_tokens": np.diff(offsets), "n_known": known, "base_score": alone, "score": score}
 
 
-def corpus_size(docs: DataFrame, ranges: int) -> dict:
+def corpus_size(docs: DataFrame, bits: int) -> dict:
     """Training texts, tokens and distinct tokens; docs: text, train. Each task lists its batches' words before they are dealt out."""
 
     def count(batches):
         for batch in T.batches_of(batches, rows=1 << 20, size=16 << 20):
-            hashes, offsets = with_ends(batch.filter(batch.column("train")).column("text"))
-            keys, n = np.unique(unigrams(hashes, offsets), return_counts=True)
-            yield pa.RecordBatch.from_pylist([{"range": r, "keys": a, "counts": b} for r, a, b in by_range(keys, n, ranges)], LIST.remove(1))
+            hashes, _ = with_ends(batch.filter(batch.column("train")).column("text"))
+            keys, n = np.unique(unigrams(hashes), return_counts=True)
+            yield pa.RecordBatch.from_pylist([{"range": r, "keys": a, "counts": b} for r, a, b in by_range(keys, n, 64, bits)], pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
     def add(group: pa.Table) -> pa.Table:
-        parts = [unpack(*x) for x in zip(group.column("keys").to_pylist(), group.column("counts").to_pylist(), strict=True)]
-        keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        return pa.table({"types": [len(np.unique(keys))], "tokens": [int(n.sum())], "texts": [int(n[keys == (END & ~U(1))].sum())]})
+        keys, n, _ = merged([unpack(*x) for x in zip(group.column("keys").to_pylist(), group.column("counts").to_pylist(), strict=True)])
+        return pa.table({"types": [len(keys)], "tokens": [int(n.sum())], "texts": [int(n[keys == (END & ~U(3))].sum())]})
 
     lists = docs.select("text", "train").mapInArrow(count, "range int, keys binary, counts binary")
     sums = lists.groupBy("range").applyInArrow(add, "types long, tokens long, texts long")
     return sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "tokens", "texts")]).first().asDict()
 
 
-def lm_scores(docs: DataFrame, held_out, strength: float = STRENGTH, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out, strengths: tuple = STRENGTHS, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES, fan: int = FAN) -> DataFrame:
     """Scores every row of docs (doc_id, text); held_out: a boolean column, true for those not to learn from."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (~held_out).alias("train"))
     octets = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     # blocks of bounded size, and of small inputs enough for all cores
     slots = 2 * docs.sparkSession.sparkContext.defaultParallelism
     blocks = max(1, math.ceil(octets / block_bytes), min(slots, math.ceil(octets / LEAST_BYTES)))
-    ranges = max(1, math.ceil(octets / range_bytes))
-    size = corpus_size(keyed, ranges)
-    keyed = keyed.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    top = math.ceil(octets / range_bytes).bit_length()
+    bits = top if blocks <= fan else min(top, (fan - 1).bit_length())
+    size = corpus_size(keyed, min(bits, 10))
+    width = min(62, (octets + 1).bit_length() + SPARE_BITS)
+    keyed = keyed.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)).cast("int")).repartition(2 * blocks, "block")
 
     def lists(group: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(block_lists(group.column("block")[0].as_py(), group.column("text"), group.column("train").to_numpy(), ranges), LIST)
-
-    def totals(group: pa.Table) -> pa.Table:
-        pairs = list(zip(group.column("keys").to_pylist(), group.column("counts").to_pylist(), strict=True))
-        return pa.Table.from_pydict(range_totals(group.column("block").to_pylist(), pairs), pa.schema([("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+        return pa.Table.from_pylist(block_lists(group.column("block")[0].as_py(), group.column("text"), group.column("train").to_numpy(), width, bits), schema_of(LISTS))
 
     def scores(group: pa.Table, got: pa.Table) -> pa.Table:
         train = group.column("train").to_numpy()
-        pairs = list(zip(got.column("keys").to_pylist(), got.column("counts").to_pylist(), strict=True))
         if not len(train):
-            return pa.Table.from_pydict({k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}, schema)
-        found = score_block(group.column("text"), train, pairs, size, strength)
+            return pa.Table.from_pylist([], schema_of(SCORES))
+        rows = list(zip(*(got.column(c).to_pylist() for c in ("kind", "range", "more")), strict=True))
+        found = score_block(group.column("text"), train, rows, size, strengths, width, bits)
         pa.default_memory_pool().release_unused()
         return pa.table({"doc_id": group.column("doc_id"), "held_out": ~train} | found)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    shared = keyed.groupBy("block").applyInArrow(lists, LISTS).groupBy("range").applyInArrow(totals, TOTALS)
+    shared = exchange(keyed.groupBy("block").applyInArrow(lists, LISTS), blocks, width, bits, top, fan).repartition(2 * blocks, "block")
     out = keyed.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(scores, SCORES)
     return out.withColumn("train_tokens", F.lit(size["tokens"]).cast("long"))
 
