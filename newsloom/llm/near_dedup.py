@@ -1,9 +1,14 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-1. Shingles of five words are hashed to features; documents are counted per feature
-   bucket over all documents, which gives an inverse document frequency per bucket.
-2. A shingle weighs its count in the document times 1 + ln(n / df) / ln(n), so rare ones
-   count up to twice as much as those that all documents have.
+1. Shingles of five words are hashed. With S the sum over all documents of their distinct
+   shingles, a shingle is frequent if it is in S / ``FREQUENT`` documents or more, at least 2.
+   There are at most FREQUENT of those at any size of the corpus, and their document frequencies
+   are counted exactly, in two passes: all shingles by bucket, then those of the buckets that
+   can hold a frequent one.
+2. A shingle weighs its count in the document times 1 + ln(n / df) / ln(n / rare), with
+   df at least rare = S / FREQUENT: so once for what all documents have, twice for what is not frequent.
+   As S grows with n, the share of the documents that makes a shingle frequent, and so
+   every weight, is alike at every size.
 3. Improved consistent weighted sampling draws ``BANDS * ROWS`` samples per document: for
    weight w and the Gamma(2,1) variates r, c and the uniform b of shingle and sample,
    t = floor(ln w / r + b) and the shingle with the least ln c - r (t - b + 1) is drawn. Equal
@@ -20,9 +25,9 @@
 6. That settles the buckets whose texts are all of one class. In the others all texts of
    different classes are compared, in blocks of bounded size: first their draws, then, of
    those that agree often enough, the texts, each sent once to a block and not once a pair.
-   In buckets of more than ``LIMIT`` texts the largest class isn't dealt to blocks of its own,
-   as none of its texts are compared with each other.
-   The links found join classes to the final ones.
+   The largest class of a bucket has blocks of its own with the other texts only, so that its texts
+   are not compared with each other. Of the links found those that join classes not yet joined
+   are put out.
 
 Defined results: a null text is empty; texts of fewer than five words have one shingle of
 all their words; texts without words are alike only if they are equal; a null doc_id gets
@@ -41,20 +46,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.operators.components import components
+
 from . import textbuf as T
 from .common import stored, table
-from newsloom.operators.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 4
-BUCKETS = 1 << 18
+#: So many shingles are frequent at most; shingles are first counted in BUCKETS.
+FREQUENT, BUCKETS = 1 << 16, 1 << 18
+FILTER_BITS = 20
 #: Of the draws so many less than the threshold says may agree by chance (four deviations).
 SLACK = 0.21
 SEED = 41
 CELLS = 1 << 12
-#: In unsettled buckets of more texts the largest class is told apart from the others, to spare blocks; the links are the same.
-LIMIT = 1 << 14
 #: A block of an unsettled bucket has about so many texts and bytes at most; blocks are compared in bins of so many bytes.
 CHUNK, CHUNK_BYTES, BIN_BYTES = 256, 4 << 20, 16 << 20
 U = T.U
@@ -95,30 +101,56 @@ def bucket_of(runs: np.ndarray) -> np.ndarray:
     return (runs >> U(40)).astype(np.int64) & (BUCKETS - 1)
 
 
-def document_counts(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """Documents, and for each bucket the documents that have one of its shingles; the array is as long at any size."""
+class Weights:
+    """What a shingle weighs, once: 2, and less if it is frequent. keys: the frequent shingles, counts: their document frequencies."""
+
+    def __init__(self, documents: int, least: int, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys)
+        self.documents, self.least, self.keys, self.counts = documents, least, keys[order], counts[order]
+        rare = least - 1
+        self.values = 1 + np.log(documents / self.counts.clip(rare, documents)) / np.log(max(documents, rare + 1) / rare)
+        self.may = np.zeros(1 << FILTER_BITS, bool)
+        self.may[self.keys >> U(64 - FILTER_BITS)] = True
+
+    def of(self, runs: np.ndarray) -> np.ndarray:
+        out = np.full(len(runs), 2.0, np.float32)
+        if len(self.keys):
+            some = np.flatnonzero(self.may[(runs >> U(64 - FILTER_BITS)).view(np.int64)])
+            at = np.searchsorted(self.keys, runs[some]).clip(max=len(self.keys) - 1)
+            same = self.keys[at] == runs[some]
+            out[some[same]] = self.values[at[same]]
+        return out
+
+
+def weights_of(docs: DataFrame, frequent: int = FREQUENT) -> Weights:
+    """Counts the documents and the frequent shingles; the driver holds tables of fixed size."""
 
-    def count(batches):
+    def by_bucket(batches):
         total, texts = np.zeros(BUCKETS, np.int64), 0
         for batch in T.batches_of(batches, size=2 << 20):
-            runs, _, offsets = shingles(batch.column("text"))
-            text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            total += np.bincount(np.unique(text * BUCKETS + bucket_of(runs)) % BUCKETS, minlength=BUCKETS)
+            total += np.bincount(bucket_of(shingles(batch.column("text"))[0]), minlength=BUCKETS)
             texts += batch.num_rows
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], texts))], ["bucket", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    found = rows.toArrow()
+    texts = docs.select("text")
+    found = texts.mapInArrow(by_bucket, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     bucket, n = found.column("bucket").to_numpy(), found.column("n").to_numpy()
-    counts = np.zeros(BUCKETS, np.int64)
-    counts[bucket[bucket >= 0]] = n[bucket >= 0]
-    return int(n[bucket < 0].sum()), counts
+    documents, real = int(n[bucket < 0].sum()), bucket >= 0
+    least = max(2, math.ceil(int(n[real].sum()) / frequent))
+    full = np.zeros(BUCKETS, bool)
+    full[bucket[real]] = n[real] >= least
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(full))
 
+    def by_shingle(batches):
+        full = np.unpackbits(shared.value).view(bool)
+        for batch in T.batches_of(batches, size=8 << 20):
+            runs = shingles(batch.column("text"))[0]
+            keys, n = np.unique(runs[full[bucket_of(runs)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
-def idf(n: int, counts: np.ndarray) -> np.ndarray:
-    n = max(n, 2)
-    return (1 + np.log(n / counts.clip(1, n)) / np.log(n)).astype(np.float32)
+    counts = texts.mapInArrow(by_shingle, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
+    return Weights(documents, least, counts.column("key").to_numpy().view(U), counts.column("n").to_numpy())
 
 
 def draw(runs: np.ndarray, weights: np.ndarray, offsets: np.ndarray, tables, step: int = 2048) -> np.ndarray:
@@ -157,15 +189,15 @@ def draw(runs: np.ndarray, weights: np.ndarray, offsets: np.ndarray, tables, ste
     return out
 
 
-def signatures(docs: DataFrame, n: int, counts: np.ndarray) -> DataFrame:
+def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
     """doc_id, text_hash (two longs), size (bytes), draws (binary) and bands (longs) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(idf(n, counts))
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def sign(batches):
         tables = variates()
         for batch in T.batches_of(batches, size=1 << 20):
             runs, tf, offsets = shingles(batch.column("text"))
-            draws = draw(runs, tf * shared.value[bucket_of(runs)], offsets, tables)
+            draws = draw(runs, tf * shared.value.of(runs), offsets, tables)
             words = np.diff(offsets) > 0
             marks = draws.view(np.uint32).astype(U).reshape(len(draws), BANDS, ROWS)
             bands = np.zeros((len(draws), BANDS), U)
@@ -223,7 +255,7 @@ def similarity_of(a: tuple, b: tuple) -> float:
     return least / most if most else 0.0
 
 
-def verified(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity: float) -> DataFrame:
     """The pairs (a, b) of at least the similarity; texts: node, text for each node of a pair.
 
     Ends of pairs fetch their texts in one join, then meet by pair.
@@ -239,7 +271,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, similarity
                 lists = []
                 for column in ("a", "b"):
                     runs, tf, offsets = shingles(part.column(column))
-                    w = (tf * shared.value[bucket_of(runs)]).astype(np.float64)
+                    w = (tf * shared.value.of(runs)).astype(np.float64)
                     lists.append([(runs[i:j], w[i:j]) for i, j in zip(offsets[:-1], offsets[1:], strict=True)])
                 yes = [similarity_of(x, y) >= similarity for x, y in zip(*lists, strict=True)]
                 yield part.select(["node", "anchor"]).filter(pa.array(yes, pa.bool_()))
@@ -247,21 +279,19 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, similarity
     return met.mapInArrow(check, "node long, anchor long").select(F.col("node").alias("a"), F.col("anchor").alias("b"))
 
 
-def unsettled(rooted: DataFrame, limit: int = LIMIT) -> DataFrame:
+def unsettled(rooted: DataFrame) -> DataFrame:
     """node, root, size, band, key, main, main_n, main_bytes, n and bytes for each member of a bucket with more than one class.
 
-    rooted: node, root, size, bands. In buckets of more than limit members main tells those of the
-    largest class, else it is false; n and bytes are of the others, main_n and main_bytes of that class.
+    rooted: node, root, size, bands. main tells the members of the largest class; n and bytes are of the others,
+    main_n and main_bytes of that class.
     """
     held = rooted.select("node", "root", F.greatest("size", F.lit(1024)).alias("size"), F.posexplode("bands").alias("band", "key"))
-    count = (F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    sizes = stored(held.groupBy("key").agg(*count, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "n", "bytes"), "sizes")
-    large = sizes.where(F.col("n") > limit)
-    largest = held.join(F.broadcast(large.select("key")), "key").groupBy("key", "root").agg(*count).groupBy("key").agg(F.max(F.struct("n", "bytes", "root")).alias("top"))
-    sides = sizes.join(stored(largest, "largest"), "key", "left") if not large.isEmpty() else sizes.withColumn("top", F.lit(None).cast("struct<n:bigint,bytes:bigint,root:bigint>"))
-    top_n, top_bytes = F.coalesce(F.col("top.n"), F.lit(0)), F.coalesce(F.col("top.bytes"), F.lit(0))
-    sides = sides.select("key", (F.col("n") - top_n).alias("n"), (F.col("bytes") - top_bytes).alias("bytes"), top_n.alias("main_n"), top_bytes.alias("main_bytes"), F.col("top.root").alias("main_root"))
-    return held.join(sides, "key").withColumn("main", F.coalesce(F.col("root") == F.col("main_root"), F.lit(False))).drop("main_root")
+    mixed = stored(held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "mixed")
+    held = stored(held.join(mixed, "key"), "unsettled")
+    sides = held.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    sides = sides.groupBy("key").agg(F.max(F.struct("n", "bytes", "root")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    sides = stored(sides.select("key", (F.col("n") - F.col("top.n")).alias("n"), (F.col("bytes") - F.col("top.bytes")).alias("bytes"), F.col("top.n").alias("main_n"), F.col("top.bytes").alias("main_bytes"), F.col("top.root").alias("main_root")), "sides")
+    return held.join(sides, "key").withColumn("main", F.col("root") == F.col("main_root")).drop("main_root")
 
 
 def block_partners(group: pa.Table, least: float) -> dict[int, list[int]]:
@@ -292,14 +322,14 @@ def block_partners(group: pa.Table, least: float) -> dict[int, list[int]]:
     return found
 
 
-def more_links(rooted: DataFrame, texts_of, weights: np.ndarray, similarity: float, limit: int = LIMIT, chunk: int = CHUNK) -> DataFrame:
-    """Links (a, b) between classes that share a bucket. rooted: node, root, size, draws, bands;
+def more_links(rooted: DataFrame, texts_of, weights: Weights, similarity: float, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) of the roots of classes that share a bucket. rooted: node, root, size, draws, bands;
     texts_of(nodes): node, text, once or more."""
     spark = rooted.sparkSession
     least = (similarity - SLACK) * BANDS * ROWS
     shared = spark.sparkContext.broadcast(weights)
     chunks = lambda n, octets: F.greatest(F.ceil(F.col(n) / chunk), F.ceil(F.col(octets) / CHUNK_BYTES)).cast("int")
-    members = unsettled(rooted.select("node", "root", "size", "bands"), limit).withColumns({"mains": chunks("main_n", "main_bytes"), "others": chunks("n", "bytes")})
+    members = unsettled(rooted.select("node", "root", "size", "bands")).withColumns({"mains": chunks("main_n", "main_bytes"), "others": chunks("n", "bytes")})
     # the largest class has the first chunks, which meet only those of the others
     place = lambda of: F.pmod(F.xxhash64("node", "key"), of).cast("int")
     members = members.withColumn("c", F.when(F.col("main"), place(F.col("mains"))).otherwise(F.col("mains") + place(F.col("others"))))
@@ -314,34 +344,45 @@ def more_links(rooted: DataFrame, texts_of, weights: np.ndarray, similarity: flo
         return pa.table({"bin": pa.array([group.column("bin")[0].as_py()] * len(found), pa.int32()), "node": pa.array(list(found), pa.int64()), "partners": pa.array(list(found.values()), pa.list_(pa.int64()))})
 
     def check(group: pa.Table) -> pa.Table:
-        lists, nodes = [], group.column("node").to_pylist()
+        lists, nodes, roots = [], group.column("node").to_pylist(), group.column("root").to_pylist()
+        joined = {r: r for r in roots}
+
+        def class_of(r: int) -> int:
+            while joined[r] != r:
+                joined[r] = joined[joined[r]]
+                r = joined[r]
+            return r
+
         for batch in T.batches_of(group.to_batches(), rows=256, size=1 << 20):
             runs, tf, offsets = shingles(batch.column("text"))
-            w = (tf * shared.value[bucket_of(runs)]).astype(np.float64)
+            w = (tf * shared.value.of(runs)).astype(np.float64)
             lists += [(runs[x:y], w[x:y]) for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
         sums, at = [float(w.sum()) for _, w in lists], {n: k for k, n in enumerate(nodes)}
         pairs = []
         for k, others in enumerate(group.column("partners").to_pylist()):
             for n in others:
                 y = at[n]
+                one, other = class_of(roots[k]), class_of(roots[y])
                 # the similarity is at most the ratio of the sums
-                if min(sums[k], sums[y]) >= similarity * max(sums[k], sums[y]) * (1 - 1e-9) and similarity_of(lists[k], lists[y]) >= similarity:
-                    pairs.append((max(n, nodes[k]), min(n, nodes[k])))
+                if one != other and min(sums[k], sums[y]) >= similarity * max(sums[k], sums[y]) * (1 - 1e-9) and similarity_of(lists[k], lists[y]) >= similarity:
+                    joined[one] = other
+                    pairs.append((roots[k], roots[y]))
         return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
 
     blocks = dealt.withColumn("bin", F.pmod(F.xxhash64("key", "i", "j"), F.lit(bins)).cast("int")).join(rooted.select("node", "draws", "bands"), "node")
     near = stored(blocks.groupBy("bin").applyInArrow(partners, "bin int, node long, partners array<long>"), "partners")
     texts = texts_of(near.select("node").distinct()).dropDuplicates(["node"])  # of repeated rows any one
-    return near.join(texts, "node").groupBy("bin").applyInArrow(check, "a long, b long")
+    return near.join(texts, "node").join(rooted.select("node", "root"), "node").groupBy("bin").applyInArrow(check, "a long, b long")
 
 
-def classes_of(docs: DataFrame, similarity: float = SIMILARITY, limit: int = LIMIT) -> DataFrame:
-    """doc_id, node (a hash of the text), root (the class), class_id and links for every row."""
-    n, counts = document_counts(docs)
-    signed = stored(signatures(docs, n, counts), "draws")
+def classes_of(docs: DataFrame, similarity: float = SIMILARITY, frequent: int = FREQUENT) -> DataFrame:
+    """doc_id, node (a hash of the text), root (the class) and class_id for every row."""
+    weights = weights_of(docs, frequent)
+    signed = stored(signatures(docs, weights), "draws")
     # a representative for each text: the copy with the smallest id
     reps = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("draws").alias("draws"), F.first("bands").alias("bands"))
-    reps = reps.withColumn("node", F.xxhash64("h1", "h2")).where(F.size("bands") > 0)
+    all_reps = stored(reps.withColumn("node", F.xxhash64("h1", "h2")).drop("h1", "h2"), "texts")
+    reps = all_reps.where(F.size("bands") > 0)
     pairs = stored(likely(candidates(reps), reps, similarity), "pairs")
     keyed = hashed(docs).select("doc_id", "text", F.xxhash64("h1", "h2").alias("node"))
 
@@ -349,28 +390,21 @@ def classes_of(docs: DataFrame, similarity: float = SIMILARITY, limit: int = LIM
         first = reps.select("node", F.col("doc_id").alias("rep")).join(nodes, "node")
         return keyed.join(first, (keyed["node"] == first["node"]) & keyed["doc_id"].eqNullSafe(first["rep"])).select(keyed["node"], "text")
 
-    weights = idf(n, counts)
-    links = stored(verified(pairs, texts_of(pairs.select(F.explode(F.array("node", "anchor")).alias("node")).distinct()), weights, similarity), "links")
-    roots = stored(components(links), "roots")
+    links = verified(pairs, texts_of(pairs.select(F.explode(F.array("node", "anchor")).alias("node")).distinct()), weights, similarity)
+    roots = components(links)
     rooted = stored(reps.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "draws", "bands"), "rooted")
-    more = stored(more_links(rooted, texts_of, weights, similarity, limit), "more-links")
-    root_at = lambda end: rooted.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-    merged = components(more.join(root_at("a"), "a").join(root_at("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-    roots = roots.unionByName(merged.select("node", F.col("node").alias("root"))).distinct()  # classes of one text come in here
-    roots = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("final")), "root", "left").select("node", F.coalesce("final", "root").alias("root"))
-    degrees = links.unionByName(more).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    named = signed.select("doc_id", F.xxhash64("h1", "h2").alias("node"))
-    by_text = named.groupBy("node").agg(F.min("doc_id").alias("least"))
-    classes = by_text.join(roots, "node", "left").join(degrees, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    # written, so that the join is one of two plain shuffles, of which a hot class can be split
-    least = stored(classes.groupBy("root").agg(F.min("least").alias("class_id")), "least")
-    classes = classes.join(least, "root").select("node", "root", "class_id", "links")
-    return named.join(classes, "node").select("doc_id", "node", "root", "class_id", "links")
+    merged = components(more_links(rooted, texts_of, weights, similarity)).select(F.col("node").alias("root"), F.col("root").alias("final"))
+    # written, so that joins with rows are of two plain shuffles, of which a hot text or class can be split
+    final = stored(rooted.select("node", "root").join(merged, "root", "left").select("node", F.coalesce("final", "root").alias("root")), "roots")
+    classes = stored(all_reps.select("node", "doc_id").join(final, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), "classes")
+    least = stored(classes.groupBy("root").agg(F.min("doc_id").alias("class_id")), "least")
+    classes = stored(classes.join(least, "root").select("node", "root", "class_id"), "classes")
+    return signed.select("doc_id", F.xxhash64("h1", "h2").alias("node")).join(classes, "node").select("doc_id", "node", "root", "class_id")
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, links for every row: links is how many verified links its text has."""
-    return classes_of(docs, similarity).select("doc_id", "class_id", "links")
+    """doc_id and class_id for every row."""
+    return classes_of(docs, similarity).select("doc_id", "class_id")
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -378,7 +412,8 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Of rows with the same id and text, any one stays; they are looked at only if there are some.
     """
-    rows = stored(classes_of(docs, similarity).groupBy("root", "doc_id", "node").agg(F.count("*").alias("n")), "classes")
+    found = stored(classes_of(docs, similarity).select("root", "doc_id", "node"), "found")
+    rows = stored(found.groupBy("root", "doc_id", "node").agg(F.count("*").alias("n")), "rows")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")
     stays = stored(rows.groupBy("root").agg(F.min(rank).alias("stay")), "stays")
     others = rows.join(stays, "root").where(rank != F.col("stay")).select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))

@@ -1,4 +1,5 @@
 import collections
+import math
 import random
 
 import numpy as np
@@ -6,7 +7,6 @@ import pyarrow as pa
 import pytest
 
 from newsloom.llm import near_dedup as N
-from newsloom.llm.components import components
 
 from .conftest import words
 
@@ -25,14 +25,13 @@ def find(parent, x):
 def test_classes_against_all_pairs(documents):
     """Classes are those of the exact weighted similarity, with the weights counted by brute force."""
     rows = [(r.doc_id, r.text) for r in documents.collect()]
-    n, counts = N.document_counts(documents)
-    assert n == len(rows)
-    weights = N.idf(n, counts)
+    weights = N.weights_of(documents)
+    assert weights.documents == len(rows)
     lists = {}
     for i, t in rows:
         runs, tf, _ = N.shingles(pa.array([t]))
         assert tf.sum() == sum(shingles(t).values()) and len(runs) == len(shingles(t))
-        lists[i] = (runs, tf * weights[N.bucket_of(runs)])
+        lists[i] = (runs, tf * weights.of(runs))
     parent, links = {i: i for i, _ in rows}, collections.Counter()
     for a, _ in rows:
         for b, _ in rows:
@@ -45,12 +44,31 @@ def test_classes_against_all_pairs(documents):
     assert len(set(got.values())) < len(got)
 
 
-def test_document_counts(documents):
-    rows = [r.text for r in documents.collect()]
-    want = np.zeros(N.BUCKETS, np.int64)
-    for t in rows:
-        want[np.unique(N.bucket_of(N.shingles(pa.array([t]))[0]))] += 1
-    assert (N.document_counts(documents)[1] == want).all()
+@pytest.mark.parametrize("frequent", [N.FREQUENT, 4000])
+def test_weights_against_plain_counts(documents, frequent):
+    """Exactly the frequent shingles are counted, and exactly."""
+    rows = [set(N.shingles(pa.array([r.text]))[0].tolist()) for r in documents.collect()]
+    counts = collections.Counter(x for row in rows for x in row)
+    least = max(2, math.ceil(sum(map(len, rows)) / frequent))
+    weights = N.weights_of(documents, frequent)
+    assert weights.least == least and len(weights.keys) <= frequent
+    assert dict(zip(weights.keys.tolist(), weights.counts.tolist(), strict=True)) == {k: n for k, n in counts.items() if n >= least}
+    runs = np.array(sorted(counts), np.uint64)
+    want = [1 + math.log(len(rows) / max(counts[int(x)], least - 1)) / math.log(len(rows) / (least - 1)) if counts[int(x)] >= least else 2 for x in runs]
+    assert weights.of(runs) == pytest.approx(want, rel=1e-6)
+
+
+def test_weights_are_alike_at_every_size(spark):
+    """A passage of a share of the documents weighs alike in corpora of 100, 200 and 400 documents; what one document has weighs 2."""
+    random.seed(11)
+    some = lambda n: " ".join(str(random.randrange(10**9)) for _ in range(n))
+    common, often = some(20), some(20)
+    seen = []
+    for n in (100, 200, 400):
+        docs = spark.createDataFrame([(i, " ".join([some(60)] + [common] * (i % 3 == 0) + [often] * (i % 2 == 0))) for i in range(n)], "doc_id long, text string")
+        weights = N.weights_of(docs, frequent=1000)
+        seen.append([float(weights.of(N.shingles(pa.array([t]))[0]).mean()) for t in (common, often, some(20))])
+    assert all(x == pytest.approx(seen[0], abs=0.03) for x in seen) and seen[0][2] == 2 and 1 < seen[0][1] < seen[0][0] < 1.7
 
 
 def test_draws_agree_as_often_as_the_similarity():
@@ -100,7 +118,7 @@ def exact_classes(rows, weights):
     lists = []
     for _, t in rows:
         runs, tf, _ = N.shingles(pa.array([t]))
-        lists.append((runs, tf * weights[N.bucket_of(runs)]))
+        lists.append((runs, tf * weights.of(runs)))
     parent = list(range(len(rows)))
     for a in range(len(rows)):
         for b in range(a):
@@ -110,9 +128,10 @@ def exact_classes(rows, weights):
     return {rows[i][0]: rows[find(parent, i)][0] for i in range(len(rows))}
 
 
-@pytest.mark.parametrize("limit", [N.LIMIT, 8])
-def test_group_around_the_threshold(spark, limit):
+@pytest.mark.parametrize("chunk", [N.CHUNK, 8])
+def test_group_around_the_threshold(spark, monkeypatch, chunk):
     """Edits of one text, of which many pairs lie just above and many just below the threshold, lose no link."""
+    monkeypatch.setattr(N.more_links, "__defaults__", (chunk,))
     random.seed(23)
     original = [str(random.randrange(10**6)) for _ in range(150)]
     rows = [(0, " ".join(original))]
@@ -122,15 +141,14 @@ def test_group_around_the_threshold(spark, limit):
             edit[at] = f"edit{random.randrange(12)}"
         rows.append((i, " ".join(edit)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    n, counts = N.document_counts(docs)
-    want = exact_classes(rows, N.idf(n, counts))
+    want = exact_classes(rows, N.weights_of(docs))
     assert 1 < len(set(want.values())) < len(rows)
-    assert {r.doc_id: r.class_id for r in N.classes_of(docs, limit=limit).collect()} == want
+    assert {r.doc_id: r.class_id for r in N.classes_of(docs).collect()} == want
 
 
-@pytest.mark.parametrize(("limit", "chunk"), [(N.LIMIT, N.CHUNK), (4, 3), (4, 1)])
-def test_one_shared_band_in_a_large_bucket(spark, limit, chunk):
-    """All pairs of different classes in a bucket above the limit are compared, also those that share no second band."""
+@pytest.mark.parametrize("chunk", [N.CHUNK, 3, 1])
+def test_one_shared_band_in_a_large_bucket(spark, chunk):
+    """All pairs of different classes in a bucket of any number of blocks are compared, also those that share no second band."""
     random.seed(29)
     base = [[str(random.randrange(10**6)) for _ in range(200)] for _ in range(6)]
     texts = {i: " ".join([*base[i % 6][:-1], f"end{i}"]) for i in range(24)}  # nodes are alike if they are so modulo 6
@@ -138,27 +156,20 @@ def test_one_shared_band_in_a_large_bucket(spark, limit, chunk):
     rows = [(i, root[i], len(t), bytes(112), [7] + [1000 + 100 * i + k for k in range(1, N.BANDS)]) for i, t in texts.items()]
     rooted = spark.createDataFrame(rows, "node long, root long, size long, draws binary, bands array<long>")
     held = spark.createDataFrame(list(texts.items()), "node long, text string")
-    links = N.more_links(rooted, lambda nodes: held.join(nodes, "node"), N.idf(24, np.ones(N.BUCKETS, np.int64)), N.SIMILARITY, limit, chunk).collect()
-    want = sorted((a, b) for a in texts for b in range(a) if a % 6 == b % 6 and root[a] != root[b])
-    assert sorted((r.a, r.b) for r in links) == want
+    weights = N.Weights(24, 2, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    links = N.more_links(rooted, lambda nodes: held.join(nodes, "node"), weights, N.SIMILARITY, chunk).collect()
+    parent = {r: r for r in root.values()}
+    for a, b in links:
+        x, y = find(parent, a), find(parent, b)
+        assert a % 6 == b % 6 and {a, b} <= set(parent)
+        parent[max(x, y)] = min(x, y)
+    assert {i: find(parent, root[i]) for i in texts} == {i: i % 6 for i in texts}
 
 
 def test_edges(edge_docs, no_docs):
-    got = sorted(((-1 if r.doc_id is None else r.doc_id, r.class_id, r.links) for r in N.near_classes(edge_docs).collect()), key=str)
-    assert got == sorted([(1, 1, 0), (2, 1, 0), (2, 1, 0), (-1, 3, 0), (3, 3, 0), (-1, None, 0), (4, 4, 0), (5, 5, 1), (6, 5, 1), (7, 7, 0)], key=str)
+    got = sorted(((-1 if r.doc_id is None else r.doc_id, r.class_id) for r in N.near_classes(edge_docs).collect()), key=str)
+    assert got == sorted([(1, 1), (2, 1), (2, 1), (-1, 3), (3, 3), (-1, None), (4, 4), (5, 5), (6, 5), (7, 7)], key=str)
     kept = N.one_of_each(edge_docs)
     assert kept.columns == edge_docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "5", "7", "None"]
     assert N.near_classes(no_docs).count() == 0 and N.one_of_each(no_docs).count() == 0
-
-
-def test_components(spark):
-    random.seed(3)
-    for links in ([], [(i, i + 1) for i in range(60)], [(random.randrange(80), random.randrange(80)) for _ in range(60)]):
-        parent = {x: x for pair in links for x in pair}
-        for a, b in links:
-            x, y = find(parent, a), find(parent, b)
-            parent[max(x, y)] = min(x, y)
-        got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-        linked = {x for a, b in links if a != b for x in (a, b)}
-        assert got == {x: find(parent, x) for x in linked}
