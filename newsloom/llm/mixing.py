@@ -3,8 +3,9 @@
 Tokens (words) are summed per source, a repetition rate is derived for each source, and
 each document is emitted floor(rate) times plus once more with a probability equal to
 the fraction, decided by a hash of the document's id and a seed. Nothing is drawn at
-random, so reruns agree. With few or very uneven documents one draw can miss a source's
-target by far, so of ``SEEDS`` seeds each source takes the one whose draw comes nearest.
+random, so reruns agree. What a source's taken words miss its target by has the standard
+deviation sqrt(f (1 - f) sum(size^2)) for a fraction f: some percent for a source of a hundred
+documents, nothing to speak of for a large one.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in
 order; a null doc_id is hashed by its text, so equal rows get equal decisions; repeated
@@ -26,10 +27,9 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 #: A target stops at so many times the size of its source.
 MOST = 2
-#: Up to so many sources the table of rates is broadcast; beyond, it is joined with salted keys.
+#: The windows over one row per source are one task, which a million sources don't strain. Up to so many sources the table of rates is broadcast; beyond, it is joined with salted keys.
 BROADCAST_SOURCES = 10_000
 SALTS = 64
-SEEDS = 8
 
 
 def size_of(text: Column) -> Column:
@@ -73,9 +73,9 @@ def hashed_id(doc_id: Column, text: Column, seed: int) -> Column:
     return F.md5(F.concat(key, F.lit(f":{seed}")))
 
 
-def copies_of(rate: Column, hashed: Column, k: Column) -> Column:
-    """floor(rate), and one more if the document's number for seed k, from 0 up to 1, is under the fraction."""
-    uniform = F.conv(F.substring(F.md5(F.concat(hashed, F.lit(":"), k.cast("string"))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+def copies_of(rate: Column, hashed: Column) -> Column:
+    """floor(rate), and one more if the document's number, from 0 up to 1, is under the fraction."""
+    uniform = F.conv(F.substring(hashed, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     return F.floor(rate) + (uniform < rate - F.floor(rate)).cast("long")
 
 
@@ -88,20 +88,13 @@ def with_sources(rows: DataFrame, sources: DataFrame, n: int, salt: Column) -> D
     return rows.withColumn("_k", F.pmod(salt, F.lit(SALTS))).join(named, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_k") == F.col("_salt"))).drop("_s", "_k", "_salt")
 
 
-def mixing_plan(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 17, seeds: int = SEEDS) -> DataFrame:
+def mixing_plan(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 17) -> DataFrame:
     """docs with size, source_size, target and copies: how often the mix takes each document."""
-    hashed = hashed_id(F.col("doc_id"), F.col("text"), seed)
-    sizes = stored(docs.select("source", size_of(F.col("text")).alias("size"), hashed.alias("hashed")), "mix-sizes")
-    targets = stored(source_targets(sizes, weights, share, most), "mix-targets")
-    n = targets.count()
-    drawn = with_sources(sizes, targets, n, F.hash("hashed"))
-    sums = drawn.groupBy("source").agg(F.first("target").alias("target"), *[F.sum(F.col("size") * copies_of(F.col("rate"), F.col("hashed"), F.lit(k))).alias(f"s{k}") for k in range(seeds)])
-    misses = F.array(*[F.abs(F.col(f"s{k}") - F.col("target")) for k in range(seeds)])
-    best = stored(sums.select("source", (F.array_position(misses, F.array_min(misses)) - 1).alias("_seed")), "mix-seeds")
-    chosen = targets.join(best.withColumnRenamed("source", "_b"), F.col("source").eqNullSafe(F.col("_b"))).drop("_b")
-    rows = docs.drop("size", "source_size", "target", "copies").withColumn("_h", hashed)
-    out = with_sources(rows, chosen.withColumnRenamed("rate", "_rate"), n, F.hash("_h"))
-    return out.withColumn("size", size_of(F.col("text"))).withColumn("copies", copies_of(F.col("_rate"), F.col("_h"), F.col("_seed"))).drop("_h", "_rate", "_seed")
+    size = size_of(F.col("text"))
+    targets = stored(source_targets(docs.select("source", size.alias("size")), weights, share, most), "mix-targets")
+    rows = docs.drop("size", "source_size", "target", "copies").withColumn("_h", hashed_id(F.col("doc_id"), F.col("text"), seed))
+    out = with_sources(rows, targets.withColumnRenamed("rate", "_rate"), targets.count(), F.hash("_h"))
+    return out.withColumn("size", size).withColumn("copies", copies_of(F.col("_rate"), F.col("_h"))).drop("_h", "_rate")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
@@ -141,14 +134,10 @@ WITH mix_sized AS (
   FROM mix_levels, mix_level l
 ), mix_rates AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM mix_targets
-), mix_drawn AS (
-  SELECT d.*, r.source_size, r.target, k,
-         floor(rate)::BIGINT + (('0x' || substr(md5(md5(coalesce(doc_id::VARCHAR, 'null ' || coalesce(text, '')) || ':{seed}') || ':' || k), 1, 13))::BIGINT
-           / 4503599627370496.0::DOUBLE < rate - floor(rate))::BIGINT AS copies
-  FROM mix_sized d JOIN mix_rates r ON d.source IS NOT DISTINCT FROM r.source, range({SEEDS}) AS seeds(k)
-), mix_seeds AS (
-  SELECT source, arg_min(k, (miss, k)) AS k FROM (SELECT source, k, abs(sum(size * copies)::BIGINT - any_value(target)) AS miss FROM mix_drawn GROUP BY source, k) GROUP BY source
 ), mix_plan AS (
-  SELECT d.* EXCLUDE (k) FROM mix_drawn d JOIN mix_seeds s ON d.source IS NOT DISTINCT FROM s.source AND d.k = s.k
+  SELECT d.*, r.source_size, r.target,
+         floor(rate)::BIGINT + (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null ' || coalesce(text, '')) || ':{seed}'), 1, 13))::BIGINT
+           / 4503599627370496.0::DOUBLE < rate - floor(rate))::BIGINT AS copies
+  FROM mix_sized d JOIN mix_rates r ON d.source IS NOT DISTINCT FROM r.source
 )
 SELECT {columns} FROM mix_plan"""

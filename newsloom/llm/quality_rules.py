@@ -7,9 +7,9 @@ buckets; a document's score is the mean over its n-grams of log p(target) - log
 and it is kept if it passes the base rules and its score is at least ``threshold``.
 
 All work on a text stays in its row. Only the counts are shuffled, after partial
-aggregation, and the text once, to meet the labels in a merge join, which spills and is the same
-small enough (``spark.sql.autoBroadcastJoinThreshold``) to send them to the texts. The table of ratios has ``buckets``
-entries at any size of the input, and reaches the tasks as a literal array.
+aggregation, and the text once, to meet the labels in a merge join, which can spill and is
+the same at every size. The table of ratios has ``buckets`` entries at any size of the input,
+and reaches the tasks as a literal array.
 
 Defined results: a null text is empty (all counts 0, base_failed); a null doc_id is
 scored like any other, it is just never trusted; repeated rows each get a row; an empty

@@ -1,6 +1,9 @@
 import collections
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
+from newsloom import shared
 from newsloom.llm import decontaminate, mixing, near_dedup, quality_rules, secret_scan
 from newsloom.llm.common import table
 
@@ -37,6 +40,28 @@ def test_stages_take_empty_tables(spark, no_docs):
         assert out.columns == docs.columns and out.count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named as what the operators compute, at any place, come through every stage but the last two's text as they are."""
+    docs = table(spark, SF, "documents").limit(60)
+    names = ["score", "kept", "n_words", "base_failed", "leaks", "base", "all", "row", "_m", "fresh", "size", "copies", "target", "_row", "_copy", "root", "node", "id", "key"]
+    wide = docs.select("doc_id", *[F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names], "text", "lang", "source", "n_chars")
+    want = {r.doc_id: r for r in wide.collect()}
+    for name, stage in P.STAGES:
+        out = stage(spark, wide, SF)
+        assert out.schema.simpleString() == wide.schema.simpleString(), name
+        rows = out.collect()
+        assert rows, name
+        for r in rows:
+            assert all(r[n] == want[r.doc_id][n] for n in names), name
+            assert name == "secret scan" or r == want[r.doc_id], name
+
+
+def test_intermediate_tables_are_removed(spark):
+    before = len(shared._written)
+    P.run(spark, SF)
+    assert len(shared._written) == before + len(P.STAGES)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
