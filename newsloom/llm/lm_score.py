@@ -55,6 +55,8 @@ FAN = 4096
 STRENGTHS = (300.0, 10.0)
 #: Bits of a key beyond those that number the tokens.
 SPARE_BITS = 20
+#: A task that lists its words holds about so many.
+WORDS = 1 << 22
 #: Tokens scored at once.
 SLICE = 1 << 18
 U = T.U
@@ -80,11 +82,25 @@ def from_planes(data: bytes, dtype) -> np.ndarray:
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    return planes(np.diff(keys, prepend=U(0))), planes(counts.astype(U))
+    """Sorted keys as the first one and the differences, four bits at a time, all lowest ones first; two to a byte."""
+    steps = np.diff(keys)
+    nibbles = (int(steps.max()).bit_length() + 3) // 4 if len(steps) else 0
+    steps = np.append(steps, U(0)) if len(steps) % 2 else steps
+    low, high = steps[0::2], steps[1::2]
+    parts = [(((low >> U(4 * k)) & U(15)) | (((high >> U(4 * k)) & U(15)) << U(4))).astype(np.uint8).tobytes() for k in range(nibbles)]
+    return b"".join([keys[:1].tobytes(), *parts]), planes(counts.astype(U))
 
 
 def unpack(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.cumsum(from_planes(keys, U)), from_planes(counts, np.int64)
+    numbers = from_planes(counts, np.int64)
+    half = len(numbers) // 2
+    steps = np.zeros(2 * half + 1, U)
+    steps[:1] = np.frombuffer(keys[:8], U)
+    for k, at in enumerate(range(8, len(keys), max(half, 1))):
+        part = np.frombuffer(keys, np.uint8, half, at).astype(U)
+        steps[1::2] |= (part & U(15)) << U(4 * k)
+        steps[2::2] |= (part >> U(4)) << U(4 * k)
+    return np.cumsum(steps[: len(numbers)]), numbers
 
 
 def with_ends(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -310,13 +326,28 @@ def score_block(texts, train: np.ndarray, got: list[tuple[int, int, bytes]], siz
 
 
 def corpus_size(docs: DataFrame, bits: int) -> dict:
-    """Training texts, tokens and distinct tokens; docs: text, train. Each task lists its batches' words before they are dealt out."""
+    """Training texts, tokens and distinct tokens; docs: text, train. Each task lists its words before they are dealt out."""
+
+    schema = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+    def listed(parts: list) -> pa.RecordBatch:
+        keys, n, _ = merged(parts)
+        return pa.RecordBatch.from_pylist([{"range": r, "keys": a, "counts": b} for r, a, b in by_range(keys, n, 64, bits)], schema)
 
     def count(batches):
+        parts, held = [], 0
         for batch in T.batches_of(batches, rows=1 << 20, size=16 << 20):
             hashes, _ = with_ends(batch.filter(batch.column("train")).column("text"))
-            keys, n = np.unique(unigrams(hashes), return_counts=True)
-            yield pa.RecordBatch.from_pylist([{"range": r, "keys": a, "counts": b} for r, a, b in by_range(keys, n, 64, bits)], pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+            parts.append(np.unique(unigrams(hashes), return_counts=True))
+            held += len(parts[-1][0])
+            if held > WORDS:
+                parts = [merged(parts)[:2]]
+                held = len(parts[0][0])
+            if held > WORDS // 2 and len(parts) == 1:  # of these many words most are distinct
+                yield listed(parts)
+                parts, held = [], 0
+        if held:
+            yield listed(parts)
 
     def add(group: pa.Table) -> pa.Table:
         keys, n, _ = merged([unpack(*x) for x in zip(group.column("keys").to_pylist(), group.column("counts").to_pylist(), strict=True)])

@@ -86,6 +86,27 @@ def test_normalised():
     assert total == pytest.approx(1)
 
 
+def test_lists_come_back_as_they_were():
+    random = np.random.default_rng(4)
+    for n in (1, 2, 3, 4, 7, 100, 1001):
+        for top in (16, 1 << 20, 1 << 50, (1 << 63) - 1):
+            keys = np.unique(random.integers(0, top, n, dtype=np.uint64))
+            counts = random.integers(0, 1 << 40, len(keys))
+            a, b = L.unpack(*L.pack(keys, counts))
+            assert (a == keys).all() and (b == counts).all()
+    far = np.array([5, (1 << 64) - 1], np.uint64)
+    assert (L.unpack(*L.pack(far, np.zeros(2, int)))[0] == far).all()
+
+
+def test_words_are_counted_in_parts(documents, monkeypatch):
+    docs = documents.select("text", F.lit(True).alias("train"))
+    want = L.corpus_size(docs, 3)
+    assert want["texts"] == 200 and want["tokens"] == sum(len(words(r.text)) + 1 for r in documents.collect())
+    monkeypatch.setattr(L, "WORDS", 500)
+    monkeypatch.setattr(L.T.batches_of, "__defaults__", (16, 4 << 20, "text"))
+    assert L.corpus_size(docs, 3) == want
+
+
 def test_repeated_rows_are_spread(spark):
     docs = spark.createDataFrame([(1, "same words " * 50)] * 400, "doc_id long, text string").repartition(4)
     got = L.lm_scores(docs, F.lit(False), block_bytes=20_000).groupBy("score", "n_known").count().collect()
