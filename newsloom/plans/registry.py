@@ -5,8 +5,6 @@ Lexicons are words that the tables have; thresholds are scaled to their dates.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +12,8 @@ from newsloom.functions import dates, numbers, text
 from newsloom.operators import articles as A
 from newsloom.operators import boards, claims, cluster, curation, games, tagging
 
-from .views import NOW, SQL_ARTICLES, SQL_PLAYS, SQL_WHOLE_ARTICLES, articles, load, now, plays, whole_articles
+from .base import QUERIES, SQL, query
+from .views import NOW, SQL_ARTICLES, SQL_PAGES, SQL_PLAYS, articles, load, now, pages, plays
 
 NAMES = ["with", "that", "para"]
 COMMERCE, INSTITUTIONAL, ATHLETIC = ("worthless", "license"), ("that", "les"), ("the", "la")
@@ -27,69 +26,30 @@ TEAMS = [
 ]
 WORDS = lambda ws: "(?i)\\b(" + "|".join(ws) + ")\\b"
 T0 = f"TIMESTAMP '{NOW}'"
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return register
-
-
-def over_texts(f):
-    """Registers a query of articles once more, as name_whole, over texts that aren't cut; so does its SQL."""
-    name = f.__name__
-    QUERIES[f"{name}_whole"] = lambda spark, sf: f(spark, sf, whole_articles)
-    if name in SQL:
-        SQL[f"{name}_whole"] = SQL[name].replace(SQL_ARTICLES, SQL_WHOLE_ARTICLES)
-    return f
-
+#: Words of the texts that titles don't differ by.
+LANGUAGE = cluster.Words(stopwords=("the", "and", "for", "with", "from", "that", "this", "was", "are", "has", "its", "their", "after", "over"))
 
-#: The modulo filters of SQL twins that over_tables() leaves out.
-SUBSET = re.compile(r" WHERE (?:pos|s_suppkey|l_orderkey|c_nationkey) % \d = 0")
 
-
-def subset(rows: DataFrame, condition: str) -> DataFrame:
-    return rows.where(condition)
-
-
-def over_tables(f):
-    """Registers a query of subsets once more, as name_whole, over whole tables; so does its SQL."""
-    name = f.__name__
-    QUERIES[f"{name}_whole"] = lambda spark, sf: f(spark, sf, lambda rows, condition: rows)
-    SQL[f"{name}_whole"] = SUBSET.sub("", SQL[name])
-    return f
-
-
-@over_texts
 @query("name_filter", f"WITH {SQL_ARTICLES} SELECT link, title FROM a WHERE regexp_matches(title || ' ' || description, '{WORDS(NAMES)}')")
-def name_filter(spark: SparkSession, sf: str, articles=articles) -> DataFrame:
+def name_filter(spark: SparkSession, sf: str) -> DataFrame:
     return A.naming(articles(spark, sf), NAMES).select("link", "title")
 
 
-@over_texts
 @query("name_filter_by_table", f"WITH {SQL_ARTICLES} SELECT link FROM a WHERE regexp_matches(title || ' ' || description, '{WORDS(['with', 'of the'])}')")
-def name_filter_by_table(spark, sf, articles=articles):
+def name_filter_by_table(spark, sf):
     names = spark.createDataFrame([("with",), ("of the",)], "name string")
     return A.naming_any(articles(spark, sf), names).select("link")
 
 
-@over_texts
 @query("off_topic_filter", f"""WITH {SQL_ARTICLES} SELECT link, CASE WHEN regexp_matches(title, '{WORDS(COMMERCE)}') OR regexp_matches(description, '{WORDS(COMMERCE)}') THEN 'commerce'
   WHEN regexp_matches(title, '{WORDS(INSTITUTIONAL)}') AND NOT regexp_matches(title, '{WORDS(ATHLETIC)}') THEN 'institutional' END AS reason FROM a""")
-def off_topic_filter(spark, sf, articles=articles):
+def off_topic_filter(spark, sf):
     return articles(spark, sf).select("link", A.off_topic_reason(COMMERCE, INSTITUTIONAL, ATHLETIC).alias("reason"))
 
 
-@over_texts
 @query("other_sport_filter", f"""WITH {SQL_ARTICLES} SELECT link, CASE WHEN trim(title) = '' OR regexp_matches(title, '{WORDS(SPORTS["football"])}') THEN NULL
   WHEN regexp_matches(title, '{WORDS(SPORTS["basketball"])}') THEN 'basketball' WHEN regexp_matches(title, '{WORDS(SPORTS["baseball"])}') THEN 'baseball' END AS label FROM a""")
-def other_sport_filter(spark, sf, articles=articles):
+def other_sport_filter(spark, sf):
     return articles(spark, sf).select("link", A.other_sport("football", SPORTS).alias("label"))
 
 
@@ -98,12 +58,11 @@ def feed_window(spark, sf):
     return articles(spark, sf).where(A.within_week(F.col("published").cast("timestamp"), now().cast("timestamp"))).select("link", "published")
 
 
-@over_tables
-@query("dedupe_first", f"""WITH {SQL_ARTICLES}, u AS (SELECT *, 1 AS list_ord FROM a WHERE pos % 2 = 0 UNION ALL SELECT *, 0 AS list_ord FROM a WHERE pos % 3 = 0)
+@query("dedupe_first", f"""WITH {SQL_ARTICLES}, {SQL_PAGES}, u AS (SELECT link, pos, 1 AS list_ord FROM a UNION ALL SELECT link, pos, 0 AS list_ord FROM pg UNION ALL SELECT link, pos, 2 AS list_ord FROM a UNION ALL SELECT link, pos, 3 AS list_ord FROM pg)
 SELECT link, list_ord::INT AS list_ord FROM (SELECT *, row_number() OVER (PARTITION BY link ORDER BY list_ord, pos) AS n FROM u) WHERE n = 1""")
-def dedupe_first(spark, sf, subset=subset):
-    a = articles(spark, sf)
-    return A.first_of_each(A.union_lists([subset(a, "pos % 3 = 0"), subset(a, "pos % 2 = 0")])).select("link", "list_ord")
+def dedupe_first(spark, sf):
+    a, p = articles(spark, sf).select("link", "pos"), pages(spark, sf).select("link", "pos")
+    return A.first_of_each(A.union_lists([p, a, a, p])).select("link", "list_ord")
 
 
 @query("syndication_tier", f"""WITH {SQL_ARTICLES}, s AS (SELECT *, CASE WHEN pos % 5 = 0 THEN 'Wire' WHEN pos % 7 = 0 THEN upper(source) END AS item_source FROM a)
@@ -125,53 +84,47 @@ SQL_TOKENS = """tk AS (
 wt AS (SELECT token, count(*) AS df, greatest(ln((SELECT count(DISTINCT link) FROM w) / (1 + count(*))), 0.05) AS weight FROM w GROUP BY token)"""
 
 
-def feed(spark, sf, articles=articles):
+def feed(spark, sf):
     return articles(spark, sf).withColumns({"feed": F.lit("all"), "published": F.col("published").cast("timestamp"), "reach": F.when(F.col("scope") == "team", "beat").otherwise("national")})
 
 
-@over_texts
 @query("title_tokens", f"WITH {SQL_ARTICLES}, {SQL_TOKENS} SELECT link, token FROM w")
-def title_tokens(spark, sf, articles=articles):
-    return cluster.tokens_of(feed(spark, sf, articles)).select("link", "token")
+def title_tokens(spark, sf):
+    return cluster.tokens_of(feed(spark, sf), LANGUAGE).select("link", "token")
 
 
-@over_texts
 @query("idf_weights", f"WITH {SQL_ARTICLES}, {SQL_TOKENS} SELECT token, df, round(weight, 6) AS weight FROM wt")
-def idf_weights(spark, sf, articles=articles):
-    return cluster.weights_of(cluster.tokens_of(feed(spark, sf, articles))).select("token", "df", F.round("weight", 6).alias("weight"))
+def idf_weights(spark, sf):
+    return cluster.weights_of(cluster.tokens_of(feed(spark, sf), LANGUAGE)).select("token", "df", F.round("weight", 6).alias("weight"))
 
 
-@over_texts
 @query("upper_median", f"WITH {SQL_ARTICLES}, {SQL_TOKENS} SELECT round(weight, 6) AS median FROM (SELECT weight, row_number() OVER (ORDER BY weight, token) - 1 AS rn, count(*) OVER () AS n FROM wt) WHERE rn = n // 2")
-def upper_median(spark, sf, articles=articles):
-    return cluster.upper_median(cluster.weights_of(cluster.tokens_of(feed(spark, sf, articles)))).select(F.round("median", 6).alias("median"))
+def upper_median(spark, sf):
+    return cluster.upper_median(cluster.weights_of(cluster.tokens_of(feed(spark, sf), LANGUAGE))).select(F.round("median", 6).alias("median"))
 
 
-@over_texts
 @query("pair_score", f"""WITH {SQL_ARTICLES}, {SQL_TOKENS}, x AS (SELECT w.link, w.token, wt.weight, tk.published FROM w JOIN wt USING (token) JOIN tk USING (link)),
 s AS (SELECT link, sum(weight) AS total FROM x GROUP BY link)
 SELECT m.*, round(2 * m.sh / (s1.total + s2.total), 6) AS dice FROM (
   SELECT x.link AS anchor, y.link AS link, count(*) AS shared, sum(x.weight) AS sh FROM x JOIN x y ON x.token = y.token AND (x.published > y.published OR (x.published = y.published AND x.link < y.link)) AND x.published - y.published <= INTERVAL 36 HOURS GROUP BY 1, 2 HAVING count(*) >= 3
 ) m JOIN s s1 ON s1.link = m.anchor JOIN s s2 ON s2.link = m.link""".replace("SELECT m.*, round", "SELECT m.anchor, m.link, m.shared, round"))
-def pair_score(spark, sf, articles=articles):
-    return cluster.pair_scores(feed(spark, sf, articles)).where("shared >= 3").select("anchor", "link", "shared", F.round("dice", 6).alias("dice"))
+def pair_score(spark, sf):
+    return cluster.pair_scores(feed(spark, sf), LANGUAGE).where("shared >= 3").select("anchor", "link", "shared", F.round("dice", 6).alias("dice"))
 
 
-@over_texts
 @query("cluster_rollup")
-def cluster_rollup(spark, sf, articles=articles):
-    rows = feed(spark, sf, articles)
-    return cluster.rolled_up(rows, cluster.clusters(rows, None)).select("lead", "duplicate_count", "also_covered_by", "latest_published_at", "anchor_pos")
+def cluster_rollup(spark, sf):
+    rows = feed(spark, sf)
+    return cluster.rolled_up(rows, cluster.clusters(rows, None, LANGUAGE)).select("lead", "duplicate_count", "also_covered_by", "latest_published_at", "anchor_pos")
 
 
-@over_texts
 @query("claim_type", f"""WITH {SQL_ARTICLES}, v AS (SELECT doc_id, min(CASE WHEN toxic = 1 THEN 'rumor' ELSE 'take' END) AS remote FROM labels GROUP BY doc_id), f AS (
   SELECT a.*, v.remote, regexp_matches(title, '{WORDS(CLAIMS["takes"])}') AS tk, regexp_matches(title, '{WORDS(CLAIMS["evaluative"])}') AS ev, regexp_matches(title, '{WORDS(CLAIMS["completed"])}') AS co,
          regexp_matches(title, '{WORDS(CLAIMS["rumors"])}') OR regexp_matches(description, '{WORDS(CLAIMS["rumors"])}') AS ru, rtrim(title) LIKE '%?' AND NOT regexp_matches(title, '{WORDS(CLAIMS["service"])}') AS qu
   FROM a LEFT JOIN v ON v.doc_id = a.pos)
 SELECT link, CASE WHEN tk OR (NOT ev AND co) OR ru OR qu THEN 'evidence' ELSE 'default' END AS basis,
   CASE WHEN tk THEN 'take' WHEN NOT ev AND co THEN 'reported' WHEN ru THEN 'rumor' WHEN qu THEN 'take' ELSE coalesce(remote, 'unlabeled') END AS claim_type FROM f""")
-def claim_type(spark, sf, articles=articles):
+def claim_type(spark, sf):
     labels = load(spark, sf, "labels").groupBy(F.col("doc_id").alias("pos")).agg(F.min(F.when(F.col("toxic") == 1, "rumor").otherwise("take")).alias("remote"))
     rows = articles(spark, sf).join(labels, "pos", "left")
     return rows.select("link", claims.local_claim(CLAIMS)["basis"].alias("basis"), claims.merged_claim(F.col("remote"), CLAIMS).alias("claim_type"))
@@ -180,43 +133,39 @@ def claim_type(spark, sf, articles=articles):
 SQL_MASKED = "CASE WHEN regexp_matches({0}, '(?i)\\b(of the|the)\\b') THEN 'One' WHEN regexp_matches({0}, '(?i)\\b(and|und)\\b') THEN 'Two' WHEN regexp_matches({0}, '(?i)\\b(le|la)\\b') THEN 'Three' END"
 
 
-@over_texts
 @query("team_tag", f"WITH {SQL_ARTICLES} SELECT link, coalesce({SQL_MASKED.format('title')}, {SQL_MASKED.format('description')}) AS mentioned FROM a")
-def team_tag(spark, sf, articles=articles):
+def team_tag(spark, sf):
     return tagging.tagged(articles(spark, sf), TEAMS).select("link", F.col("mentioned_team.short_name").alias("mentioned"))
 
 
 PLAYERS = ["Of The", "An Anthat", "That", "Elle Pour", "Und Der"]
 
 
-@over_texts
 @query("player_match", f"""WITH {SQL_ARTICLES}, n AS (SELECT unnest({PLAYERS}) AS name), s AS (SELECT name, lower(string_split(name, ' ')[-1]) AS word, count(*) OVER (PARTITION BY lower(string_split(name, ' ')[-1])) AS bearers FROM n),
 t AS (SELECT link, ' ' || regexp_replace(lower(title || ' ' || description), '[^\\p{{L}}\\p{{N}}'']+', ' ', 'g') || ' ' AS text FROM a),
 k AS (SELECT name, link, CASE WHEN contains(text, ' ' || lower(name) || ' ') THEN 'full' WHEN length(word) >= 5 AND bearers = 1 AND contains(text, ' ' || word || ' ') THEN 'surname' END AS kind FROM t, s)
 SELECT name, link, kind FROM (SELECT *, bool_or(kind = 'full') OVER (PARTITION BY name) AS f FROM k WHERE kind IS NOT NULL) WHERE kind = 'full' OR NOT f""")
-def player_match(spark, sf, articles=articles):
+def player_match(spark, sf):
     return tagging.player_matches(articles(spark, sf), spark.createDataFrame([(n,) for n in PLAYERS], "name string"))
 
 
-@over_tables
 @query("leader_boards", """WITH r AS (SELECT p_brand, l_suppkey, sum((l_extendedprice * 100)::BIGINT) AS cents FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY cents DESC, l_suppkey) AS rank FROM r)
-SELECT p_brand, l_suppkey AS s_suppkey, s_name, place FROM (SELECT k.*, s_name, row_number() OVER (PARTITION BY p_brand ORDER BY rank, l_suppkey) AS place FROM k JOIN supplier ON l_suppkey = s_suppkey WHERE s_suppkey % 2 = 0) WHERE place <= 3""")
-def leader_boards(spark, sf, subset=subset):
+SELECT p_brand, l_suppkey AS s_suppkey, s_name, place FROM (SELECT k.*, s_name, row_number() OVER (PARTITION BY p_brand ORDER BY rank, l_suppkey) AS place FROM k JOIN supplier ON l_suppkey = s_suppkey) WHERE place <= 3""")
+def leader_boards(spark, sf):
     revenue = load(spark, sf, "lineitem").join(load(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", "l_suppkey").agg(F.sum((F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
     ranked = revenue.withColumn("rank", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("cents"), "l_suppkey")))
-    leaders = ranked.select(F.lit(1).alias("team_id"), F.col("p_brand").alias("category"), F.col("p_brand").alias("title"), F.col("l_suppkey").alias("athlete_id"), "rank")
-    roster = subset(load(spark, sf, "supplier"), "s_suppkey % 2 = 0").select(F.lit(1).alias("team_id"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("full_name"))
+    leaders = ranked.select(F.lit(1).alias("team_id"), F.col("p_brand").alias("category"), F.col("p_brand").alias("title"), F.col("l_suppkey").alias("athlete_id"), "rank", F.lit(0).alias("pos"))
+    roster = load(spark, sf, "supplier").select(F.lit(1).alias("team_id"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("full_name"))
     return boards.leader_boards(leaders, roster).select(F.col("category").alias("p_brand"), F.col("athlete_id").alias("s_suppkey"), F.col("full_name").alias("s_name"), "place")
 
 
-@over_tables
-@query("schedule_odds", """WITH s AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_orderstatus <> 'F'), o AS (SELECT l_orderkey, max(l_quantity) AS over_under FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1)
+@query("schedule_odds", """WITH s AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_orderstatus <> 'F'), o AS (SELECT l_orderkey, max(l_quantity) AS over_under FROM lineitem GROUP BY 1)
 SELECT o_orderkey, o_custkey, over_under, CASE WHEN o_totalprice > 100000 THEN 'W' WHEN o_totalprice < 100000 THEN 'L' ELSE 'T' END AS result FROM s LEFT JOIN o ON o_orderkey = l_orderkey WHERE n <= 5""")
-def schedule_odds(spark, sf, subset=subset):
+def schedule_odds(spark, sf):
     orders = load(spark, sf, "orders")
     schedule = orders.select(F.col("o_custkey").alias("team_id"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("kickoff"), F.when(F.col("o_orderstatus") == "F", "post").otherwise("pre").alias("state"), "o_totalprice")
-    odds = subset(load(spark, sf, "lineitem"), "l_orderkey % 3 = 0").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_quantity").alias("over_under"))
+    odds = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_quantity").alias("over_under"))
     no = F.lit(None).cast("boolean")
     return games.upcoming_with_odds(schedule, odds).select(F.col("id").alias("o_orderkey"), F.col("team_id").alias("o_custkey"), "over_under", games.result_of(no, no, F.col("o_totalprice"), F.lit(100000.0)).alias("result"))
 
@@ -226,12 +175,12 @@ SQL_DELTA = f"""{SQL_PLAYS}, q AS (SELECT *, CASE WHEN type <> 'error' THEN home
 
 @query("win_prob_delta", f"WITH {SQL_DELTA} SELECT play_id AS event_id, round(delta, 9) AS delta FROM q")
 def win_prob_delta(spark, sf):
-    return games.deltas(plays(spark, sf)).select(F.col("play_id").alias("event_id"), F.round("delta", 9).alias("delta"))
+    return games.deltas(plays(spark, sf), ("error",)).select(F.col("play_id").alias("event_id"), F.round("delta", 9).alias("delta"))
 
 
 @query("turning_point", f"WITH {SQL_DELTA} SELECT game_id AS user_id, play_id AS event_id, round(delta, 9) AS delta FROM (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY abs(delta) DESC, pos) AS n FROM q WHERE abs(delta) >= 0.05) WHERE n = 1")
 def turning_point(spark, sf):
-    return games.turning_points(plays(spark, sf)).select(F.col("game_id").alias("user_id"), F.col("play_id").alias("event_id"), F.round("delta", 9).alias("delta"))
+    return games.turning_points(plays(spark, sf), clock_kinds=("error",)).select(F.col("game_id").alias("user_id"), F.col("play_id").alias("event_id"), F.round("delta", 9).alias("delta"))
 
 
 @query("since_marker", f"""WITH {SQL_PLAYS}, m AS (SELECT game_id, min(pos) AS mpos FROM p WHERE type = 'purchase' GROUP BY 1), r AS (SELECT p.*, mpos FROM p LEFT JOIN m USING (game_id))
@@ -248,17 +197,19 @@ def trailing_run(spark, sf):
     return games.trailing_run(drives, "view").select(F.col("game_id").alias("user_id"), "run_len")
 
 
-SQL_MERGED = f"""{SQL_ARTICLES}, fresh AS (SELECT * FROM a WHERE pos % 2 = 0), st AS (SELECT *, TIMESTAMP '2024-01-01 06:00:00' AS seen FROM a WHERE pos % 3 = 0),
-merged AS (SELECT fresh.team, fresh.link, fresh.published, coalesce(st.seen, {T0}) AS first_seen FROM fresh LEFT JOIN st USING (team, link)
-  UNION ALL SELECT team, link, published, seen FROM st WHERE {T0} - coalesce(published, seen) <= INTERVAL 7 DAYS AND NOT EXISTS (SELECT 1 FROM fresh f WHERE f.link = st.link AND f.team = st.team))"""
+SQL_MERGED = f"""{SQL_ARTICLES}, {SQL_PAGES}, st AS (SELECT team, link, published, TIMESTAMP '2024-01-01 06:00:00' AS seen FROM a UNION ALL SELECT team, link, NULL, TIMESTAMP '2024-01-01 06:00:00' + to_hours(page_id) FROM pg JOIN pages ON page_id = pos),
+merged AS (SELECT a.team, a.link, a.published, coalesce(st.seen, {T0}) AS first_seen FROM a LEFT JOIN st USING (team, link)
+  UNION ALL SELECT team, link, published, seen FROM st WHERE {T0} - coalesce(published, seen) <= INTERVAL 7 DAYS AND NOT EXISTS (SELECT 1 FROM a f WHERE f.link = st.link AND f.team = st.team))"""
 
 
-@over_tables
 @query("retention_merge", f"WITH {SQL_MERGED} SELECT team, link, first_seen, row_number() OVER (PARTITION BY team ORDER BY published DESC NULLS LAST, link) AS rn FROM merged")
-def retention_merge(spark, sf, subset=subset):
-    rows = articles(spark, sf).withColumn("published", F.col("published").cast("timestamp"))
-    stored = subset(rows, "pos % 3 = 0").withColumn("first_seen", F.lit("2024-01-01 06:00:00").cast("timestamp"))
-    return A.merged_with_stored(subset(rows, "pos % 2 = 0"), stored, now().cast("timestamp")).select("team", "link", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), "rn")
+def retention_merge(spark, sf):
+    """All documents are fresh; all of them, and all pages, are stored."""
+    fresh = articles(spark, sf).select("team", "link", F.col("published").cast("timestamp").alias("published"))
+    begin = F.lit("2024-01-01 06:00:00").cast("timestamp")
+    old = pages(spark, sf).select("team", "link", F.col("published").cast("timestamp").alias("published"), (begin + F.make_dt_interval(hours=F.col("pos").cast("int"))).alias("first_seen"))
+    stored = fresh.withColumn("first_seen", begin).unionByName(old)
+    return A.merged_with_stored(fresh, stored, now().cast("timestamp")).select("team", "link", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), "rn")
 
 
 @query("lru_evict", "SELECT user_id, row_number() OVER (ORDER BY m DESC, user_id) > 50 AS evicted FROM (SELECT user_id, max(ts) AS m FROM events GROUP BY 1)")
@@ -272,10 +223,9 @@ def read_split(spark, sf):
     return A.split_brief(articles(spark, sf), marks).groupBy("section").agg(F.count("*").alias("n"))
 
 
-@over_texts
 @query("source_yield", f"""WITH {SQL_ARTICLES}, f AS (SELECT source, regexp_matches(title || ' ' || description, '{WORDS(NAMES)}') AS named, NOT regexp_matches(title, '{WORDS(COMMERCE)}') AS keep FROM a)
 SELECT *, floor(100 * kept / items + 0.5)::BIGINT AS pct FROM (SELECT source, count(*) AS items, count(*) FILTER (WHERE named) AS named, count(*) FILTER (WHERE named AND keep) AS kept FROM f GROUP BY 1)""")
-def source_yield(spark, sf, articles=articles):
+def source_yield(spark, sf):
     rows = articles(spark, sf).withColumn("list_ord", F.lit(0))
     return curation.source_yield(rows, text.contains_any(A.title_and_description(), NAMES), ~text.contains_any(F.col("title"), list(COMMERCE)))
 
@@ -294,9 +244,8 @@ def period_refresh(spark, sf):
     return load(spark, sf, "events").groupBy(dates.period_key(F.col("ts")).alias("period_key")).agg(F.count("*").alias("n"))
 
 
-@over_texts
 @query("verdict_cache_key", f"WITH {SQL_ARTICLES} SELECT link, 'v1:' || sha256(trim(regexp_replace(lower(title), '\\s+', ' ', 'g'))) AS key FROM a")
-def verdict_cache_key(spark, sf, articles=articles):
+def verdict_cache_key(spark, sf):
     return articles(spark, sf).select("link", text.cache_key(F.col("title")).alias("key"))
 
 
@@ -307,15 +256,21 @@ def page_text(spark, sf):
     return load(spark, sf, "pages").select("page_id", F.regexp_extract(html, "<title>([^<]*)</title>", 1).alias("title"), text.first_image(html).alias("first_img"), F.length(text.squash(F.regexp_replace(html, "<[^>]*>", " "))).alias("text_len"))
 
 
-@query("page_decoded")
+#: DuckDB's form of the references, the ampersand's last; the tables have none by number.
+SQL_DECODED = "trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+for _name, _char in text.ENTITIES.items():
+    if _name != "amp":
+        SQL_DECODED = f"replace({SQL_DECODED}, '&{_name};', '{_char.replace(chr(39), chr(39) * 2)}')"
+
+
+@query("page_decoded", f"SELECT page_id, length(replace({SQL_DECODED}, '&amp;', '&')) AS decoded_len FROM pages")
 def page_decoded(spark, sf):
     return load(spark, sf, "pages").select("page_id", F.length(text.strip_tags(F.col("html"))).alias("decoded_len"))
 
 
-@over_texts
 @query("truncated_teaser", f"""WITH {SQL_ARTICLES}, h AS (SELECT link, description AS t, substr(description, 1, 100) AS head FROM a)
 SELECT link, CASE WHEN length(t) <= 100 THEN t ELSE rtrim(CASE WHEN contains(head, ' ') AND length(head) - length(regexp_extract(head, ' ([^ ]*)$', 1)) - 1 > 50 THEN substr(head, 1, length(head) - length(regexp_extract(head, ' ([^ ]*)$', 1)) - 1) ELSE head END, ' ') || '…' END AS teaser FROM h""")
-def truncated_teaser(spark, sf, articles=articles):
+def truncated_teaser(spark, sf):
     return articles(spark, sf).select("link", text.truncated(F.col("description"), 100).alias("teaser"))
 
 
@@ -373,24 +328,14 @@ def coverage(spark, sf):
     return A.coverage(rows.where("tier = 1"), curated)
 
 
-@over_tables
-@query("review_audit", "SELECT coalesce(s.k, c.k) AS slug, s.k IS NOT NULL AS in_teams, c.k IS NOT NULL AS in_reviewed, CASE WHEN c.k IS NULL THEN 'unreviewed' WHEN s.k IS NULL THEN 'unknown team' END AS issue FROM (SELECT DISTINCT s_nationkey AS k FROM supplier) s FULL JOIN (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_nationkey % 2 = 0) c ON s.k = c.k")
-def review_audit(spark, sf, subset=subset):
-    return curation.review_state(load(spark, sf, "supplier").select(F.col("s_nationkey").alias("slug")), subset(load(spark, sf, "customer"), "c_nationkey % 2 = 0").select(F.col("c_nationkey").alias("slug")))
-
-
-@query("followed_ticker", """WITH g AS (SELECT o_orderkey AS id, o_custkey AS home, o_custkey + 1 AS away, o_orderdate AS kickoff, CASE o_orderstatus WHEN 'O' THEN 'pre' WHEN 'F' THEN 'post' ELSE 'in' END AS state FROM orders)
-SELECT id, state, CASE WHEN home % 10 = 0 THEN 'home' ELSE 'away' END AS followed_side FROM g WHERE home % 10 = 0 OR away % 10 = 0""")
-def followed_ticker(spark, sf):
-    o = load(spark, sf, "orders")
-    rows = o.select(F.lit("l").alias("league_id"), F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("home_id"), (F.col("o_custkey") + 1).alias("away_id"), F.when(F.col("o_orderstatus") == "O", "pre").when(F.col("o_orderstatus") == "F", "post").otherwise("in").alias("state"))
-    followed = rows.select("league_id", F.col("home_id").alias("team_id")).unionByName(rows.select("league_id", F.col("away_id").alias("team_id"))).where("team_id % 10 = 0").distinct()
-    return games.followed_games(rows, followed).select("id", "state", "followed_side")
+@query("review_audit", "SELECT coalesce(s.k, c.k) AS slug, s.k IS NOT NULL AS in_teams, c.k IS NOT NULL AS in_reviewed, CASE WHEN c.k IS NULL THEN 'unreviewed' WHEN s.k IS NULL THEN 'unknown team' END AS issue FROM (SELECT DISTINCT s_nationkey AS k FROM supplier) s FULL JOIN (SELECT DISTINCT c_nationkey AS k FROM customer ) c ON s.k = c.k")
+def review_audit(spark, sf):
+    return curation.review_state(load(spark, sf, "supplier").select(F.col("s_nationkey").alias("slug")), load(spark, sf, "customer").select(F.col("c_nationkey").alias("slug")))
 
 
-@query("followed_ticker_whole", """WITH g AS (SELECT o_orderkey AS id, o_custkey AS home, o_custkey + 1 AS away, CASE o_orderstatus WHEN 'O' THEN 'pre' WHEN 'F' THEN 'post' ELSE 'in' END AS state FROM orders)
+@query("followed_ticker", """WITH g AS (SELECT o_orderkey AS id, o_custkey AS home, o_custkey + 1 AS away, CASE o_orderstatus WHEN 'O' THEN 'pre' WHEN 'F' THEN 'post' ELSE 'in' END AS state FROM orders)
 SELECT id, state, CASE WHEN home IN (SELECT s_suppkey FROM supplier) THEN 'home' ELSE 'away' END AS followed_side FROM g WHERE home IN (SELECT s_suppkey FROM supplier) OR away IN (SELECT s_suppkey FROM supplier)""")
-def followed_ticker_whole(spark, sf):
+def followed_ticker(spark, sf):
     """Followed are the teams of a table, the suppliers."""
     o = load(spark, sf, "orders")
     rows = o.select(F.lit("l").alias("league_id"), F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("home_id"), (F.col("o_custkey") + 1).alias("away_id"), F.when(F.col("o_orderstatus") == "O", "pre").when(F.col("o_orderstatus") == "F", "post").otherwise("in").alias("state"))
@@ -411,6 +356,52 @@ def events_watermark(spark, sf):
     return e.groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
+@query("drive_outcomes", """WITH r AS (SELECT ['TD', 'touchdown', ' fg ', 'FIELD GOAL', 'MISSED FG', 'Blocked FG', 'FG MISSED', 'PUNT', 'BLOCKED PUNT', 'INT', 'FUMBLE LOST', 'TO', 'DOWNS', 'SAFETY', 'INT TD', 'BLOCKED FG TD', 'PUNT RETURN TD', 'END OF HALF', 'NEW', ''] AS results,
+  ['touchdown', 'touchdown', 'field_goal', 'field_goal', 'missed_kick', 'missed_kick', 'missed_kick', 'punt', 'punt', 'turnover', 'turnover', 'turnover', 'downs', 'safety', 'return_touchdown', 'return_touchdown', 'return_touchdown', 'period_end', 'other', 'other'] AS outcomes)
+SELECT o_orderkey, results[1 + o_orderkey % 20] AS result, outcomes[1 + o_orderkey % 20] AS outcome FROM orders, r""")
+def drive_outcomes(spark, sf):
+    results = ["TD", "touchdown", " fg ", "FIELD GOAL", "MISSED FG", "Blocked FG", "FG MISSED", "PUNT", "BLOCKED PUNT", "INT", "FUMBLE LOST", "TO", "DOWNS", "SAFETY", "INT TD", "BLOCKED FG TD", "PUNT RETURN TD", "END OF HALF", "NEW", ""]
+    result = F.get(F.array(*[F.lit(r) for r in results]), (F.col("o_orderkey") % 20).cast("int"))
+    return load(spark, sf, "orders").select("o_orderkey", result.alias("result"), games.outcome(result).alias("outcome"))
+
+
+@query("feed_dates", """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN o_orderdate WHEN 1 THEN o_orderdate + INTERVAL 5 HOURS WHEN 2 THEN date_trunc('minute', o_orderdate) WHEN 3 THEN o_orderdate - INTERVAL 2 HOURS END AS published FROM orders""")
+def feed_dates(spark, sf):
+    """Order dates as feeds write them: with a zone by name, as pages render them, with an offset; a day that isn't, and no date."""
+    at = F.col("o_orderdate").cast("timestamp")
+    form = lambda f: F.date_format(at, f)
+    rest = F.when(F.col("o_orderkey") % 6 == 4, F.concat(F.lit("Monday, February 30, "), form("yyyy"), F.lit(" - 09:00"))).otherwise(F.concat(F.lit("coming in "), form("MMMM")))
+    body = (
+        F.when(F.col("o_orderkey") % 6 == 0, form("yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(F.col("o_orderkey") % 6 == 1, form("EEE, d MMM yyyy HH:mm:ss 'EST'"))
+        .when(F.col("o_orderkey") % 6 == 2, form("EEEE, MMMM d, yyyy - HH:mm"))
+        .when(F.col("o_orderkey") % 6 == 3, form("dd MMM yyyy HH:mm:ss '+0200'"))
+        .otherwise(rest)
+    )
+    return load(spark, sf, "orders").select("o_orderkey", dates.feed_date(body).cast("timestamp_ntz").alias("published"))
+
+
+@query("catch_up", f"""WITH {SQL_PLAYS}, d AS (SELECT *, (pos - 1) // 4 AS drive_pos, max(pos) OVER (PARTITION BY game_id) AS final FROM p),
+m AS (SELECT game_id, min(pos) AS mpos, min((pos - 1) // 4) AS mdrive FROM d WHERE type = 'purchase' GROUP BY 1),
+x AS (SELECT d.*, mpos, mdrive FROM d LEFT JOIN m USING (game_id)),
+dr AS (SELECT game_id, drive_pos, any_value(mdrive) AS mdrive, any_value(mpos) AS mpos, max(pos) AS last_pos, any_value(final) AS final FROM x GROUP BY 1, 2),
+dn AS (SELECT game_id, count(*) FILTER (WHERE mdrive IS NULL OR drive_pos > mdrive OR (drive_pos = mdrive AND last_pos > mpos)) AS new_drives,
+  count(*) FILTER (WHERE drive_pos < mdrive OR (drive_pos = mdrive AND last_pos = mpos AND last_pos < final)) AS earlier_drives FROM dr GROUP BY 1),
+w AS (SELECT game_id, arg_max(home_win_pct, pos) FILTER (WHERE home_win_pct IS NOT NULL AND pos <= mpos) AS at_marker, arg_min(home_win_pct, pos) FILTER (WHERE home_win_pct IS NOT NULL) AS first_pct,
+  arg_max(home_win_pct, pos) FILTER (WHERE home_win_pct IS NOT NULL) AS to_pct, count(*) FILTER (WHERE mpos IS NULL OR pos > mpos) AS new_plays FROM x GROUP BY 1)
+SELECT game_id AS user_id, new_drives, earlier_drives, new_plays, round(coalesce(at_marker, first_pct), 9) AS from_pct, round(to_pct, 9) AS to_pct,
+  round(CASE WHEN new_plays > 0 THEN to_pct - coalesce(at_marker, first_pct) END, 9) AS swing FROM w JOIN dn USING (game_id)""")
+def catch_up(spark, sf):
+    """Users are games, four events a drive, the last one on the field; the marker is the first purchase."""
+    rows = plays(spark, sf).withColumns({"drive_pos": F.floor((F.col("pos") - 1) / 4), "home_score": F.lit(0), "away_score": F.lit(0), "period": F.lit(1)})
+    marker = rows.where("type = 'purchase'").groupBy("game_id").agg(F.min_by("play_id", "pos").alias("play_id"))
+    last = Window.partitionBy("game_id")
+    drives = rows.groupBy("game_id", F.col("drive_pos").alias("pos")).agg(F.max("pos").alias("last_pos")).withColumn("is_current", F.max("pos").over(last) == F.col("pos"))
+    parts = games.split_drives(drives, rows, marker).groupBy("game_id").agg(F.count_if(F.col("part") == "new").alias("new_drives"), F.count_if(F.col("part") == "earlier").alias("earlier_drives"))
+    r = lambda c: F.round(c, 9).alias(c)
+    return games.swings(rows, marker).join(parts, "game_id").select(F.col("game_id").alias("user_id"), "new_drives", "earlier_drives", "new_plays", r("from_pct"), r("to_pct"), r("swing"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
@@ -424,3 +415,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.naming(articles(spark, sf_dir), NAMES).withColumn("list_ord", F.lit(0))
     rows = A.first_of_each(rows.where(A.off_topic_reason(COMMERCE, INSTITUTIONAL, ATHLETIC).isNull()))
     return rows.where(A.within_week(F.col("published").cast("timestamp"), now().cast("timestamp"))).orderBy(*A.newest_first()).select("link", "title", "published")
+
+
+from . import bodies  # noqa: E402, F401  (registers its queries)

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from newsloom.plans import views
+from newsloom.plans import registry, views
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -39,35 +39,19 @@ def test_entry(spark):
     assert rows.columns == ["link", "title", "published"] and rows.count() > 0
 
 
-@pytest.mark.parametrize("name", ["cluster_rollup", "balanced_feed", "visible_colours", "page_decoded"])
+@pytest.mark.parametrize("name", ["cluster_rollup", "balanced_feed", "visible_colours"])
 def test_queries_without_a_twin_run(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
 
 
-def test_whole_articles_cut_nothing(spark):
-    """Title and description are the text, and a word far behind in it is found."""
-    rows = {r.pos: r for r in views.whole_articles(spark, SF).collect()}
+def test_articles_cut_nothing(spark):
+    """Title and description are the text."""
+    rows = {r.pos: r for r in views.articles(spark, SF).collect()}
     texts = {r.doc_id: r.text for r in views.load(spark, SF, "documents").where("text IS NOT NULL AND doc_id IS NOT NULL").collect()}
     assert max(map(len, texts.values())) > 10_000
     assert {k: r.title + ("\n" + r.description if "\n" in texts[k] else "") for k, r in rows.items()} == texts
-    found, cut = ({r.link for r in entry.queries()[name](spark, SF).collect()} for name in ("name_filter_whole", "name_filter"))
-    assert cut < found
 
 
-def test_whole_names_are_registered():
-    texts = "name_filter name_filter_by_table off_topic_filter other_sport_filter title_tokens idf_weights upper_median pair_score cluster_rollup claim_type team_tag player_match source_yield verdict_cache_key truncated_teaser"
-    for name in texts.split():
-        assert f"{name}_whole" in entry.queries() and (name in entry.oracle_sql()) == (f"{name}_whole" in entry.oracle_sql())
-        assert entry.oracle_sql().get(name, "") != entry.oracle_sql().get(f"{name}_whole", None)
-
-
-@pytest.mark.parametrize("name", ["dedupe_first", "leader_boards", "schedule_odds", "retention_merge", "review_audit", "followed_ticker"])
-def test_whole_tables_have_no_subsets(name):
-    conditions = r"WHERE (pos|\w+key|home|away) % \d+ = 0"
-    assert re.search(conditions, entry.oracle_sql()[name]) and not re.search(conditions, entry.oracle_sql()[f"{name}_whole"])
-
-
-def test_dedupe_takes_all_documents(spark):
-    rows = entry.queries()["dedupe_first_whole"](spark, SF).collect()
-    texts = views.load(spark, SF, "documents").where("text IS NOT NULL AND doc_id IS NOT NULL")
-    assert {r.link for r in rows} == {f"doc:{r.doc_id}" for r in texts.collect()}
+def test_no_twin_reads_a_subset():
+    for name, sql in registry.oracle_sql().items():
+        assert not re.search(r"WHERE (pos|\w+key|home|away|doc_id) % \d+ = 0", sql), name
