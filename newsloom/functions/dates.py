@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+MONTHS = "january february march april may june july august september october november december".split()
 #: Hours that the named zones of feed dates are behind UTC.
 ZONES = {"gmt": 0, "utc": 0, "ut": 0, "z": 0, "est": 5, "edt": 4, "cst": 6, "cdt": 5, "mst": 7, "mdt": 6, "pst": 8, "pdt": 7}
 FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mmXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
 RFC822 = r"(?i)^\s*(?:[a-z]{3,9},?\s+)?(\d{1,2})\s+([a-z]{3})[a-z]*\.?\s+(\d{4})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([a-z]{1,3}|[+-]\d{2}:?\d{2})?\s*$"
-RENDERED = r"(?i)^\s*(?:[a-z]{3,9},?\s+)?([a-z]{3})[a-z]*\.?\s+(\d{1,2}),?\s+(\d{4})(?:\s+(?:at\s+)?(\d{1,2}):(\d{2})\s*([ap])\.?m\.?)?\s*$"
+#: As some pages render it: weekday (it may be missing), month, day and year, a hyphen, hours and minutes.
+RENDERED = r"(?i)^\s*(?:[a-z]+,\s*)?([a-z]+)\s+(\d{1,2}),\s*(\d{4})\s*-\s*(\d{1,2}):(\d{2})\s*$"
 
 
 def _month(name: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.left(name, F.lit(3)))).cast("int")
+    """The number of a month by its three first letters."""
+    return F.array_position(F.array(*[F.lit(m[:3]) for m in MONTHS]), F.lower(F.left(name, F.lit(3)))).cast("int")
 
 
 def _made(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column) -> Column:
@@ -35,9 +37,8 @@ def feed_date(text: Column) -> Column:
     second = F.coalesce(F.nullif(g(6), F.lit("")), F.lit("0"))
     rfc = F.when(text.rlike(RFC822), _made(g(3), _month(g(2)), g(1), g(4), g(5), second) + F.make_interval(mins=offset))
     r = lambda n: F.regexp_extract(text, RENDERED, n)
-    hour = F.coalesce(r(4).try_cast("int"), F.lit(0))
-    hour = F.when(F.lower(r(6)) == "p", hour % 12 + 12).when(F.lower(r(6)) == "a", hour % 12).otherwise(hour)
-    rendered = F.when(text.rlike(RENDERED), _made(r(3), _month(r(1)), r(2), hour, F.coalesce(r(5).try_cast("int"), F.lit(0)), F.lit(0)))
+    whole = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(r(1))).cast("int")
+    rendered = F.when(text.rlike(RENDERED) & (whole > 0), _made(r(3), whole, r(2), r(4), r(5), F.lit(0)))
     return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)) for f in FORMATS], rfc, rendered)
 
 

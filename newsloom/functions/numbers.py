@@ -110,12 +110,12 @@ def legible(colours: np.ndarray, ground: np.ndarray, ratio: float) -> np.ndarray
     chroma, hue = np.hypot(lab[:, 1], lab[:, 2]), np.arctan2(lab[:, 2], lab[:, 1])
     enough = lambda rgb: (np.maximum(_luminance(rgb), base) + 0.05) / (np.minimum(_luminance(rgb), base) + 0.05) >= ratio
     near, far = lab[:, 0].copy(), np.full(len(lab), 1.0 if base < 0.18 else 0.0)
+    painted = lambda l: np.round(_gamma(_in_gamut(l, chroma, hue)).clip(0, 1) * 255) / 255  # noqa: E731  (what is looked at has 8 bits a channel)
     for _ in range(24):
         mid = (near + far) / 2
-        ok = enough(_in_gamut(mid, chroma, hue))
+        ok = enough(_linear(painted(mid)))
         near, far = np.where(ok, near, mid), np.where(ok, mid, far)
-    moved = _gamma(_in_gamut(far, chroma, hue))
-    return np.where(enough(_linear(colours))[:, None], colours, moved)
+    return np.where(enough(_linear(colours))[:, None], colours, painted(far))
 
 
 def visible_on(colour: Column, ground: str, ratio: float = 3.0) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html as html_entities
 import re
 
 import pandas as pd
@@ -11,8 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from newsloom.config import LABEL_PREFIXES, STOPWORDS
-
 WORD_CHAR = "[A-Za-z0-9_]"
 #: White space as feeds use it: also no-break space, which Java's class leaves out.
 BLANK = r"[\s ﻿]"
@@ -55,10 +52,23 @@ def blank_to_null(text: Column) -> Column:
     return F.nullif(squash(text), F.lit(""))
 
 
+# The character references by name that feeds are decoded by; others stay as they are.
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "mdash": "\u2014", "ndash": "\u2013", "rsquo": "\u2019", "lsquo": "\u2018", "rdquo": "\u201d", "ldquo": "\u201c"}
+REFERENCE = re.compile(r"&(?:#(\d+)|#x([0-9a-f]+)|([a-z]+));", re.IGNORECASE | re.ASCII)
+
+
+def decoded(m: re.Match) -> str:
+    """What a reference stands for; itself if it is none."""
+    if m[3]:
+        return ENTITIES.get(m[3].lower(), m[0])
+    code = int(m[1]) if m[1] else int(m[2], 16)
+    return chr(code) if code < 0xD800 or 0xDFFF < code <= 0x10FFFF else m[0]
+
+
 @pandas_udf(StringType())
 def decode_entities(text: pd.Series) -> pd.Series:
-    """Character references by name, decimal and hexadecimal number."""
-    return text.map(html_entities.unescape, na_action="ignore")
+    """Character references by name, decimal and hexadecimal number, each once."""
+    return text.map(lambda x: REFERENCE.sub(decoded, x), na_action="ignore")
 
 
 def strip_tags(body: Column) -> Column:
@@ -82,21 +92,22 @@ def singular(token: Column) -> Column:
     )
 
 
-def title_tokens(title: Column, source: Column | None = None, stopwords: list[str] | None = None) -> Column:
-    """Distinct-order tokens of a title: folded, without label prefix and the source's own signature.
+def title_tokens(title: Column, source: Column | None = None, stopwords=(), prefixes=()) -> Column:
+    """Tokens of a title: folded, without label prefix and the source's own signature.
 
     Tokens of one character and stopwords are dropped before plurals are folded.
     """
     folded = F.lower(title)
-    folded = F.regexp_replace(F.regexp_replace(folded, "[‘’ʼ]", "'"), "[–—]", "-")
-    folded = F.regexp_replace(folded, "[“”]", '"')
-    folded = F.regexp_replace(folded, prefix_of(list(LABEL_PREFIXES)), "")
+    folded = F.regexp_replace(F.regexp_replace(folded, "[\u2018\u2019\u02bc]", "'"), "[\u2013\u2014]", "-")
+    folded = F.regexp_replace(folded, "[\u201c\u201d]", '"')
+    if prefixes:
+        folded = F.regexp_replace(folded, prefix_of(list(prefixes)), "")
     if source is not None:
         own = F.concat(F.lit(" - "), F.lower(source))
         folded = F.when(folded.endswith(own), F.left(folded, F.length(folded) - F.length(own))).otherwise(folded)
     plain = F.regexp_replace(F.regexp_replace(folded, r"'s(?![a-z0-9])", ""), r"[^\p{L}\p{N}-]+", " ")
     tokens = F.transform(F.split(plain, " +"), lambda t: F.regexp_replace(t, "^-+|-+$", ""))
-    tokens = F.filter(tokens, lambda t: (F.length(t) > 1) & ~t.isin(*(stopwords if stopwords is not None else STOPWORDS)))
+    tokens = F.filter(tokens, lambda t: (F.length(t) > 1) & ~t.isin(*stopwords) if stopwords else F.length(t) > 1)
     return F.transform(tokens, singular)
 
 
@@ -182,7 +193,42 @@ def favorite_parts(key: Column) -> Column:
     return F.struct(F.get(parts, F.lit(0)).alias("league_id"), F.get(parts, F.lit(1)).alias("team_id"))
 
 
+#: Formations that a play's text may begin with.
+FORMATIONS = ("no huddle", "shotgun", "pistol", "under center")
+
+
 def play_text(text: Column) -> Column:
-    """A play's text without clock notes, doubled spaces and spaces before punctuation."""
-    out = F.regexp_replace(text, r"\([0-9]{1,2}:[0-9]{2}[^)]*\)", " ")
-    return F.regexp_replace(squash(out), r" +([.,;:])", "$1")
+    """A play's text without the formations in parentheses at its start and the names of tacklers at its end; other parentheses stay."""
+    names = "|".join(FORMATIONS)
+    out = F.regexp_replace(text, rf"(?i)^\s*\((?:{names})(?:,\s*(?:{names}))*\)\s*", "")
+    out = F.regexp_replace(out, r"\s*\([A-Z][A-Za-z'-]*\.[^()]*\)\.?\s*$", ".")
+    return F.trim(F.regexp_replace(out, r"\.\.$", "."))
+
+
+def migrated_favorites(entries: Column, fallback_league: str) -> Column:
+    """Stored favourites as keys: blanks and nulls dropped, bare ids under the fallback league, each key once, in order."""
+    bare = lambda x: ~x.rlike("^[^:]+:.+$")
+    kept = F.filter(F.transform(entries, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    return F.array_distinct(F.transform(kept, lambda x: F.when(bare(x), F.concat(F.lit(f"{fallback_league}:"), x)).otherwise(x)))
+
+
+def site_path(sport: Column, league_path: Column) -> Column:
+    return F.concat_ws("/", sport, league_path)
+
+
+def core_path(sport: Column, league_path: Column) -> Column:
+    return F.concat_ws("/", sport, F.lit("leagues"), league_path)
+
+
+def entity_key(sport: Column, league_path: Column, entity_id: Column) -> Column:
+    """Identifiers are unique within a sport only."""
+    return F.concat_ws(":", site_path(sport, league_path), entity_id)
+
+
+def pool_key(league_id: Column, sport: Column, league_path: Column, team_id: Column) -> Column:
+    return F.concat_ws(":", league_id, entity_key(sport, league_path, team_id))
+
+
+def board_filter(group: Column) -> Column:
+    """The query of a scoreboard: by group, or none."""
+    return F.coalesce(F.concat(F.lit("?groups="), group.cast("string")), F.lit(""))

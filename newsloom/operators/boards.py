@@ -13,22 +13,26 @@ def surname(name: Column) -> Column:
 
 
 def with_surname_safety(roster: DataFrame) -> DataFrame:
-    """roster with matches_surname: one player of the team bears the surname, and it has five letters or more."""
-    bearers = F.count("*").over(Window.partitionBy("team_id", surname(F.col("full_name"))))
-    return roster.withColumn("matches_surname", (bearers == 1) & (F.length(surname(F.col("full_name"))) >= 5))
+    """roster with matches_surname: one player of the team bears the surname (last_name, or the last word of full_name)."""
+    name = F.lower("last_name") if "last_name" in roster.columns else surname(F.col("full_name"))
+    bearers = F.count("*").over(Window.partitionBy("team_id", name))
+    return roster.withColumn("matches_surname", bearers == 1)
 
 
 def leader_boards(leaders: DataFrame, roster: DataFrame, categories: list[str] | None = None, top: int = TOP) -> DataFrame:
-    """Leaders on the roster, the first ``top`` of each category after the join; categories in the order given,
-    or as they come first. leaders: team_id, category, title, athlete_id, rank."""
+    """Leaders on the roster, the first ``top`` of each category after the join; board is the category's place in the order given,
+    else in the order of its best rank and then of the list (column pos). leaders: team_id, category, title, athlete_id, rank, pos."""
     players = with_surname_safety(roster).select("team_id", F.col("id").alias("athlete_id"), "full_name", "matches_surname")
-    rows = leaders.join(players, ["team_id", "athlete_id"])
     if categories is not None:
-        rows = rows.where(F.col("category").isin(categories)).withColumn("board", F.array_position(F.array(*[F.lit(c) for c in categories]), F.col("category")))
+        named = F.array_position(F.array(*[F.lit(c) for c in categories]), F.col("category"))
+        rows = leaders.where(F.col("category").isin(categories)).withColumn("board", named)
     else:
-        rows = rows.withColumn("board", F.min("rank").over(Window.partitionBy("team_id", "category")))
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("team_id", "category").orderBy("rank", "athlete_id"))).where(F.col("place") <= top)
-    return rows.withColumn("title", F.regexp_replace("title", r"(?i)\s+(?:leaders?|per game)$", ""))
+        first = leaders.groupBy("team_id", "category").agg(F.min(F.struct("rank", "pos")).alias("_first"))
+        order = Window.partitionBy("team_id").orderBy("_first", "category")
+        rows = leaders.join(first.withColumn("board", F.row_number().over(order).cast("long")).drop("_first"), ["team_id", "category"])
+    place = F.row_number().over(Window.partitionBy("team_id", "category").orderBy("rank", "pos", "athlete_id"))
+    rows = rows.join(players, ["team_id", "athlete_id"]).withColumn("place", place).where(F.col("place") <= top)
+    return rows.withColumn("title", F.regexp_replace("title", " Leader$", ""))
 
 
 def stat_rows(categories: DataFrame) -> DataFrame:

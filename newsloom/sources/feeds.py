@@ -23,7 +23,8 @@ MEDIA = "array<struct<_url: string, _type: string>>"
 RSS = f"channel struct<item: array<struct<guid: {TEXT}, title: string, link: string, description: string, pubDate: string, `dc:creator`: string, author: string, source: struct<_VALUE: string, _url: string>, enclosure: {MEDIA}, `media:content`: {MEDIA}, `media:thumbnail`: {MEDIA}, `content:encoded`: string>>>"
 ATOM = f"entry array<struct<id: string, title: {TEXT}, link: array<struct<_rel: string, _href: string>>, published: string, updated: string, summary: {TEXT}, content: {TEXT}, author: array<struct<name: string>>, `media:thumbnail`: {MEDIA}>>"
 SITEMAP = "url array<struct<loc: string, `news:news`: struct<`news:title`: string, `news:publication_date`: string>, `image:image`: array<struct<`image:loc`: string>>>>"
-SPORTS_PATH = r"(?i)/(?:sports?|athletics|football|basketball)(?:/|$)"
+#: A fixed value: the path segment that tells sports stories.
+SPORTS_PATH = "/sports/"
 ARTICLE = ("source", "id", "title", "link", "description", "author", "published", "image_url", "tier", "reach", "scope", "pos")
 
 

@@ -56,9 +56,10 @@ def roster(bodies: DataFrame) -> DataFrame:
 
 def leaders(bodies: DataFrame) -> DataFrame:
     """Category by leader; the rank is the place in the list, before rows without an athlete are dropped."""
-    c = bodies.select("team_id", F.explode(items(root(), "$.categories")).alias("c")).select("team_id", text_at(F.col("c"), "$.name").alias("category"), text_at(F.col("c"), "$.displayName").alias("title"), F.posexplode(items(F.col("c"), "$.leaders")).alias("pos", "l"))
+    c = bodies.select("team_id", F.posexplode(items(root(), "$.categories")).alias("cat", "c"))
+    c = c.select("team_id", "cat", text_at(F.col("c"), "$.name").alias("category"), text_at(F.col("c"), "$.displayName").alias("title"), F.posexplode(items(F.col("c"), "$.leaders")).alias("at", "l"))
     athlete = F.nullif(F.regexp_extract(text_at(F.col("l"), "$.athlete['$ref']"), r"/athletes/([0-9]+)", 1), F.lit(""))
-    return c.select("team_id", "category", F.coalesce("title", "category").alias("title"), athlete.alias("athlete_id"), text_at(F.col("l"), "$.displayValue").alias("display_value"), (F.col("pos") + 1).alias("rank")).where("athlete_id IS NOT NULL AND category IS NOT NULL")
+    return c.select("team_id", "category", F.coalesce("title", "category").alias("title"), athlete.alias("athlete_id"), text_at(F.col("l"), "$.displayValue").alias("display_value"), (F.col("at") + 1).alias("rank"), F.struct("cat", "at").alias("pos")).where("athlete_id IS NOT NULL AND category IS NOT NULL")
 
 
 def player_stats(bodies: DataFrame, season: int) -> DataFrame:
@@ -184,6 +185,23 @@ def stored_articles(bodies: DataFrame) -> DataFrame:
     return rows.where("link IS NOT NULL AND title IS NOT NULL AND first_seen IS NOT NULL")
 
 
+def stored_index(bodies: DataFrame) -> DataFrame:
+    """Stored JSON indexes of teams (body) to key and last_used_at; entries without either are dropped."""
+    return _entries(bodies, "key", "lastUsedAt").toDF("key", "last_used_at")
+
+
+def stored_marks(bodies: DataFrame) -> DataFrame:
+    """Stored JSON lists of read marks (body) to link and read_at; entries without either are dropped."""
+    return _entries(bodies, "link", "readAt").toDF("link", "read_at")
+
+
+def _entries(bodies: DataFrame, name: str, at: str) -> DataFrame:
+    e = bodies.select(F.explode(items(root(), "$")).alias("e"))
+    string = lambda p: F.when(F.schema_of_variant(F.try_variant_get("e", p, "variant")) == "STRING", text_at(F.col("e"), p))
+    rows = e.select(string(f"$.{name}").alias("name"), string(f"$.{at}").alias("at"))
+    return rows.where("name IS NOT NULL AND at IS NOT NULL").select("name", feed_date(F.col("at")).alias("at"))
+
+
 def worksheet(texts: DataFrame) -> DataFrame:
     """Answers of worksheets (column text): one row per block that begins with ##, key and value per '- key: value' line."""
     block = texts.select(F.posexplode(F.slice(F.split("text", r"(?m)^## +"), F.lit(2), F.lit(1 << 20))).alias("pos", "b"))

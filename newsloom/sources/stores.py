@@ -22,9 +22,9 @@ def clear(spark: SparkSession, path: str) -> int:
 
 
 def upserted(table: DataFrame, changes: DataFrame, key: str, at: str = "at") -> DataFrame:
-    """A keyed table with changes: the latest row of each key."""
-    both = table.select(*changes.columns).unionByName(changes)
-    latest = F.max_by(F.struct(*changes.columns), F.col(at)).alias("r")
+    """A keyed table with changes: the latest row of each key, of equal times the change, of several any one, but the same each time."""
+    both = table.select(*changes.columns, F.lit(0).alias("_new")).unionByName(changes.withColumn("_new", F.lit(1)))
+    latest = F.max_by(F.struct(*changes.columns), F.struct(F.col(at).isNotNull(), at, "_new", F.xxhash64(*changes.columns))).alias("r")
     return both.groupBy(key).agg(latest).select("r.*")
 
 
