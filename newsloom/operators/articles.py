@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom import config
 from newsloom.functions import text as T
 
+from .order import numbered
+
 WEEK = 7 * 86400
+PRICE_OFF = r"(?i)(?:\$[0-9]+|[0-9]+%) off"
 KEEP, TEAMS, MARKS = 60, 50, 500
 
 
@@ -25,26 +27,31 @@ def naming(articles: DataFrame, names: list[str]) -> DataFrame:
 
 
 def naming_any(articles: DataFrame, names: DataFrame, by: str = "name") -> DataFrame:
-    """The same for a table of names: single words meet by equi-join, of a size checked for the other names."""
-    words = F.array_distinct(F.split(F.lower(title_and_description()), "[^a-z0-9_]+"))
-    single = names.select(F.lower(by).alias("word")).where("word RLIKE '^[a-z0-9_]+$'").distinct()
-    phrases = [r[0] for r in names.where(f"NOT lower({by}) RLIKE '^[a-z0-9_]+$'").select(by).distinct().orderBy(by).limit(10_001).collect()]
-    if len(phrases) > 10_000:
-        raise ValueError("more than 10,000 names of several words")
-    hits = articles.select("link", F.explode(words).alias("word")).join(single, "word", "left_semi").select("link").distinct()
-    found = articles.join(hits, "link", "left_semi")
-    rest = articles.where(T.contains_any(title_and_description(), phrases)) if phrases else articles.limit(0)
-    return found.unionByName(rest).dropDuplicates(["link"])
-
-
-def off_topic_reason(commerce=config.COMMERCE, institutional=config.INSTITUTIONAL, athletic=config.ATHLETIC) -> Column:
-    """Why an article is off topic: commerce in title or description, or institutional in an unathletic title; else null."""
-    sells = lambda c: T.contains_any(c, list(commerce)) | F.coalesce(c, F.lit("")).rlike(config.PRICE_OFF)
+    """The same for a table of names of any size: a name's first word meets the words of texts by equi-join, then the name is looked for.
+
+    Each row stays as it is, whatever its link. Names without a letter or digit of ASCII match nothing.
+    """
+    first = lambda c: F.get(F.filter(F.split(F.lower(c), "[^a-z0-9_]+"), lambda x: x != ""), F.lit(0))
+    wanted = names.select(F.col(by).alias("_name")).where("_name IS NOT NULL").distinct().withColumn("_word", first(F.col("_name"))).where("_word IS NOT NULL")
+    key = lambda: F.struct(F.xxhash64(title_and_description()), F.xxhash64(F.lit(1), title_and_description()))
+    texts = articles.select(key().alias("_key"), title_and_description().alias("_text"))
+    words = F.explode(F.array_distinct(F.split(F.lower("_text"), "[^a-z0-9_]+")))
+    edge = lambda c, place: F.when(c.rlike(f"^{T.WORD_CHAR}"), place[0]).otherwise(place[1])
+    start = edge(F.left("_name", F.lit(1)), (f"(?<!{T.WORD_CHAR})", f"(?<={T.WORD_CHAR})"))
+    end = edge(F.right("_name", F.lit(1)), (f"(?!{T.WORD_CHAR})", f"(?={T.WORD_CHAR})"))
+    pattern = F.concat(F.lit("(?iu)"), start, F.lit("\\Q"), F.col("_name"), F.lit("\\E"), end)
+    hits = texts.select("_key", "_text", words.alias("_word")).join(wanted, "_word").where(F.rlike("_text", pattern)).select("_key").distinct()
+    return articles.withColumn("_key", key()).join(hits, "_key", "left_semi").drop("_key")
+
+
+def off_topic_reason(commerce=(), institutional=(), athletic=()) -> Column:
+    """Why an article is off topic: commerce (a term, or a price or share off) in title or description, or institutional in an unathletic title; else null."""
+    sells = lambda c: T.contains_any(c, list(commerce)) | F.coalesce(c, F.lit("")).rlike(PRICE_OFF)
     title, description = F.col("title"), F.col("description")
     return F.when(sells(title) | sells(description), F.lit("commerce")).when(T.contains_any(title, list(institutional)) & ~T.contains_any(title, list(athletic)), F.lit("institutional"))
 
 
-def other_sport(own: str, sports: dict = config.SPORTS) -> Column:
+def other_sport(own: str, sports: dict) -> Column:
     """The first other sport an article is about, if its title and link don't have a term of its own; else null."""
     if own not in sports:
         return F.lit(None).cast("string")
@@ -106,8 +113,14 @@ def with_verdicts(articles: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def unanswered(articles: DataFrame, verdicts: DataFrame, size: int = 100) -> DataFrame:
     """Titles without a verdict, in batches; titles are cut at 500 characters."""
-    misses = articles.select(T.cache_key(F.col("title")).alias("key"), F.substring("title", 1, 500).alias("title")).join(verdicts, "key", "left_anti").dropDuplicates(["key"])
-    return misses.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("key")) - 1) / size))
+    misses = articles.select(T.cache_key(F.col("title")).alias("key"), F.substring("title", 1, 500).alias("title")).join(verdicts, "key", "left_anti")
+    misses = misses.groupBy("key").agg(F.min("title").alias("title"))
+    return numbered(misses, F.asc("key")).withColumn("batch", F.floor(F.col("rank") / size)).drop("rank")
+
+
+def answered(articles: DataFrame, verdicts: DataFrame, calls_left: int, size: int = 100) -> DataFrame:
+    """unanswered() with degraded: true for batches beyond the calls that are left, which get no verdict."""
+    return unanswered(articles, verdicts, size).withColumn("degraded", F.col("batch") >= calls_left)
 
 
 def merged_with_stored(fresh: DataFrame, stored: DataFrame, now: Column, keep: int = KEEP) -> DataFrame:
@@ -127,9 +140,10 @@ def next_store(merged: DataFrame, keep: int = KEEP) -> DataFrame:
 
 
 def least_recent(uses: DataFrame, key: str = "team", keep: int = TEAMS) -> DataFrame:
-    """Each key with its last use, and whether it falls out of the ``keep`` used last."""
+    """Each key with its last use, and whether it falls out of the ``keep`` used last, which are broadcast."""
     last = uses.groupBy(key).agg(F.max("used_at").alias("last_used_at"))
-    return last.withColumn("evicted", F.row_number().over(Window.orderBy(F.desc("last_used_at"), key)) > keep)
+    stay = last.orderBy(F.desc("last_used_at"), key).limit(keep).select(key, F.lit(False).alias("evicted"))
+    return last.join(F.broadcast(stay), key, "left").withColumn("evicted", F.coalesce("evicted", F.lit(True)))
 
 
 def read_marks(marks: DataFrame, now: Column, keep: int = MARKS) -> DataFrame:
@@ -198,13 +212,35 @@ def toggled(keys: Column, key: Column) -> Column:
     return F.when(F.array_contains(keys, key), F.array_remove(keys, key)).otherwise(F.array_append(keys, key))
 
 
-def team_pool(groups: list[tuple[DataFrame, list[str] | None]], own_sport: str, verdicts: DataFrame | None = None) -> DataFrame:
+def rejected(before: DataFrame, after: DataFrame, key: str = "link") -> DataFrame:
+    """What a filter took out: the rows of before whose link isn't in after."""
+    return before.join(after.select(key).distinct(), key, "left_anti")
+
+
+def team_pool(groups: list[tuple[DataFrame, list[str] | None]], own_sport: str, verdicts: DataFrame | None = None, off_topic: Column | None = None, sports: dict | None = None) -> DataFrame:
     """The pool of a team: groups of articles, each with the names that one must have (None: taken whole), in order.
 
-    First by link, on topic, of the own sport, not dropped by a verdict; newest first is for the reader.
+    First by link, on topic, of the own sport, not dropped by a verdict; sorted by newest_first() for the reader.
     """
     lists = [rows if names is None else naming(rows, names) for rows, names in groups]
-    pool = first_of_each(union_lists(lists)).where(off_topic_reason().isNull()).where(other_sport(own_sport).isNull())
+    reason = off_topic_reason() if off_topic is None else off_topic
+    pool = first_of_each(union_lists(lists)).where(reason.isNull()).where(other_sport(own_sport, sports or {}).isNull())
     if verdicts is None:
         return pool
     return with_verdicts(pool, verdicts).where(relevant(F.lit(own_sport))).drop("verdict")
+
+
+def pool_groups(news: DataFrame, sites: DataFrame, local: DataFrame, national: DataFrame, names: list[str], nicknames: list[str]) -> list[tuple[DataFrame, list[str] | None]]:
+    """The four groups of a team's pool in order: its news by name, its own sites whole, local sources by name and nickname, the national pool by name."""
+    return [(news, names), (sites, None), (local, names + nicknames), (national, names)]
+
+
+def national_pool(feeds: DataFrame, news: DataFrame) -> DataFrame:
+    """Feeds before JSON news, each link once."""
+    return first_of_each(union_lists([feeds, news]))
+
+
+def multi_team_feed(pools: list[tuple[dict, DataFrame]]) -> DataFrame:
+    """The pools of several teams (team_id, team_name, league_id), each story once, credited to the team listed first."""
+    tagged = [rows.withColumns({k: F.lit(team[k]) for k in ("team_id", "team_name", "league_id")}) for team, rows in pools]
+    return first_of_each(union_lists(tagged))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom import config
 from newsloom.functions import text as T
 
-LEXICON = {"takes": config.TAKES, "evaluative": config.EVALUATIVE, "completed": config.COMPLETED, "rumors": config.RUMORS, "service": config.SERVICE}
+#: The lists of phrases that a lexicon has; callers bring them.
+LISTS = ("takes", "evaluative", "completed", "rumors", "service")
 
 
-def features(lexicon: dict = LEXICON) -> dict[str, Column]:
+def features(lexicon: dict) -> dict[str, Column]:
     """Boolean columns that the label is decided by; quoted passages count only where said."""
     title = F.coalesce("title", F.lit(""))
     bare, description = T.strip_quotes(title), F.coalesce("description", F.lit(""))
@@ -25,7 +25,7 @@ def features(lexicon: dict = LEXICON) -> dict[str, Column]:
     }
 
 
-def local_claim(lexicon: dict = LEXICON) -> Column:
+def local_claim(lexicon: dict) -> Column:
     """struct(type, basis): a take, else completed and unjudged, else a rumor, else a question, else reported by default."""
     f = features(lexicon)
     label = lambda kind, basis="evidence": F.struct(F.lit(kind).alias("type"), F.lit(basis).alias("basis"))
@@ -34,7 +34,7 @@ def local_claim(lexicon: dict = LEXICON) -> Column:
     )
 
 
-def merged_claim(remote: Column, lexicon: dict = LEXICON) -> Column:
+def merged_claim(remote: Column, lexicon: dict) -> Column:
     """Local evidence wins, else the remote label, else unlabeled."""
     local = local_claim(lexicon)
     return F.when(local["basis"] == "evidence", local["type"]).otherwise(F.coalesce(remote, F.lit("unlabeled")))

@@ -7,21 +7,33 @@ the pairs it may, and they are gone. That fold runs per connected component of a
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom import config
 from newsloom.functions import text as T
 from newsloom.shared import stored
+
 from .components import components
+from .order import numbered
 
 WINDOW_HOURS, SIMILAR, RARE_SHARE, FEWEST, FLOOR, MOST_ROWS = 36, 0.55, 0.5, 15, 0.05, 1500
 
 
-def tokens_of(articles: DataFrame) -> DataFrame:
+class Words(NamedTuple):
+    """What callers know of a language: stopwords, labels before a colon, and pairs of terms that can't be one story."""
+
+    stopwords: tuple = ()
+    prefixes: tuple = ()
+    opposed: tuple = ()
+
+
+def tokens_of(articles: DataFrame, words: Words = Words()) -> DataFrame:
     """feed, link, token: distinct tokens of each title."""
-    return articles.select("feed", "link", F.explode(F.array_distinct(T.title_tokens(F.col("title"), F.col("source")))).alias("token"))
+    tokens = T.title_tokens(F.col("title"), F.col("source"), words.stopwords, words.prefixes)
+    return articles.select("feed", "link", F.explode(F.array_distinct(tokens)).alias("token"))
 
 
 def weights_of(tokens: DataFrame) -> DataFrame:
@@ -40,7 +52,7 @@ def upper_median(weights: DataFrame) -> DataFrame:
     return ranked.where("upto > half AND upto - c <= half").select("feed", F.when(F.col("n") >= FEWEST, F.col("weight")).alias("median"))
 
 
-def opposed(a: Column, b: Column, terms=config.OPPOSED) -> Column:
+def opposed(a: Column, b: Column, terms=()) -> Column:
     """Does one side have one term of a pair and the other side the other; a side with both doesn't count."""
     only = lambda side, x, y: F.array_contains(side, x) & ~F.array_contains(side, y)
     out = F.lit(False)
@@ -49,34 +61,48 @@ def opposed(a: Column, b: Column, terms=config.OPPOSED) -> Column:
     return out
 
 
-def pair_scores(articles: DataFrame) -> DataFrame:
-    """feed, anchor, link, shared, rare_shared, rare_least, dice: pairs of dated titles with a token in common, newer first."""
-    tokens = tokens_of(articles)
+def pair_scores(articles: DataFrame, words: Words = Words(), least_shared: int = 3) -> DataFrame:
+    """feed, anchor, link, shared, rare_shared, rare_least, dice: pairs of dated titles, newer first, with ``least_shared`` tokens in common or two rare ones.
+
+    Such a pair shares a token that is not among the last ``least_shared - 1`` of either title, tokens put in order of their
+    number of titles and then of the token; or a rare token. So titles meet by those tokens only, and common ones, which very
+    many titles have, bring no pairs together on their own. All that a pair shares is then counted from the two titles.
+    """
+    tokens = tokens_of(articles, words)
     weights = weights_of(tokens)
-    rare = weights.join(upper_median(weights), "feed").select("feed", "token", "weight", F.coalesce(F.col("weight") >= F.col("median"), F.lit(False)).alias("rare"))
+    rare = weights.join(upper_median(weights), "feed").select("feed", "token", "df", "weight", F.coalesce(F.col("weight") >= F.col("median"), F.lit(False)).alias("rare"))
     weighed = tokens.join(rare, ["feed", "token"])
-    whole = weighed.groupBy("feed", "link").agg(F.sum("weight").alias("w"), F.count_if("rare").alias("r"))
+    titles = weighed.groupBy("feed", "link").agg(F.array_sort(F.collect_list(F.struct("df", "token", "weight", "rare"))).alias("tokens"))
     dated = articles.where("published IS NOT NULL").select("feed", "link", "published")
-    rows = weighed.join(dated, ["feed", "link"]).withColumn("band", F.floor(F.unix_seconds("published") / (WINDOW_HOURS * 3600)))
-    older = rows.select("feed", "token", F.col("link").alias("link"), F.col("published").alias("at"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    newer = rows.select("feed", "token", F.col("link").alias("anchor"), F.col("published").alias("anchor_at"), "band", "weight", "rare")
+    rows = stored(titles.join(dated, ["feed", "link"]).withColumn("band", F.floor(F.unix_seconds("published") / (WINDOW_HOURS * 3600))), "titles")
+    n = F.size("tokens")
+    meets = F.transform(F.filter("tokens", lambda t, i: (i <= n - least_shared) | t["rare"]), lambda t: t["token"])
+    keyed = rows.select("feed", "link", "published", "band", F.explode(meets).alias("token"))
+    older = keyed.select("feed", "token", "link", F.col("published").alias("at"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    newer = keyed.select("feed", "token", F.col("link").alias("anchor"), F.col("published").alias("anchor_at"), "band")
     near = (F.unix_seconds("anchor_at") - F.unix_seconds("at")).between(0, WINDOW_HOURS * 3600)
     ordered = (F.col("anchor_at") > F.col("at")) | (F.col("anchor") < F.col("link"))
-    met = newer.join(older, ["feed", "token", "band"]).where(near & ordered)
-    shared = met.groupBy("feed", "anchor", "link").agg(F.count("*").alias("shared"), F.count_if("rare").alias("rare_shared"), F.sum("weight").alias("w_shared"))
-    side = lambda name, w, r: whole.select("feed", F.col("link").alias(name), F.col("w").alias(w), F.col("r").alias(r))
-    both = shared.join(side("anchor", "wa", "ra"), ["feed", "anchor"]).join(side("link", "wb", "rb"), ["feed", "link"])
-    return both.select("feed", "anchor", "link", "shared", "rare_shared", F.least("ra", "rb").alias("rare_least"), (2 * F.col("w_shared") / (F.col("wa") + F.col("wb"))).alias("dice"))
+    met = newer.join(older, ["feed", "token", "band"]).where(near & ordered).select("feed", "anchor", "link").distinct()
+    side = lambda name, c: rows.select("feed", F.col("link").alias(name), F.col("tokens").alias(c))
+    both = met.join(side("anchor", "a"), ["feed", "anchor"]).join(side("link", "b"), ["feed", "link"])
+    common = both.withColumn("c", F.array_intersect("a", "b"))
+    weigh = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, t: acc + t["weight"])
+    rares = lambda c: F.size(F.filter(c, lambda t: t["rare"]))
+    counted = common.select("feed", "anchor", "link", F.size("c").alias("shared"), rares("c").alias("rare_shared"), F.least(rares("a"), rares("b")).alias("rare_least"), (2 * weigh("c") / (weigh("a") + weigh("b"))).alias("dice"))
+    return counted.where((F.col("shared") >= least_shared) | (F.col("rare_shared") >= 2))
 
 
-def accepted(pairs: DataFrame, articles: DataFrame) -> DataFrame:
+def accepted(pairs: DataFrame, articles: DataFrame, words: Words = Words()) -> DataFrame:
     """Pairs that may merge."""
-    sets = tokens_of(articles).groupBy("feed", "link").agg(F.collect_set("token").alias("tokens"))
     enough = (F.col("rare_shared") >= 2) | (F.col("shared") >= 3)
     rare = (F.col("rare_least") == 0) | (F.col("rare_shared") / F.col("rare_least") >= RARE_SHARE)
     likely = pairs.where(enough & rare & (F.col("dice") >= SIMILAR))
+    if not words.opposed:
+        return likely.select("feed", "anchor", "link")
+    sets = tokens_of(articles, words).groupBy("feed", "link").agg(F.collect_set("token").alias("tokens"))
     a = sets.select("feed", F.col("link").alias("anchor"), F.col("tokens").alias("ta"))
-    return likely.join(a, ["feed", "anchor"]).join(sets, ["feed", "link"]).where(~opposed(F.col("ta"), F.col("tokens"))).select("feed", "anchor", "link")
+    both = likely.join(a, ["feed", "anchor"]).join(sets, ["feed", "link"])
+    return both.where(~opposed(F.col("ta"), F.col("tokens"), words.opposed)).select("feed", "anchor", "link")
 
 
 def lead_order(published: Column) -> Column:
@@ -84,19 +110,13 @@ def lead_order(published: Column) -> Column:
     return F.when(F.date_trunc("day", published) == published, published + F.expr("INTERVAL 86399.999 SECONDS")).otherwise(published)
 
 
-def numbered(articles: DataFrame) -> DataFrame:
-    """feed, link, rank, pos: places over all feeds from 0, and in the feed from 1, newest first; counted by sorted ranges."""
-    order = (F.asc("feed"), F.desc_nulls_last("published"), F.asc("link"))
-    rows = articles.select("feed", "link", "published").repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = stored(rows.select("feed", "link", F.monotonically_increasing_id().alias("_id")), "ranges")
-    part = F.shiftright("_id", 33)
-    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # a row for each range
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = rows.withColumn("part", part).join(F.broadcast(sizes.select("part", before.alias("before"))), "part").select("feed", "link", (F.col("before") + F.col("_id").bitwiseAND((1 << 33) - 1)).alias("rank"))
+def placed(articles: DataFrame) -> DataFrame:
+    """feed, link, rank, pos: places over all feeds from 0, and in the feed from 1, newest first."""
+    ranked = numbered(articles.select("feed", "link", "published"), F.asc("feed"), F.desc_nulls_last("published"), F.asc("link"))
     return ranked.join(ranked.groupBy("feed").agg(F.min("rank").alias("start")), "feed").select("feed", "link", "rank", (F.col("rank") - F.col("start") + 1).cast("int").alias("pos"))
 
 
-def clusters(articles: DataFrame, max_input: int | None = MOST_ROWS) -> DataFrame:
+def clusters(articles: DataFrame, max_input: int | None = MOST_ROWS, words: Words = Words()) -> DataFrame:
     """feed, anchor, link, anchor_pos for every article: the cluster it is in by its newest member.
 
     articles: feed, link, title, source, published. Feeds of more than max_input rows stay unclustered;
@@ -104,8 +124,8 @@ def clusters(articles: DataFrame, max_input: int | None = MOST_ROWS) -> DataFram
     """
     size = articles.groupBy("feed").agg(F.count("*").alias("rows"))
     small = articles if max_input is None else articles.join(size.where(F.col("rows") <= max_input).select("feed"), "feed", "left_semi")
-    pairs = accepted(pair_scores(small), small)
-    listed = numbered(articles)
+    pairs = accepted(pair_scores(small, words), small, words)
+    listed = placed(articles)
     nodes = stored(listed.groupBy("feed", "link").agg(F.min("rank").alias("rank"), F.min("pos").alias("pos")), "nodes")
     at = lambda link, rank: nodes.select("feed", F.col("link").alias(link), F.col("rank").alias(rank))
     links = stored(pairs.join(at("anchor", "a"), ["feed", "anchor"]).join(at("link", "b"), ["feed", "link"]).select("a", "b"), "accepted")
@@ -120,9 +140,9 @@ def clusters(articles: DataFrame, max_input: int | None = MOST_ROWS) -> DataFram
         return pd.DataFrame(list(home.items()), columns=["rank", "home"])
 
     homes = links.join(components(links).withColumnRenamed("node", "a"), "a").groupBy("root").applyInPandas(fold, "rank long, home long")
-    placed = nodes.join(homes, "rank", "left").withColumn("home", F.coalesce("home", "rank"))
+    homed = nodes.join(homes, "rank", "left").withColumn("home", F.coalesce("home", "rank"))
     anchors = nodes.select(F.col("rank").alias("home"), F.col("link").alias("anchor"), F.col("pos").alias("anchor_pos"))
-    assigned = placed.join(anchors, "home").select("feed", "link", "anchor", "anchor_pos")
+    assigned = homed.join(anchors, "home").select("feed", "link", "anchor", "anchor_pos")
     return articles.select("feed", "link").join(assigned, ["feed", "link"]).select("feed", "anchor", "link", "anchor_pos")
 
 
@@ -130,9 +150,11 @@ def rolled_up(articles: DataFrame, assigned: DataFrame) -> DataFrame:
     """One row per cluster: lead, size, other sources in member order, latest time, in anchor order.
 
     The lead is the earliest; within five minutes a lower tier, then a beat writer, then the smaller link wins.
-    That rule isn't transitive, so it folds over the members in order.
+    That rule isn't transitive, so it folds over the members in order; clusters of one don't need it.
     """
     rows = articles.join(assigned, ["feed", "link"]).withColumn("lead_at", F.unix_micros(lead_order(F.col("published"))))
+    rows = stored(rows.select("feed", "anchor", "link", "source", "tier", "reach", "published", "lead_at", "anchor_pos"), "members")
+    several = stored(rows.groupBy("feed", "anchor").agg(F.count("*").alias("n")).where("n > 1").select("feed", "anchor"), "several")
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["published", "link"], ascending=[False, True], na_position="last")
@@ -147,7 +169,10 @@ def rolled_up(articles: DataFrame, assigned: DataFrame) -> DataFrame:
         return pd.DataFrame([{"feed": lead["feed"], "id": lead["link"], "lead": lead["link"], "duplicate_count": len(rows) - 1, "also_covered_by": others, "latest_published_at": rows["published"].max(), "anchor_pos": lead["anchor_pos"]}])
 
     schema = "feed string, id string, lead string, duplicate_count int, also_covered_by array<string>, latest_published_at timestamp, anchor_pos int"
-    return rows.select("feed", "anchor", "link", "source", "tier", "reach", "published", "lead_at", "anchor_pos").groupBy("feed", "anchor").applyInPandas(fold, schema)
+    folded = rows.join(several, ["feed", "anchor"], "left_semi").groupBy("feed", "anchor").applyInPandas(fold, schema)
+    single = rows.join(several, ["feed", "anchor"], "left_anti")
+    single = single.select("feed", F.col("link").alias("id"), F.col("link").alias("lead"), F.lit(0).alias("duplicate_count"), F.array().cast("array<string>").alias("also_covered_by"), F.col("published").alias("latest_published_at"), "anchor_pos")
+    return single.unionByName(folded)
 
 
 def leads_with_duplicates(rolled: DataFrame, articles: DataFrame) -> DataFrame:

@@ -8,28 +8,40 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as T
 
 
-def nickname_hazards(teams: DataFrame, reserved: DataFrame) -> DataFrame:
-    """slug, nickname, kind, detail. teams: slug, nicknames, sources (broad); reserved: nickname, owner.
+def _held(teams: DataFrame) -> DataFrame:
+    return teams.where(F.size("sources") > 0).select("slug", "sources", F.explode("nicknames").alias("nickname")).withColumn("nickname", F.lower("nickname")).distinct()
 
-    reserved: another's name; shared-source: two teams with the nickname have a source in common; contested:
-    two have it. Teams without a broad source are out of reach.
-    """
-    held = teams.where(F.size("sources") > 0).select("slug", "sources", F.explode("nicknames").alias("nickname")).withColumn("nickname", F.lower("nickname")).distinct()
+
+def _hazards(held: DataFrame, others: DataFrame, reserved: DataFrame) -> DataFrame:
     owned = held.join(reserved.select(F.lower("nickname").alias("nickname"), "owner"), "nickname").where("owner IS NULL OR owner <> slug")
     taken = owned.select("slug", "nickname", F.lit("reserved").alias("kind"), F.coalesce("owner", F.lit("")).alias("detail"))
-    other = held.select("nickname", F.col("slug").alias("other"), F.col("sources").alias("theirs"))
+    other = others.select("nickname", F.col("slug").alias("other"), F.col("sources").alias("theirs"))
     pairs = held.join(other, "nickname").where("slug <> other")
     shared = pairs.withColumn("common", F.array_intersect("sources", "theirs"))
-    rows = shared.select("slug", "nickname", F.when(F.size("common") > 0, "shared-source").otherwise("contested").alias("kind"), F.when(F.size("common") > 0, F.concat_ws(",", "other", F.array_join(F.array_sort("common"), ","))).otherwise(F.col("other")).alias("detail"))
+    detail = F.when(F.size("common") > 0, F.concat_ws(",", "other", F.array_join(F.array_sort("common"), ","))).otherwise(F.col("other"))
+    rows = shared.select("slug", "nickname", F.when(F.size("common") > 0, "shared-source").otherwise("contested").alias("kind"), detail.alias("detail"))
     return taken.unionByName(rows).distinct()
 
 
+def nickname_hazards(teams: DataFrame, reserved: DataFrame) -> DataFrame:
+    """slug, nickname, kind, detail. teams: slug, nicknames, sources (broad); reserved: nickname, owner.
+
+    reserved: another's name; shared-source: two teams with the nickname have a source in common; contested:
+    two have it. Teams without a broad source are out of reach.
+    """
+    held = _held(teams)
+    return _hazards(held, held, reserved)
+
+
+def hazard_order() -> list[Column]:
+    return [F.col(c) for c in ("slug", "nickname", "kind", "detail")]
+
+
 def hypothetical(teams: DataFrame, candidates: DataFrame, reserved: DataFrame) -> DataFrame:
-    """Hazards that each candidate (slug, word) would have of its own: the candidate is added to its team and checked."""
-    words = candidates.groupBy("slug").agg(F.collect_set(F.lower("word")).alias("words"))
-    grown = teams.join(words, "slug", "left").withColumn("nicknames", F.array_union("nicknames", F.coalesce("words", F.array().cast("array<string>")))).drop("words")
-    wanted = candidates.select("slug", F.lower("word").alias("nickname")).distinct()
-    return nickname_hazards(grown, reserved).join(wanted, ["slug", "nickname"], "left_semi")
+    """Hazards that each candidate (slug, word) would have of its own, tried alone against the nicknames that teams have."""
+    reach = teams.where(F.size("sources") > 0).select("slug", "sources")
+    tried = candidates.select("slug", F.lower("word").alias("nickname")).distinct().join(reach, "slug").select("slug", "sources", "nickname")
+    return _hazards(tried, _held(teams), reserved)
 
 
 def reserved_names(pro: DataFrame, floor: DataFrame) -> DataFrame:
@@ -139,3 +151,58 @@ def untriaged(feedback: DataFrame, ledger: DataFrame, build: str | None = None)
 def over_cap(calls: DataFrame, cap: int) -> DataFrame:
     """Calls per UTC day, and whether the day's cap is reached."""
     return calls.groupBy(F.to_date("at").alias("day")).agg(F.count("*").alias("calls")).withColumn("blocked", F.col("calls") >= cap)
+
+
+def tally_order() -> list[Column]:
+    """The largest first."""
+    return [F.desc("n"), F.asc("dimension"), F.asc("value")]
+
+
+def bounded_log(log: DataFrame, keep: int, at: str = "at") -> DataFrame:
+    """The newest rows of a log, newest first."""
+    return log.orderBy(F.desc(at)).limit(keep)
+
+
+def review_counts(review: DataFrame, hazards: DataFrame) -> DataFrame:
+    """How many teams are reviewed, not reviewed or unknown, and how many have hazards; review: review_state()."""
+    bad = hazards.select("slug").distinct().withColumn("_bad", F.lit(True))
+    rows = review.withColumn("slug", F.col("slug").cast("string")).join(bad, "slug", "left")
+    return rows.agg(F.count_if(F.col("in_teams") & F.col("in_reviewed")).alias("reviewed"), F.count_if(F.col("issue") == "unreviewed").alias("unreviewed"), F.count_if(F.col("issue") == "unknown team").alias("unknown"), F.count_if(F.coalesce("_bad", F.lit(False))).alias("defects"))
+
+
+def curated_slugs(tables: dict[str, DataFrame]) -> DataFrame:
+    """slug, tables: each slug of any curated table with the names of those that have it."""
+    out = None
+    for name, rows in tables.items():
+        own = rows.select("slug", F.lit(name).alias("_t"))
+        out = own if out is None else out.unionByName(own)
+    return out.groupBy("slug").agg(F.array_sort(F.collect_set("_t")).alias("tables"))
+
+
+def available(leagues: DataFrame) -> DataFrame:
+    return leagues.where("status = 'available'")
+
+
+def under(leagues: DataFrame, sport: str | None = None, level: str | None = None, unfiled: str = "Other") -> DataFrame:
+    """Leagues of a sport, and of a level in it; those without are unfiled."""
+    rows = leagues.withColumns({"sport": F.coalesce("sport", F.lit(unfiled)), "level": F.coalesce("level", F.lit(unfiled))})
+    for column, wanted in (("sport", sport), ("level", level)):
+        rows = rows if wanted is None else rows.where(F.col(column) == wanted)
+    return rows
+
+
+def teams_of_favorites(keys: DataFrame, leagues: DataFrame, teams: DataFrame) -> DataFrame:
+    """The teams of the known leagues of favourite keys."""
+    wanted = keys.select(T.favorite_parts(F.col("key"))["league_id"].alias("league_id")).join(leagues.select(F.col("id").alias("league_id")), "league_id", "left_semi").distinct()
+    return teams.join(wanted, "league_id", "left_semi")
+
+
+def roster_snapshot(leagues: DataFrame) -> DataFrame:
+    """Leagues with their teams, sorted by key, for a file that changes only where the rosters do."""
+    team = F.struct("slug", "short_name", "display_name", "mascot")
+    return leagues.groupBy("league_key").agg(F.array_sort(F.collect_set(team)).alias("teams")).orderBy("league_key")
+
+
+def naming_gaps(yields: DataFrame, least_items: int = 20) -> DataFrame:
+    """Sources with enough items of which none names the team: their names for it may be missing."""
+    return yields.where((F.col("items") >= least_items) & (F.col("named") == 0))

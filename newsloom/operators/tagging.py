@@ -23,13 +23,23 @@ def matchers(teams: list[dict]) -> list[dict]:
 
 
 def named_in(text: Column, teams: list[dict]) -> Column:
-    """Indices into the matchers of the teams that a text names, in matcher order."""
-    rest, found = F.coalesce(text, F.lit("")), []
-    for i, team in enumerate(matchers(teams)):
-        pattern = T.any_of(team["names"])
-        found.append(F.when(rest.rlike(pattern), F.lit(i)))
-        rest = F.regexp_replace(rest, pattern, "\u0001")
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<int>")
+    """Indices into the matchers of the teams that a text names, in matcher order.
+
+    One pattern of all names tells the texts that name none; the others go through a fold over the teams' patterns, which carries the
+    text with what was found masked.
+    """
+    order = matchers(teams)
+    if not order:
+        return F.array().cast("array<int>")
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(T.any_of(t["names"])).alias("p")) for i, t in enumerate(order)])
+    begin = F.struct(F.coalesce(text, F.lit("")).alias("rest"), F.array().cast("array<int>").alias("found"))
+
+    def step(acc: Column, t: Column) -> Column:
+        found = F.when(F.rlike(acc["rest"], t["p"]), F.array_append(acc["found"], t["i"])).otherwise(acc["found"])
+        return F.struct(F.regexp_replace(acc["rest"], t["p"], F.lit("\u0001")).alias("rest"), found.alias("found"))
+
+    some = T.contains_any(text, [n for t in order for n in t["names"]])
+    return F.when(some, F.aggregate(steps, begin, step, lambda acc: acc["found"])).otherwise(F.array().cast("array<int>"))
 
 
 def tagged(articles: DataFrame, teams: list[dict], preferred: tuple | None = None) -> DataFrame:
