@@ -7,10 +7,10 @@ The identifiers of a text, in order, are then matched against the
 rules, which are ordered: a rule takes the identifiers it matches, and later rules see the
 rest. So the long form of a licence goes before its parts.
 
-Both tables are parameters. Built in are small ones (``SENTENCES``, ``RULES``) and those that the
-registered query scans with (``NOTICES``, ``NOTICE_RULES``), which have more licences and SPDX tags of one licence.
-They are broadcast; their size is checked against RULE_LIMIT. The scan is one map over the
-documents.
+Both tables are parameters. Built in are ``NOTICES`` and ``NOTICE_RULES``: sentences of licences and of
+the headers that name them, "Licensed under the ..." and "Released under the ..." for each name, and SPDX
+tags of one licence (not of expressions). They are broadcast; their size is checked against RULE_LIMIT. The
+scan is one map over the documents.
 
 Defined results: a null or empty text, and one without known sentences, gives no rows; known
 sentences that fit no rule give a row without a licence; a null doc_id is carried; repeated
@@ -94,9 +94,48 @@ NOTICES = SENTENCES | {
     29: "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
     30: "Licensed under CC0 1.0",
     31: "This is free and unencumbered software released into the public domain",
+    32: "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    33: "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+    34: "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    35: "This software is provided 'as-is', without any express or implied warranty",
+    36: "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    37: "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    38: "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    39: "Distributed under the Boost Software License, Version 1.0",
+    40: "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed",
+    41: "The Software shall be used for Good, not Evil",
+    42: "All advertising materials mentioning features or use of this software must display the following acknowledgement",
+}
+# Names of licences in headers.
+NAMES = {
+    "MIT": "MIT License",
+    "Apache-2.0": "Apache License 2.0",
+    "BSD-2-Clause": "BSD 2-Clause License",
+    "BSD-3-Clause": "BSD 3-Clause License",
+    "ISC": "ISC License",
+    "MPL-2.0": "Mozilla Public License 2.0",
+    "EPL-2.0": "Eclipse Public License 2.0",
+    "BSL-1.0": "Boost Software License 1.0",
+    "Zlib": "zlib License",
+    "Unlicense": "Unlicense",
+    "GPL-2.0": "GNU General Public License v2.0",
+    "GPL-3.0": "GNU General Public License v3.0",
+    "LGPL-2.1": "GNU Lesser General Public License v2.1",
+    "LGPL-3.0": "GNU Lesser General Public License v3.0",
+    "AGPL-3.0": "GNU Affero General Public License v3.0",
 }
 NOTICE_RULES = (
-    *RULES,
+    ("JSON", (2, 3, 41, -4)),
+    ("BSD-4-Clause", (13, 14, 15, 42, -16)),
+    *(rule for rule in RULES if rule[0] not in ("Apache-2.0", "MPL-2.0")),
+    ("Apache-2.0", (6, -7, -8, -33)),
+    ("Apache-2.0", (5, -7, -8, -33)),
+    ("MPL-2.0", (19, -34)),
+    ("Zlib", (-35, 36)),
+    ("0BSD", (37, -4)),
+    ("EPL-2.0", (38,)),
+    ("BSL-1.0", (39,)),
+    ("GPL-2.0-only", (10, 32)),
     ("MIT", (20,)),
     ("ISC", (21, -4)),
     ("LGPL-2.1-or-later", (22, 23)),
@@ -116,7 +155,12 @@ for _kind, _name in COMMONS.items():
         if (_text := _form.format(_kind, _name)) not in NOTICES.values():
             NOTICES[max(NOTICES) + 1] = _text
             NOTICE_RULES += ((f"CC-{_kind}-4.0", (max(NOTICES),)),)
-for _name in ("0BSD", "AGPL-3.0-only", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", *dict.fromkeys(name for name, _ in NOTICE_RULES)):
+for _name, _full in NAMES.items():
+    for _form in ("Licensed under the {}", "Released under the {}", "This project is licensed under the {}"):
+        if (_text := _form.format(_full)) not in NOTICES.values():
+            NOTICES[max(NOTICES) + 1] = _text
+            NOTICE_RULES += ((_name, (max(NOTICES),)),)
+for _name in ("AGPL-3.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", *dict.fromkeys(name for name, _ in NOTICE_RULES)):
     NOTICES[max(NOTICES) + 1] = f"SPDX-License-Identifier: {_name}"
     NOTICE_RULES += ((_name, (max(NOTICES),)),)
 FOUND = "doc_id long, license string, rule int, sentences array<int>, start long, end long"
@@ -196,7 +240,7 @@ class Scanner:
         return sorted(out, key=lambda x: x[3])
 
 
-def license_matches(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rules=RULES) -> DataFrame:
+def license_matches(docs: DataFrame, sentences: dict[int, str] = NOTICES, rules=NOTICE_RULES) -> DataFrame:
     if len(sentences) + len(rules) > RULE_LIMIT:
         raise ValueError(f"at most {RULE_LIMIT} sentences and rules are broadcast")
     shared = docs.sparkSession.sparkContext.broadcast((sentences, rules))
@@ -212,4 +256,4 @@ def license_matches(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rule
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_matches(table(spark, sf_dir, "documents"), NOTICES, NOTICE_RULES)
+    return license_matches(table(spark, sf_dir, "documents"))
