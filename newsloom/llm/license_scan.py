@@ -151,7 +151,11 @@ NOTICE_RULES = (
     ("Unlicense", (31,)),
 )
 for _kind, _name in COMMONS.items():
-    for _form in ("Licensed under CC {0} 4.0", "This work is licensed under CC {0} 4.0", "This work is licensed under a Creative Commons {1} 4.0 International License", "Licensed under a Creative Commons {1} 4.0 International License"):
+    for _form in (
+        "Licensed under CC {0} 4.0", "This work is licensed under CC {0} 4.0",
+        "This work is licensed under a Creative Commons {1} 4.0 International License",
+        "Licensed under a Creative Commons {1} 4.0 International License"
+    ):
         if (_text := _form.format(_kind, _name)) not in NOTICES.values():
             NOTICES[max(NOTICES) + 1] = _text
             NOTICE_RULES += ((f"CC-{_kind}-4.0", (max(NOTICES),)),)
@@ -250,7 +254,9 @@ def license_matches(docs: DataFrame, sentences: dict[int, str] = NOTICES, rules=
         scanner = Scanner(*shared.value)
         for batch in T.batches_of(batches):
             rows = [(d, *m) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for m in scanner.scan(t)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema
+            ) if rows else pa.RecordBatch.from_pylist([], schema)
 
     return docs.selectExpr("cast(doc_id as long) AS doc_id", "text").mapInArrow(scan, FOUND)
 

@@ -238,7 +238,10 @@ def block_keys(texts, train: np.ndarray, width: int):
 
 def block_lists(block: int, texts, train: np.ndarray, width: int, bits: int) -> list[dict]:
     kinds = block_keys(texts, train, width)[:2]
-    return [{"range": r, "block": block, "kind": k, "keys": a, "counts": b} for k, (keys, counts, _) in enumerate(kinds) for r, a, b in by_range(keys, counts, widths(width)[k], bits)]
+    return [
+        {"range": r, "block": block, "kind": k, "keys": a, "counts": b} for k, (keys, counts, _) in enumerate(kinds) for r,
+        a, b in by_range(keys, counts, widths(width)[k], bits)
+    ]
 
 
 def merged(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -227,7 +227,10 @@ def candidates(reps: DataFrame) -> DataFrame:
     other = lambda i, step: F.get(F.col("bands"), F.pmod(i + step, F.lit(BANDS)))
     keyed = lambda key, by_chance: F.struct(key.alias("key"), F.lit(by_chance).alias("by_chance"))
     keys = F.flatten(F.transform("bands", lambda x, i: F.array(keyed(x, False), keyed(F.xxhash64(x, other(i, 1)), False), keyed(F.xxhash64(x, other(i, 3), F.lit(SEED)), True))))
-    rows = reps.join(popular, "node").select("node", "popularity", F.explode(keys).alias("k")).select("node", "k.key", F.when(F.col("k.by_chance"), F.pmod(F.xxhash64("node", "k.key"), F.lit(1 << 31))).otherwise(F.col("popularity")).alias("rank"))
+    rows = reps.join(popular, "node").select("node", "popularity", F.explode(keys).alias("k")).select(
+        "node", "k.key",
+        F.when(F.col("k.by_chance"), F.pmod(F.xxhash64("node", "k.key"), F.lit(1 << 31))).otherwise(F.col("popularity")).alias("rank")
+    )
     top = rows.groupBy("key").agg(F.max(F.struct("rank", (-F.col("node")).alias("last"), "node"))["node"].alias("anchor"), F.count("*").alias("n")).where("n > 1")
     return rows.join(top, "key").where("node <> anchor").select(F.greatest("node", "anchor").alias("node"), F.least("node", "anchor").alias("anchor")).distinct()
 
@@ -263,7 +266,10 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity: f
     shared = pairs.sparkSession.sparkContext.broadcast(weights)
     ends = pairs.select("node", "anchor", F.explode(F.array("node", "anchor")).alias("end"))
     with_text = ends.join(texts.withColumnRenamed("node", "end"), "end")
-    met = with_text.groupBy("node", "anchor").agg(F.max(F.when(F.col("end") == F.col("node"), F.col("text"))).alias("a"), F.max(F.when(F.col("end") == F.col("anchor"), F.col("text"))).alias("b"))
+    met = with_text.groupBy("node", "anchor").agg(
+        F.max(F.when(F.col("end") == F.col("node"), F.col("text"))).alias("a"),
+        F.max(F.when(F.col("end") == F.col("anchor"), F.col("text"))).alias("b")
+    )
 
     def check(batches):
         for batch in batches:
@@ -290,7 +296,13 @@ def unsettled(rooted: DataFrame) -> DataFrame:
     held = stored(held.join(mixed, "key"), "unsettled")
     sides = held.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     sides = sides.groupBy("key").agg(F.max(F.struct("n", "bytes", "root")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
-    sides = stored(sides.select("key", (F.col("n") - F.col("top.n")).alias("n"), (F.col("bytes") - F.col("top.bytes")).alias("bytes"), F.col("top.n").alias("main_n"), F.col("top.bytes").alias("main_bytes"), F.col("top.root").alias("main_root")), "sides")
+    sides = stored(
+        sides.select(
+            "key", (F.col("n") - F.col("top.n")).alias("n"), (F.col("bytes") - F.col("top.bytes")).alias("bytes"), F.col("top.n").alias("main_n"),
+            F.col("top.bytes").alias("main_bytes"), F.col("top.root").alias("main_root")
+        ),
+        "sides"
+    )
     return held.join(sides, "key").withColumn("main", F.col("root") == F.col("main_root")).drop("main_root")
 
 
@@ -341,7 +353,12 @@ def more_links(rooted: DataFrame, texts_of, weights: Weights, similarity: float,
 
     def partners(group: pa.Table) -> pa.Table:
         found = block_partners(group, least)
-        return pa.table({"bin": pa.array([group.column("bin")[0].as_py()] * len(found), pa.int32()), "node": pa.array(list(found), pa.int64()), "partners": pa.array(list(found.values()), pa.list_(pa.int64()))})
+        return pa.table(
+            {
+                "bin": pa.array([group.column("bin")[0].as_py()] * len(found), pa.int32()), "node": pa.array(list(found), pa.int64()),
+                "partners": pa.array(list(found.values()), pa.list_(pa.int64()))
+            }
+        )
 
     def check(group: pa.Table) -> pa.Table:
         lists, nodes, roots = [], group.column("node").to_pylist(), group.column("root").to_pylist()

@@ -137,7 +137,10 @@ def classify(docs: DataFrame, weights: np.ndarray, held_out: Column, threshold:
 
     def score(batches):
         for batch in T.batches_of(batches, size=1 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score_texts(batch.column("text"), shared.value))], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(score_texts(batch.column("text"), shared.value))],
+                ["doc_id", "held_out", "score"]
+            )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
     out = rows.mapInArrow(score, "doc_id long, held_out boolean, score double")

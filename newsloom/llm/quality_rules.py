@@ -76,7 +76,11 @@ def gram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
     """
     ids = trusted.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id")).distinct().withColumn("_deal", F.lit(0)).withColumn("_trusted", F.lit(1))
     no_id = F.col("doc_id").isNull()
-    keyed = docs.select("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.when(no_id, 1 + F.pmod(F.xxhash64("text"), F.lit(1 << 20))).otherwise(0).cast("int").alias("_deal"))
+    keyed = docs.select(
+        "text",
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"),
+        F.when(no_id, 1 + F.pmod(F.xxhash64("text"), F.lit(1 << 20))).otherwise(0).cast("int").alias("_deal")
+    )
     joined = keyed.join(ids.hint("merge"), ["_id", "_deal"], "left")
     grams = joined.select(F.coalesce("_trusted", F.lit(0)).alias("t"), F.explode(let(hashed(F.col("text")), lambda h: F.concat(h, bigrams(h)))).alias("g"))
     return grams.groupBy(F.pmod("g", F.lit(buckets)).cast("int").alias("bucket")).agg(F.count("*").alias("raw"), F.sum("t").alias("target"))

@@ -80,7 +80,11 @@ def matches(text: Column, pattern: str, kind: int, value: int = 0, least: int =
         one = lambda begin, c: F.aggregate(run(c), F.struct(begin.alias("at"), F.array().cast(SPAN).alias("spans")), step, lambda acc: acc["spans"])
         return let(begins, lambda b: F.flatten(F.transform(F.slice(b, F.lit(1), F.size(b) - 1), one)))
 
-    parts = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(value)).alias("values"))
+    parts = F.struct(
+        F.split(text, pattern, -1).alias("pieces"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(value)).alias("values")
+    )
     found = let(parts, lambda p: places(p["pieces"], p["whole"], p["values"]))
     if least:
         found = F.filter(found, lambda s: F.length(s["value"]) >= least)
@@ -235,4 +239,7 @@ def redact(docs: DataFrame, rate: float = RATE, mask: str = MASK) -> DataFrame:
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    return rows.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"))
+    return rows.select(
+        "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
+        joined(F.col("all")).alias("spans")
+    )

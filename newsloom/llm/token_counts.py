@@ -73,10 +73,18 @@ def suffix_sums(counts: DataFrame) -> DataFrame:
     by_range = ranged.groupBy("range").agg(F.sum("n_docs").alias("d"), F.sum(tokens).alias("t"))
     above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    tops = by_range.select("range", F.coalesce(F.sum("d").over(above), zero).alias("docs_above"), F.coalesce(F.sum("t").over(above), zero).alias("tokens_above"), F.sum("t").over(Window.partitionBy()).alias("total_tokens"), F.sum("d").over(Window.partitionBy()).alias("total_docs"))
+    tops = by_range.select(
+        "range",
+        F.coalesce(F.sum("d").over(above), zero).alias("docs_above"),
+        F.coalesce(F.sum("t").over(above), zero).alias("tokens_above"),
+        F.sum("t").over(Window.partitionBy()).alias("total_tokens"), F.sum("d").over(Window.partitionBy()).alias("total_docs")
+    )
     within = Window.partitionBy("range").orderBy(F.desc("length"))
     own = ranged.withColumn("d", F.sum("n_docs").over(within)).withColumn("t", F.sum(tokens).over(within))
-    sums = own.join(tops, "range").select("length", "n_docs", (F.col("d") + F.col("docs_above")).alias("docs_at_least"), (F.col("t") + F.col("tokens_above")).alias("tokens_at_least"), "total_docs", "total_tokens")
+    sums = own.join(tops, "range").select(
+        "length", "n_docs", (F.col("d") + F.col("docs_above")).alias("docs_at_least"),
+        (F.col("t") + F.col("tokens_above")).alias("tokens_at_least"), "total_docs", "total_tokens"
+    )
     sums = sums.withColumn("docs_at_most", F.col("total_docs") - F.col("docs_at_least") + F.col("n_docs"))
     return sums.withColumn("truncated_tokens", F.col("total_tokens") - F.col("tokens_at_least") + F.col("length") * F.col("docs_at_least"))
 

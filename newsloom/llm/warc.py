@@ -96,7 +96,9 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     rows = rows.withColumns({"digest": F.unhex(F.sha1("payload")), "size": F.octet_length("payload").cast("long")})
     page = F.struct(F.col("page_id").isNull().alias("missing"), "page_id", "url").alias("page")
-    first = rows.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min(page).alias("page"), F.first("payload").alias("payload"), F.first("size").alias("size"), F.count("*").alias("n"))
+    first = rows.where(F.col("size") >= min_bytes).groupBy("digest").agg(
+        F.min(page).alias("page"), F.first("payload").alias("payload"), F.first("size").alias("size"), F.count("*").alias("n")
+    )
     first = stored(first, "payloads")
     none = F.lit(None)
     responses = first.select("page.page_id", "page.url", "payload", "digest", "size", none.cast("long").alias("refers_to"), F.lit(True).alias("is_first"))
@@ -123,10 +125,15 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
 
         def done():
             out.close()
-            return pa.RecordBatch.from_pydict({"path": [path], "records": [records], "bytes": [size]}, pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
+            return pa.RecordBatch.from_pydict(
+                {"path": [path], "records": [records], "bytes": [size]},
+                pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
+            )
 
         for batch in batches:
-            for page_id, url, payload, digest, length, refers_to, is_first in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "size", "refers_to", "is_first")), strict=True):
+            for page_id, url, payload, digest, length, refers_to, is_first in zip(
+                *(batch.column(c) for c in ("page_id", "url", "payload", "digest", "size", "refers_to", "is_first")), strict=True
+            ):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     path, records, size = f"{folder}/{name}", 0, 0
@@ -206,7 +213,12 @@ def parse_record(member: bytes, problem: str | None = None) -> dict:
 
 def read_archives(manifest: DataFrame, payloads: bool = True, batch_bytes: int = 4 << 20) -> DataFrame:
     """The records of the archives that a DataFrame with a column path lists, one task row per archive."""
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), *([("payload", pa.binary())] if payloads else []), ("problem", pa.string())])
+    schema = pa.schema(
+        [
+            ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+            ("refers_to", pa.int64()), *([("payload", pa.binary())] if payloads else []), ("problem", pa.string())
+        ]
+    )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
