@@ -48,7 +48,9 @@ def relative_label(at: Column, now: Column) -> Column:
     seconds = now.cast("double") - at.cast("double")
     minutes, hours, days = rounded(seconds / 60), rounded(seconds / 3600), rounded(seconds / 86400)
     label = lambda n, unit: F.concat(n.cast("string"), F.lit(unit))
-    return F.when(at.isNull(), F.lit("")).when(minutes < 1, F.lit("just now")).when(minutes < 60, label(minutes, "m ago")).when(hours < 24, label(hours, "h ago")).when(days < 7, label(days, "d ago")).otherwise(F.date_format(at, "MMM d"))
+    return F.when(at.isNull(), F.lit("")).when(minutes < 1, F.lit("just now")).when(
+        minutes < 60, label(minutes, "m ago")
+    ).when(hours < 24, label(hours, "h ago")).when(days < 7, label(days, "d ago")).otherwise(F.date_format(at, "MMM d"))
 
 
 def season_of(at: Column, start_month: Column) -> Column:

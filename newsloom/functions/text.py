@@ -53,7 +53,10 @@ def blank_to_null(text: Column) -> Column:
 
 
 # The character references by name that feeds are decoded by; others stay as they are.
-ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "mdash": "\u2014", "ndash": "\u2013", "rsquo": "\u2019", "lsquo": "\u2018", "rdquo": "\u201d", "ldquo": "\u201c"}
+ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "mdash": "\u2014", "ndash": "\u2013",
+    "rsquo": "\u2019", "lsquo": "\u2018", "rdquo": "\u201d", "ldquo": "\u201c"
+}
 REFERENCE = re.compile(r"&(?:#(\d+)|#x([0-9a-f]+)|([a-z]+));", re.IGNORECASE | re.ASCII)
 
 

@@ -48,7 +48,9 @@ def off_topic_reason(commerce=(), institutional=(), athletic=()) -> Column:
     """Why an article is off topic: commerce (a term, or a price or share off) in title or description, or institutional in an unathletic title; else null."""
     sells = lambda c: T.contains_any(c, list(commerce)) | F.coalesce(c, F.lit("")).rlike(PRICE_OFF)
     title, description = F.col("title"), F.col("description")
-    return F.when(sells(title) | sells(description), F.lit("commerce")).when(T.contains_any(title, list(institutional)) & ~T.contains_any(title, list(athletic)), F.lit("institutional"))
+    return F.when(sells(title) | sells(description), F.lit("commerce")).when(
+        T.contains_any(title, list(institutional)) & ~T.contains_any(title, list(athletic)), F.lit("institutional")
+    )
 
 
 def other_sport(own: str, sports: dict) -> Column:
@@ -66,7 +68,9 @@ def other_sport(own: str, sports: dict) -> Column:
 def relevant(own_sport: Column, keep_multiple: bool = True) -> Column:
     """What a verdict says of an article: no verdict keeps, other kinds drop, a sport must be the own one."""
     kind, sport = F.col("verdict.kind"), F.col("verdict.sport")
-    return F.when(F.col("verdict").isNull(), True).when(kind != "news", False).when(sport == "none", True).when(sport == "multiple", F.lit(keep_multiple)).when(sport == "other", False).otherwise(F.coalesce(sport == own_sport, F.lit(True)))
+    return F.when(F.col("verdict").isNull(), True).when(kind != "news", False).when(sport == "none", True).when(
+        sport == "multiple", F.lit(keep_multiple)
+    ).when(sport == "other", False).otherwise(F.coalesce(sport == own_sport, F.lit(True)))
 
 
 def within_week(at: Column, now: Column) -> Column:
@@ -101,7 +105,12 @@ def credited(articles: DataFrame) -> DataFrame:
     other = F.col("item_source").isNotNull() & (F.lower("item_source") != F.lower("source"))
     scope = F.coalesce("scope", F.lit("broad"))
     reach = F.coalesce("reach", F.when(F.col("scope") == "team", F.lit("beat")).otherwise(F.lit("national")))
-    return articles.withColumns({"tier": F.when(other, F.lit(0)).otherwise(F.col("tier")), "reach": reach, "scope": scope, "source": F.when(other, F.col("item_source")).otherwise(F.col("source"))})
+    return articles.withColumns(
+        {
+            "tier": F.when(other, F.lit(0)).otherwise(F.col("tier")), "reach": reach, "scope": scope,
+            "source": F.when(other, F.col("item_source")).otherwise(F.col("source"))
+        }
+    )
 
 
 def with_verdicts(articles: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -154,19 +163,25 @@ def read_marks(marks: DataFrame, now: Column, keep: int = MARKS) -> DataFrame:
 
 def split_brief(articles: DataFrame, marks: DataFrame) -> DataFrame:
     """articles with their section, unread or read."""
-    return articles.join(marks.select("link", F.lit(True).alias("_read")).distinct(), "link", "left").withColumn("section", F.when(F.col("_read"), F.lit("read")).otherwise(F.lit("unread"))).drop("_read")
+    return articles.join(
+        marks.select("link", F.lit(True).alias("_read")).distinct(), "link", "left"
+    ).withColumn("section", F.when(F.col("_read"), F.lit("read")).otherwise(F.lit("unread"))).drop("_read")
 
 
 def brief_end(sections: DataFrame) -> DataFrame:
     """The closing line for the counts of a brief."""
     counts = sections.agg(F.count_if(F.col("section") == "unread").alias("unread"), F.count_if(F.col("section") == "read").alias("read"))
-    line = F.when(F.col("unread") + F.col("read") == 0, F.lit("Nothing here yet")).when(F.col("unread") == 0, F.lit("All read")).otherwise(F.concat(F.lit("That was all: "), F.col("unread").cast("string"), F.lit(" new")))
+    line = F.when(
+        F.col("unread") + F.col("read") == 0, F.lit("Nothing here yet")
+    ).when(F.col("unread") == 0, F.lit("All read")).otherwise(F.concat(F.lit("That was all: "), F.col("unread").cast("string"), F.lit(" new")))
     return counts.withColumn("title", line)
 
 
 def coverage(articles: DataFrame, sources: DataFrame) -> DataFrame:
     """Configured sources, and how many of them contribute to a final list."""
-    return sources.select("name").distinct().join(articles.select(F.col("source").alias("name"), F.lit(1).alias("_hit")).distinct(), "name", "left").agg(F.count("*").alias("configured"), F.count("_hit").alias("contributing"))
+    return sources.select("name").distinct().join(
+        articles.select(F.col("source").alias("name"), F.lit(1).alias("_hit")).distinct(), "name", "left"
+    ).agg(F.count("*").alias("configured"), F.count("_hit").alias("contributing"))
 
 
 def balanced(articles: DataFrame, window: int = 5, most: int = 2) -> DataFrame:
@@ -217,7 +232,10 @@ def rejected(before: DataFrame, after: DataFrame, key: str = "link") -> DataFram
     return before.join(after.select(key).distinct(), key, "left_anti")
 
 
-def team_pool(groups: list[tuple[DataFrame, list[str] | None]], own_sport: str, verdicts: DataFrame | None = None, off_topic: Column | None = None, sports: dict | None = None) -> DataFrame:
+def team_pool(
+    groups: list[tuple[DataFrame, list[str] | None]], own_sport: str, verdicts: DataFrame | None = None, off_topic: Column | None = None,
+    sports: dict | None = None
+) -> DataFrame:
     """The pool of a team: groups of articles, each with the names that one must have (None: taken whole), in order.
 
     First by link, on topic, of the own sport, not dropped by a verdict; sorted by newest_first() for the reader.

@@ -53,4 +53,6 @@ def label_of(code: Column, labels: dict) -> Column:
 
 def disagreement(verdict_kind: Column, kept_locally: Column) -> Column:
     """Which way a verdict and the local rules part; null if they agree or there is no verdict."""
-    return F.when(verdict_kind.isNull(), None).when((verdict_kind == "news") & ~kept_locally, F.lit("verdict keeps")).when((verdict_kind != "news") & kept_locally, F.lit("verdict drops"))
+    return F.when(verdict_kind.isNull(), None).when(
+        (verdict_kind == "news") & ~kept_locally, F.lit("verdict keeps")
+    ).when((verdict_kind != "news") & kept_locally, F.lit("verdict drops"))

@@ -88,7 +88,10 @@ def pair_scores(articles: DataFrame, words: Words = Words(), least_shared: int =
     common = both.withColumn("c", F.array_intersect("a", "b"))
     weigh = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, t: acc + t["weight"])
     rares = lambda c: F.size(F.filter(c, lambda t: t["rare"]))
-    counted = common.select("feed", "anchor", "link", F.size("c").alias("shared"), rares("c").alias("rare_shared"), F.least(rares("a"), rares("b")).alias("rare_least"), (2 * weigh("c") / (weigh("a") + weigh("b"))).alias("dice"))
+    counted = common.select(
+        "feed", "anchor", "link", F.size("c").alias("shared"), rares("c").alias("rare_shared"), F.least(rares("a"), rares("b")).alias("rare_least"),
+        (2 * weigh("c") / (weigh("a") + weigh("b"))).alias("dice")
+    )
     return counted.where((F.col("shared") >= least_shared) | (F.col("rare_shared") >= 2))
 
 
@@ -113,7 +116,10 @@ def lead_order(published: Column) -> Column:
 def placed(articles: DataFrame) -> DataFrame:
     """feed, link, rank, pos: places over all feeds from 0, and in the feed from 1, newest first."""
     ranked = numbered(articles.select("feed", "link", "published"), F.asc("feed"), F.desc_nulls_last("published"), F.asc("link"))
-    return ranked.join(ranked.groupBy("feed").agg(F.min("rank").alias("start")), "feed").select("feed", "link", "rank", (F.col("rank") - F.col("start") + 1).cast("int").alias("pos"))
+    return ranked.join(ranked.groupBy("feed").agg(F.min("rank").alias("start")), "feed").select(
+        "feed", "link", "rank",
+        (F.col("rank") - F.col("start") + 1).cast("int").alias("pos")
+    )
 
 
 def clusters(articles: DataFrame, max_input: int | None = MOST_ROWS, words: Words = Words()) -> DataFrame:
@@ -166,12 +172,22 @@ def rolled_up(articles: DataFrame, assigned: DataFrame) -> DataFrame:
                 best = (at, key, r)
         lead = best[2]
         others = list(dict.fromkeys(s for s in rows["source"] if s != lead["source"]))
-        return pd.DataFrame([{"feed": lead["feed"], "id": lead["link"], "lead": lead["link"], "duplicate_count": len(rows) - 1, "also_covered_by": others, "latest_published_at": rows["published"].max(), "anchor_pos": lead["anchor_pos"]}])
+        return pd.DataFrame(
+            [
+                {
+                    "feed": lead["feed"], "id": lead["link"], "lead": lead["link"], "duplicate_count": len(rows) - 1, "also_covered_by": others,
+                    "latest_published_at": rows["published"].max(), "anchor_pos": lead["anchor_pos"]
+                }
+            ]
+        )
 
     schema = "feed string, id string, lead string, duplicate_count int, also_covered_by array<string>, latest_published_at timestamp, anchor_pos int"
     folded = rows.join(several, ["feed", "anchor"], "left_semi").groupBy("feed", "anchor").applyInPandas(fold, schema)
     single = rows.join(several, ["feed", "anchor"], "left_anti")
-    single = single.select("feed", F.col("link").alias("id"), F.col("link").alias("lead"), F.lit(0).alias("duplicate_count"), F.array().cast("array<string>").alias("also_covered_by"), F.col("published").alias("latest_published_at"), "anchor_pos")
+    single = single.select(
+        "feed", F.col("link").alias("id"), F.col("link").alias("lead"), F.lit(0).alias("duplicate_count"),
+        F.array().cast("array<string>").alias("also_covered_by"), F.col("published").alias("latest_published_at"), "anchor_pos"
+    )
     return single.unionByName(folded)
 
 

@@ -61,7 +61,11 @@ def source_yield(articles: DataFrame, named: Column, kept: Column) -> DataFrame:
 def yield_groups(events: DataFrame, key: str = "group") -> DataFrame:
     """Yield events by group; passes without input aren't events."""
     rows = events.where("items_in > 0")
-    return rows.groupBy(key).agg(F.count("*").alias("n"), F.sum("items_in").alias("items_in"), F.sum("items_out").alias("items_out"), F.bool_or(F.col("items_out") == 0).alias("any_zero"), F.bool_or(F.col("items_out") == F.col("items_in")).alias("any_full"))
+    return rows.groupBy(key).agg(
+        F.count("*").alias("n"), F.sum("items_in").alias("items_in"), F.sum("items_out").alias("items_out"),
+        F.bool_or(F.col("items_out") == 0).alias("any_zero"),
+        F.bool_or(F.col("items_out") == F.col("items_in")).alias("any_full")
+    )
 
 
 def below_floor(yields: DataFrame, least: int) -> DataFrame:
@@ -167,7 +171,12 @@ def review_counts(review: DataFrame, hazards: DataFrame) -> DataFrame:
     """How many teams are reviewed, not reviewed or unknown, and how many have hazards; review: review_state()."""
     bad = hazards.select("slug").distinct().withColumn("_bad", F.lit(True))
     rows = review.withColumn("slug", F.col("slug").cast("string")).join(bad, "slug", "left")
-    return rows.agg(F.count_if(F.col("in_teams") & F.col("in_reviewed")).alias("reviewed"), F.count_if(F.col("issue") == "unreviewed").alias("unreviewed"), F.count_if(F.col("issue") == "unknown team").alias("unknown"), F.count_if(F.coalesce("_bad", F.lit(False))).alias("defects"))
+    return rows.agg(
+        F.count_if(F.col("in_teams") & F.col("in_reviewed")).alias("reviewed"),
+        F.count_if(F.col("issue") == "unreviewed").alias("unreviewed"),
+        F.count_if(F.col("issue") == "unknown team").alias("unknown"),
+        F.count_if(F.coalesce("_bad", F.lit(False))).alias("defects")
+    )
 
 
 def curated_slugs(tables: dict[str, DataFrame]) -> DataFrame:

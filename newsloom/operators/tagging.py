@@ -51,7 +51,10 @@ def tagged(articles: DataFrame, teams: list[dict], preferred: tuple | None = Non
     team = F.array(*[F.struct(F.lit(t["league_id"]).alias("league_id"), F.lit(t["team_id"]).alias("team_id"), F.lit(t["short_name"]).alias("short_name")) for t in order])
     rows = articles.withColumns({"_t": named_in(F.col("title"), teams), "_d": named_in(F.col("description"), teams)})
     rows = rows.withColumn("mentioned_teams", F.transform(F.array_distinct(F.concat(lead(F.col("_t")), lead(F.array_except("_d", "_t")))), lambda i: F.get(team, i)))
-    own = F.filter(team, lambda t: (t["team_id"] == F.col("team_id")) & (t["league_id"] == F.col("league_id"))) if {"team_id", "league_id", "scope"} <= set(articles.columns) else None
+    own = F.filter(
+        team,
+        lambda t: (t["team_id"] == F.col("team_id")) & (t["league_id"] == F.col("league_id"))
+    ) if {"team_id", "league_id", "scope"} <= set(articles.columns) else None
     fallback = F.when(F.col("scope") == "team", F.get(own, F.lit(0))) if own is not None else F.lit(None)
     return rows.withColumn("mentioned_team", F.coalesce(F.get("mentioned_teams", F.lit(0)), fallback)).drop("_t", "_d")
 

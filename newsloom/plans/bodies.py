@@ -47,7 +47,11 @@ def rss_articles(spark, sf):
     credit = F.when(F.col("doc_id") % 7 == 0, F.lit('<source url="https://w.test/">The Wire</source>'))
     image = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('<enclosure url="https://h.test/'), key, F.lit('.jpg" type="image/jpeg"/>')))
     date = F.date_format(at(), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
-    item = F.concat_ws("", F.lit("<item><title>A &amp;amp; B "), key, F.lit("</title>"), link, credit, image, F.lit("<description>"), escaped(F.coalesce("text", F.lit(""))), F.lit("</description><dc:creator>"), escaped(F.col("lang")), F.lit("</dc:creator><pubDate>"), date, F.lit("</pubDate></item>"))
+    item = F.concat_ws(
+        "", F.lit("<item><title>A &amp;amp; B "), key, F.lit("</title>"), link, credit, image, F.lit("<description>"),
+        escaped(F.coalesce("text", F.lit(""))), F.lit("</description><dc:creator>"), escaped(F.col("lang")), F.lit("</dc:creator><pubDate>"),
+        date, F.lit("</pubDate></item>")
+    )
     clean = F.regexp_replace(F.concat(F.lit('<?xml version="1.0"?><rss xmlns:dc="urn:dc"><channel>'), item, F.lit("</channel></rss>")), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", "")
     out, _ = feeds.articles_of(fetched(documents(spark, sf), clean))
     return out.select("link", "title", "source", "tier", F.col("published").cast("timestamp_ntz").alias("published"), "image_url", F.length("author").alias("author_len"), "reach")
@@ -58,9 +62,15 @@ def atom_articles(spark, sf):
     """Entries whose first link is a reply's, whose second one has no rel; odd ones have only the date of the update, and a body for a teaser."""
     key, date = text("doc_id"), lambda d: F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     times = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<published>"), date(at()), F.lit("</published>"))).otherwise(F.lit(""))
-    teaser = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<summary>body "), key, F.lit("</summary>"))).otherwise(F.concat(F.lit('<content type="html">&lt;p&gt;body '), key, F.lit("&lt;/p&gt;</content>")))
+    teaser = F.when(
+        F.col("doc_id") % 2 == 0, F.concat(F.lit("<summary>body "), key, F.lit("</summary>"))
+    ).otherwise(F.concat(F.lit('<content type="html">&lt;p&gt;body '), key, F.lit("&lt;/p&gt;</content>")))
     links = F.concat(F.lit('<link rel="replies" href="https://h.test/r"/><link href="https://h.test/sports/'), key, F.lit('"/>'))
-    body = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>urn:'), key, F.lit('</id><title type="text">Title '), key, F.lit("</title>"), links, times, F.lit("<updated>"), date(at() + F.expr("INTERVAL 1 DAY")), F.lit("</updated>"), teaser, F.lit("</entry></feed>"))
+    body = F.concat(
+        F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>urn:'), key, F.lit('</id><title type="text">Title '),
+        key, F.lit("</title>"), links, times, F.lit("<updated>"), date(at() + F.expr("INTERVAL 1 DAY")), F.lit("</updated>"),
+        teaser, F.lit("</entry></feed>")
+    )
     out, _ = feeds.articles_of(fetched(documents(spark, sf), body))
     return out.select("id", "link", "title", F.col("published").cast("timestamp_ntz").alias("published"), "description")
 
@@ -70,7 +80,11 @@ def sitemap_articles(spark, sf):
     """Locations padded with white space; every fourth is not of the sports path."""
     key = text("doc_id")
     loc = F.concat(F.lit("\n  https://h.test/"), F.when(F.col("doc_id") % 4 == 1, "news/sports-bill/").otherwise("sports/"), key, F.lit("\n "))
-    body = F.concat(F.lit('<urlset xmlns:news="urn:n"><url><loc>'), loc, F.lit("</loc><news:news><news:title>Map "), key, F.lit("</news:title><news:publication_date>"), F.date_format(at(), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</news:publication_date></news:news></url></urlset>"))
+    body = F.concat(
+        F.lit('<urlset xmlns:news="urn:n"><url><loc>'), loc, F.lit("</loc><news:news><news:title>Map "), key, F.lit("</news:title><news:publication_date>"),
+        F.date_format(at(), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.lit("</news:publication_date></news:news></url></urlset>")
+    )
     out, _ = feeds.articles_of(fetched(documents(spark, sf), body))
     return out.select("link", "title", F.col("published").cast("timestamp_ntz").alias("published"))
 
@@ -101,19 +115,32 @@ def games(spark: SparkSession, sf: str) -> DataFrame:
 
 def event(home_score: Column, away_score: Column) -> Column:
     """A game as a board and a schedule have it; scores as numbers, strings or objects."""
-    side = lambda place, team, score: F.struct(F.lit(place).alias("homeAway"), score.alias("score"), F.struct(team.alias("id"), F.concat(F.lit("Team "), team).alias("displayName"), F.concat(F.lit("T"), team).alias("shortDisplayName")).alias("team"))
+    side = lambda place, team, score: F.struct(
+        F.lit(place).alias("homeAway"), score.alias("score"),
+        F.struct(team.alias("id"), F.concat(F.lit("Team "), team).alias("displayName"), F.concat(F.lit("T"), team).alias("shortDisplayName")).alias("team")
+    )
     kind = F.struct("state", (F.col("state") == "post").alias("completed"))
     status = F.struct(kind.alias("type"), F.lit("4:05").alias("displayClock"), F.lit(3).alias("period"))
     situation = F.struct(F.lit("2nd & 5").alias("downDistanceText"), text("o_custkey").alias("possession"))
-    competition = F.struct(F.array(side("home", text("o_custkey"), home_score), side("away", text(F.col("o_custkey") + 1), away_score)).alias("competitors"), status.alias("status"), situation.alias("situation"), F.array(F.struct(F.array(F.lit("CBX")).alias("names"))).alias("broadcasts"))
-    return F.struct(text("o_orderkey").alias("id"), F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm'Z'").alias("date"), F.array(competition).alias("competitions"))
+    competition = F.struct(
+        F.array(side("home", text("o_custkey"), home_score), side("away", text(F.col("o_custkey") + 1), away_score)).alias("competitors"),
+        status.alias("status"), situation.alias("situation"),
+        F.array(F.struct(F.array(F.lit("CBX")).alias("names"))).alias("broadcasts")
+    )
+    return F.struct(
+        text("o_orderkey").alias("id"),
+        F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm'Z'").alias("date"), F.array(competition).alias("competitions")
+    )
 
 
 @query("scoreboard", f"""WITH {SQL_GAMES} SELECT o_orderkey::VARCHAR AS id, state, home::VARCHAR AS home_id, away::VARCHAR AS away_id, hs::INT AS home_score, aw::INT AS away_score, date_trunc('minute', o_orderdate) AS kickoff, 'CBX' AS network,
   CASE WHEN state = 'in' THEN '2nd & 5' END AS down_distance, CASE WHEN state = 'in' THEN home::VARCHAR END AS possession FROM g""")
 def scoreboard(spark, sf):
     bodies = games(spark, sf).select(F.lit("l").alias("league_id"), F.to_json(F.struct(F.array(event(F.col("hs"), text("aw"))).alias("events"))).alias("body"))
-    return json_api.scoreboard(bodies).select("id", "state", "home_id", "away_id", "home_score", "away_score", F.col("kickoff").cast("timestamp_ntz").alias("kickoff"), "network", "down_distance", "possession")
+    return json_api.scoreboard(bodies).select(
+        "id", "state", "home_id", "away_id", "home_score", "away_score", F.col("kickoff").cast("timestamp_ntz").alias("kickoff"),
+        "network", "down_distance", "possession"
+    )
 
 
 @query("schedule", f"""WITH {SQL_GAMES} SELECT o_orderkey::VARCHAR AS id, home::VARCHAR AS team_id, away::VARCHAR AS opponent_id, 'home' AS place, state, CASE WHEN state = 'post' THEN hs::DOUBLE END AS own_score, CASE WHEN state = 'post' THEN aw::DOUBLE END AS opponent_score,
@@ -126,7 +153,10 @@ def schedule(spark, sf):
 
 @query("odds", "SELECT o_orderkey::VARCHAR AS id, 'book ' || o_custkey AS provider, o_orderkey % 60 + 0.5::DOUBLE AS over_under, (0 - o_custkey % 300)::DOUBLE AS home_ml FROM orders")
 def odds(spark, sf):
-    line = F.struct(F.struct(F.concat(F.lit("book "), text("o_custkey")).alias("name")).alias("provider"), (F.col("o_orderkey") % 60 + 0.5).alias("overUnder"), F.struct(text(-(F.col("o_custkey") % 300)).alias("moneyLine")).alias("homeTeamOdds"))
+    line = F.struct(
+        F.struct(F.concat(F.lit("book "), text("o_custkey")).alias("name")).alias("provider"), (F.col("o_orderkey") % 60 + 0.5).alias("overUnder"),
+        F.struct(text(-(F.col("o_custkey") % 300)).alias("moneyLine")).alias("homeTeamOdds")
+    )
     bodies = orders(spark, sf).select(text("o_orderkey").alias("id"), F.to_json(F.struct(F.array(line).alias("items"))).alias("body"))
     return json_api.odds(bodies).select("id", "provider", "over_under", "home_ml")
 
@@ -140,7 +170,11 @@ def summaries(spark: SparkSession, sf: str) -> DataFrame:
 
     e = load(spark, sf, "events")
     at_ = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    play = F.struct("at", F.when(F.col("event_type") != "error", text("event_id")).alias("id"), F.col("event_type").alias("text"), F.struct(F.lit(1).alias("number")).alias("period"), (F.col("value") > 90).alias("scoringPlay"), F.floor("value").alias("homeScore"))
+    play = F.struct(
+        "at",
+        F.when(F.col("event_type") != "error", text("event_id")).alias("id"), F.col("event_type").alias("text"),
+        F.struct(F.lit(1).alias("number")).alias("period"), (F.col("value") > 90).alias("scoringPlay"), F.floor("value").alias("homeScore")
+    )
     drives = e.withColumn("at", at_).groupBy("user_id", F.floor(F.col("at") / 6).alias("drive")).agg(F.array_sort(F.collect_list(play)).alias("plays"))
     one = lambda result: F.struct("drive", F.concat(F.lit("d"), text("drive")).alias("id"), F.lit(result).alias("result"), text("user_id").alias("team"), "plays")
     games_ = drives.groupBy("user_id").agg(F.array_sort(F.collect_list(one("PUNT"))).alias("previous"), F.max(one("TD")).alias("current"))
@@ -200,7 +234,10 @@ def roster(spark, sf):
 @query("team_leaders", "SELECT p_partkey::VARCHAR AS team_id, p_brand AS category, (p_size + 1)::VARCHAR AS athlete_id, 2 AS rank FROM part UNION ALL SELECT p_partkey::VARCHAR, p_brand, p_size::VARCHAR, 3 FROM part")
 def team_leaders(spark, sf):
     """The first leader has no reference to an athlete, so ranks begin at two."""
-    leader = lambda key: F.struct(text(key).alias("displayValue"), F.map_from_arrays(F.array(F.lit("$ref")), F.array(F.concat(F.lit("http://s.test/athletes/"), text(key)))).alias("athlete"))
+    leader = lambda key: F.struct(
+        text(key).alias("displayValue"),
+        F.map_from_arrays(F.array(F.lit("$ref")), F.array(F.concat(F.lit("http://s.test/athletes/"), text(key)))).alias("athlete")
+    )
     nobody = F.struct(F.lit("9").alias("displayValue"), F.map_from_arrays(F.array(F.lit("$ref")), F.array(F.lit("http://s.test/teams/1"))).alias("athlete"))
     category = F.struct(F.col("p_brand").alias("name"), F.array(nobody, leader(F.col("p_size") + 1), leader(F.col("p_size"))).alias("leaders"))
     bodies = load(spark, sf, "part").select(text("p_partkey").alias("team_id"), F.to_json(F.struct(F.array(category).alias("categories"))).alias("body"))
@@ -211,7 +248,10 @@ def team_leaders(spark, sf):
 def player_stats(spark, sf):
     """Of two seasons one is wanted; a category of zeros and dashes only is dropped."""
     season = lambda year, values: F.struct(F.struct(F.lit(year).alias("year")).alias("season"), values.alias("stats"))
-    category = lambda name, values: F.struct(F.lit(name).alias("name"), F.array(F.lit("A"), F.lit("B")).alias("labels"), F.array(season(2022, F.array(F.lit("7"), F.lit("7"))), season(2023, values)).alias("statistics"))
+    category = lambda name, values: F.struct(
+        F.lit(name).alias("name"), F.array(F.lit("A"), F.lit("B")).alias("labels"),
+        F.array(season(2022, F.array(F.lit("7"), F.lit("7"))), season(2023, values)).alias("statistics")
+    )
     categories = F.array(category("run", F.array(text("p_size"), F.lit("-"))), category("none", F.array(F.lit("0"), F.lit("0.0"))))
     bodies = load(spark, sf, "part").select(text("p_partkey").alias("athlete_id"), F.to_json(F.struct(categories.alias("categories"))).alias("body"))
     return json_api.player_stats(bodies, 2023).select("athlete_id", "name", "values")
@@ -220,8 +260,14 @@ def player_stats(spark, sf):
 @query("league_catalog", "SELECT r_regionkey::VARCHAR AS id, r_name AS display_name, CASE WHEN r_regionkey BETWEEN 1 AND 12 THEN r_regionkey::INT END AS season_start_month FROM region")
 def league_catalog(spark, sf):
     """A league per region, twice; one without a path drops out; months out of range go."""
-    league = lambda path: F.struct(text("r_regionkey").alias("id"), F.col("r_name").alias("displayName"), F.lit("football").alias("espnSport"), path.alias("espnLeaguePath"), F.col("r_regionkey").alias("seasonStartMonth"))
-    broken = F.struct(F.lit("x").alias("id"), F.lit("No path").alias("displayName"), F.lit("football").alias("espnSport"), F.lit(None).cast("string").alias("espnLeaguePath"), F.lit(1).alias("seasonStartMonth"))
+    league = lambda path: F.struct(
+        text("r_regionkey").alias("id"), F.col("r_name").alias("displayName"), F.lit("football").alias("espnSport"), path.alias("espnLeaguePath"),
+        F.col("r_regionkey").alias("seasonStartMonth")
+    )
+    broken = F.struct(
+        F.lit("x").alias("id"), F.lit("No path").alias("displayName"), F.lit("football").alias("espnSport"), F.lit(None).cast("string").alias("espnLeaguePath"),
+        F.lit(1).alias("seasonStartMonth")
+    )
     bodies = load(spark, sf, "region").select(F.to_json(F.struct(F.array(league(F.lit("nfl")), league(F.lit("other")), broken).alias("leagues"))).alias("body"))
     return json_api.leagues(bodies).select("id", "display_name", "season_start_month")
 
@@ -230,8 +276,14 @@ def league_catalog(spark, sf):
 def stored_articles(spark, sf):
     """Entries without the time they were first seen drop out, unknown words of reach go to the default."""
     seen = F.when(F.col("doc_id") % 6 != 0, "2024-01-02T03:04:05Z")
-    entry = F.struct(F.concat(F.lit("doc:"), text("doc_id")).alias("link"), F.concat(F.lit("T "), text("doc_id")).alias("title"), F.when(F.col("doc_id") % 2 == 0, "beat").otherwise("odd").alias("reach"), (F.col("doc_id") % 4).alias("tier"), seen.alias("firstSeenAt"))
-    bodies = load(spark, sf, "documents").where("doc_id IS NOT NULL").select(F.concat(F.lit("team"), text(F.col("doc_id") % 10)).alias("team"), F.to_json(F.array(entry)).alias("body"))
+    entry = F.struct(
+        F.concat(F.lit("doc:"), text("doc_id")).alias("link"), F.concat(F.lit("T "), text("doc_id")).alias("title"),
+        F.when(F.col("doc_id") % 2 == 0, "beat").otherwise("odd").alias("reach"), (F.col("doc_id") % 4).alias("tier"),
+        seen.alias("firstSeenAt")
+    )
+    bodies = load(spark, sf, "documents").where("doc_id IS NOT NULL").select(
+        F.concat(F.lit("team"), text(F.col("doc_id") % 10)).alias("team"), F.to_json(F.array(entry)).alias("body")
+    )
     return json_api.stored_articles(bodies).select("team", "link", "title", "tier", "reach")
 
 

@@ -85,7 +85,9 @@ wt AS (SELECT token, count(*) AS df, greatest(ln((SELECT count(DISTINCT link) FR
 
 
 def feed(spark, sf):
-    return articles(spark, sf).withColumns({"feed": F.lit("all"), "published": F.col("published").cast("timestamp"), "reach": F.when(F.col("scope") == "team", "beat").otherwise("national")})
+    return articles(spark, sf).withColumns(
+        {"feed": F.lit("all"), "published": F.col("published").cast("timestamp"), "reach": F.when(F.col("scope") == "team", "beat").otherwise("national")}
+    )
 
 
 @query("title_tokens", f"WITH {SQL_ARTICLES}, {SQL_TOKENS} SELECT link, token FROM w")
@@ -153,9 +155,14 @@ def player_match(spark, sf):
 k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY cents DESC, l_suppkey) AS rank FROM r)
 SELECT p_brand, l_suppkey AS s_suppkey, s_name, place FROM (SELECT k.*, s_name, row_number() OVER (PARTITION BY p_brand ORDER BY rank, l_suppkey) AS place FROM k JOIN supplier ON l_suppkey = s_suppkey) WHERE place <= 3""")
 def leader_boards(spark, sf):
-    revenue = load(spark, sf, "lineitem").join(load(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", "l_suppkey").agg(F.sum((F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
+    revenue = load(spark, sf, "lineitem").join(
+        load(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")
+    ).groupBy("p_brand", "l_suppkey").agg(F.sum((F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
     ranked = revenue.withColumn("rank", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("cents"), "l_suppkey")))
-    leaders = ranked.select(F.lit(1).alias("team_id"), F.col("p_brand").alias("category"), F.col("p_brand").alias("title"), F.col("l_suppkey").alias("athlete_id"), "rank", F.lit(0).alias("pos"))
+    leaders = ranked.select(
+        F.lit(1).alias("team_id"), F.col("p_brand").alias("category"), F.col("p_brand").alias("title"), F.col("l_suppkey").alias("athlete_id"),
+        "rank", F.lit(0).alias("pos")
+    )
     roster = load(spark, sf, "supplier").select(F.lit(1).alias("team_id"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("full_name"))
     return boards.leader_boards(leaders, roster).select(F.col("category").alias("p_brand"), F.col("athlete_id").alias("s_suppkey"), F.col("full_name").alias("s_name"), "place")
 
@@ -164,10 +171,16 @@ def leader_boards(spark, sf):
 SELECT o_orderkey, o_custkey, over_under, CASE WHEN o_totalprice > 100000 THEN 'W' WHEN o_totalprice < 100000 THEN 'L' ELSE 'T' END AS result FROM s LEFT JOIN o ON o_orderkey = l_orderkey WHERE n <= 5""")
 def schedule_odds(spark, sf):
     orders = load(spark, sf, "orders")
-    schedule = orders.select(F.col("o_custkey").alias("team_id"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("kickoff"), F.when(F.col("o_orderstatus") == "F", "post").otherwise("pre").alias("state"), "o_totalprice")
+    schedule = orders.select(
+        F.col("o_custkey").alias("team_id"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("kickoff"),
+        F.when(F.col("o_orderstatus") == "F", "post").otherwise("pre").alias("state"), "o_totalprice"
+    )
     odds = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_quantity").alias("over_under"))
     no = F.lit(None).cast("boolean")
-    return games.upcoming_with_odds(schedule, odds).select(F.col("id").alias("o_orderkey"), F.col("team_id").alias("o_custkey"), "over_under", games.result_of(no, no, F.col("o_totalprice"), F.lit(100000.0)).alias("result"))
+    return games.upcoming_with_odds(schedule, odds).select(
+        F.col("id").alias("o_orderkey"), F.col("team_id").alias("o_custkey"), "over_under",
+        games.result_of(no, no, F.col("o_totalprice"), F.lit(100000.0)).alias("result")
+    )
 
 
 SQL_DELTA = f"""{SQL_PLAYS}, q AS (SELECT *, CASE WHEN type <> 'error' THEN home_win_pct - last_value(home_win_pct IGNORE NULLS) OVER (PARTITION BY game_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS delta FROM p)"""
@@ -180,7 +193,9 @@ def win_prob_delta(spark, sf):
 
 @query("turning_point", f"WITH {SQL_DELTA} SELECT game_id AS user_id, play_id AS event_id, round(delta, 9) AS delta FROM (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY abs(delta) DESC, pos) AS n FROM q WHERE abs(delta) >= 0.05) WHERE n = 1")
 def turning_point(spark, sf):
-    return games.turning_points(plays(spark, sf), clock_kinds=("error",)).select(F.col("game_id").alias("user_id"), F.col("play_id").alias("event_id"), F.round("delta", 9).alias("delta"))
+    return games.turning_points(plays(spark, sf), clock_kinds=("error",)).select(
+        F.col("game_id").alias("user_id"), F.col("play_id").alias("event_id"), F.round("delta", 9).alias("delta")
+    )
 
 
 @query("since_marker", f"""WITH {SQL_PLAYS}, m AS (SELECT game_id, min(pos) AS mpos FROM p WHERE type = 'purchase' GROUP BY 1), r AS (SELECT p.*, mpos FROM p LEFT JOIN m USING (game_id))
@@ -188,7 +203,9 @@ SELECT game_id AS user_id, bool_or(mpos IS NOT NULL) AS marker_found, count(*) F
 def since_marker(spark, sf):
     rows = plays(spark, sf).withColumns({"home_score": F.col("points"), "away_score": F.lit(5), "period": F.lit(1)})
     first = rows.where("type = 'purchase'").groupBy("game_id").agg(F.min_by("play_id", "pos").alias("play_id"))
-    return games.swings(rows, first).select(F.col("game_id").alias("user_id"), "marker_found", "new_plays", "home_deficit").toDF("user_id", "marker_found", "new_events", "max_drop")
+    return games.swings(rows, first).select(
+        F.col("game_id").alias("user_id"), "marker_found", "new_plays", "home_deficit"
+    ).toDF("user_id", "marker_found", "new_events", "max_drop")
 
 
 @query("trailing_run", f"WITH {SQL_PLAYS} SELECT game_id AS user_id, count(*) FILTER (WHERE b = 0) AS run_len FROM (SELECT game_id, sum((type <> 'view')::INT) OVER (PARTITION BY game_id ORDER BY pos DESC ROWS UNBOUNDED PRECEDING) AS b FROM p) GROUP BY 1")
@@ -207,7 +224,10 @@ def retention_merge(spark, sf):
     """All documents are fresh; all of them, and all pages, are stored."""
     fresh = articles(spark, sf).select("team", "link", F.col("published").cast("timestamp").alias("published"))
     begin = F.lit("2024-01-01 06:00:00").cast("timestamp")
-    old = pages(spark, sf).select("team", "link", F.col("published").cast("timestamp").alias("published"), (begin + F.make_dt_interval(hours=F.col("pos").cast("int"))).alias("first_seen"))
+    old = pages(spark, sf).select(
+        "team", "link", F.col("published").cast("timestamp").alias("published"),
+        (begin + F.make_dt_interval(hours=F.col("pos").cast("int"))).alias("first_seen")
+    )
     stored = fresh.withColumn("first_seen", begin).unionByName(old)
     return A.merged_with_stored(fresh, stored, now().cast("timestamp")).select("team", "link", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), "rn")
 
@@ -235,7 +255,11 @@ SELECT slug, nickname, 'reserved' AS kind, 'owner' AS detail FROM t WHERE nickna
 SELECT x.slug, x.nickname, CASE WHEN x.sources = y.sources THEN 'shared-source' ELSE 'contested' END, CASE WHEN x.sources = y.sources THEN y.slug || ',' || x.sources[1] ELSE y.slug END FROM t x JOIN t y ON x.nickname = y.nickname AND x.slug <> y.slug""")
 def nickname_hazards(spark, sf):
     key = F.col("s_suppkey")
-    teams = load(spark, sf, "supplier").select(F.concat(F.lit("s"), key.cast("string")).alias("slug"), F.array(F.concat(F.lit("N"), (key % 7).cast("string"))).alias("nicknames"), F.array(F.concat(F.lit("f"), (key % 3).cast("string"))).alias("sources"))
+    teams = load(spark, sf, "supplier").select(
+        F.concat(F.lit("s"), key.cast("string")).alias("slug"),
+        F.array(F.concat(F.lit("N"), (key % 7).cast("string"))).alias("nicknames"),
+        F.array(F.concat(F.lit("f"), (key % 3).cast("string"))).alias("sources")
+    )
     return curation.nickname_hazards(teams, spark.createDataFrame([("N1", "owner")], "nickname string, owner string"))
 
 
@@ -253,7 +277,11 @@ def verdict_cache_key(spark, sf):
   length(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS text_len FROM pages""")
 def page_text(spark, sf):
     html = F.col("html")
-    return load(spark, sf, "pages").select("page_id", F.regexp_extract(html, "<title>([^<]*)</title>", 1).alias("title"), text.first_image(html).alias("first_img"), F.length(text.squash(F.regexp_replace(html, "<[^>]*>", " "))).alias("text_len"))
+    return load(spark, sf, "pages").select(
+        "page_id",
+        F.regexp_extract(html, "<title>([^<]*)</title>", 1).alias("title"), text.first_image(html).alias("first_img"),
+        F.length(text.squash(F.regexp_replace(html, "<[^>]*>", " "))).alias("text_len")
+    )
 
 
 #: DuckDB's form of the references, the ampersand's last; the tables have none by number.
@@ -338,7 +366,10 @@ SELECT id, state, CASE WHEN home IN (SELECT s_suppkey FROM supplier) THEN 'home'
 def followed_ticker(spark, sf):
     """Followed are the teams of a table, the suppliers."""
     o = load(spark, sf, "orders")
-    rows = o.select(F.lit("l").alias("league_id"), F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("home_id"), (F.col("o_custkey") + 1).alias("away_id"), F.when(F.col("o_orderstatus") == "O", "pre").when(F.col("o_orderstatus") == "F", "post").otherwise("in").alias("state"))
+    rows = o.select(
+        F.lit("l").alias("league_id"), F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("home_id"), (F.col("o_custkey") + 1).alias("away_id"),
+        F.when(F.col("o_orderstatus") == "O", "pre").when(F.col("o_orderstatus") == "F", "post").otherwise("in").alias("state")
+    )
     followed = load(spark, sf, "supplier").select(F.lit("l").alias("league_id"), F.col("s_suppkey").alias("team_id")).distinct()
     return games.followed_games(rows, followed).select("id", "state", "followed_side")
 
@@ -360,7 +391,10 @@ def events_watermark(spark, sf):
   ['touchdown', 'touchdown', 'field_goal', 'field_goal', 'missed_kick', 'missed_kick', 'missed_kick', 'punt', 'punt', 'turnover', 'turnover', 'turnover', 'downs', 'safety', 'return_touchdown', 'return_touchdown', 'return_touchdown', 'period_end', 'other', 'other'] AS outcomes)
 SELECT o_orderkey, results[1 + o_orderkey % 20] AS result, outcomes[1 + o_orderkey % 20] AS outcome FROM orders, r""")
 def drive_outcomes(spark, sf):
-    results = ["TD", "touchdown", " fg ", "FIELD GOAL", "MISSED FG", "Blocked FG", "FG MISSED", "PUNT", "BLOCKED PUNT", "INT", "FUMBLE LOST", "TO", "DOWNS", "SAFETY", "INT TD", "BLOCKED FG TD", "PUNT RETURN TD", "END OF HALF", "NEW", ""]
+    results = [
+        "TD", "touchdown", " fg ", "FIELD GOAL", "MISSED FG", "Blocked FG", "FG MISSED", "PUNT", "BLOCKED PUNT", "INT",
+        "FUMBLE LOST", "TO", "DOWNS", "SAFETY", "INT TD", "BLOCKED FG TD", "PUNT RETURN TD", "END OF HALF", "NEW", ""
+    ]
     result = F.get(F.array(*[F.lit(r) for r in results]), (F.col("o_orderkey") % 20).cast("int"))
     return load(spark, sf, "orders").select("o_orderkey", result.alias("result"), games.outcome(result).alias("outcome"))
 
@@ -397,9 +431,14 @@ def catch_up(spark, sf):
     marker = rows.where("type = 'purchase'").groupBy("game_id").agg(F.min_by("play_id", "pos").alias("play_id"))
     last = Window.partitionBy("game_id")
     drives = rows.groupBy("game_id", F.col("drive_pos").alias("pos")).agg(F.max("pos").alias("last_pos")).withColumn("is_current", F.max("pos").over(last) == F.col("pos"))
-    parts = games.split_drives(drives, rows, marker).groupBy("game_id").agg(F.count_if(F.col("part") == "new").alias("new_drives"), F.count_if(F.col("part") == "earlier").alias("earlier_drives"))
+    parts = games.split_drives(drives, rows, marker).groupBy("game_id").agg(
+        F.count_if(F.col("part") == "new").alias("new_drives"),
+        F.count_if(F.col("part") == "earlier").alias("earlier_drives")
+    )
     r = lambda c: F.round(c, 9).alias(c)
-    return games.swings(rows, marker).join(parts, "game_id").select(F.col("game_id").alias("user_id"), "new_drives", "earlier_drives", "new_plays", r("from_pct"), r("to_pct"), r("swing"))
+    return games.swings(rows, marker).join(parts, "game_id").select(
+        F.col("game_id").alias("user_id"), "new_drives", "earlier_drives", "new_plays", r("from_pct"), r("to_pct"), r("swing")
+    )
 
 
 def queries() -> dict:

@@ -53,7 +53,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as articles of no date: link, team, pos, published."""
     p = load(spark, sf_dir, "pages").where("page_id IS NOT NULL")
     link = F.concat(F.lit("page:"), F.col("page_id").cast("string"))
-    return p.select(link.alias("link"), F.concat(F.lit("team"), (F.col("page_id") % 10).cast("string")).alias("team"), F.col("page_id").alias("pos"), F.lit(None).cast("timestamp_ntz").alias("published"))
+    return p.select(
+        link.alias("link"),
+        F.concat(F.lit("team"), (F.col("page_id") % 10).cast("string")).alias("team"), F.col("page_id").alias("pos"),
+        F.lit(None).cast("timestamp_ntz").alias("published")
+    )
 
 
 def plays(spark: SparkSession, sf_dir: str) -> DataFrame:

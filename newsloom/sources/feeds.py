@@ -71,7 +71,10 @@ def rss_articles(rows: DataFrame) -> DataFrame:
     item = rows.withColumn("_x", _xml(RSS)).select("*", F.posexplode("_x.channel.item").alias("pos", "i"))
     body = F.coalesce("i.`content:encoded`", "i.description")
     title, link = T.blank_to_null(T.decode_entities("i.title")), T.blank_to_null(F.col("i.link"))
-    image = F.coalesce(_image_of(F.col("i.enclosure")), F.get("i.`media:content`", F.lit(0))["_url"], F.get("i.`media:thumbnail`", F.lit(0))["_url"], T.first_image(F.col("i.`content:encoded`")), T.first_image(F.col("i.description")))
+    image = F.coalesce(
+        _image_of(F.col("i.enclosure")), F.get("i.`media:content`", F.lit(0))["_url"], F.get("i.`media:thumbnail`", F.lit(0))["_url"],
+        T.first_image(F.col("i.`content:encoded`")), T.first_image(F.col("i.description"))
+    )
     out = item.select(
         F.col("name").alias("source"), F.coalesce("i.guid._VALUE", "i.link").alias("id"), title.alias("title"), link.alias("link"), T.strip_tags(F.coalesce("i.description", body)).alias("description"),
         F.coalesce(T.blank_to_null(F.col("i.`dc:creator`")), T.blank_to_null(F.col("i.author"))).alias("author"), feed_date(F.col("i.pubDate")).alias("published"), image.alias("image_url"),

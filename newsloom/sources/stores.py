@@ -36,7 +36,12 @@ def status_report(status: DataFrame) -> DataFrame:
     """Lines of a feed-status report, the failing ones first, then the totals."""
     line = F.format_string("%-6s %-8s %5d items %6d ms  %s", "status", F.coalesce("format", F.lit("-")), "items", F.col("ms").cast("int"), "url")
     rows = status.select(F.when(F.col("status") == "OK", 1).otherwise(0).alias("ord"), line.alias("line"))
-    totals = status.agg(F.lit(2).alias("ord"), F.format_string("%d passing, %d failing, %d slow", F.count_if(F.col("status") == "OK"), F.count_if(F.col("status") != "OK"), F.count_if("slow")).alias("line"))
+    totals = status.agg(
+        F.lit(2).alias("ord"),
+        F.format_string(
+            "%d passing, %d failing, %d slow", F.count_if(F.col("status") == "OK"), F.count_if(F.col("status") != "OK"), F.count_if("slow")
+        ).alias("line")
+    )
     return rows.unionByName(totals)
 
 

@@ -46,7 +46,10 @@ def first_seen(arrivals: DataFrame) -> DataFrame:
         yield pd.DataFrame({"team": key[0], "link": key[1], "first_seen": first, "seen_at": rows["seen_at"].max()}, index=[0])
 
     keyed = arrivals.withWatermark("seen_at", "0 seconds").groupBy("team", "link")
-    return keyed.applyInPandasWithState(fold, "team string, link string, first_seen timestamp, seen_at timestamp", "first_seen timestamp", "update", GroupStateTimeout.EventTimeTimeout)
+    return keyed.applyInPandasWithState(
+        fold,
+        "team string, link string, first_seen timestamp, seen_at timestamp", "first_seen timestamp", "update", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def last_good_boards(polls: DataFrame) -> DataFrame:
@@ -61,7 +64,9 @@ def last_good_boards(polls: DataFrame) -> DataFrame:
             body, at = state.get
             yield pd.DataFrame({"league_id": [key[0]], "body": [body], "polled_at": [at]})
 
-    return polls.groupBy("league_id").applyInPandasWithState(fold, "league_id string, body string, polled_at timestamp", "body string, polled_at timestamp", "update", GroupStateTimeout.NoTimeout)
+    return polls.groupBy("league_id").applyInPandasWithState(
+        fold, "league_id string, body string, polled_at timestamp", "body string, polled_at timestamp", "update", GroupStateTimeout.NoTimeout
+    )
 
 
 def markers(visits: DataFrame) -> DataFrame:
