@@ -50,11 +50,11 @@ def reserved_names(pro: DataFrame, floor: DataFrame) -> DataFrame:
     return rows.groupBy(F.lower("nickname").alias("nickname")).agg(F.min_by("owner", F.struct("p", "owner")).alias("owner"))
 
 
-def source_yield(articles: DataFrame, named: Column, kept: Column) -> DataFrame:
-    """Per source: items, of them named, of them kept, and the percentage; a link counts once, for the first that has it."""
+def source_yield(articles: DataFrame, named: Column, kept: Column, by: tuple = ("source",)) -> DataFrame:
+    """Per source, or by other columns such as the team: items, of them named, of them kept, and the percentage; a link counts once, for the first that has it."""
     once = articles.withColumn("_n", F.row_number().over(Window.partitionBy("link").orderBy("list_ord", "pos"))).where("_n = 1")
-    flagged = once.select("source", named.alias("named"), (named & kept).alias("kept"))
-    out = flagged.groupBy("source").agg(F.count("*").alias("items"), F.count_if("named").alias("named"), F.count_if("kept").alias("kept"))
+    flagged = once.select(*by, named.alias("named"), (named & kept).alias("kept"))
+    out = flagged.groupBy(*by).agg(F.count("*").alias("items"), F.count_if("named").alias("named"), F.count_if("kept").alias("kept"))
     return out.withColumn("pct", F.floor(100 * F.col("kept") / F.col("items") + 0.5).cast("long"))
 
 
@@ -215,3 +215,9 @@ def roster_snapshot(leagues: DataFrame) -> DataFrame:
 def naming_gaps(yields: DataFrame, least_items: int = 20) -> DataFrame:
     """Sources with enough items of which none names the team: their names for it may be missing."""
     return yields.where((F.col("items") >= least_items) & (F.col("named") == 0))
+
+
+def diagnosed(yields: DataFrame, least: int = 1) -> DataFrame:
+    """yields with a diagnosis: nothing came, nothing named the team, filters took all, few stayed; null where enough did."""
+    why = F.when(F.col("items") == 0, "empty").when(F.col("named") == 0, "not named").when(F.col("kept") == 0, "filtered").when(F.col("kept") < least, "few")
+    return yields.withColumn("diagnosis", why)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.operators.articles import next_store
+from newsloom.functions.text import migrated_favorites
+from newsloom.operators.articles import next_store, read_marks
+from newsloom.shared import stored
 
 
 def write_teams(merged: DataFrame, path: str) -> None:
@@ -45,5 +47,39 @@ def status_report(status: DataFrame) -> DataFrame:
     return rows.unionByName(totals)
 
 
-def write_report(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+def write_report(rows: DataFrame, path: str, lines: str | None = None) -> None:
+    """A report as JSON, or as text: the lines of a column in the order of ord, in one file, as reports are short."""
+    if lines is None:
+        rows.write.mode("overwrite").json(path)
+    else:
+        rows.orderBy("ord", lines).select(lines).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_logs(shaped: DataFrame, raw: DataFrame, path: str, since: Column, until: Column) -> None:
+    """A window of logs, shaped rows with their raw form, as JSON; both have at, raw has event."""
+    within = lambda rows: rows.where((F.col("at") >= since) & (F.col("at") < until))
+    row = lambda rows, kind, value: within(rows).select("at", F.lit(kind).alias("kind"), value.alias("row"))
+    both = row(shaped, "shaped", F.to_json(F.struct(*shaped.columns))).unionByName(row(raw, "raw", F.col("event")))
+    both.write.mode("overwrite").json(path)
+
+
+def replace(rows: DataFrame, path: str) -> None:
+    """Rows, which may come from what the path holds, in its place."""
+    stored(rows, "replace").write.mode("overwrite").parquet(path)
+
+
+def write_keyed(changes: DataFrame, path: str, key: str, at: str = "at") -> None:
+    """Changes merged by key into the table at the path, which must exist."""
+    replace(upserted(changes.sparkSession.read.parquet(path), changes, key, at), path)
+
+
+def write_marks(marks: DataFrame, path: str, now: Column) -> None:
+    """Read marks merged by link into those at the path: the latest of each, of the last week, the newest of them."""
+    known = marks.sparkSession.read.parquet(path)
+    replace(read_marks(known.unionByName(marks.select(*known.columns)), now), path)
+
+
+def hydrated_favorites(store: DataFrame, fallback_league: str) -> DataFrame:
+    """A store of favourites (owner, entries) with entries migrated to keys, and whether the owner has been through onboarding, which a first favourite tells."""
+    keys = migrated_favorites(F.col("entries"), fallback_league)
+    return store.withColumn("entries", keys).withColumn("onboarded", F.size("entries") > 0)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from newsloom.functions.dates import period_key
+
 WEEK = "7 days"
 POLL_LIVE, POLL_SUMMARY = "30 seconds", "20 seconds"
 
@@ -94,3 +96,13 @@ def poll_delay(now: float, kickoff: float | None, live: bool) -> float | None:
     if live:
         return 30.0
     return None if kickoff is None else min(max(kickoff - now, 30.0), 900.0)
+
+
+def summary_poll_delay(live: bool, focused: bool, foreground: bool) -> float | None:
+    """Seconds to the next poll of a game's summary: 20 while it is on and looked at, else none."""
+    return 20.0 if live and focused and foreground else None
+
+
+def refresh_claims(attempts: DataFrame, late: str = "1 day") -> DataFrame:
+    """The first of the attempts (at) in each refresh period, which claims it; period is its key."""
+    return attempts.withColumn("period", period_key(F.col("at"))).withWatermark("at", late).dropDuplicatesWithinWatermark(["period"])

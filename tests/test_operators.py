@@ -464,6 +464,9 @@ def test_curated_tables(spark):
     assert [(r.league_key, [t.slug for t in r.teams]) for r in curation.roster_snapshot(snapshot).collect()] == [("a", ["y", "z"]), ("b", ["x"])]
     yields = frame(spark, "source string, items int, named int, kept int", ("a", 30, 0, 0), ("b", 30, 4, 2), ("c", 3, 0, 0))
     assert [r.source for r in curation.naming_gaps(yields).collect()] == ["a"] and sorted(r.source for r in curation.below_floor(yields, 1).collect()) == ["a", "c"]
+    seen = frame(spark, "link string, team string, source string, title string, list_ord int, pos int", ("1", "t", "a", "Oak wins", 0, 0), ("1", "t", "b", "Oak wins", 0, 1), ("2", "t", "b", "Oak ad", 0, 2), ("3", "u", "b", "Elm", 0, 3))
+    funnel = curation.diagnosed(curation.source_yield(seen, F.col("title").contains("Oak"), ~F.col("title").contains("ad"), ("team", "source")))
+    assert sorted((r.team, r.source, r["items"], r.named, r.kept, r.diagnosis) for r in funnel.collect()) == [("t", "a", 1, 1, 1, None), ("t", "b", 1, 1, 0, "filtered"), ("u", "b", 1, 0, 0, "not named")]
     rescued = curation.rescues(frame(spark, "title string, description string, published timestamp", ("Acorns win", "", datetime(2024, 1, 2)), ("Oak Acorns", "", None), ("Nuts", "", datetime(2024, 1, 3))), ["Oak"], ["Nuts", "Acorns"])
     assert {(r.nickname, r.rescues) for r in curation.usefulness(rescued).collect()} == {("Acorns", 1), ("Nuts", 1)}
     nicknames = frame(spark, "slug string, nickname string", ("s", "Acorns"), ("s", "Hogs"), ("t", "Hens"))

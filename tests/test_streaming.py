@@ -1,5 +1,7 @@
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from newsloom.sources import stores
 from newsloom.streaming import live
 
@@ -61,3 +63,35 @@ def test_stores(spark, tmp_path):
     assert stores.clear(spark, path) == 2 and spark.read.parquet(path).count() == 0
     old, new = spark.createDataFrame([("a", 1, T(1)), ("b", 1, T(1))], "k string, v int, at timestamp"), spark.createDataFrame([("a", 2, T(2))], "k string, v int, at timestamp")
     assert sorted((r.k, r.v) for r in stores.upserted(old, new, "k").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_periods_are_claimed_once(spark, tmp_path):
+    s = stream(spark, tmp_path, "who string, at timestamp", [("a", T(6))], [("b", T(7)), ("c", T(12))], [("d", T(4, d=2))])
+    assert sorted((r[0], r[2]) for r in run(spark, live.refresh_claims(s), "append")) == [("a", "2024-01-01:morning"), ("c", "2024-01-01:midday"), ("d", "2024-01-01:evening")]
+    assert live.summary_poll_delay(True, True, True) == 20 and live.summary_poll_delay(True, False, True) is None
+    rows = spark.createDataFrame([("g", f"p{i}", T(1, i)) for i in range(25)] + [("h", None, T(9))], "game_id string, play_id string, at timestamp")
+    assert [r.play_id for r in live.kept_markers(rows).collect()][:2] == ["p24", "p23"] and live.kept_markers(rows).count() == 20
+
+
+def test_keyed_tables_marks_and_reports(spark, tmp_path):
+    path = str(tmp_path / "keyed")
+    table = lambda *rows: spark.createDataFrame(list(rows), "k string, v int, at timestamp")
+    table(("a", 1, T(1)), ("b", 1, T(1))).write.parquet(path)
+    stores.write_keyed(table(("a", 2, T(1)), ("b", 0, T(0)), ("c", 3, None)), path, "k")
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [("a", 2), ("b", 1), ("c", 3)]
+    assert {r.k for r in stores.unexpired(table(("a", 1, T(1)), ("b", 1, T(1, d=9))), F.lit("2024-01-11 00:00:00").cast("timestamp"), days=5).collect()} == {"b"}
+    marks, mark = str(tmp_path / "marks"), lambda *rows: spark.createDataFrame(list(rows), "link string, read_at timestamp")
+    mark(("x", T(1)), ("y", T(1))).write.parquet(marks)
+    stores.write_marks(mark(("x", T(2, d=8)), ("z", T(1, d=9))), marks, F.lit("2024-01-09 12:00:00").cast("timestamp"))
+    assert sorted(r.link for r in spark.read.parquet(marks).collect()) == ["x", "z"]
+    status = spark.createDataFrame([("OK", "rss", 3, 5, "u1", False), ("HTTP", None, 0, 9, "u2", True)], "status string, format string, items int, ms int, url string, slow boolean")
+    stores.write_report(stores.status_report(status), str(tmp_path / "text"), "line")
+    lines = [r.value for r in spark.read.text(str(tmp_path / "text")).collect()]
+    assert lines[0].startswith("HTTP") and lines[1].startswith("OK") and lines[2] == "1 passing, 1 failing, 1 slow"
+    stores.write_report(status, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 2
+    logs = spark.createDataFrame([(T(1), "a"), (T(5), "b")], "at timestamp, event string")
+    stores.write_logs(logs.withColumnRenamed("event", "path"), logs, str(tmp_path / "logs"), F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-01 02:00:00").cast("timestamp"))
+    assert sorted((r.kind, "a" in r.row) for r in spark.read.json(str(tmp_path / "logs")).collect()) == [("raw", True), ("shaped", True)]
+    favorites = spark.createDataFrame([("me", [" 13 ", "l:13"]), ("you", [])], "owner string, entries array<string>")
+    assert {r.owner: (r.entries, r.onboarded) for r in stores.hydrated_favorites(favorites, "l").collect()} == {"me": (["l:13"], True), "you": ([], False)}
