@@ -13,7 +13,7 @@ from newsloom.operators import articles as A
 from newsloom.operators import boards, claims, cluster, curation, games, tagging
 
 from .base import QUERIES, SQL, query
-from .views import NOW, SQL_ARTICLES, SQL_PAGES, SQL_PLAYS, articles, load, now, pages, plays
+from .views import NOW, SQL_ARTICLES, SQL_HEADLINES, SQL_PAGES, SQL_PLAYS, articles, headlines, load, now, pages, plays
 
 NAMES = ["with", "that", "para"]
 COMMERCE, INSTITUTIONAL, ATHLETIC = ("worthless", "license"), ("that", "les"), ("the", "la")
@@ -105,18 +105,18 @@ def upper_median(spark, sf):
     return cluster.upper_median(cluster.weights_of(cluster.tokens_of(feed(spark, sf), LANGUAGE))).select(F.round("median", 6).alias("median"))
 
 
-@query("pair_score", f"""WITH {SQL_ARTICLES}, {SQL_TOKENS}, x AS (SELECT w.link, w.token, wt.weight, tk.published FROM w JOIN wt USING (token) JOIN tk USING (link)),
+@query("pair_score", f"""WITH {SQL_HEADLINES}, {SQL_TOKENS}, x AS (SELECT w.link, w.token, wt.weight, tk.published FROM w JOIN wt USING (token) JOIN tk USING (link)),
 s AS (SELECT link, sum(weight) AS total FROM x GROUP BY link)
 SELECT m.*, round(2 * m.sh / (s1.total + s2.total), 6) AS dice FROM (
   SELECT x.link AS anchor, y.link AS link, count(*) AS shared, sum(x.weight) AS sh FROM x JOIN x y ON x.token = y.token AND (x.published > y.published OR (x.published = y.published AND x.link < y.link)) AND x.published - y.published <= INTERVAL 36 HOURS GROUP BY 1, 2 HAVING count(*) >= 3
 ) m JOIN s s1 ON s1.link = m.anchor JOIN s s2 ON s2.link = m.link""".replace("SELECT m.*, round", "SELECT m.anchor, m.link, m.shared, round"))
 def pair_score(spark, sf):
-    return cluster.pair_scores(feed(spark, sf), LANGUAGE).where("shared >= 3").select("anchor", "link", "shared", F.round("dice", 6).alias("dice"))
+    return cluster.pair_scores(headlines(spark, sf), LANGUAGE).where("shared >= 3").select("anchor", "link", "shared", F.round("dice", 6).alias("dice"))
 
 
 @query("cluster_rollup")
 def cluster_rollup(spark, sf):
-    rows = feed(spark, sf)
+    rows = headlines(spark, sf)
     return cluster.rolled_up(rows, cluster.clusters(rows, None, LANGUAGE)).select("lead", "duplicate_count", "also_covered_by", "latest_published_at", "anchor_pos")
 
 
