@@ -78,12 +78,17 @@ def player_matches(articles: DataFrame, players: DataFrame) -> DataFrame:
     Names meet texts by their words in an equi-join, so players are not multiplied by articles:
     the surname must be among the words, and the full name is then looked for.
     """
-    words = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "title", "description")), "[^\\p{L}\\p{N}']+"))
+    text = F.concat_ws(" ", "title", "description")
+    words = F.array_distinct(F.split(F.lower(text), "[^\\p{L}\\p{N}']+"))
+    edge = lambda c: F.concat(F.lit(" "), F.regexp_replace(F.lower(c), "[^\\p{L}\\p{N}']+", " "), F.lit(" "))
     surname = F.lower(F.element_at(F.split(T.trim_periods(F.col("name")), " "), -1))
     roster = players.select("name").distinct().withColumn("word", surname).withColumn("bearers", F.count("*").over(Window.partitionBy("word")))
-    rows = articles.select("link", F.concat_ws(" ", "title", "description").alias("text"), F.explode(words).alias("word")).join(roster, "word")
-    edge = lambda s: F.concat(F.lit(" "), F.regexp_replace(F.lower(s), "[^\\p{L}\\p{N}']+", " "), F.lit(" "))
-    full = F.contains(edge(F.col("text")), edge(F.col("name")))
-    found = rows.withColumn("kind", F.when(full, "full").when((F.length("word") >= 5) & (F.col("bearers") == 1), "surname")).where("kind IS NOT NULL")
+    roster = roster.withColumn("padded", edge(F.col("name")))
+    # a text isn't copied for each of its words: words carry its hashes, and what they hit fetches it again
+    key = F.struct(F.xxhash64(text), F.xxhash64(F.lit(1), text)).alias("key")
+    hits = articles.select("link", key, F.explode(words).alias("word")).join(roster, "word")
+    texts = articles.select(key, edge(text).alias("text")).dropDuplicates(["key"])
+    rows = hits.join(texts, "key").withColumn("full", F.contains("text", "padded")).drop("text", "padded", "key")
+    found = rows.withColumn("kind", F.when(F.col("full"), "full").when((F.length("word") >= 5) & (F.col("bearers") == 1), "surname")).where("kind IS NOT NULL")
     some = F.max(F.col("kind") == "full").over(Window.partitionBy("name"))
     return found.withColumn("_full", some).where((F.col("kind") == "full") | ~F.col("_full")).select("name", "link", "kind")
