@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, lm_score, mixing, near_dedup, periodic_runs, quality_classifier, quality_rules, secret_scan, token_counts, warc
+from . import decontaminate, license_scan, lm_score, mixing, near_dedup, periodic_runs, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_quality_classifier": quality_classifier.op9_quality_classifier,
         "op10_secret_scan": secret_scan.op10_secret_scan,
         "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+        "op12_toxicity": toxicity.op12_toxicity,
     }
 
 
