@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, lm_score, mixing, near_dedup, periodic_runs, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, warc
+from . import decontaminate, license_scan, lm_score, mixing, near_dedup, periodic_runs, phrases, quality_classifier, quality_rules, secret_scan, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_secret_scan": secret_scan.op10_secret_scan,
         "op11_periodic_runs": periodic_runs.op11_periodic_runs,
         "op12_toxicity": toxicity.op12_toxicity,
+        "op13_phrases": phrases.op13_phrases,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict:
     return {
         "op2_warc": warc.SQL,
         "op5_mixing": mixing.mixing_sql("documents"),
+        "op13_phrases": phrases.phrases_sql(),
     }
