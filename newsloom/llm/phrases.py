@@ -40,7 +40,7 @@ LEAST, MOST_WORDS, SHARE, TOP = 30, 4, 80, 2000
 #: Candidates in a trie, at most, and numbered words in a block that tasks read.
 SHARD, BLOCK = 1 << 19, 1 << 22
 #: Keys that a task sums before it sends them on.
-KEYS = 1 << 21
+KEYS = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENDS_PIECE = np.zeros(256, bool)
 ENDS_PIECE[[*b".,;:!?", *range(10, 14)]] = True
@@ -142,7 +142,7 @@ def encoded(docs: DataFrame, path: str, blocks: int, text: str = "text", lang: s
     return rows.mapInArrow(encode, "ids binary")
 
 
-def arrays(batches, size: int = 1 << 21):
+def arrays(batches, size: int = 1 << 19):
     """The encoded texts, some of them joined to arrays of about ``size``."""
     held, n = [], 0
     for batch in batches:
@@ -173,8 +173,9 @@ def summed(found, most: int = KEYS):
 KEYED = "prefix long, word long, n long"
 
 
-def keyed_batch(prefix: np.ndarray, word: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (prefix, word, n)], names=["prefix", "word", "n"])
+def keyed_batches(prefix: np.ndarray, word: np.ndarray, n: np.ndarray, rows: int = 1 << 15):
+    for i in range(0, len(n), rows):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + rows].astype(np.int64)) for x in (prefix, word, n)], names=["prefix", "word", "n"])
 
 
 def enough(keys: DataFrame, least: int) -> DataFrame:
@@ -187,7 +188,7 @@ def pair_keys(texts: DataFrame) -> DataFrame:
     def keys(batches):
         pairs = ((ids[:-1].astype(np.int64) << 32 | ids[1:])[(ids[:-1] >= 0) & (ids[1:] >= 0)] for ids in arrays(batches))
         for key, n in summed(pairs):
-            yield keyed_batch(key >> 32, key & 0xFFFFFFFF, n)
+            yield from keyed_batches(key >> 32, key & 0xFFFFFFFF, n)
 
     return texts.mapInArrow(keys, KEYED)
 
@@ -208,7 +209,7 @@ def longer_keys(texts: DataFrame, shared, size: int) -> DataFrame:
                         yield which[good] << 32 | after[good]
 
         for key, n in summed(found()):
-            yield keyed_batch(pids[key >> 32], key & 0xFFFFFFFF, n)
+            yield from keyed_batches(pids[key >> 32], key & 0xFFFFFFFF, n)
 
     return texts.mapInArrow(keys, KEYED)
 
@@ -224,7 +225,7 @@ def state_counts(texts: DataFrame, shared) -> DataFrame:
                 if k > 1:
                     total += np.bincount(state, minlength=len(total))
         ended = np.flatnonzero((trie.accept >= 0) & (total > 0))
-        yield keyed_batch(pids[trie.accept[ended]], np.zeros(len(ended)), total[ended])
+        yield from keyed_batches(pids[trie.accept[ended]], np.zeros(len(ended)), total[ended])
 
     return texts.mapInArrow(count, KEYED).groupBy("prefix").agg(F.sum("n").alias("n"))
 
