@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ LEAST, MOST_WORDS, SHARE, TOP = 30, 4, 80, 2000
 SHARD, BLOCK = 1 << 19, 1 << 22
 #: Keys that a task sums before it sends them on.
 KEYS = 1 << 20
+#: Places of a trie whose counts travel together.
+COUNTS = 1 << 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENDS_PIECE = np.zeros(256, bool)
 ENDS_PIECE[[*b".,;:!?", *range(10, 14)]] = True
@@ -215,19 +218,35 @@ def longer_keys(texts: DataFrame, shared, size: int) -> DataFrame:
 
 
 def state_counts(texts: DataFrame, shared) -> DataFrame:
-    """prefix, n: how often each phrase of a trie, by its pid, comes in the texts."""
+    """prefix, n: how often each phrase of a trie, by its pid, comes in the texts.
+
+    Each task sends its counts as arrays of ``COUNTS`` places, and these are summed as arrays.
+    """
 
     def count(batches):
-        trie, pids = Trie.unpacked(shared.value), np.frombuffer(shared.value[-1], np.int64)
+        trie = Trie.unpacked(shared.value)
         total = np.zeros(len(trie.accept), np.int64)
         for ids in arrays(batches):
             for k, _, state in walked(trie, ids, MOST_WORDS):
                 if k > 1:
                     total += np.bincount(state, minlength=len(total))
-        ended = np.flatnonzero((trie.accept >= 0) & (total > 0))
-        yield from keyed_batches(pids[trie.accept[ended]], np.zeros(len(ended)), total[ended])
+        ended = np.flatnonzero(trie.accept >= 0)
+        counts = np.zeros(len(ended), np.int64)
+        counts[trie.accept[ended]] = total[ended]
+        for i in range(0, len(counts), COUNTS):
+            if counts[i : i + COUNTS].any():
+                yield pa.RecordBatch.from_pydict({"block": [i // COUNTS], "counts": [counts[i : i + COUNTS].tobytes()]})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, counts = 0, 0
+        for batch in batches:
+            block = batch.column("block")[0].as_py()
+            for x in batch.column("counts").to_pylist():
+                counts = counts + np.frombuffer(x, np.int64)
+        pids = np.frombuffer(shared.value[-1], np.int64)[block * COUNTS :][: len(counts)]
+        yield from keyed_batches(pids, np.zeros(len(pids)), counts)
 
-    return texts.mapInArrow(count, KEYED).groupBy("prefix").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "block long, counts binary").groupBy("block").applyInArrow(add, KEYED)
 
 
 TRIES = "shard long, parts array<binary>"
