@@ -84,7 +84,7 @@ def vocabulary(words: DataFrame, least: int = LEAST) -> tuple[DataFrame, str, in
     if n != codes:
         raise ValueError("two frequent words have one hash")
     if n >= 1 << 31:
-        raise ValueError("more frequent words than their numbers tell apart")
+        raise ValueError("more frequent words than 31 bits tell apart")
     path = shared_path(spark, "codes")
     ids.select("id", "code", F.floor(F.col("id") / BLOCK).alias("block")).repartition("block").write.partitionBy("block").parquet(path)
     return ids, path, -(-n // BLOCK)
@@ -173,31 +173,33 @@ def summed(found, most: int = KEYS):
     yield keys, counts
 
 
-KEYED = "prefix long, word long, n long"
+KEYED = "key long, n long"
 
 
-def keyed_batches(prefix: np.ndarray, word: np.ndarray, n: np.ndarray, rows: int = 1 << 15):
+def keyed_batches(key: np.ndarray, n: np.ndarray, rows: int = 1 << 15):
     for i in range(0, len(n), rows):
-        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + rows].astype(np.int64)) for x in (prefix, word, n)], names=["prefix", "word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + rows].astype(np.int64)) for x in (key, n)], names=["key", "n"])
 
 
 def enough(keys: DataFrame, least: int) -> DataFrame:
-    return keys.groupBy("prefix", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    """prefix, word, n of keys that come often enough. Tasks have summed their keys, so they are dealt out before they are summed again."""
+    often = keys.repartition("key").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return often.select(F.shiftright("key", 32).alias("prefix"), F.col("key").bitwiseAND(0xFFFFFFFF).alias("word"), "n")
 
 
 def pair_keys(texts: DataFrame) -> DataFrame:
-    """prefix, word, n: neighbouring words."""
+    """key, n: neighbouring words, one in the upper and one in the lower half of the key."""
 
     def keys(batches):
         pairs = ((ids[:-1].astype(np.int64) << 32 | ids[1:])[(ids[:-1] >= 0) & (ids[1:] >= 0)] for ids in arrays(batches))
         for key, n in summed(pairs):
-            yield from keyed_batches(key >> 32, key & 0xFFFFFFFF, n)
+            yield from keyed_batches(key, n)
 
     return texts.mapInArrow(keys, KEYED)
 
 
 def longer_keys(texts: DataFrame, shared, size: int) -> DataFrame:
-    """prefix, word, n: the pid of a trie's phrase of so many words, and the word after."""
+    """key, n: the pid of a trie's phrase of so many words, and the word after."""
 
     def keys(batches):
         trie, pids = Trie.unpacked(shared.value), np.frombuffer(shared.value[-1], np.int64)
@@ -207,18 +209,18 @@ def longer_keys(texts: DataFrame, shared, size: int) -> DataFrame:
                 for k, at, state in walked(trie, ids, size):
                     if k == size:
                         inside = at + size < len(ids)
-                        which, after = trie.accept[state[inside]].astype(np.int64), ids[at[inside] + size]
+                        which, after = trie.accept[state[inside]], ids[at[inside] + size].astype(np.int64)
                         good = (which >= 0) & (after >= 0)
-                        yield which[good] << 32 | after[good]
+                        yield pids[which[good]] << 32 | after[good]
 
         for key, n in summed(found()):
-            yield from keyed_batches(pids[key >> 32], key & 0xFFFFFFFF, n)
+            yield from keyed_batches(key, n)
 
     return texts.mapInArrow(keys, KEYED)
 
 
 def state_counts(texts: DataFrame, shared) -> DataFrame:
-    """prefix, n: how often each phrase of a trie, by its pid, comes in the texts.
+    """key, n: how often each phrase of a trie, by its pid, comes in the texts.
 
     Each task sends its counts as arrays of ``COUNTS`` places, and these are summed as arrays.
     """
@@ -244,7 +246,7 @@ def state_counts(texts: DataFrame, shared) -> DataFrame:
             for x in batch.column("counts").to_pylist():
                 counts = counts + np.frombuffer(x, np.int64)
         pids = np.frombuffer(shared.value[-1], np.int64)[block * COUNTS :][: len(counts)]
-        yield from keyed_batches(pids, np.zeros(len(pids)), counts)
+        yield from keyed_batches(pids, counts)
 
     return texts.mapInArrow(count, "block long, counts binary").groupBy("block").applyInArrow(add, KEYED)
 
@@ -254,7 +256,10 @@ TRIES = "shard long, parts array<binary>"
 
 def tries_of(phrases: DataFrame, shard: int = SHARD) -> tuple[DataFrame, int]:
     """phrases (pid, ids) in tries of at most ``shard`` of them: shard, and the trie's arrays with the pids last. Also how many shards."""
-    shards = max(1, -(-phrases.count() // shard))
+    n = phrases.count()
+    if n >= 1 << 31:
+        raise ValueError("more phrases than 31 bits tell apart")
+    shards = max(1, -(-n // shard))
     place = lambda k: F.pmod(F.xxhash64("pid"), F.lit(k))
     while shards > 1 and phrases.groupBy(place(shards)).count().agg(F.max("count")).first()[0] > shard:
         shards += 1 + shards // 8
@@ -293,7 +298,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, shard: int = SHARD, text:
     def level(keys: DataFrame, shorter: DataFrame) -> DataFrame:
         both = keys.join(shorter, "prefix").join(last, "word")
         longer = both.select("lang", F.concat_ws(" ", "phrase", "_w").alias("phrase"), F.array_append("ids", F.col("word")).alias("ids"))
-        return stored(longer.withColumn("pid", F.monotonically_increasing_id()), "phrases")
+        return numbered(longer, F.asc("phrase"), F.asc("lang")).withColumnRenamed("rank", "pid")
 
     levels = [level(enough(pair_keys(texts), least), first)]
     for size in range(2, MOST_WORDS):
@@ -307,7 +312,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, shard: int = SHARD, text:
     single = words.where(F.col("f") >= least).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f")
     if counts is None:
         return words, single
-    several = counts.select(F.col("prefix").alias("pid"), "n").join(every, "pid").select("lang", "phrase", F.size("ids").alias("size"), F.col("n").alias("f"))
+    several = counts.select(F.col("key").alias("pid"), "n").join(every, "pid").select("lang", "phrase", F.size("ids").alias("size"), F.col("n").alias("f"))
     return words, stored(single.unionByName(several), "frequent")
 
 
