@@ -10,8 +10,6 @@ MONTHS = "january february march april may june july august september october no
 ZONES = {"gmt": 0, "utc": 0, "ut": 0, "z": 0, "est": 5, "edt": 4, "cst": 6, "cdt": 5, "mst": 7, "mdt": 6, "pst": 8, "pdt": 7}
 FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mmXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
 RFC822 = r"(?i)^\s*(?:[a-z]{3,9},?\s+)?(\d{1,2})\s+([a-z]{3})[a-z]*\.?\s+(\d{4})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([a-z]{1,3}|[+-]\d{2}:?\d{2})?\s*$"
-#: As some pages render it: weekday (it may be missing), month, day and year, a hyphen, hours and minutes.
-RENDERED = r"(?i)^\s*(?:[a-z]+,\s*)?([a-z]+)\s+(\d{1,2}),\s*(\d{4})\s*-\s*(\d{1,2}):(\d{2})\s*$"
 
 
 def _month(name: Column) -> Column:
@@ -36,9 +34,12 @@ def feed_date(text: Column) -> Column:
     offset = F.when(zone.startswith("+"), -minutes).when(zone.startswith("-"), minutes).otherwise(offset)
     second = F.coalesce(F.nullif(g(6), F.lit("")), F.lit("0"))
     rfc = F.when(text.rlike(RFC822), _made(g(3), _month(g(2)), g(1), g(4), g(5), second) + F.make_interval(mins=offset))
-    r = lambda n: F.regexp_extract(text, RENDERED, n)
-    whole = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(r(1))).cast("int")
-    rendered = F.when(text.rlike(RENDERED) & (whole > 0), _made(r(3), whole, r(2), r(4), r(5), F.lit(0)))
+    # as some pages render it: weekday (it may be missing), month, day, year, and after a hyphen hours and minutes
+    parts = F.split(text, ",")
+    weekday = (F.size(parts) == 3) & ~F.trim(F.get(parts, F.lit(0))).rlike("[^A-Za-z]")
+    day = F.concat_ws(",", F.when(weekday, F.slice(parts, 2, 2)).otherwise(parts))
+    spaced = F.regexp_replace(F.regexp_replace(F.trim(day), " *([,-]) *", "$1"), " +", " ")
+    rendered = F.try_to_timestamp(spaced, F.lit("MMMM d,yyyy-H:mm"))
     return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)) for f in FORMATS], rfc, rendered)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -39,6 +39,27 @@ def prefix_of(labels: list[str]) -> str:
     return rf"(?iu)^{BLANK}*(?:" + "|".join(escape(x) for x in labels) + rf"){BLANK}*:"
 
 
+def ascii_words(text: Column) -> Column:
+    """The different words of ASCII letters, digits and underscores, in lower case."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), "[^a-z0-9_]+")), "")
+
+
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text, so that it needn't be copied for each of its words."""
+    return F.struct(F.xxhash64(text), F.xxhash64(F.lit(1), text))
+
+
+def keyed_names(names: DataFrame, name: str) -> DataFrame:
+    """names with _word, the longest of a name's words, by which texts that hold the name can be met, and _pattern, the name at
+    word boundaries as in bounded(). Names without a letter or digit of ASCII match nothing and are left out."""
+    edge = lambda c, place: F.when(c.rlike(f"^{WORD_CHAR}"), place[0]).otherwise(place[1])
+    start = edge(F.left(name, F.lit(1)), (f"(?<!{WORD_CHAR})", f"(?<={WORD_CHAR})"))
+    end = edge(F.right(name, F.lit(1)), (f"(?!{WORD_CHAR})", f"(?={WORD_CHAR})"))
+    longest = F.get(F.reverse(F.array_sort(F.transform(ascii_words(F.col(name)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))), F.lit(0))["w"]
+    rows = names.withColumns({"_word": longest, "_pattern": F.concat(F.lit("(?iu)"), start, F.lit("\\Q"), F.col(name), F.lit("\\E"), end)})
+    return rows.where("_word IS NOT NULL")
+
+
 def contains_any(text: Column, needles: list[str]) -> Column:
     return F.coalesce(text, F.lit("")).rlike(any_of(needles))
 
@@ -48,6 +69,11 @@ def squash(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"{BLANK}+", " "), "^ | $", "")
 
 
+def trim_blanks(text: Column) -> Column:
+    """White space of any kind off both ends."""
+    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+
+
 def blank_to_null(text: Column) -> Column:
     return F.nullif(squash(text), F.lit(""))
 
@@ -96,19 +122,22 @@ def singular(token: Column) -> Column:
 
 
 def title_tokens(title: Column, source: Column | None = None, stopwords=(), prefixes=()) -> Column:
-    """Tokens of a title: folded, without label prefix and the source's own signature.
+    """Tokens of a title: folded, without label prefix and the source's own signature after a hyphen, bar or colon.
 
-    Tokens of one character and stopwords are dropped before plurals are folded.
+    Dashes part words, hyphens don't; letters are those of any script. Tokens of one character and stopwords are dropped before plurals are folded.
     """
     folded = F.lower(title)
-    folded = F.regexp_replace(F.regexp_replace(folded, "[\u2018\u2019\u02bc]", "'"), "[\u2013\u2014]", "-")
+    folded = F.regexp_replace(F.regexp_replace(folded, "[\u2018\u2019\u02bc]", "'"), "[\u2013\u2014]", " ")
     folded = F.regexp_replace(folded, "[\u201c\u201d]", '"')
     if prefixes:
         folded = F.regexp_replace(folded, prefix_of(list(prefixes)), "")
     if source is not None:
-        own = F.concat(F.lit(" - "), F.lower(source))
-        folded = F.when(folded.endswith(own), F.left(folded, F.length(folded) - F.length(own))).otherwise(folded)
-    plain = F.regexp_replace(F.regexp_replace(folded, r"'s(?![a-z0-9])", ""), r"[^\p{L}\p{N}-]+", " ")
+        folded = trim_blanks(folded)
+        head = trim_blanks(F.left(folded, F.length(folded) - F.length(source)))
+        signed = folded.endswith(F.lower(source)) & F.right(head, F.lit(1)).isin("-", "|", ":")
+        folded = F.when(signed, F.left(head, F.length(head) - 1)).otherwise(folded)
+    possessive = F.regexp_replace(F.regexp_replace(folded, r"'s(?![a-z0-9])", ""), r"s'(?![a-z0-9])", "s")
+    plain = F.regexp_replace(possessive, r"[^\p{L}\p{N}-]+", " ")
     tokens = F.transform(F.split(plain, " +"), lambda t: F.regexp_replace(t, "^-+|-+$", ""))
     tokens = F.filter(tokens, lambda t: (F.length(t) > 1) & ~t.isin(*stopwords) if stopwords else F.length(t) > 1)
     return F.transform(tokens, singular)
@@ -149,12 +178,12 @@ def plain_url(url: Column) -> Column:
 
 
 def truncated(text: Column, limit: int = 300) -> Column:
-    """Cut at the last space within the limit if that is past its half, trimmed, with an ellipsis."""
+    """Cut at the last space within the limit if that is past its half, without white space at its end, with an ellipsis."""
     head = F.substring(text, 1, limit)
     at = limit - F.length(F.regexp_extract(head, " ([^ ]*)$", 1)) - 1
     has_space = F.instr(head, " ") > 0
     cut = F.when(has_space & (at > limit // 2), F.substring(head, F.lit(1), at)).otherwise(head)
-    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.rtrim(cut), F.lit("…")))
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(cut, f"{BLANK}+$", ""), F.lit("…")))
 
 
 def cache_key(title: Column, version: str = "v1") -> Column:
@@ -196,16 +225,29 @@ def favorite_parts(key: Column) -> Column:
     return F.struct(F.get(parts, F.lit(0)).alias("league_id"), F.get(parts, F.lit(1)).alias("team_id"))
 
 
-#: Formations that a play's text may begin with.
+# Formations that a play's text may begin with.
 FORMATIONS = ("no huddle", "shotgun", "pistol", "under center")
 
 
 def play_text(text: Column) -> Column:
-    """A play's text without the formations in parentheses at its start and the names of tacklers at its end; other parentheses stay."""
-    names = "|".join(FORMATIONS)
-    out = F.regexp_replace(text, rf"(?i)^\s*\((?:{names})(?:,\s*(?:{names}))*\)\s*", "")
-    out = F.regexp_replace(out, r"\s*\([A-Z][A-Za-z'-]*\.[^()]*\)\.?\s*$", ".")
-    return F.trim(F.regexp_replace(out, r"\.\.$", "."))
+    """A play's text without the formations in parentheses at its start and the names of tacklers in parentheses at its end; others stay.
+
+    At the start all that the parentheses list must be formations; at the end the first that they list must be a name with an initial.
+    """
+    said = trim_blanks(text)
+    inside = F.get(F.split(F.substring(said, F.lit(2), F.length(said)), "[)]"), F.lit(0))
+    opens = said.startswith("(") & said.contains(")") & F.forall(F.split(inside, ","), lambda x: F.lower(F.trim(x)).isin(*FORMATIONS))
+    said = F.when(opens, F.substring(said, F.length(inside) + 3, F.length(said))).otherwise(said)
+    closed = F.when(said.endswith(".") & F.rtrim(F.left(said, F.length(said) - 1)).endswith(")"), F.left(said, F.length(said) - 1)).otherwise(said)
+    closed = trim_blanks(closed)
+    tail = F.element_at(F.split(closed, "[(]"), -1)  # after the last opening
+    listed = F.get(F.split(tail, "[,;]"), F.lit(0))
+    initial = F.get(F.split(listed, "[.]"), F.lit(0))
+    named = listed.contains(".") & initial.rlike("^[A-Z]") & ~F.translate(initial, "'-", "").rlike("[^A-Za-z]")
+    ends = closed.endswith(")") & closed.contains("(") & (F.instr(tail, ")") == F.length(tail)) & named
+    head = trim_blanks(F.left(closed, F.length(closed) - F.length(tail) - 1))
+    stopped = F.when(head.endswith("."), head).otherwise(F.concat(head, F.lit(".")))
+    return trim_blanks(F.when(ends, stopped).otherwise(said))
 
 
 def migrated_favorites(entries: Column, fallback_league: str) -> Column:

@@ -13,7 +13,9 @@ from newsloom.functions import text as T
 from .order import numbered
 
 WEEK = 7 * 86400
-PRICE_OFF = r"(?i)(?:\$[0-9]+|[0-9]+%) off"
+#: Sums and shares that are taken off a price: sums with thousands and decimals, shares of up to three digits.
+SUMS, SHARES = r"\$[0-9][0-9,.]*", rf"(?<!{T.WORD_CHAR})[0-9]{{1,3}}%"
+PRICE_OFF = rf"(?i)(?:{SUMS}|{SHARES}){T.BLANK}*(?:off|or less)(?!{T.WORD_CHAR})"
 KEEP, TEAMS, MARKS = 60, 50, 500
 
 
@@ -27,21 +29,16 @@ def naming(articles: DataFrame, names: list[str]) -> DataFrame:
 
 
 def naming_any(articles: DataFrame, names: DataFrame, by: str = "name") -> DataFrame:
-    """The same for a table of names of any size: a name's first word meets the words of texts by equi-join, then the name is looked for.
+    """The same for a table of names of any size: a name's longest word meets the words of texts by equi-join, then the names that were met are looked for.
 
     Each row stays as it is, whatever its link. Names without a letter or digit of ASCII match nothing.
     """
-    first = lambda c: F.get(F.filter(F.split(F.lower(c), "[^a-z0-9_]+"), lambda x: x != ""), F.lit(0))
-    wanted = names.select(F.col(by).alias("_name")).where("_name IS NOT NULL").distinct().withColumn("_word", first(F.col("_name"))).where("_word IS NOT NULL")
-    key = lambda: F.struct(F.xxhash64(title_and_description()), F.xxhash64(F.lit(1), title_and_description()))
-    texts = articles.select(key().alias("_key"), title_and_description().alias("_text"))
-    words = F.explode(F.array_distinct(F.split(F.lower("_text"), "[^a-z0-9_]+")))
-    edge = lambda c, place: F.when(c.rlike(f"^{T.WORD_CHAR}"), place[0]).otherwise(place[1])
-    start = edge(F.left("_name", F.lit(1)), (f"(?<!{T.WORD_CHAR})", f"(?<={T.WORD_CHAR})"))
-    end = edge(F.right("_name", F.lit(1)), (f"(?!{T.WORD_CHAR})", f"(?={T.WORD_CHAR})"))
-    pattern = F.concat(F.lit("(?iu)"), start, F.lit("\\Q"), F.col("_name"), F.lit("\\E"), end)
-    hits = texts.select("_key", "_text", words.alias("_word")).join(wanted, "_word").where(F.rlike("_text", pattern)).select("_key").distinct()
-    return articles.withColumn("_key", key()).join(hits, "_key", "left_semi").drop("_key")
+    wanted = T.keyed_names(names.select(F.col(by).alias("_name")), "_name").select("_name", "_word", "_pattern").distinct()
+    key = T.text_key(title_and_description())
+    rows = articles.withColumn("_key", key)
+    named = rows.select("_key", F.explode(T.ascii_words(title_and_description())).alias("_word")).join(wanted, "_word").groupBy("_key").agg(F.collect_set("_pattern").alias("_patterns"))
+    found = F.exists("_patterns", lambda p: F.rlike(title_and_description(), p))
+    return rows.join(named, "_key").where(found).drop("_key", "_patterns")
 
 
 def off_topic_reason(commerce=(), institutional=(), athletic=()) -> Column:
@@ -185,7 +182,7 @@ def coverage(articles: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def balanced(articles: DataFrame, window: int = 5, most: int = 2) -> DataFrame:
-    """Greedy order in which no source has more than ``most`` of the last ``window`` outputs and the next, where that can be.
+    """Greedy order in which no source has more than ``most`` of the last ``window`` outputs and the next, where that can be; feeds of at most ``window`` keep theirs.
 
     A fold over one feed at a time (column ``feed``), for feeds of bounded length. Off in pipelines by default.
     """
@@ -195,6 +192,9 @@ def balanced(articles: DataFrame, window: int = 5, most: int = 2) -> DataFrame:
     import pandas as pd
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) <= window:  # short feeds stay as they are
+            rows = rows.sort_values(["list_ord", "pos"])
+            return rows.assign(rank=range(len(rows)))
         queues, out = {}, []
         for i, r in enumerate(rows.sort_values(["list_ord", "pos"]).to_dict("records")):
             queues.setdefault(r["source"], deque()).append((i, r))

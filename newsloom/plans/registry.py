@@ -132,12 +132,14 @@ def claim_type(spark, sf):
     return rows.select("link", claims.local_claim(CLAIMS)["basis"].alias("basis"), claims.merged_claim(F.col("remote"), CLAIMS).alias("claim_type"))
 
 
-SQL_MASKED = "CASE WHEN regexp_matches({0}, '(?i)\\b(of the|the)\\b') THEN 'One' WHEN regexp_matches({0}, '(?i)\\b(and|und)\\b') THEN 'Two' WHEN regexp_matches({0}, '(?i)\\b(le|la)\\b') THEN 'Three' END"
+SQL_TAGGED = "list_filter([CASE WHEN regexp_matches({0}, '(?i)\\b(of the|the)\\b') THEN 'One' END, CASE WHEN regexp_matches({0}, '(?i)\\b(and|und)\\b') THEN 'Two' END, CASE WHEN regexp_matches({0}, '(?i)\\b(le|la)\\b') THEN 'Three' END], lambda x: x IS NOT NULL)"
 
 
-@query("team_tag", f"WITH {SQL_ARTICLES} SELECT link, coalesce({SQL_MASKED.format('title')}, {SQL_MASKED.format('description')}) AS mentioned FROM a")
+@query("team_tag", f"""WITH {SQL_ARTICLES}, m AS (SELECT link, {SQL_TAGGED.format("title")} AS t, {SQL_TAGGED.format("description")} AS d FROM a), l AS (SELECT link, list_concat(t, list_filter(d, lambda x: NOT list_contains(t, x))) AS teams FROM m)
+SELECT link, teams[1] AS mentioned, array_to_string(teams, ',') AS mentioned_all FROM l""")
 def team_tag(spark, sf):
-    return tagging.tagged(articles(spark, sf), TEAMS).select("link", F.col("mentioned_team.short_name").alias("mentioned"))
+    rows = tagging.tagged(articles(spark, sf), TEAMS)
+    return rows.select("link", F.col("mentioned_team.short_name").alias("mentioned"), F.array_join("mentioned_teams.short_name", ",").alias("mentioned_all"))
 
 
 PLAYERS = ["Of The", "An Anthat", "That", "Elle Pour", "Und Der"]
@@ -297,7 +299,7 @@ def page_decoded(spark, sf):
 
 
 @query("truncated_teaser", f"""WITH {SQL_ARTICLES}, h AS (SELECT link, description AS t, substr(description, 1, 100) AS head FROM a)
-SELECT link, CASE WHEN length(t) <= 100 THEN t ELSE rtrim(CASE WHEN contains(head, ' ') AND length(head) - length(regexp_extract(head, ' ([^ ]*)$', 1)) - 1 > 50 THEN substr(head, 1, length(head) - length(regexp_extract(head, ' ([^ ]*)$', 1)) - 1) ELSE head END, ' ') || '…' END AS teaser FROM h""")
+SELECT link, CASE WHEN length(t) <= 100 THEN t ELSE regexp_replace(CASE WHEN contains(head, ' ') AND length(head) - length(regexp_extract(head, ' ([^ ]*)$', 1)) - 1 > 50 THEN substr(head, 1, length(head) - length(regexp_extract(head, ' ([^ ]*)$', 1)) - 1) ELSE head END, '\\s+$', '') || '…' END AS teaser FROM h""")
 def truncated_teaser(spark, sf):
     return articles(spark, sf).select("link", text.truncated(F.col("description"), 100).alias("teaser"))
 

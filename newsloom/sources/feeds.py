@@ -67,18 +67,24 @@ def _image_of(media: Column) -> Column:
     return F.get(F.filter(media, lambda m: m["_url"].isNotNull() & (m["_type"].isNull() | m["_type"].startswith("image/"))), F.lit(0))["_url"]
 
 
+def decoded(text) -> Column:
+    """Trimmed, references decoded, null if nothing is left; tags and white space within stay, as titles and bylines have no markup."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.nullif(T.decode_entities(T.trim_blanks(text)), F.lit(""))
+
+
 def rss_articles(rows: DataFrame) -> DataFrame:
     item = rows.withColumn("_x", _xml(RSS)).select("*", F.posexplode("_x.channel.item").alias("pos", "i"))
     body = F.coalesce("i.`content:encoded`", "i.description")
-    title, link = T.blank_to_null(T.decode_entities("i.title")), T.blank_to_null(F.col("i.link"))
+    title, link = decoded("i.title"), T.blank_to_null(F.col("i.link"))
     image = F.coalesce(
         _image_of(F.col("i.enclosure")), F.get("i.`media:content`", F.lit(0))["_url"], F.get("i.`media:thumbnail`", F.lit(0))["_url"],
         T.first_image(F.col("i.`content:encoded`")), T.first_image(F.col("i.description"))
     )
     out = item.select(
         F.col("name").alias("source"), F.coalesce("i.guid._VALUE", "i.link").alias("id"), title.alias("title"), link.alias("link"), T.strip_tags(F.coalesce("i.description", body)).alias("description"),
-        F.coalesce(T.blank_to_null(F.col("i.`dc:creator`")), T.blank_to_null(F.col("i.author"))).alias("author"), feed_date(F.col("i.pubDate")).alias("published"), image.alias("image_url"),
-        "tier", "reach", "scope", "pos", T.blank_to_null(T.decode_entities("i.source._VALUE")).alias("item_source"),
+        decoded(F.coalesce("i.`dc:creator`", "i.author")).alias("author"), feed_date(F.col("i.pubDate")).alias("published"), image.alias("image_url"),
+        "tier", "reach", "scope", "pos", decoded("i.source._VALUE").alias("item_source"),
     )
     return credited(out.where("title IS NOT NULL AND link IS NOT NULL")).select(*ARTICLE)
 
@@ -93,11 +99,11 @@ def atom_articles(rows: DataFrame) -> DataFrame:
     entry = rows.withColumn("_x", _xml(ATOM)).select("*", F.posexplode("_x.entry").alias("pos", "e"))
     teaser = F.coalesce("e.summary._VALUE", "e.content._VALUE")
     out = entry.select(
-        F.col("name").alias("source"), F.coalesce("e.id", atom_link(F.col("e.link"))).alias("id"), T.strip_tags(F.col("e.title._VALUE")).alias("title"), atom_link(F.col("e.link")).alias("link"), T.strip_tags(teaser).alias("description"),
-        T.blank_to_null(F.get("e.author", F.lit(0))["name"]).alias("author"), feed_date(F.coalesce("e.published", "e.updated")).alias("published"),
+        F.col("name").alias("source"), F.coalesce("e.id", atom_link(F.col("e.link"))).alias("id"), decoded("e.title._VALUE").alias("title"), atom_link(F.col("e.link")).alias("link"), T.strip_tags(teaser).alias("description"),
+        decoded(F.get("e.author", F.lit(0))["name"]).alias("author"), feed_date(F.coalesce("e.published", "e.updated")).alias("published"),
         F.coalesce(F.get("e.`media:thumbnail`", F.lit(0))["_url"], T.first_image(F.col("e.content._VALUE")), T.first_image(teaser)).alias("image_url"), "tier", "reach", "scope", "pos",
     )
-    return credited(out.where("title <> '' AND link IS NOT NULL").withColumn("item_source", F.lit(None).cast("string"))).select(*ARTICLE)
+    return credited(out.where("title IS NOT NULL AND link IS NOT NULL").withColumn("item_source", F.lit(None).cast("string"))).select(*ARTICLE)
 
 
 def sitemap_articles(rows: DataFrame) -> DataFrame:

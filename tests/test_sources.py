@@ -6,6 +6,7 @@ from newsloom.sources import feeds, json_api
 RSS = """<?xml version="1.0"?><rss xmlns:dc="d" xmlns:media="m" xmlns:content="c"><channel><title>T</title>
 <item><title><![CDATA[Hawks &amp; Doves win]]></title><link>http://a/1</link><description>&lt;p&gt;Big  &lt;b&gt;night&lt;/b&gt;&lt;/p&gt;</description><pubDate>Tue, 02 Jan 2024 10:30:00 GMT</pubDate><dc:creator>Ann</dc:creator><enclosure url="http://i/1.mp3" type="audio/mpeg"/><media:content url="http://i/1.jpg"/></item>
 <item><title>No link</title></item>
+<item><title> Two  words &amp;amp; more </title><link>http://a/3</link><dc:creator> A &amp;amp; B </dc:creator><author>Other</author></item>
 <item><title>Wire story</title><link>http://a/2</link><source url="http://w">The Wire</source><pubDate>nonsense</pubDate></item></channel></rss>"""
 ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>x1</id><title type="html">Road &lt;i&gt;win&lt;/i&gt;</title><link rel="replies" href="http://b/r"/><link href="http://b/1"/><updated>2024-01-03T17:00Z</updated><content type="html">&lt;img src="http://i/b.png"&gt; text</content><author><name>Bo</name></author></entry>
 <entry><title>Lost</title><link rel="alternate"/></entry></feed>"""
@@ -18,12 +19,13 @@ def test_feeds(spark):
     fetched = spark.createDataFrame([(n, 2, None, "broad", b) for n, b in rows], "name string, tier int, reach string, scope string, body string")
     articles, failed = feeds.articles_of(fetched)
     got = {r.link: r for r in articles.collect()}
-    assert set(got) == {"http://a/1", "http://a/2", "http://b/1", "http://c/sports/1"}
+    assert set(got) == {"http://a/1", "http://a/2", "http://a/3", "http://b/1", "http://c/sports/1"}
     one = got["http://a/1"]
     assert (one.title, one.description, one.author, one.image_url, one.published, one.tier, one.reach) == ("Hawks & Doves win", "Big night", "Ann", "http://i/1.jpg", datetime(2024, 1, 2, 10, 30), 2, "national")
     assert (got["http://a/2"].source, got["http://a/2"].tier, got["http://a/2"].published) == ("The Wire", 0, None)
+    assert (got["http://a/3"].title, got["http://a/3"].author) == ("Two  words & more", "A & B")
     atom = got["http://b/1"]
-    assert (atom.title, atom.author, atom.image_url, atom.published) == ("Road win", "Bo", "http://i/b.png", datetime(2024, 1, 3, 17))
+    assert (atom.title, atom.author, atom.image_url, atom.published) == ("Road <i>win</i>", "Bo", "http://i/b.png", datetime(2024, 1, 3, 17))
     site = got["http://c/sports/1"]
     assert (site.title, site.image_url, site.published) == ("Cup & ball", "http://i/c.jpg", datetime(2024, 1, 4))
     assert {r[0] for r in failed.collect()} == {"cut", "html", "none", "index"}
