@@ -52,12 +52,40 @@ def reserved_names(pro: DataFrame, floor: DataFrame) -> DataFrame:
 
 def source_yield(articles: DataFrame, named: Column, kept: Column, by: tuple = ("source",)) -> DataFrame:
     """Per source, or by other columns such as the team: items, of them named, of them kept, and the percentage; a link counts once, for the first that has it."""
-    once = articles.withColumn("_n", F.row_number().over(Window.partitionBy("link").orderBy("list_ord", "pos"))).where("_n = 1")
-    flagged = once.select(*by, named.alias("named"), (named & kept).alias("kept"))
-    out = flagged.groupBy(*by).agg(F.count("*").alias("items"), F.count_if("named").alias("named"), F.count_if("kept").alias("kept"))
+    flagged = articles.select("link", "list_ord", "pos", *by, named.alias("named"), (named & kept).alias("kept"))  # no text is shuffled
+    return _yields(_firsts(flagged, ("link",), (*by, "named", "kept")), by)
+
+
+def _firsts(flagged: DataFrame, keys: tuple, columns: tuple) -> DataFrame:
+    """columns of the first row, in list order, of each of the keys."""
+    return flagged.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.struct("list_ord", "pos")).alias("_first")).select("_first.*")
+
+
+def _yields(rows: DataFrame, by: tuple) -> DataFrame:
+    out = rows.groupBy(*by).agg(F.count("*").alias("items"), F.count_if("named").alias("named"), F.count_if("kept").alias("kept"))
     return out.withColumn("pct", F.floor(100 * F.col("kept") / F.col("items") + 0.5).cast("long"))
 
 
+def yield_funnel(articles: DataFrame, named: Column, kept: Column, least: int = 1) -> DataFrame:
+    """team, source, level, items, named, kept, pct, diagnosis: what each source brings a team, and what each team gets in all.
+
+    articles: team, source, link, list_ord, pos. level is source or team (with no source); on each a link counts once, for the first that has it there.
+    """
+    flagged = articles.select("team", "source", "link", "list_ord", "pos", named.alias("named"), (named & kept).alias("kept"))
+    own = _yields(_firsts(flagged, ("team", "source", "link"), ("team", "source", "named", "kept")), ("team", "source")).withColumn("level", F.lit("source"))
+    whole = _yields(_firsts(flagged, ("team", "link"), ("team", "named", "kept")), ("team",)).withColumns({"level": F.lit("team"), "source": F.lit(None).cast("string")})
+    return diagnosed(own.unionByName(whole), least).select("team", "source", "level", "items", "named", "kept", "pct", "diagnosis")
+
+
+def funnel_lines(funnel: DataFrame) -> DataFrame:
+    """ord, line: the funnel as text, a team's line before those of its sources; ``stores.write_report`` writes them."""
+    team, source = F.coalesce("team", F.lit("(none)")), F.coalesce("source", F.lit("(none)"))
+    numbers = F.format_string("%d seen, %d named, %d kept (%d %%)", "items", "named", "kept", "pct")
+    of_source = F.concat(F.lit("  "), source, F.lit(": "), numbers, F.coalesce(F.concat(F.lit(" - "), F.col("diagnosis")), F.lit("")))
+    line = F.when(F.col("level") == "team", F.concat(team, F.lit(": "), F.col("kept").cast("string"), F.lit(" articles"))).otherwise(of_source)
+    return funnel.select(F.struct(team.alias("team"), (F.col("level") != "team").alias("below"), source.alias("source")).alias("ord"), line.alias("line"))
+
+
 def yield_groups(events: DataFrame, key: str = "group") -> DataFrame:
     """Yield events by group; passes without input aren't events."""
     rows = events.where("items_in > 0")

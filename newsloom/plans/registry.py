@@ -25,6 +25,8 @@ TEAMS = [
     {"league_id": "l", "team_id": "3", "short_name": "Three", "names": ["le", "la"]},
 ]
 WORDS = lambda ws: "(?i)\\b(" + "|".join(ws) + ")\\b"
+#: Sums and shares off a price, as DuckDB says it.
+PRICES = "(\\$[0-9][0-9,.]*|\\b[0-9]{1,3}%)\\s*(off|or less)\\b"
 T0 = f"TIMESTAMP '{NOW}'"
 #: Words of the texts that titles don't differ by.
 LANGUAGE = cluster.Words(stopwords=("the", "and", "for", "with", "from", "that", "this", "was", "are", "has", "its", "their", "after", "over"))
@@ -41,7 +43,7 @@ def name_filter_by_table(spark, sf):
     return A.naming_any(articles(spark, sf), names).select("link")
 
 
-@query("off_topic_filter", f"""WITH {SQL_ARTICLES} SELECT link, CASE WHEN regexp_matches(title, '{WORDS(COMMERCE)}') OR regexp_matches(description, '{WORDS(COMMERCE)}') THEN 'commerce'
+@query("off_topic_filter", f"""WITH {SQL_ARTICLES} SELECT link, CASE WHEN regexp_matches(title, '{WORDS(COMMERCE)}|{PRICES}') OR regexp_matches(description, '{WORDS(COMMERCE)}|{PRICES}') THEN 'commerce'
   WHEN regexp_matches(title, '{WORDS(INSTITUTIONAL)}') AND NOT regexp_matches(title, '{WORDS(ATHLETIC)}') THEN 'institutional' END AS reason FROM a""")
 def off_topic_filter(spark, sf):
     return articles(spark, sf).select("link", A.off_topic_reason(COMMERCE, INSTITUTIONAL, ATHLETIC).alias("reason"))
@@ -252,6 +254,15 @@ def source_yield(spark, sf):
     return curation.source_yield(rows, text.contains_any(A.title_and_description(), NAMES), ~text.contains_any(F.col("title"), list(COMMERCE)))
 
 
+@query("yield_funnel", f"""WITH {SQL_ARTICLES}, f AS (SELECT team, source, link, regexp_matches(title || ' ' || description, '{WORDS(NAMES)}') AS n, NOT regexp_matches(title, '{WORDS(COMMERCE)}') AS k FROM a),
+y AS (SELECT team, source, CASE WHEN grouping(source) = 1 THEN 'team' ELSE 'source' END AS level, count(DISTINCT link) AS items, count(DISTINCT CASE WHEN n THEN link END) AS named, count(DISTINCT CASE WHEN n AND k THEN link END) AS kept FROM f GROUP BY GROUPING SETS ((team, source), (team)))
+SELECT *, floor(100 * kept / items + 0.5)::BIGINT AS pct, CASE WHEN named = 0 THEN 'not named' WHEN kept = 0 THEN 'filtered' WHEN kept < 5 THEN 'few' END AS diagnosis FROM y""")
+def yield_funnel(spark, sf):
+    """Two lists of the same articles, so that each link comes twice and counts once."""
+    a = articles(spark, sf)
+    return curation.yield_funnel(A.union_lists([a, a]), text.contains_any(A.title_and_description(), NAMES), ~text.contains_any(F.col("title"), list(COMMERCE)), 5)
+
+
 @query("nickname_hazards", """WITH t AS (SELECT 's' || s_suppkey AS slug, 'n' || (s_suppkey % 7) AS nickname, ['f' || (s_suppkey % 3)] AS sources FROM supplier)
 SELECT slug, nickname, 'reserved' AS kind, 'owner' AS detail FROM t WHERE nickname = 'n1' UNION
 SELECT x.slug, x.nickname, CASE WHEN x.sources = y.sources THEN 'shared-source' ELSE 'contested' END, CASE WHEN x.sources = y.sources THEN y.slug || ',' || x.sources[1] ELSE y.slug END FROM t x JOIN t y ON x.nickname = y.nickname AND x.slug <> y.slug""")

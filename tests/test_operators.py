@@ -493,6 +493,22 @@ def test_tagging_masks_in_order(spark):
     assert column(spark, texts, tagging.named_in(V, teams)) == [plain(t) for t in texts]
 
 
+def test_funnel_and_its_text(spark, tmp_path):
+    from newsloom.sources import stores
+
+    rows = [("Oak", "a", "1", 0, 1, "Oak wins"), ("Oak", "b", "1", 1, 1, "Oak wins"), ("Oak", "b", "2", 0, 2, "Oak ad"), ("Oak", None, "3", 0, 3, "rain"), ("Elm", "b", "1", 0, 4, "Oak wins"), (None, "a", "4", 0, 5, "Oak")]
+    seen = frame(spark, "team string, source string, link string, list_ord int, pos int, title string", *rows)
+    funnel = curation.yield_funnel(seen, F.col("title").contains("Oak"), ~F.col("title").contains("ad"))
+    got = {(r.team, r.source, r.level): (r["items"], r.named, r.kept, r.diagnosis) for r in funnel.collect()}
+    assert got == {
+        ("Oak", "a", "source"): (1, 1, 1, None), ("Oak", "b", "source"): (2, 2, 1, None), ("Oak", None, "source"): (1, 0, 0, "not named"), ("Oak", None, "team"): (3, 2, 1, None),
+        ("Elm", "b", "source"): (1, 1, 1, None), ("Elm", None, "team"): (1, 1, 1, None), (None, "a", "source"): (1, 1, 1, None), (None, None, "team"): (1, 1, 1, None),
+    }
+    stores.write_report(curation.funnel_lines(funnel.where("team = 'Oak'")), str(tmp_path / "report"), "line")
+    (file,) = (tmp_path / "report").glob("part-*.txt")
+    assert file.read_text().splitlines() == ["Oak: 1 articles", "  (none): 1 seen, 0 named, 0 kept (0 %) - not named", "  a: 1 seen, 1 named, 1 kept (100 %)", "  b: 2 seen, 2 named, 1 kept (50 %)"]
+
+
 def test_lists_and_marks(spark):
     now = F.lit("2024-01-10 00:00:00").cast("timestamp")
     uses = frame(spark, "team string, used_at timestamp", *[(f"t{i}", datetime(2024, 1, 1 + i)) for i in range(5)], ("t0", datetime(2024, 1, 9)))
