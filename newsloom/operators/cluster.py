@@ -2,11 +2,13 @@
 
 Pairs are found and scored by joins: headlines within the window meet by a shared token, in
 bands of time. Which are accepted depends on order: newest first, each unassigned row takes
-the pairs it may, and they are gone. That fold runs per connected component of accepted pairs.
+the pairs it may, and they are gone. That goes in rounds of joins, in which rows are settled as
+soon as the newer ones they are paired with are.
 """
 
 from __future__ import annotations
 
+import functools
 from typing import NamedTuple
 
 import pandas as pd
@@ -16,7 +18,6 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as T
 from newsloom.shared import stored
 
-from .components import components
 from .order import numbered
 
 WINDOW_HOURS, SIMILAR, RARE_SHARE, FEWEST, FLOOR, MOST_ROWS = 36, 0.55, 0.5, 15, 0.05, 1500
@@ -122,6 +123,27 @@ def placed(articles: DataFrame) -> DataFrame:
     )
 
 
+def homes_of(links: DataFrame) -> DataFrame:
+    """node, home for the nodes that an anchor takes. links: a, b, with a before b; in order, each node that none has taken is an
+    anchor and takes all that it links to.
+
+    So a node is an anchor if no anchor links to it. In rounds, those that no undecided node links to become anchors, those they link to are taken,
+    and the links of these are gone; each round is two joins of written tables, whatever the size of a component.
+    There are as many rounds as the longest chain of nodes that wait for each other. The first anchor that links to a node has it.
+    """
+    left, anchors = stored(links.select("a", "b").where("a < b").distinct(), "undecided"), []
+    while left.take(1):
+        free = stored(left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti"), "anchors")
+        taken = stored(left.join(free, "a").select(F.col("b").alias("node")).distinct(), "taken")
+        left = left.join(free, "a", "left_anti").join(taken.withColumnRenamed("node", "a"), "a", "left_anti").join(taken.withColumnRenamed("node", "b"), "b", "left_anti")
+        left = stored(left.select("a", "b"), "undecided")
+        anchors.append(free)
+    if not anchors:
+        return links.select(F.col("b").alias("node"), F.col("a").alias("home")).limit(0)
+    every = functools.reduce(DataFrame.unionByName, anchors)
+    return links.join(every, "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("home"))
+
+
 def clusters(articles: DataFrame, max_input: int | None = MOST_ROWS, words: Words = Words()) -> DataFrame:
     """feed, anchor, link, anchor_pos for every article: the cluster it is in by its newest member.
 
@@ -136,16 +158,7 @@ def clusters(articles: DataFrame, max_input: int | None = MOST_ROWS, words: Word
     at = lambda link, rank: nodes.select("feed", F.col("link").alias(link), F.col("rank").alias(rank))
     links = stored(pairs.join(at("anchor", "a"), ["feed", "anchor"]).join(at("link", "b"), ["feed", "link"]).select("a", "b"), "accepted")
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        others, home = rows.groupby("a")["b"].agg(list).to_dict(), {}
-        for x in sorted({*rows["a"], *rows["b"]}):
-            if x not in home:
-                home[x] = x
-                for other in others.get(x, ()):
-                    home.setdefault(other, x)
-        return pd.DataFrame(list(home.items()), columns=["rank", "home"])
-
-    homes = links.join(components(links).withColumnRenamed("node", "a"), "a").groupBy("root").applyInPandas(fold, "rank long, home long")
+    homes = homes_of(links).withColumnRenamed("node", "rank")
     homed = nodes.join(homes, "rank", "left").withColumn("home", F.coalesce("home", "rank"))
     anchors = nodes.select(F.col("rank").alias("home"), F.col("link").alias("anchor"), F.col("pos").alias("anchor_pos"))
     assigned = homed.join(anchors, "home").select("feed", "link", "anchor", "anchor_pos")

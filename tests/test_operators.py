@@ -493,6 +493,26 @@ def test_tagging_masks_in_order(spark):
     assert column(spark, texts, tagging.named_in(V, teams)) == [plain(t) for t in texts]
 
 
+@pytest.mark.parametrize("density", [0.01, 0.05, 0.3, "chain"])
+def test_anchors_by_rounds_against_the_fold(spark, density):
+    random.seed(11)
+    n = 60
+    links = [(i, i + 1) for i in range(12)] if density == "chain" else [(a, b) for a in range(n) for b in range(a + 1, n) if random.random() < density]
+    home = {}
+    for x in range(n):
+        if x not in home:
+            home[x] = x
+            for a, b in links:
+                if a == x:
+                    home.setdefault(b, x)
+    got = {r.node: r.home for r in cluster.homes_of(frame(spark, "a long, b long", *links)).collect()}
+    assert got == {k: v for k, v in home.items() if k != v}
+
+
+def test_no_links_no_homes(spark):
+    assert cluster.homes_of(frame(spark, "a long, b long", (1, 2)).limit(0)).count() == 0
+
+
 def test_funnel_and_its_text(spark, tmp_path):
     from newsloom.sources import stores
 
