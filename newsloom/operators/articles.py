@@ -13,9 +13,8 @@ from newsloom.functions import text as T
 from .order import numbered
 
 WEEK = 7 * 86400
-#: Sums and shares that are taken off a price: sums with thousands and decimals, shares of up to three digits.
-SUMS, SHARES = r"\$[0-9][0-9,.]*", rf"(?<!{T.WORD_CHAR})[0-9]{{1,3}}%"
-PRICE_OFF = rf"(?i)(?:{SUMS}|{SHARES}){T.BLANK}*(?:off|or less)(?!{T.WORD_CHAR})"
+# A fixed value: what counts as a price or a share off.
+PRICE_OFF = rf"(?i)(?:\$[0-9][0-9,.]*|(?<![A-Za-z0-9_])[0-9]{{1,3}}%){T.BLANK}*(?:off|or less)(?![A-Za-z0-9_])"
 KEEP, TEAMS, MARKS = 60, 50, 500
 
 
