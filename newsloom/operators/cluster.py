@@ -62,28 +62,37 @@ def opposed(a: Column, b: Column, terms=()) -> Column:
     return out
 
 
-def pair_scores(articles: DataFrame, words: Words = Words(), least_shared: int = 3) -> DataFrame:
+def pair_scores(articles: DataFrame, words: Words = Words(), least_shared: int = 3, least_dice: float = 0.0) -> DataFrame:
     """feed, anchor, link, shared, rare_shared, rare_least, dice: pairs of dated titles, newer first, with ``least_shared`` tokens in common or two rare ones.
 
     Such a pair shares a token that is not among the last ``least_shared - 1`` of either title, tokens put in order of their
     number of titles and then of the token; or a rare token. So titles meet by those tokens only, and common ones, which very
     many titles have, bring no pairs together on their own. All that a pair shares is then counted from the two titles.
+
+    With ``least_dice`` just pairs of that weighted similarity or more are found. What a pair shares is at most what either title weighs from the first
+    token that both have on; titles meet by tokens from which on that is enough for the pair, and by none that leave too little for any.
     """
     tokens = tokens_of(articles, words)
     weights = weights_of(tokens)
     rare = weights.join(upper_median(weights), "feed").select("feed", "token", "df", "weight", F.coalesce(F.col("weight") >= F.col("median"), F.lit(False)).alias("rare"))
-    weighed = tokens.join(rare, ["feed", "token"])
-    titles = weighed.groupBy("feed", "link").agg(F.array_sort(F.collect_list(F.struct("df", "token", "weight", "rare"))).alias("tokens"))
+    onward = Window.partitionBy("feed", "link").orderBy(F.desc("df"), F.desc("token"))  # of one title's tokens
+    weighed = tokens.join(rare, ["feed", "token"]).withColumn("rest", F.sum("weight").over(onward))
+    listed = weighed.groupBy("feed", "link").agg(F.array_sort(F.collect_list(F.struct("df", "token", "weight", "rare", "rest"))).alias("all"), F.max("rest").alias("total"))
+    titles = listed.withColumn("tokens", F.transform("all", lambda t: F.struct(t["df"].alias("df"), t["token"].alias("token"), t["weight"].alias("weight"), t["rare"].alias("rare"))))
     dated = articles.where("published IS NOT NULL").select("feed", "link", "published")
     rows = stored(titles.join(dated, ["feed", "link"]).withColumn("band", F.floor(F.unix_seconds("published") / (WINDOW_HOURS * 3600))), "titles")
-    n = F.size("tokens")
-    meets = F.transform(F.filter("tokens", lambda t, i: (i <= n - least_shared) | t["rare"]), lambda t: t["token"])
-    keyed = rows.select("feed", "link", "published", "band", F.explode(meets).alias("token"))
-    older = keyed.select("feed", "token", "link", F.col("published").alias("at"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    newer = keyed.select("feed", "token", F.col("link").alias("anchor"), F.col("published").alias("anchor_at"), "band")
+    n, least = F.size("all"), F.lit(least_dice - 1e-9)  # sums of weights differ by their order
+    enough = lambda t: t["rest"] * (2 - least) >= F.col("total") * least
+    meets = F.filter("all", lambda t, i: ((i <= n - least_shared) | t["rare"]) & enough(t))
+    keyed = rows.select("feed", "link", "published", "band", "total", F.explode(meets).alias("t")).select("feed", "link", "published", "band", "total", "t.token", "t.rest")
+    older = keyed.select("feed", "token", "link", F.col("published").alias("at"), "total", "rest", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    newer = keyed.select(
+        "feed", "token", F.col("link").alias("anchor"), F.col("published").alias("anchor_at"), F.col("total").alias("anchor_total"), F.col("rest").alias("anchor_rest"), "band"
+    )
     near = (F.unix_seconds("anchor_at") - F.unix_seconds("at")).between(0, WINDOW_HOURS * 3600)
     ordered = (F.col("anchor_at") > F.col("at")) | (F.col("anchor") < F.col("link"))
-    met = newer.join(older, ["feed", "token", "band"]).where(near & ordered).select("feed", "anchor", "link").distinct()
+    alike = 2 * F.least("rest", "anchor_rest") >= least * (F.col("total") + F.col("anchor_total"))
+    met = newer.join(older, ["feed", "token", "band"]).where(near & ordered & alike).select("feed", "anchor", "link").distinct()
     side = lambda name, c: rows.select("feed", F.col("link").alias(name), F.col("tokens").alias(c))
     both = met.join(side("anchor", "a"), ["feed", "anchor"]).join(side("link", "b"), ["feed", "link"])
     common = both.withColumn("c", F.array_intersect("a", "b"))
@@ -93,7 +102,7 @@ def pair_scores(articles: DataFrame, words: Words = Words(), least_shared: int =
         "feed", "anchor", "link", F.size("c").alias("shared"), rares("c").alias("rare_shared"), F.least(rares("a"), rares("b")).alias("rare_least"),
         (2 * weigh("c") / (weigh("a") + weigh("b"))).alias("dice")
     )
-    return counted.where((F.col("shared") >= least_shared) | (F.col("rare_shared") >= 2))
+    return counted.where(((F.col("shared") >= least_shared) | (F.col("rare_shared") >= 2)) & (F.col("dice") >= least_dice))
 
 
 def accepted(pairs: DataFrame, articles: DataFrame, words: Words = Words()) -> DataFrame:
@@ -152,7 +161,7 @@ def clusters(articles: DataFrame, max_input: int | None = MOST_ROWS, words: Word
     """
     size = articles.groupBy("feed").agg(F.count("*").alias("rows"))
     small = articles if max_input is None else articles.join(size.where(F.col("rows") <= max_input).select("feed"), "feed", "left_semi")
-    pairs = accepted(pair_scores(small, words), small, words)
+    pairs = accepted(pair_scores(small, words, least_dice=SIMILAR), small, words)
     listed = placed(articles)
     nodes = stored(listed.groupBy("feed", "link").agg(F.min("rank").alias("rank"), F.min("pos").alias("pos")), "nodes")
     at = lambda link, rank: nodes.select("feed", F.col("link").alias(link), F.col("rank").alias(rank))

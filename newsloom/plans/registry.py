@@ -13,7 +13,7 @@ from newsloom.operators import articles as A
 from newsloom.operators import boards, claims, cluster, curation, games, tagging
 
 from .base import QUERIES, SQL, query
-from .views import NOW, SQL_ARTICLES, SQL_HEADLINES, SQL_PAGES, SQL_PLAYS, articles, headlines, load, now, pages, plays
+from .views import NOW, SQL_ARTICLES, SQL_PAGES, SQL_PLAYS, articles, load, now, pages, plays
 
 NAMES = ["with", "that", "para"]
 COMMERCE, INSTITUTIONAL, ATHLETIC = ("worthless", "license"), ("that", "les"), ("the", "la")
@@ -107,19 +107,44 @@ def upper_median(spark, sf):
     return cluster.upper_median(cluster.weights_of(cluster.tokens_of(feed(spark, sf), LANGUAGE))).select(F.round("median", 6).alias("median"))
 
 
-@query("pair_score", f"""WITH {SQL_HEADLINES}, {SQL_TOKENS}, x AS (SELECT w.link, w.token, wt.weight, tk.published FROM w JOIN wt USING (token) JOIN tk USING (link)),
-s AS (SELECT link, sum(weight) AS total FROM x GROUP BY link)
-SELECT m.*, round(2 * m.sh / (s1.total + s2.total), 6) AS dice FROM (
-  SELECT x.link AS anchor, y.link AS link, count(*) AS shared, sum(x.weight) AS sh FROM x JOIN x y ON x.token = y.token AND (x.published > y.published OR (x.published = y.published AND x.link < y.link)) AND x.published - y.published <= INTERVAL 36 HOURS GROUP BY 1, 2 HAVING count(*) >= 3
-) m JOIN s s1 ON s1.link = m.anchor JOIN s s2 ON s2.link = m.link""".replace("SELECT m.*, round", "SELECT m.anchor, m.link, m.shared, round"))
-def pair_score(spark, sf):
-    return cluster.pair_scores(headlines(spark, sf), LANGUAGE).where("shared >= 3").select("anchor", "link", "shared", F.round("dice", 6).alias("dice"))
+SQL_PAIRS = """x AS (SELECT w.link, w.token, wt.weight, wt.weight >= (SELECT weight FROM (SELECT weight, row_number() OVER (ORDER BY weight, token) - 1 AS rn, count(*) OVER () AS n FROM wt) WHERE rn = n // 2) AS rare, tk.published
+  FROM w JOIN wt USING (token) JOIN tk USING (link)),
+s AS (SELECT link, sum(weight) AS total, count(*) FILTER (WHERE rare) AS rares FROM x GROUP BY link),
+m AS (SELECT x.link AS anchor, y.link AS link, count(*) AS shared, count(*) FILTER (WHERE x.rare) AS rare_shared, sum(x.weight) AS sh
+  FROM x JOIN x y ON x.token = y.token AND (x.published > y.published OR (x.published = y.published AND x.link < y.link)) AND x.published - y.published <= INTERVAL 36 HOURS GROUP BY 1, 2),
+pr AS (SELECT m.anchor, m.link, m.shared, m.rare_shared, least(s1.rares, s2.rares) AS rare_least, 2 * m.sh / (s1.total + s2.total) AS dice FROM m JOIN s s1 ON s1.link = m.anchor JOIN s s2 ON s2.link = m.link)"""
 
 
-@query("cluster_rollup")
+@query("pair_score", f"WITH {SQL_ARTICLES}, {SQL_TOKENS}, {SQL_PAIRS} SELECT anchor, link, shared, round(dice, 6) AS dice FROM pr WHERE shared >= 3 AND dice >= 0.55")
+def pair_score(spark, sf):
+    """The pairs that are alike enough to be one story, of all documents by their whole first lines."""
+    pairs = cluster.pair_scores(feed(spark, sf), LANGUAGE, least_dice=cluster.SIMILAR)
+    return pairs.where("shared >= 3").select("anchor", "link", "shared", F.round("dice", 6).alias("dice"))
+
+
+#: Anchors in order, each taking what it links to unless it is taken; then the lead of each cluster as a fold over its members.
+SQL_ROLLUP = f"""WITH RECURSIVE {SQL_ARTICLES}, {SQL_TOKENS}, {SQL_PAIRS},
+n AS (SELECT link, source, tier, scope = 'team' AS beat, published, row_number() OVER (ORDER BY published DESC NULLS LAST, link) AS pos FROM a),
+e AS (SELECT na.pos AS a, nb.pos AS b FROM pr JOIN n na ON na.link = pr.anchor JOIN n nb ON nb.link = pr.link
+  WHERE (rare_shared >= 2 OR shared >= 3) AND (rare_least = 0 OR rare_shared / rare_least >= 0.5) AND dice >= 0.55),
+v AS MATERIALIZED (SELECT a, list(b) AS bs, row_number() OVER (ORDER BY a) AS k FROM e GROUP BY a),
+g AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS taken UNION ALL SELECT v.k, CASE WHEN list_contains(taken, v.a) THEN taken ELSE list_concat(taken, v.bs) END FROM g JOIN v ON v.k = g.k + 1),
+t AS (SELECT DISTINCT unnest(taken) AS b FROM (SELECT taken FROM g ORDER BY k DESC LIMIT 1)),
+h AS (SELECT e.b, min(e.a) AS home FROM e WHERE e.a NOT IN (SELECT b FROM t) GROUP BY e.b),
+c AS (SELECT n.*, coalesce(home, pos) AS anchor_pos, CASE WHEN date_trunc('day', published) = published THEN epoch(published) + 86399.999 ELSE epoch(published) END AS stamp FROM n LEFT JOIN h ON b = pos),
+l AS (SELECT anchor_pos, count(*) - 1 AS dups, max(published) AS latest,
+  list_reduce(list({{'stamp': stamp, 'key': {{'tier': tier, 'far': NOT beat, 'link': link}}, 'source': source}} ORDER BY pos), lambda x, y: CASE WHEN CASE WHEN abs(y.stamp - x.stamp) <= 300 THEN y.key < x.key ELSE y.stamp < x.stamp END THEN y ELSE x END) AS best
+  FROM c GROUP BY anchor_pos),
+o AS (SELECT anchor_pos, list(source ORDER BY first) AS others FROM (SELECT c.anchor_pos, c.source, min(c.pos) AS first FROM c JOIN l USING (anchor_pos) WHERE c.source IS DISTINCT FROM l.best.source GROUP BY 1, 2) GROUP BY 1)
+SELECT best.key.link AS lead, dups::INT AS duplicate_count, coalesce(others, []) AS also_covered_by, latest AS latest_published_at, anchor_pos::INT AS anchor_pos FROM l LEFT JOIN o USING (anchor_pos)"""
+
+
+@query("cluster_rollup", SQL_ROLLUP)
 def cluster_rollup(spark, sf):
-    rows = headlines(spark, sf)
-    return cluster.rolled_up(rows, cluster.clusters(rows, None, LANGUAGE)).select("lead", "duplicate_count", "also_covered_by", "latest_published_at", "anchor_pos")
+    """All documents by their whole first lines, as one feed."""
+    rows = feed(spark, sf)
+    rolled = cluster.rolled_up(rows, cluster.clusters(rows, None, LANGUAGE))
+    return rolled.select("lead", "duplicate_count", "also_covered_by", F.col("latest_published_at").cast("timestamp_ntz").alias("latest_published_at"), "anchor_pos")
 
 
 @query("claim_type", f"""WITH {SQL_ARTICLES}, v AS (SELECT doc_id, min(CASE WHEN toxic = 1 THEN 'rumor' ELSE 'take' END) AS remote FROM labels GROUP BY doc_id), f AS (

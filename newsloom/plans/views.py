@@ -16,12 +16,6 @@ SQL_ARTICLES = """a AS (
 )"""
 #: Pages as articles of no date, to have rows that another list lacks.
 SQL_PAGES = "pg AS (SELECT 'page:' || page_id AS link, 'team' || (page_id % 10) AS team, page_id AS pos FROM pages WHERE page_id IS NOT NULL)"
-#: Titles of pages as headlines, ten minutes apart.
-SQL_HEADLINES = """a AS (
-  SELECT 'page:' || page_id AS link, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS source,
-         CASE WHEN page_id % 17 <> 0 THEN TIMESTAMP '2024-01-01' + to_minutes(10 * page_id) END AS published, page_id AS pos
-  FROM pages WHERE page_id IS NOT NULL
-)"""
 SQL_PLAYS = """p AS (
   SELECT user_id AS game_id, event_id AS play_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, event_type AS type,
          CASE WHEN event_id % 5 <> 0 THEN least(greatest(value / 200, 0), 1) END AS home_win_pct, floor(value / 10)::INT AS points
@@ -66,20 +60,6 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as headlines of one feed: short titles, ten minutes apart."""
-    at = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=(10 * F.col("page_id")).cast("int"))
-    return load(spark, sf_dir, "pages").where("page_id IS NOT NULL").select(
-        F.lit("all").alias("feed"),
-        F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("link"),
-        F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
-        F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1).alias("source"),
-        (F.col("page_id") % 4).cast("int").alias("tier"),
-        F.when(F.col("page_id") % 3 == 0, "beat").otherwise("national").alias("reach"),
-        F.when(F.col("page_id") % 17 != 0, at).alias("published"),
-    )
-
-
 def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 

@@ -39,7 +39,7 @@ def test_entry(spark):
     assert rows.columns == ["link", "title", "published"] and rows.count() > 0
 
 
-@pytest.mark.parametrize("name", ["cluster_rollup", "balanced_feed", "visible_colours"])
+@pytest.mark.parametrize("name", ["balanced_feed", "visible_colours"])
 def test_queries_without_a_twin_run(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
 
