@@ -469,7 +469,7 @@ def test_pairs_against_all_pairs(spark):
                     want[x, y] = (len(both), rare, round(dice, 9))
     got = {(r.anchor, r.link): (r.shared, r.rare_shared, round(r.dice, 9)) for r in cluster.pair_scores(a).collect()}
     assert got == want and len(want) > 100
-    for least in (0.2, 0.55, 0.9):
+    for least in (0.4, 0.55, 0.9):
         alike = {(r.anchor, r.link): (r.shared, r.rare_shared, round(r.dice, 9)) for r in cluster.pair_scores(a, least_dice=least).collect()}
         assert alike == {k: v for k, v in want.items() if v[2] >= least} and len(alike) < len(want)
 
