@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, words
+from .common import stored, unused, words
 
 #: Weights dealt to the sources in code point order, over and over.
 WEIGHTS = (5, 2, 1)
@@ -81,20 +81,22 @@ def copies_of(rate: Column, hashed: Column) -> Column:
 
 def with_sources(rows: DataFrame, sources: DataFrame, n: int, salt: Column) -> DataFrame:
     """rows with the columns of their source: broadcast if n sources are few, else joined with salted keys."""
-    named = sources.withColumnRenamed("source", "_s")
+    s, k, dealt = (unused(c, rows.columns) for c in ("_s", "_k", "_salt"))
+    named = sources.withColumnRenamed("source", s)
     if n <= BROADCAST_SOURCES:
-        return rows.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    named = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_k", F.pmod(salt, F.lit(SALTS))).join(named, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_k") == F.col("_salt"))).drop("_s", "_k", "_salt")
+        return rows.join(F.broadcast(named), F.col("source").eqNullSafe(F.col(s))).drop(s)
+    named = named.withColumn(dealt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(k, F.pmod(salt, F.lit(SALTS))).join(named, F.col("source").eqNullSafe(F.col(s)) & (F.col(k) == F.col(dealt))).drop(s, k, dealt)
 
 
 def mixing_plan(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 17) -> DataFrame:
     """docs with size, source_size, target and copies: how often the mix takes each document."""
     size = size_of(F.col("text"))
     targets = stored(source_targets(docs.select("source", size.alias("size")), weights, share, most), "mix-targets")
-    rows = docs.drop("size", "source_size", "target", "copies").withColumn("_h", hashed_id(F.col("doc_id"), F.col("text"), seed))
-    out = with_sources(rows, targets.withColumnRenamed("rate", "_rate"), targets.count(), F.hash("_h"))
-    return out.withColumn("size", size).withColumn("copies", copies_of(F.col("_rate"), F.col("_h"))).drop("_h", "_rate")
+    h, rate = (unused(c, docs.columns) for c in ("_h", "_rate"))
+    rows = docs.drop("size", "source_size", "target", "copies").withColumn(h, hashed_id(F.col("doc_id"), F.col("text"), seed))
+    out = with_sources(rows, targets.withColumnRenamed("rate", rate), targets.count(), F.hash(h))
+    return out.withColumn("size", size).withColumn("copies", copies_of(F.col(rate), F.col(h))).drop(h, rate)
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:

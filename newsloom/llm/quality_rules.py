@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table, total, words
+from .common import let, table, total, unused, words
 
 BUCKETS = 1 << 14
 #: The target multinomial is drawn to the raw one by as many n-grams as this times the buckets, so ratios of little evidence stay near 0.
@@ -116,13 +116,15 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, s
         )
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.drop(*COMPUTED).withColumn("_m", let(words(F.col("text")), measures))
+    measured = unused("_m", docs.columns)
+    m = F.col(measured)
+    rows = docs.drop(*COMPUTED).withColumn(measured, let(words(F.col("text")), measures))
     rows = rows.withColumns({
-        "n_words": F.col("_m.n_words"), "word_chars": F.col("_m.word_chars"), "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
-        "n_dup_lines": duplicate_lines(F.col("text")), "n_repeat_words": F.col("_m.n_repeat_words"), "score": F.col("_m.score"),
+        "n_words": m["n_words"], "word_chars": m["word_chars"], "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
+        "n_dup_lines": duplicate_lines(F.col("text")), "n_repeat_words": m["n_repeat_words"], "score": m["score"],
     })
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= F.lit(threshold))).drop("_m")
+    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= F.lit(threshold))).drop(measured)
 
 
 def trusted_of(labels: DataFrame) -> DataFrame:

@@ -3,10 +3,12 @@
 Each record is a gzip member of its own. The reader goes through an archive once, in
 blocks: it inflates member after member with an incremental zlib object, takes the
 header up to the blank line, frames the block by Content-Length, and checks the block
-and payload digests. Neither side holds more than one record and one block of input.
+and payload digests as the block goes by, so a record of any length is read and verified. The
+reader holds a header, a piece of input and, where payloads are asked for, one payload; one of over
+``PAYLOAD_BYTES``, which no cell of a table holds, is returned as null beside its verified digest.
 What doesn't hold is told in the column ``problem`` and never fails the job: a damaged or cut
-member (reading of that archive ends there, as nothing tells where the next begins), one of more
-than ``MEMBER_BYTES``, a header that isn't WARC's, lengths and digests that differ. Identifiers
+member (reading of that archive ends there, as nothing tells where the next begins), a header
+that isn't WARC's or has over ``HEADER_BYTES``, lengths and digests that differ. Identifiers
 of other writers are read as a null page_id.
 
 Archives lie in the shared folder, under a name of the task attempt that wrote them;
@@ -39,8 +41,10 @@ from .common import shared_path, stored
 BLOCK = 1 << 16
 #: A new archive is begun after so many bytes.
 ARCHIVE_BYTES = 64 << 20
-#: A record that inflates to more is reported as a problem, without its payload.
-MEMBER_BYTES = 1 << 30
+#: A longer payload is verified, but returned as null.
+PAYLOAD_BYTES = 1 << 30
+HEADER_BYTES = 1 << 20
+BLANK = b"\r\n\r\n"
 PREFIX = "urn:newsloom:page:"
 
 MANIFEST = "path string, records long, bytes long"
@@ -154,63 +158,93 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
-def members(stream, most: int = MEMBER_BYTES) -> Iterator[tuple[bytes, str | None]]:
-    """The inflated gzip members of a stream, read in blocks, each with what is wrong with it."""
-    z, parts, size, data = zlib.decompressobj(31), [], 0, b""
+class Record:
+    """A record that comes in pieces: its header is kept, its block goes through a digest and is kept up to ``keep`` bytes."""
+
+    def __init__(self, keep: int = PAYLOAD_BYTES):
+        self.keep, self.head, self.fields, self.framed = keep, b"", None, False
+        self.length = self.left = None
+        self.size, self.block, self.tail, self.digest = 0, [], b"", hashlib.sha1()
+
+    def feed(self, piece: bytes) -> None:
+        if self.fields is None:
+            head, found, rest = (self.head + piece).partition(BLANK)
+            if not found and len(head) <= HEADER_BYTES:
+                self.head = head
+                return
+            self._begin(head, bool(found))
+            piece = rest
+        part, rest = piece[: self.left], piece[self.left :]
+        self.left, self.size = self.left - len(part), self.size + len(part)
+        self.digest.update(part)
+        if self.size > self.keep:
+            self.block = None
+        elif part:
+            self.block.append(part)
+        self.tail = (self.tail + rest[:5])[:5]
+
+    def _begin(self, head: bytes, found: bool) -> None:
+        lines = head.decode("utf-8", "replace").split("\r\n")
+        self.fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+        self.framed = found and lines[0].startswith("WARC/")
+        self.length = self._number("content-length")
+        self.left, self.head = self.length or 0, b""
+
+    def _number(self, name: str, pattern: str = r"(\d{1,18})") -> int | None:
+        m = re.fullmatch(pattern, self.fields.get(name, ""))
+        return int(m[1]) if m else None
+
+    def row(self, problem: str | None = None) -> dict:
+        """The fields of RECORDS; problem says what didn't hold, or is null."""
+        if self.fields is None:
+            self._begin(self.head, False)
+        fields, found = self.fields, base64.b32encode(self.digest.digest()).decode()
+        kind, digest = fields.get("warc-type"), fields.get("warc-payload-digest", "").removeprefix("sha1:")
+        damaged = problem is not None
+        if damaged:
+            pass
+        elif not self.framed:
+            problem = "no record header"
+        elif self.length is None or self.left or self.tail != BLANK:
+            problem = "content length"
+        elif fields.get("warc-block-digest", f"sha1:{found}") != f"sha1:{found}":
+            problem = "block digest"
+        elif kind == "response" and "warc-payload-length" in fields and digest != found:
+            problem = "payload digest"
+        size, page = self._number("warc-payload-length"), rf"<?{PREFIX}(-?\d{{1,18}})>?"
+        payload = b"" if damaged else None if self.block is None else b"".join(self.block)
+        return {
+            "page_id": self._number("warc-record-id", page), "url": fields.get("warc-target-uri"), "record_type": kind,
+            "payload_bytes": (0 if damaged else self.size) if size is None else size, "payload_digest": digest,
+            "refers_to": self._number("warc-refers-to", page), "payload": payload, "problem": problem,
+        }
+
+
+def records(stream, keep: int = PAYLOAD_BYTES) -> Iterator[dict]:
+    """The records of a stream of gzip members, which is read and inflated piece by piece."""
+    z, record, data = zlib.decompressobj(31), Record(keep), b""
     begun = False
     while True:
         data = data or stream.read(BLOCK)
         if not data:
             if begun:
-                yield b"".join(parts), "cut member"
+                yield record.row("cut member")
             return
         begun = True
         try:
-            part = z.decompress(data, BLOCK)
+            piece = z.decompress(data, BLOCK)
         except zlib.error:
-            yield b"".join(parts), "damaged member"
+            yield record.row("damaged member")
             return
-        size += len(part)
-        if size <= most:
-            parts.append(part)
+        record.feed(piece)
         if z.eof:
-            yield (b"".join(parts), None) if size <= most else (b"", "too long")
+            yield record.row()
             data = z.unused_data
-            z, parts, size, begun = zlib.decompressobj(31), [], 0, bool(data)
+            z, record, begun = zlib.decompressobj(31), Record(keep), bool(data)
         else:
             data = z.unconsumed_tail
 
 
-def parse_record(member: bytes, problem: str | None = None) -> dict:
-    """The fields of RECORDS; problem says what didn't hold, or is null."""
-    head, found, rest = member.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-
-    def number(name: str, pattern: str = r"(\d{1,18})") -> int | None:
-        m = re.fullmatch(pattern, fields.get(name, ""))
-        return int(m[1]) if m else None
-
-    length, page = number("content-length"), rf"<?{PREFIX}(-?\d{{1,18}})>?"
-    block = rest[: length or 0]
-    kind, digest = fields.get("warc-type"), fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    if problem:
-        block = b""
-    elif not found or not lines[0].startswith("WARC/"):
-        problem = "no record header"
-    elif length is None or rest[length:] != b"\r\n\r\n":
-        problem = "content length"
-    elif "warc-block-digest" in fields and fields["warc-block-digest"] != f"sha1:{sha1_32(block)}":
-        problem = "block digest"
-    elif kind == "response" and "warc-payload-length" in fields and digest != sha1_32(block):
-        problem = "payload digest"
-    size = number("warc-payload-length")
-    return {
-        "page_id": number("warc-record-id", page), "url": fields.get("warc-target-uri"), "record_type": kind, "payload_bytes": len(block) if size is None else size,
-        "payload_digest": digest, "refers_to": number("warc-refers-to", page), "payload": block, "problem": problem,
-    }
-
-
 def read_archives(manifest: DataFrame, payloads: bool = True, batch_bytes: int = 4 << 20) -> DataFrame:
     """The records of the archives that a DataFrame with a column path lists, one task row per archive."""
     schema = pa.schema(
@@ -226,12 +260,10 @@ def read_archives(manifest: DataFrame, payloads: bool = True, batch_bytes: int =
                 system, at = filesystem(path)
                 rows, size = [], 0
                 with system.open_input_stream(at, compression=None) as stream:
-                    for member, problem in members(stream):
-                        row = parse_record(member, problem)
-                        if not payloads:
-                            row.pop("payload")
+                    for row in records(stream, PAYLOAD_BYTES if payloads else 0):
+                        payload = row["payload"] if payloads else row.pop("payload")
                         rows.append(row)
-                        size += 200 + (len(member) if payloads else 0)
+                        size += 200 + len(payload or b"")
                         if size >= batch_bytes:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, size = [], 0

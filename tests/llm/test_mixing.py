@@ -1,6 +1,9 @@
 import hashlib
 import math
 
+import pytest
+from pyspark.sql import functions as F
+
 from newsloom.llm import mixing as M
 
 from .conftest import words
@@ -72,3 +75,18 @@ def test_many_sources_need_no_broadcast(documents, monkeypatch):
     want = sorted((r.doc_id, r.copies) for r in M.mixing_plan(documents).collect())
     monkeypatch.setattr(M, "BROADCAST_SOURCES", 3)
     assert sorted((r.doc_id, r.copies) for r in M.mixing_plan(documents).collect()) == want
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_columns_named_like_temporary_ones(documents, monkeypatch, broadcast):
+    """Extra columns of any name come through, and change nothing."""
+    if not broadcast:
+        monkeypatch.setattr(M, "BROADCAST_SOURCES", 0)
+    names = ["_h", "_rate", "_s", "_k", "_salt", "__h", "_RATE2", "ord", "rate", "weight", "cap", "_row", "_copy"]
+    more = documents.withColumns({c: F.concat(F.lit(c), "doc_id") for c in names})
+    got = M.mixing_plan(more)
+    assert got.columns == more.columns + ["source_size", "target", "size", "copies"]
+    columns = ["doc_id", "size", "source_size", "target", "copies"]
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, M.mixing_plan(documents).select(*columns).collect()))
+    assert all(r[c] == f"{c}{r.doc_id}" for r in got.collect() for c in names)
+    assert all(r[c] == f"{c}{r.doc_id}" for r in M.mix(more).collect() for c in names)

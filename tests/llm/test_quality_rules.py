@@ -4,6 +4,7 @@ import struct
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from newsloom.llm import quality_rules as Q
 
@@ -88,3 +89,13 @@ def test_edges(edge_docs, no_docs):
     for r in rows:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base(r.text)
     assert Q.quality_rules(no_docs, no_docs.select("doc_id")).count() == 0
+
+
+def test_columns_named_like_temporary_ones(spark, documents):
+    names = ["_m", "__m", "_id", "_deal", "_trusted", "t", "g", "bucket", "raw"]
+    more, trusted = documents.withColumns({c: F.concat(F.lit(c), "doc_id") for c in names}), documents.where("doc_id % 2 = 0").select("doc_id")
+    got = Q.quality_rules(more, trusted)
+    assert sorted(got.columns) == sorted([*more.columns, *Q.COMPUTED])
+    assert all(r[c] == f"{c}{r.doc_id}" for r in got.collect() for c in names)
+    columns = ["doc_id", *Q.COMPUTED]
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, Q.quality_rules(documents, trusted).select(*columns).collect()))

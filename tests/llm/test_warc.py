@@ -2,6 +2,8 @@ import base64
 import gzip
 import hashlib
 import io
+import tracemalloc
+import zlib
 
 import pytest
 
@@ -17,6 +19,12 @@ def archive(spark, rows, **how):
     return W.write_archives(pages(spark, *rows), shared_path(spark, "warc"), **how)
 
 
+def parsed(member):
+    record = W.Record()
+    record.feed(member)
+    return record.row()
+
+
 def test_round_trip(spark):
     rows = [(5, "u5", "same"), (3, "u3", "same"), (9, None, None), (8, "u8", ""), (1, "u\n1", "é😀"), (None, "n", "same"), (7, "a", "twin"), (7, "a", "twin"), (7, "b", "twin"), (2, "big", "x" * 300_000)]
     got = W.read_archives(archive(spark, rows)).collect()
@@ -42,19 +50,74 @@ def test_empty_and_rolled_over(spark):
 
 def test_each_record_is_a_member():
     data = b"".join(W.record_bytes(i, "u", b"payload %d" % i, None, False) for i in range(3))
-    assert [p for _, p in W.members(io.BytesIO(data))] == [None] * 3 and gzip.decompress(data).count(b"WARC/1.1") == 3
+    assert [r["problem"] for r in W.records(io.BytesIO(data))] == [None] * 3 and gzip.decompress(data).count(b"WARC/1.1") == 3
 
 
 def test_damaged_archives_are_told_not_raised():
     data = b"".join(W.record_bytes(i, "u", b"payload %d" % i, None, False) for i in range(3))
     one = len(W.record_bytes(0, "u", b"payload 0", None, False))
-    problems = lambda d, **how: [W.parse_record(m, p)["problem"] for m, p in W.members(io.BytesIO(d), **how)]
+    problems = lambda d: [r["problem"] for r in W.records(io.BytesIO(d))]
     assert problems(data[:-5]) == [None, None, "cut member"]
     assert problems(data[:one] + b"junk" * 9) == [None, "damaged member"]
     assert problems(b"") == [] and problems(b"no archive at all") == ["damaged member"]
-    long = W.record_bytes(7, "u", b"x" * 300_000, None, False)
-    assert problems(data[:one] + long + data[:one], most=200_000) == [None, "too long", None]
-    assert problems(long) == [None]
+    assert problems(gzip.compress(b"WARC/1.1\r\n" + b"a" * (W.HEADER_BYTES + 5)) + data) == ["no record header", None, None, None]
+
+
+class Zeros:
+    """A record of very many zeros as a file that makes its pieces when they are read."""
+
+    def __init__(self, n, piece=1 << 20):
+        z, digest, zeros = zlib.compressobj(1, zlib.DEFLATED, 31), hashlib.sha1(), bytes(piece)
+        for _ in range(n // piece):
+            digest.update(zeros)
+        self.digest = base64.b32encode(digest.digest()).decode()
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{W.PREFIX}7>\r\nWARC-Payload-Digest: sha1:{self.digest}\r\nWARC-Payload-Length: {n}\r\nContent-Length: {n}\r\n\r\n"
+
+        def pieces():
+            yield z.compress(head.encode())
+            for _ in range(n // piece):
+                yield z.compress(zeros)
+            yield z.compress(b"\r\n\r\n") + z.flush()
+
+        self.pieces = pieces()
+        self.rest = b""
+
+    def read(self, n):
+        while len(self.rest) < n and (piece := next(self.pieces, None)) is not None:
+            self.rest += piece
+        out, self.rest = self.rest[:n], self.rest[n:]
+        return out
+
+
+def test_records_of_any_length_are_verified():
+    """What is kept is bounded, what is read isn't: a record longer than any cell has its header, length and digest."""
+    tracemalloc.start()
+    stream = Zeros(W.PAYLOAD_BYTES + (64 << 20))
+    (row,) = W.records(stream, keep=1 << 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (row["page_id"], row["problem"], row["payload_digest"], row["payload"]) == (7, None, stream.digest, None) and row["payload_bytes"] > W.PAYLOAD_BYTES
+    assert peak < 16 << 20
+
+
+@pytest.mark.parametrize("keep", [0, 199_999, 200_000])
+def test_payloads_over_the_bound_are_null(keep):
+    data = W.record_bytes(7, "u", b"x" * 200_000, None, False) + W.record_bytes(8, "u", b"", None, False)
+    long, empty = W.records(io.BytesIO(data), keep)
+    assert long["problem"] is empty["problem"] is None and empty["payload"] == b"" and long["payload_bytes"] == 200_000
+    assert long["payload"] == (b"x" * 200_000 if keep == 200_000 else None)
+
+
+@pytest.mark.parametrize("step", [1, 3, 50, 10_000])
+def test_pieces_of_any_length(step):
+    """Headers, blocks and ends may be cut anywhere."""
+    member = gzip.decompress(W.record_bytes(7, "u", b"a\r\n\r\nb" * 9, None, False))
+    for m in (member, member[:-1], member + b"\r", member.replace(b"a", b"b"), member[:40], b""):
+        record = W.Record()
+        for i in range(0, len(m), step):
+            record.feed(m[i : i + step])
+        assert record.row() == parsed(m)
+    assert parsed(member)["payload"] == b"a\r\n\r\nb" * 9
 
 
 def test_headers_of_other_writers():
@@ -63,16 +126,16 @@ def test_headers_of_other_writers():
         return f"WARC/1.0\r\n{head}\r\npayload\r\n\r\n".encode()
 
     uuid = "<urn:uuid:92283950-ef2f-4d72-b224-f54c6ec90bb0>"
-    row = W.parse_record(member(WARC_Type="response", WARC_Record_ID=uuid, Content_Length=7))
+    row = parsed(member(WARC_Type="response", WARC_Record_ID=uuid, Content_Length=7))
     assert (row["page_id"], row["payload"], row["problem"], row["payload_bytes"]) == (None, b"payload", None, 7)
     for length in ("x", "", "-1", "8", "99999999999999999999"):
-        assert W.parse_record(member(WARC_Type="response", Content_Length=length))["problem"] == "content length"
-    assert W.parse_record(member(WARC_Type="warcinfo"))["problem"] == "content length"
-    assert W.parse_record(b"")["problem"] == "no record header" == W.parse_record(b"\xff\xfe\r\n\r\n")["problem"]
+        assert parsed(member(WARC_Type="response", Content_Length=length))["problem"] == "content length"
+    assert parsed(member(WARC_Type="warcinfo"))["problem"] == "content length"
+    assert parsed(b"")["problem"] == "no record header" == parsed(b"\xff\xfe\r\n\r\n")["problem"]
 
 
 @pytest.mark.parametrize(("old", "new", "problem"), [(b"payload 0", b"payload 1", "block digest"), (b"WARC/1.1", b"HTTP/1.1", "no record header"), (b"Content-Length: 9", b"Content-Length: 8", "content length")])
 def test_damage_is_told(old, new, problem):
-    ((member, _),) = W.members(io.BytesIO(W.record_bytes(0, "u", b"payload 0", None, False)))
-    assert W.parse_record(member)["problem"] is None
-    assert W.parse_record(member.replace(old, new))["problem"] == problem
+    member = gzip.decompress(W.record_bytes(0, "u", b"payload 0", None, False))
+    assert parsed(member)["problem"] is None
+    assert parsed(member.replace(old, new))["problem"] == problem
