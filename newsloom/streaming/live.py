@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -91,6 +92,37 @@ def kept_markers(rows: DataFrame, keep: int = 20) -> DataFrame:
     return rows.where("play_id IS NOT NULL").orderBy(F.desc("at"), "game_id").limit(keep)
 
 
+def reader_markers(visits: DataFrame, keep: int = 20) -> DataFrame:
+    """reader, game_id, play_id, at for each marker that changes: where a reader last left a game; play_id is null where the marker is gone.
+
+    visits: reader, game_id, play_id, state, at; those of a trigger count in the order of at, then game_id, then play_id, and the last of a game stands. A final game (state post) clears
+    its marker. A reader's markers are one state of at most ``keep`` games; beyond, the one left longest ago goes, for good. Visits without a reader or a game aren't marked.
+    """
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = json.loads(state.get[0]) if state.exists else {}
+        changed = {}
+        for v in pd.concat(frames).sort_values(["at", "game_id", "play_id"]).itertuples():
+            kept.pop(v.game_id, None)
+            changed[v.game_id] = (None if v.state == "post" else v.play_id, v.at)
+            if v.state != "post":
+                kept[v.game_id] = [v.play_id, v.at.isoformat()]
+            if len(kept) > keep:
+                oldest = min(kept, key=lambda g: (pd.Timestamp(kept[g][1]), g))
+                changed[oldest] = (None, pd.Timestamp(kept.pop(oldest)[1]))
+        if kept:
+            state.update((json.dumps(kept),))
+        elif state.exists:
+            state.remove()
+        rows = [(key[0], game, play, at) for game, (play, at) in changed.items()]
+        yield pd.DataFrame(rows, columns=["reader", "game_id", "play_id", "at"]).astype({"play_id": object})
+
+    told = visits.where("reader IS NOT NULL AND game_id IS NOT NULL AND at IS NOT NULL")
+    return told.groupBy("reader").applyInPandasWithState(
+        fold, "reader string, game_id string, play_id string, at timestamp", "kept string", "update", GroupStateTimeout.NoTimeout
+    )
+
+
 def poll_delay(now: float, kickoff: float | None, live: bool) -> float | None:
     """Seconds to the next poll: 30 while a game is on, else towards the next kickoff, from 30 s to 15 min."""
     if live:

@@ -1,4 +1,5 @@
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -53,6 +54,28 @@ def test_markers_clear_at_the_end(spark, tmp_path):
     assert live.poll_delay(0, 100, False) == 100 and live.poll_delay(0, 10**6, False) == 900 and live.poll_delay(0, None, True) == 30
 
 
+def test_markers_of_a_reader_are_bounded(spark, tmp_path):
+    """Over several triggers: what a reader's markers are at the end is what one fold over all visits leaves."""
+    random.seed(3)
+    visits = [(random.choice("ab"), f"g{random.randrange(7)}", f"p{i}", "post" if i % 9 == 8 else "in", T(1) + timedelta(minutes=i)) for i in range(60)]
+    want = {"a": {}, "b": {}}
+    for reader, game, play, state, _ in visits:
+        mine = want[reader]
+        mine.pop(game, None)
+        if state != "post":
+            mine[game] = play
+        if len(mine) > 3:
+            mine.pop(next(iter(mine)))
+    schema = "reader string, game_id string, play_id string, state string, at timestamp"
+    s = stream(spark, tmp_path, schema, *[visits[i : i + 15] for i in range(0, 60, 15)], [(None, "g", "p", "in", T(1)), ("a", None, "p", "in", T(1)), ("b", "old", "p", "in", T(0))])
+    got = {"a": {}, "b": {}}
+    for reader, game, play, _ in run(spark, live.reader_markers(s, keep=3), "update"):
+        got[reader].pop(game, None)
+        if play is not None:
+            got[reader][game] = play
+    assert got == want and max(map(len, want.values())) == 3
+
+
 def test_stores(spark, tmp_path):
     path = str(tmp_path / "store")
     rows = lambda team, *links: spark.createDataFrame([(team, x, "word " * 100, i + 1) for i, x in enumerate(links)], "team string, link string, description string, rn int")
