@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from newsloom.functions import text as T
 from newsloom.functions.dates import period_key
+from newsloom.operators.cluster import WINDOW_HOURS, Words
 
 WEEK = "7 days"
 POLL_LIVE, POLL_SUMMARY = "30 seconds", "20 seconds"
@@ -55,6 +57,26 @@ def first_seen(arrivals: DataFrame) -> DataFrame:
     )
 
 
+def alike_arrivals(newer: DataFrame, older: DataFrame, words: Words = Words(), least_shared: int = 3, late: str = "1 hour") -> DataFrame:
+    """feed, anchor, link, anchor_at, shared: titles that came at most 36 hours apart with ``least_shared`` tokens in common, newer (then smaller link) first.
+
+    newer and older are the same arrivals (feed, link, title, source, published), read twice. As a stream, state on both sides goes when no title within the window can come any more, a pair is told
+    when the watermark has passed its newer title, and arrivals later than the watermark are left out; tables give all pairs. Repeated arrivals count once; those without a feed or date don't count.
+    """
+
+    def side(rows: DataFrame, *names: str) -> DataFrame:
+        dated = rows.where("published IS NOT NULL").withWatermark("published", late)
+        tokens = F.array_distinct(T.title_tokens(F.col("title"), F.col("source"), words.stopwords, words.prefixes))
+        return dated.select("feed", F.explode(tokens).alias("token"), "link", "published").toDF(*names)
+
+    a, b = side(newer, "feed", "token", "anchor", "anchor_at"), side(older, "_feed", "_token", "link", "at")
+    near = (F.col("at") <= F.col("anchor_at")) & (F.col("at") >= F.col("anchor_at") - F.make_dt_interval(hours=F.lit(WINDOW_HOURS)))
+    ordered = (F.col("anchor_at") > F.col("at")) | (F.col("anchor") < F.col("link"))
+    met = a.join(b, (F.col("feed") == F.col("_feed")) & (F.col("token") == F.col("_token")) & near & ordered).where("anchor <> link")
+    shared = F.size(F.collect_set("token")).alias("shared")
+    return met.select("feed", "anchor", "link", "anchor_at", "token").groupBy("feed", "anchor", "link", "anchor_at").agg(shared).where(F.col("shared") >= least_shared)
+
+
 def last_good_boards(polls: DataFrame) -> DataFrame:
     """league_id, body, polled_at: the last poll that succeeded; a failed one (body null) keeps it. A late answer loses to a newer one."""
 

@@ -42,6 +42,34 @@ def test_first_mark_counts(spark, tmp_path):
     assert sorted(run(spark, live.first_marks(s), "append")) == [("a", T(1)), ("b", T(2))]
 
 
+def test_alike_arrivals_match_the_batch(spark, tmp_path):
+    """Over several triggers the stream tells the pairs that the table has, and its state goes."""
+    random.seed(4)
+    words = ["harbor", "council", "bridge", "market", "garden", "winter", "player", "signing"]
+    rows = [(f"f{i % 2}", f"l{i:02}", " ".join(random.sample(words, 4)), "s", T(0) + timedelta(hours=2 * i)) for i in range(60)]
+    rows += [rows[5], (None, "n", rows[5][2], "s", rows[5][4]), ("f1", "none", rows[5][2], "s", None), ("f1", "empty", "", "s", T(5)), ("f1", "null", None, "s", T(5))]
+    rows.sort(key=lambda r: r[4] or T(0))
+    schema = "feed string, link string, title string, source string, published timestamp"
+    batches = [rows[i : i + 22] for i in range(0, len(rows), 22)]
+    s = stream(spark, tmp_path, schema, *batches, [("z", "z", "last", "s", T(0) + timedelta(days=60))])
+    again = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = live.alike_arrivals(s, again).writeStream.format("memory").queryName("alike").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    table = spark.createDataFrame(rows, schema)
+    batch = sorted(map(tuple, live.alike_arrivals(table, table).collect()))
+    tokens = {r[1]: set(r[2].split()) for r in rows if r[2]}
+    at = {r[1]: r for r in rows if r[0] and r[4]}
+    want = sorted(
+        (x[0], x[1], y[1], x[4], len(tokens[x[1]] & tokens[y[1]]))
+        for x in at.values() for y in at.values()
+        if x[0] == y[0] and x[1] in tokens and y[1] in tokens and timedelta(0) < x[4] - y[4] <= timedelta(hours=36) and len(tokens[x[1]] & tokens[y[1]]) >= 3
+    )
+    assert batch == want and len(want) > 20
+    assert sorted(map(tuple, spark.table("alike").collect())) == want
+    joined = q.lastProgress["stateOperators"]
+    assert sum(o["numRowsTotal"] for o in joined) < 10
+
+
 def test_failed_poll_keeps_the_board(spark, tmp_path):
     s = stream(spark, tmp_path, "league_id string, body string, polled_at timestamp", [("l", "one", T(2))], [("l", None, T(3))], [("l", "late", T(1))])
     assert {r[1] for r in run(spark, live.last_good_boards(s), "update")} == {"one"}
