@@ -494,4 +494,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(A.within_week(F.col("published").cast("timestamp"), now().cast("timestamp"))).orderBy(*A.newest_first()).select("link", "title", "published")
 
 
-from . import bodies  # noqa: E402, F401  (registers its queries)
+from . import bodies, followers  # noqa: E402, F401  (register their queries)
