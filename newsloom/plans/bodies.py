@@ -109,8 +109,9 @@ SQL_GAMES = """g AS (SELECT *, o_custkey AS home, o_custkey + 1 AS away, (o_tota
 
 
 def games(spark: SparkSession, sf: str) -> DataFrame:
+    """Home scores are thousands, halves to the even number as in the twins."""
     state = F.when(F.col("o_orderstatus") == "O", "pre").when(F.col("o_orderstatus") == "F", "post").otherwise("in")
-    return orders(spark, sf).withColumns({"state": state, "hs": F.round(F.col("o_totalprice") / 1000).cast("long"), "aw": F.col("o_orderkey") % 50})
+    return orders(spark, sf).withColumns({"state": state, "hs": F.rint(F.col("o_totalprice") / 1000).cast("long"), "aw": F.col("o_orderkey") % 50})
 
 
 def event(home_score: Column, away_score: Column) -> Column:

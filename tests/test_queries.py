@@ -55,3 +55,26 @@ def test_articles_cut_nothing(spark):
 def test_no_twin_reads_a_subset():
     for name, sql in registry.oracle_sql().items():
         assert not re.search(r"WHERE (pos|\w+key|home|away|doc_id) % \d+ = 0", sql), name
+
+
+def twin_rows(spark, name, sf):
+    """Rows of a query and of its twin over the tables of a folder."""
+    con = duckdb.connect()
+    con.sql("SET timezone = 'UTC'")
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf if (sf / f'{t}.parquet').exists() else SF}/{t}.parquet'")
+    df = entry.queries()[name](spark, str(sf))
+    want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    return sorted(map(repr, map(tuple, df.collect()))), sorted(map(repr, want))
+
+
+def halves(tmp_path):
+    """Orders whose thousands are halves, above even and odd numbers."""
+    rows = "SELECT i AS o_orderkey, i AS o_custkey, ['O', 'F', 'P'][i % 3 + 1] AS o_orderstatus, 1000.0::DOUBLE * i + 500 AS o_totalprice, TIMESTAMP '2024-01-01' AS o_orderdate, 'x' AS o_orderpriority FROM range(60) t(i)"
+    duckdb.connect().sql(f"COPY ({rows}) TO '{tmp_path}/orders.parquet'")
+    return tmp_path
+
+
+def test_schedule_rounds_halves_as_its_twin(spark, tmp_path):
+    got, want = twin_rows(spark, "schedule", halves(tmp_path))
+    assert got == want and len(got) == 60
