@@ -78,3 +78,8 @@ def halves(tmp_path):
 def test_schedule_rounds_halves_as_its_twin(spark, tmp_path):
     got, want = twin_rows(spark, "schedule", halves(tmp_path))
     assert got == want and len(got) == 60
+
+
+def test_scoreboard_rounds_halves_as_its_twin(spark, tmp_path):
+    got, want = twin_rows(spark, "scoreboard", halves(tmp_path))
+    assert got == want and len(got) == 60
