@@ -2,16 +2,15 @@
 
 Words come in pieces of text; the words of each language are counted, those of ``LEAST`` times or more are numbered,
 and texts are written once as runs of these numbers (phrases of that many times hold no other words).
-Then, for each number of words from two to four:
+Then every place becomes a window of four words, and windows are dealt by the hash of their first two to shards of some
+``WINDOWS``, summed by each task before. There are as many shards as the words ask for, and a window goes to one of them, so the work
+grows with the texts. A task has all windows of its shard's phrases:
 
-- Candidates are Apriori-safe: a phrase is one only if it goes on from one of those that are one word shorter. Each task sums
-  them, by the shorter phrase and the next word, before the shuffle does; which have ``LEAST`` stay.
-- Candidates are dealt by hash to shards of at most ``SHARD``; a task makes a double-array trie of each
-  (tries.py). One shard at a time is broadcast, so its size is bounded: at most four words of three nodes a phrase. All places of the texts go
-  through it at once, word by word; the states that they end in are counted, and tasks' counts summed.
+- Candidates are Apriori-safe: a phrase is one only if it goes on from one of those that are one word shorter; those of ``LEAST`` stay.
+- It makes double-array tries of them (tries.py), of at most ``SHARD`` each. Its windows go through them at once, word by word;
+  the states that they end in are counted, and the counts of alike windows summed.
 
-The last pass counts all candidates, of all lengths, and its counts are the phrases'. Scores, and which phrases
-longer ones stand for, are joins of the counts.
+These counts are the phrases'. Scores, and which phrases longer ones stand for, are joins of the counts.
 
 Defined results: a null or empty text has no words; a null language is ``und``; every row counts, repeated ones too; ties are
 told by the rest of the order; an empty table, and a language without a candidate, give no rows; columns other than text and lang aren't read.
@@ -27,23 +26,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.operators.order import numbered
 
 from . import textbuf as T
 from .common import shared_path, stored, table
-from .tries import Trie, built, walked
+from .tries import built, walked
 from .warc import filesystem
 
 LEAST, MOST_WORDS, SHARE, TOP = 30, 4, 80, 2000
 #: Candidates in a trie, at most, and numbered words in a block that tasks read.
 SHARD, BLOCK = 1 << 19, 1 << 22
-#: Keys that a task sums before it sends them on.
-KEYS = 1 << 20
-#: Places of a trie whose counts travel together.
-COUNTS = 1 << 10
+#: Windows that a task sums before it sends them on, those of a shard, about, and those that are walked at a time.
+KEYS, WINDOWS, WALKED = 1 << 19, 1 << 20, 1 << 17
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENDS_PIECE = np.zeros(256, bool)
 ENDS_PIECE[[*b".,;:!?", *range(10, 14)]] = True
@@ -145,7 +142,7 @@ def encoded(docs: DataFrame, path: str, blocks: int, text: str = "text", lang: s
     return rows.mapInArrow(encode, "ids binary")
 
 
-def arrays(batches, size: int = 1 << 19):
+def arrays(batches, size: int = 1 << 18):
     """The encoded texts, some of them joined to arrays of about ``size``."""
     held, n = [], 0
     for batch in batches:
@@ -160,159 +157,139 @@ def arrays(batches, size: int = 1 << 19):
         yield np.concatenate(held)
 
 
-def summed(found, most: int = KEYS):
-    """Keys with their counts, from arrays of keys: each once, but for those that come after more than ``most`` were held."""
-    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for some in found:
-        own, n = np.unique(some, return_counts=True)
-        keys, at = np.unique(np.concatenate([keys, own]), return_inverse=True)
-        counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
-        if len(keys) > most:
-            yield keys, counts
-            keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    yield keys, counts
-
-
-KEYED = "key long, n long"
+def windows_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each place where two numbered words stand: both in one number, and the two after them in another (0: the piece ends, or another word stands)."""
+    ahead = np.concatenate([ids, np.full(MOST_WORDS - 1, -1, ids.dtype)]).astype(np.int64)
+    at = np.flatnonzero((ahead[:-3] >= 0) & (ahead[1:-2] >= 0))
+    third, fourth = ahead[at + 2] + 1, ahead[at + 3] + 1
+    return ahead[at] << 32 | ahead[at + 1], third << 32 | np.where(third > 0, fourth, 0)
 
 
-def keyed_batches(key: np.ndarray, n: np.ndarray, rows: int = 1 << 15):
-    for i in range(0, len(n), rows):
-        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + rows].astype(np.int64)) for x in (key, n)], names=["key", "n"])
+def merged(pairs: np.ndarray, rest: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each window once, with its count, ordered by the hash of its pair."""
+    order = np.lexsort((rest, T.mix(pairs.view(T.U))))
+    pairs, rest = pairs[order], rest[order]
+    first = np.flatnonzero(starts_of(pairs, rest))
+    return pairs[first], rest[first], np.add.reduceat(counts[order], first) if len(first) else counts
 
 
-def enough(keys: DataFrame, least: int) -> DataFrame:
-    """prefix, word, n of keys that come often enough. Tasks have summed their keys, so they are dealt out before they are summed again."""
-    often = keys.repartition("key").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return often.select(F.shiftright("key", 32).alias("prefix"), F.col("key").bitwiseAND(0xFFFFFFFF).alias("word"), "n")
+def starts_of(*columns: np.ndarray) -> np.ndarray:
+    """Where rows differ from the row before."""
+    first = np.ones(len(columns[0]), bool)
+    first[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return first
 
 
-def pair_keys(texts: DataFrame) -> DataFrame:
-    """key, n: neighbouring words, one in the upper and one in the lower half of the key."""
-
-    def keys(batches):
-        pairs = ((ids[:-1].astype(np.int64) << 32 | ids[1:])[(ids[:-1] >= 0) & (ids[1:] >= 0)] for ids in arrays(batches))
-        for key, n in summed(pairs):
-            yield from keyed_batches(key, n)
-
-    return texts.mapInArrow(keys, KEYED)
+def summed(found, most: int = KEYS):
+    """Windows with their counts, from arrays of windows: each once, but for those that come after more than ``most`` were held."""
+    held, n = [], 0
+    for some in found:
+        held.append(some)
+        n += len(some[0])
+        if n > most:
+            yield merged(*map(np.concatenate, zip(*held, strict=True)), np.ones(n, np.int64))
+            held, n = [], 0
+    if n:
+        yield merged(*map(np.concatenate, zip(*held, strict=True)), np.ones(n, np.int64))
 
 
-def longer_keys(texts: DataFrame, shared, size: int) -> DataFrame:
-    """key, n: the pid of a trie's phrase of so many words, and the word after."""
+DEALT = "shard int, pairs binary, rest binary, counts binary"
 
-    def keys(batches):
-        trie, pids = Trie.unpacked(shared.value), np.frombuffer(shared.value[-1], np.int64)
 
-        def found():
-            for ids in arrays(batches):
-                for k, at, state in walked(trie, ids, size):
-                    if k == size:
-                        inside = at + size < len(ids)
-                        which, after = trie.accept[state[inside]], ids[at[inside] + size].astype(np.int64)
-                        good = (which >= 0) & (after >= 0)
-                        yield pids[which[good]] << 32 | after[good]
+def dealt(texts: DataFrame, shards: int) -> DataFrame:
+    """The windows of the texts by shard: all of a pair of words are in one, so that every phrase is. Tasks have summed them, and send them as arrays."""
 
-        for key, n in summed(found()):
-            yield from keyed_batches(key, n)
+    def deal(batches):
+        for pairs, rest, counts in summed(map(windows_of, arrays(batches))):
+            shard = ((T.mix(pairs.view(T.U)) >> T.U(32)) * T.U(shards) >> T.U(32)).astype(np.int64)  # in order, as the windows are
+            edges = np.append(np.flatnonzero(starts_of(shard)), len(shard))
+            columns = [pa.array(shard[edges[:-1]], pa.int32())]
+            for x in (pairs, rest, counts):
+                columns.append(pa.array([x[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "pairs", "rest", "counts"])
 
-    return texts.mapInArrow(keys, KEYED)
+    return texts.mapInArrow(deal, DEALT)
 
 
-def state_counts(texts: DataFrame, shared) -> DataFrame:
-    """key, n: how often each phrase of a trie, by its pid, comes in the texts.
+def candidates(pairs: np.ndarray, rest: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The phrases (a row each, with -1 after the last word) that merged windows have ``least`` times, and the windows that begin with one.
 
-    Each task sends its counts as arrays of ``COUNTS`` places, and these are summed as arrays.
+    A phrase is looked for only where the one that is a word shorter has come often enough.
     """
+    found, stay = [np.zeros((0, MOST_WORDS), np.int64)], np.ones(len(pairs), bool)
+    at = np.arange(len(pairs))
+    for size in range(2, MOST_WORDS + 1):
+        after = rest[at] >> 32 if size == 3 else rest[at]
+        if size > 2:
+            there = after > 0 if size == 3 else after & 0xFFFFFFFF > 0
+            at, after = at[there], after[there]
+        if not len(at):
+            break
+        first = starts_of(pairs[at], after) if size > 2 else starts_of(pairs[at])
+        begin = np.flatnonzero(first)
+        often = np.add.reduceat(counts[at], begin) >= least
+        one = at[begin[often]]
+        words = np.stack([pairs[one] >> 32, pairs[one] & 0xFFFFFFFF, (rest[one] >> 32) - 1, (rest[one] & 0xFFFFFFFF) - 1], axis=1)
+        words[:, size:] = -1
+        found.append(words)
+        at = at[often[np.cumsum(first) - 1]]
+        if size == 2:
+            stay[:] = False
+            stay[at] = True
+    return np.concatenate(found), stay
 
-    def count(batches):
-        trie = Trie.unpacked(shared.value)
-        total = np.zeros(len(trie.accept), np.int64)
-        for ids in arrays(batches):
-            for k, _, state in walked(trie, ids, MOST_WORDS):
-                if k > 1:
-                    total += np.bincount(state, minlength=len(total))
-        ended = np.flatnonzero(trie.accept >= 0)
-        counts = np.zeros(len(ended), np.int64)
-        counts[trie.accept[ended]] = total[ended]
-        for i in range(0, len(counts), COUNTS):
-            if counts[i : i + COUNTS].any():
-                yield pa.RecordBatch.from_pydict({"block": [i // COUNTS], "counts": [counts[i : i + COUNTS].tobytes()]})
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, counts = 0, 0
-        for batch in batches:
-            block = batch.column("block")[0].as_py()
-            for x in batch.column("counts").to_pylist():
-                counts = counts + np.frombuffer(x, np.int64)
-        pids = np.frombuffer(shared.value[-1], np.int64)[block * COUNTS :][: len(counts)]
-        yield from keyed_batches(pids, counts)
 
-    return texts.mapInArrow(count, "block long, counts binary").groupBy("block").applyInArrow(add, KEYED)
+COUNTED = "w0 long, w1 long, w2 long, w3 long, n long"
 
 
-TRIES = "shard long, parts array<binary>"
+def counted(windows: DataFrame, least: int, shard: int) -> DataFrame:
+    """w0 to w3 (null after the last), n: the phrases of ``least`` times or more, as the states of tries count them.
 
+    A task makes tries of its shard's candidates, of at most ``shard`` each, and all its windows go through them, from their first words.
+    """
 
-def tries_of(phrases: DataFrame, shard: int = SHARD) -> tuple[DataFrame, int]:
-    """phrases (pid, ids) in tries of at most ``shard`` of them: shard, and the trie's arrays with the pids last. Also how many shards."""
-    n = phrases.count()
-    if n >= 1 << 31:
-        raise ValueError("more phrases than 31 bits tell apart")
-    shards = max(1, -(-n // shard))
-    place = lambda k: F.pmod(F.xxhash64("pid"), F.lit(k))
-    while shards > 1 and phrases.groupBy(place(shards)).count().agg(F.max("count")).first()[0] > shard:
-        shards += 1 + shards // 8
-
-    def make(group: pa.Table) -> pa.Table:
-        listed = np.full((group.num_rows, MOST_WORDS), -1, np.int64)
-        listed[np.arange(MOST_WORDS) < group.column("size").to_numpy()[:, None]] = group.column("ids").combine_chunks().flatten().to_numpy()
-        trie, order = built(listed)
-        pids = group.column("pid").to_numpy()[order].astype(np.int64)
-        return pa.table({"shard": group.column("shard").slice(0, 1), "parts": pa.array([[*trie.packed(), pids.tobytes()]], pa.list_(pa.binary()))})
-
-    rows = phrases.select(place(shards).alias("shard"), "pid", "ids", F.size("ids").alias("size"))
-    return stored(rows.groupBy("shard").applyInArrow(make, TRIES), "tries"), shards
-
-
-def through(texts: DataFrame, tries: DataFrame, shards: int, kind: str, apply) -> DataFrame | None:
-    """apply(texts, broadcast trie) for one shard after the other, written; None without a phrase."""
-    found = []
-    for k in range(shards):
-        row = tries.where(F.col("shard") == k).first()
-        if row:
-            shared = texts.sparkSession.sparkContext.broadcast([bytes(x) for x in row.parts])
-            found.append(stored(apply(texts, shared), kind))
-            shared.destroy()
-    return functools.reduce(DataFrame.unionByName, found) if found else None
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[], [], []]
+        for batch in batches:
+            for some, name in zip(held, ("pairs", "rest", "counts"), strict=True):
+                some.extend(np.frombuffer(x, np.int64) for x in batch.column(name).to_pylist())
+        pairs, rest, counts = merged(*map(np.concatenate, held))
+        held.clear()
+        listed, stay = candidates(pairs, rest, counts, least)
+        pairs, rest, counts = pairs[stay], rest[stay], counts[stay]
+        for k in range(0, len(listed), shard):
+            trie, order = built(listed[k : k + shard])
+            total = np.zeros(len(trie.accept))
+            for i in range(0, len(pairs), WALKED):
+                a, b = pairs[i : i + WALKED], rest[i : i + WALKED]
+                ids = np.stack([a >> 32, a & 0xFFFFFFFF, (b >> 32) - 1, (b & 0xFFFFFFFF) - 1, np.full(len(a), -1)], axis=1).ravel()
+                width = MOST_WORDS + 1
+                for size, at, state in walked(trie, ids, MOST_WORDS, np.arange(0, len(ids), width)):
+                    if size > 1:
+                        total += np.bincount(state, weights=counts[i + at // width], minlength=len(total))
+            ended = np.flatnonzero(trie.accept >= 0)
+            rows = listed[k : k + shard][order[trie.accept[ended]]]
+            n = total[ended].astype(np.int64)
+            for i in range(0, len(n), 1 << 15):
+                columns = [pa.array(rows[i : i + (1 << 15), j], mask=rows[i : i + (1 << 15), j] < 0) for j in range(MOST_WORDS)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n[i : i + (1 << 15)])], names=["w0", "w1", "w2", "w3", "n"])
+
+    return windows.groupBy("shard").applyInArrow(count, COUNTED)
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, shard: int = SHARD, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
     """All words (lang, word, f), and lang, phrase, size, f of the words and phrases of at most four that come ``least`` times or more."""
     words = stored(word_counts(docs, text, lang), "words")
     ids, path, blocks = vocabulary(words, least)
-    texts = stored(encoded(docs, path, blocks, text, lang), "encoded")
-    last = ids.select(F.col("id").alias("word"), F.col("word").alias("_w"), "lang")
-    first = ids.select(F.col("id").alias("prefix"), F.col("word").alias("phrase"), F.array(F.col("id")).alias("ids"))
-
-    def level(keys: DataFrame, shorter: DataFrame) -> DataFrame:
-        both = keys.join(shorter, "prefix").join(last, "word")
-        longer = both.select("lang", F.concat_ws(" ", "phrase", "_w").alias("phrase"), F.array_append("ids", F.col("word")).alias("ids"))
-        return numbered(longer, F.asc("phrase"), F.asc("lang")).withColumnRenamed("rank", "pid")
-
-    levels = [level(enough(pair_keys(texts), least), first)]
-    for size in range(2, MOST_WORDS):
-        keys = through(texts, *tries_of(levels[-1], shard), "keys", lambda t, trie, size=size: enough(longer_keys(t, trie, size), least))
-        if keys is None:
-            break
-        levels.append(level(keys, levels[-1].select(F.col("pid").alias("prefix"), "phrase", "ids")))
-    # ids of phrases are told apart by their number of words
-    every = functools.reduce(DataFrame.unionByName, [x.withColumn("pid", F.col("pid") * MOST_WORDS + k) for k, x in enumerate(levels)])
-    counts = through(texts, *tries_of(every.select("pid", "ids"), shard), "counts", state_counts)  # a phrase is in one shard only
+    places = ids.agg(F.sum("f")).first()[0] or 0
+    texts = stored(encoded(docs, path, blocks, text, lang), "encoded")  # so that a task has one Python process
+    found = stored(counted(dealt(texts, max(1, -(-places // WINDOWS))), least, shard), "counted")
+    name = lambda k: ids.select(F.col("id").alias(f"w{k}"), F.col("word").alias(f"_w{k}"))
+    several = found.join(name(0).join(ids.select(F.col("id").alias("w0"), "lang"), "w0"), "w0").join(name(1), "w1").join(name(2), "w2", "left").join(name(3), "w3", "left")
+    words_in = [F.col(f"_w{k}") for k in range(MOST_WORDS)]
+    size = functools.reduce(Column.__add__, [w.isNotNull().cast("int") for w in words_in])
+    several = several.select("lang", F.concat_ws(" ", *words_in).alias("phrase"), size.alias("size"), F.col("n").alias("f"))
     single = words.where(F.col("f") >= least).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f")
-    if counts is None:
-        return words, single
-    several = counts.select(F.col("key").alias("pid"), "n").join(every, "pid").select("lang", "phrase", F.size("ids").alias("size"), F.col("n").alias("f"))
     return words, stored(single.unionByName(several), "frequent")
 
 

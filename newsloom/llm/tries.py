@@ -97,14 +97,14 @@ def grown(x: np.ndarray, fill) -> np.ndarray:
     return np.concatenate([x, np.full(len(x), fill, x.dtype)])
 
 
-def walked(trie: Trie, ids: np.ndarray, most: int = 4):
-    """For each number of words k from 1: the places of a text from which the trie has come so far, and their states. ids: below 0 nothing passes."""
+def walked(trie: Trie, ids: np.ndarray, most: int = 4, starts: np.ndarray | None = None):
+    """For each number of words k from 1: the places of a text, of all or of ``starts``, from which the trie has come so far, and their states. ids: below 0 nothing passes."""
     local = np.searchsorted(trie.words, ids)
     local[local == len(trie.words)] = 0
     if not len(trie.words):
         return
     there = trie.words[local] == ids
-    at = np.flatnonzero(there)
+    at = np.flatnonzero(there) if starts is None else starts[there[starts]]
     state = np.zeros(len(at), np.int64)
     for k in range(most):
         here = at + k

@@ -112,3 +112,17 @@ def test_long_texts(spark):
     text = " ".join(f"w{i * i % 997}" for i in range(300_000)) + ". " + "x" * 2_000_000
     docs = spark.createDataFrame([("en", text)], "lang string, text string")
     assert rows_of(P.collocations(docs)) == plain([("en", text)], 30)
+
+
+def test_windows_of_many_shards(spark, monkeypatch):
+    """A shard has all windows of its pairs of words, however few fit it; each goes to one shard only."""
+    monkeypatch.setattr(P, "WINDOWS", 100)
+    rng = np.random.default_rng(8)
+    rows = [(str(rng.choice(["en", "fr"])), " ".join(rng.choice(["a", "b", "c", "d.", "e"], rng.integers(0, 80)))) for _ in range(150)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    assert rows_of(P.collocations(docs, least=4, shard=50, top=400)) == plain(rows, 4, top=400)
+    ids = np.array([5, 7, 5, 7, -1, 5, 7, 1, 2, -1], np.int32)
+    pairs, rest, counts = next(P.summed([P.windows_of(ids), P.windows_of(ids)]))
+    assert counts.sum() == 12 and sorted(counts.tolist()) == [2, 2, 2, 2, 2, 2] and len(set(zip(pairs.tolist(), rest.tolist(), strict=True))) == 6
+    listed, stay = P.candidates(pairs, rest, counts, 4)
+    assert sorted(map(tuple, listed.tolist())) == [(5, 7, -1, -1)] and stay.sum() == 3
