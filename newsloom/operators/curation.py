@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
 
+from .order import tasks_for
+
+#: Teams of a nickname that meet the others of it in one task, about.
+TOGETHER = 500
+
 
 def _held(teams: DataFrame) -> DataFrame:
     return teams.where(F.size("sources") > 0).select("slug", "sources", F.explode("nicknames").alias("nickname")).withColumn("nickname", F.lower("nickname")).distinct()
@@ -15,12 +20,25 @@ def _held(teams: DataFrame) -> DataFrame:
 def _hazards(held: DataFrame, others: DataFrame, reserved: DataFrame) -> DataFrame:
     owned = held.join(reserved.select(F.lower("nickname").alias("nickname"), "owner"), "nickname").where("owner IS NULL OR owner <> slug")
     taken = owned.select("slug", "nickname", F.lit("reserved").alias("kind"), F.coalesce("owner", F.lit("")).alias("detail"))
-    other = others.select("nickname", F.col("slug").alias("other"), F.col("sources").alias("theirs"))
-    pairs = held.join(other, "nickname").where("slug <> other")
-    shared = pairs.withColumn("common", F.array_intersect("sources", "theirs"))
-    detail = F.when(F.size("common") > 0, F.concat_ws(",", "other", F.array_join(F.array_sort("common"), ","))).otherwise(F.col("other"))
-    rows = shared.select("slug", "nickname", F.when(F.size("common") > 0, "shared-source").otherwise("contested").alias("kind"), detail.alias("detail"))
-    return taken.unionByName(rows).distinct()
+    # dealt by nickname and by hundreds of teams, so that many teams of one nickname are no single task
+    sizes = others.groupBy("nickname").agg(F.count("*").alias("m")).join(held.groupBy("nickname").agg(F.count("*").alias("n")), "nickname")
+    tasks = tasks_for(sizes.agg(F.sum(F.col("n") * F.col("m"))).first()[0])
+    parts = sizes.select("nickname", F.ceil(F.col("n") / TOGETHER).alias("parts"))
+    one = held.join(parts, "nickname").withColumn("_part", F.pmod(F.xxhash64("slug", "sources"), "parts")).drop("parts")
+    other = others.join(parts, "nickname").select("nickname", F.col("slug").alias("other"), F.col("sources").alias("theirs"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("_part"))
+    dealt = lambda rows: rows.repartition(tasks, "nickname", "_part")
+    pairs = dealt(one).join(dealt(other), ["nickname", "_part"]).where("slug <> other")
+    shared = pairs.select("slug", "nickname", "other", F.array_join(F.sort_array(F.array_intersect("sources", "theirs")), ",").alias("common"), F.arrays_overlap("sources", "theirs").alias("meet"))
+    meet = F.coalesce("meet", F.lit(False))
+    detail = F.when(meet, F.concat_ws(",", "other", "common")).otherwise(F.col("other"))
+    rows = shared.select("slug", "nickname", F.when(meet, "shared-source").otherwise("contested").alias("kind"), detail.alias("detail"))
+    return taken.distinct().unionByName(rows if _plain(held) and _plain(others) else rows.distinct())
+
+
+def _plain(held: DataFrame) -> bool:
+    """Has each team a nickname once, and no slug a comma? Then no two pairs of teams read alike."""
+    several = held.groupBy("slug", "nickname").agg(F.count("*").alias("n")).where("n > 1 OR contains(slug, ',')")
+    return several.isEmpty()
 
 
 def nickname_hazards(teams: DataFrame, reserved: DataFrame) -> DataFrame:

@@ -377,6 +377,21 @@ def test_hazards_and_hypotheticals(spark):
     assert [r.owner for r in curation.reserved_names(frame(spark, "nickname string, owner string", ("Bears", "x"), ("Owls", "y")), frame(spark, "nickname string, owner string", ("bears", None))).orderBy("nickname").collect()] == [None, "y"]
 
 
+def test_hazards_of_one_nickname_are_many_tasks(spark, monkeypatch):
+    """Few bytes that make many rows; slugs with commas, of which two pairs can read alike, come once."""
+    from newsloom.operators import order
+
+    monkeypatch.setattr(order, "MADE", 500)
+    monkeypatch.setattr(curation, "TOGETHER", 10)
+    teams = frame(spark, "slug string, nicknames array<string>, sources array<string>", *[(f"t{i}", ["Cats"], [f"s{i % 3}", None, "r"][: 1 + i % 2]) for i in range(80)])
+    reserved = frame(spark, "nickname string, owner string", ("cats", "t1"), ("CATS", "t1"))
+    got = curation.nickname_hazards(teams, reserved).withColumn("task", F.spark_partition_id()).collect()
+    made = [r for r in got if r.kind != "reserved"]
+    assert len({(r.slug, r.kind, r.detail) for r in got}) == len(got) == 80 * 79 + 79 and len({r.task for r in made}) > 3
+    alike = frame(spark, "slug string, nicknames array<string>, sources array<string>", ("a", ["x"], ["c", "d"]), ("b", ["x"], ["c", "d"]), ("b,c", ["x"], ["d"]))
+    assert sorted((r.slug, r.detail) for r in curation.nickname_hazards(alike, reserved).collect()) == [("a", "b,c,d"), ("b", "a,c,d"), ("b", "b,c,d"), ("b,c", "a,d"), ("b,c", "b,d")]
+
+
 def test_logs_and_status(spark):
     events = frame(spark, "event string", ('{"eventTimestamp": 0, "scriptName": "w", "outcome": "ok", "event": {"request": {"url": "https://h/v1/x?q", "method": "GET"}, "response": {"status": 503}}, "logs": [{"level": "log", "message": ["hi"]}]}',), ("nonsense",))
     rows = curation.shaped_logs(events.coalesce(1)).collect()
