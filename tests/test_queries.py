@@ -83,3 +83,9 @@ def test_schedule_rounds_halves_as_its_twin(spark, tmp_path):
 def test_scoreboard_rounds_halves_as_its_twin(spark, tmp_path):
     got, want = twin_rows(spark, "scoreboard", halves(tmp_path))
     assert got == want and len(got) == 60
+
+
+def test_pair_score_leaves_no_pair_out(spark):
+    """Pairs that share three tokens come out however little alike they are."""
+    got = entry.queries()["pair_score"](spark, SF)
+    assert got.where("dice < 0.55").count() > 0 and got.where("shared < 3").count() == 0
