@@ -1,8 +1,8 @@
 """Phrase collocations: phrases of up to four words that come together more often than their parts would.
 
 Words come in pieces of text; the words of each language are counted, those of ``LEAST`` times or more are numbered,
-and texts are written once as runs of these numbers (phrases of that many times hold no other words).
-Then every place becomes a window of four words, and windows are dealt by the hash of their first two to shards of some
+and texts become runs of these numbers (phrases of that many times hold no other words).
+Every place becomes a window of four words at once, and windows are dealt by the hash of their first two to shards of some
 ``WINDOWS``, summed by each task before. There are as many shards as the words ask for, and a window goes to one of them, so the work
 grows with the texts. A task has all windows of its shard's phrases:
 
@@ -39,8 +39,8 @@ from .warc import filesystem
 LEAST, MOST_WORDS, SHARE, TOP = 30, 4, 80, 2000
 #: Candidates in a trie, at most, and numbered words in a block that tasks read.
 SHARD, BLOCK = 1 << 19, 1 << 22
-#: Windows that a task sums before it sends them on, those of a shard, about, and those that are walked at a time.
-KEYS, WINDOWS, WALKED = 1 << 19, 1 << 20, 1 << 17
+#: Windows that a task sums before it sends them on, those of a shard, about, and those that are walked at a time; bytes of texts that are read at a time.
+KEYS, WINDOWS, WALKED, TEXTS = 1 << 19, 1 << 20, 1 << 17, 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENDS_PIECE = np.zeros(256, bool)
 ENDS_PIECE[[*b".,;:!?", *range(10, 14)]] = True
@@ -118,43 +118,22 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(hashes), np.concatenate(owners), np.concatenate(new)
 
 
-def encoded(docs: DataFrame, path: str, blocks: int, text: str = "text", lang: str = "lang") -> DataFrame:
-    """ids (binary, 32-bit numbers): the texts' frequent words, with -1 where a piece ends or another word stands."""
-
-    def encode(batches):
-        for batch in T.batches_of(batches, size=2 << 20):
-            langs = {x: code_of_lang(x) for x in batch.column("lang").unique().to_pylist()}
-            data, offsets = T.buffers(batch.column("text"))
-            hashes, owner, new = words_of(data, offsets)
-            codes = T.mix(hashes ^ np.array([langs[x] for x in batch.column("lang").to_pylist()], T.U)[owner])
-            ids = np.full(len(codes), -1, np.int32)
-            for b in range(blocks):
-                known, of = block_of(path, b)
-                at = np.searchsorted(known, codes)
-                at[at == len(known)] = 0
-                ids = np.where(known[at] == codes, of[at], ids).astype(np.int32)
-            ids = np.insert(ids, np.flatnonzero(new), np.int32(-1))
-            doubled = np.zeros(len(ids), bool)
-            doubled[1:] = (ids[1:] < 0) & (ids[:-1] < 0)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[~doubled].tobytes()], pa.binary())], names=["ids"])
-
-    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    return rows.mapInArrow(encode, "ids binary")
-
-
-def arrays(batches, size: int = 1 << 18):
-    """The encoded texts, some of them joined to arrays of about ``size``."""
-    held, n = [], 0
-    for batch in batches:
-        for x in batch.column("ids").to_pylist():
-            held.append(np.frombuffer(x, np.int32))
-            held.append(np.array([-1], np.int32))
-            n += len(held[-2])
-            if n >= size:
-                yield np.concatenate(held)
-                held, n = [], 0
-    if held:
-        yield np.concatenate(held)
+def ids_of(batch: pa.RecordBatch, path: str, blocks: int) -> np.ndarray:
+    """The frequent words of a batch's texts (lang, text), with -1 where a piece ends or another word stands."""
+    langs = {x: code_of_lang(x) for x in batch.column("lang").unique().to_pylist()}
+    data, offsets = T.buffers(batch.column("text"))
+    hashes, owner, new = words_of(data, offsets)
+    codes = T.mix(hashes ^ np.array([langs[x] for x in batch.column("lang").to_pylist()], T.U)[owner])
+    ids = np.full(len(codes), -1, np.int32)
+    for b in range(blocks):
+        known, of = block_of(path, b)
+        at = np.searchsorted(known, codes)
+        at[at == len(known)] = 0
+        ids = np.where(known[at] == codes, of[at], ids).astype(np.int32)
+    ids = np.insert(ids, np.flatnonzero(new), np.int32(-1))
+    doubled = np.zeros(len(ids), bool)
+    doubled[1:] = (ids[1:] < 0) & (ids[:-1] < 0)
+    return ids[~doubled]
 
 
 def windows_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,24 +162,35 @@ def starts_of(*columns: np.ndarray) -> np.ndarray:
 def summed(found, most: int = KEYS):
     """Windows with their counts, from arrays of windows: each once, but for those that come after more than ``most`` were held."""
     held, n = [], 0
+
+    def taken():
+        columns = [*map(np.concatenate, zip(*held, strict=True)), np.ones(n, np.int64)]
+        held.clear()  # they aren't kept beside what is made of them
+        return merged(*columns)
+
     for some in found:
         held.append(some)
         n += len(some[0])
+        del some
         if n > most:
-            yield merged(*map(np.concatenate, zip(*held, strict=True)), np.ones(n, np.int64))
-            held, n = [], 0
+            yield taken()
+            n = 0
     if n:
-        yield merged(*map(np.concatenate, zip(*held, strict=True)), np.ones(n, np.int64))
+        yield taken()
 
 
 DEALT = "shard int, pairs binary, rest binary, counts binary"
 
 
-def dealt(texts: DataFrame, shards: int) -> DataFrame:
-    """The windows of the texts by shard: all of a pair of words are in one, so that every phrase is. Tasks have summed them, and send them as arrays."""
+def dealt(docs: DataFrame, path: str, blocks: int, shards: int, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The windows of the texts by shard: all of a pair of words are in one, so that every phrase is. Tasks have summed them, and send them as arrays.
+
+    A task numbers the words of some texts and makes windows of them at once, so numbered texts go to no disk and through no other process.
+    """
 
     def deal(batches):
-        for pairs, rest, counts in summed(map(windows_of, arrays(batches))):
+        found = (windows_of(ids_of(batch, path, blocks)) for batch in T.batches_of(batches, size=TEXTS))
+        for pairs, rest, counts in summed(found):
             shard = ((T.mix(pairs.view(T.U)) >> T.U(32)) * T.U(shards) >> T.U(32)).astype(np.int64)  # in order, as the windows are
             edges = np.append(np.flatnonzero(starts_of(shard)), len(shard))
             columns = [pa.array(shard[edges[:-1]], pa.int32())]
@@ -208,7 +198,8 @@ def dealt(texts: DataFrame, shards: int) -> DataFrame:
                 columns.append(pa.array([x[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=["shard", "pairs", "rest", "counts"])
 
-    return texts.mapInArrow(deal, DEALT)
+    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
+    return rows.mapInArrow(deal, DEALT)
 
 
 def candidates(pairs: np.ndarray, rest: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -253,8 +244,10 @@ def counted(windows: DataFrame, least: int, shard: int) -> DataFrame:
         for batch in batches:
             for some, name in zip(held, ("pairs", "rest", "counts"), strict=True):
                 some.extend(np.frombuffer(x, np.int64) for x in batch.column(name).to_pylist())
-        pairs, rest, counts = merged(*map(np.concatenate, held))
+        columns = [np.concatenate(x) for x in held]
         held.clear()
+        pairs, rest, counts = merged(*columns)
+        del columns
         listed, stay = candidates(pairs, rest, counts, least)
         pairs, rest, counts = pairs[stay], rest[stay], counts[stay]
         for k in range(0, len(listed), shard):
@@ -282,8 +275,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, shard: int = SHARD, text:
     words = stored(word_counts(docs, text, lang), "words")
     ids, path, blocks = vocabulary(words, least)
     places = ids.agg(F.sum("f")).first()[0] or 0
-    texts = stored(encoded(docs, path, blocks, text, lang), "encoded")  # so that a task has one Python process
-    found = stored(counted(dealt(texts, max(1, -(-places // WINDOWS))), least, shard), "counted")
+    windows = dealt(docs, path, blocks, max(1, -(-places // WINDOWS)), text, lang)
+    found = stored(counted(windows, least, shard), "counted")
     name = lambda k: ids.select(F.col("id").alias(f"w{k}"), F.col("word").alias(f"_w{k}"))
     several = found.join(name(0).join(ids.select(F.col("id").alias("w0"), "lang"), "w0"), "w0").join(name(1), "w1").join(name(2), "w2", "left").join(name(3), "w3", "left")
     words_in = [F.col(f"_w{k}") for k in range(MOST_WORDS)]

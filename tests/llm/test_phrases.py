@@ -126,3 +126,14 @@ def test_windows_of_many_shards(spark, monkeypatch):
     assert counts.sum() == 12 and sorted(counts.tolist()) == [2, 2, 2, 2, 2, 2] and len(set(zip(pairs.tolist(), rest.tolist(), strict=True))) == 6
     listed, stay = P.candidates(pairs, rest, counts, 4)
     assert sorted(map(tuple, listed.tolist())) == [(5, 7, -1, -1)] and stay.sum() == 3
+
+
+def test_numbered_texts_stay_in_their_task(spark, monkeypatch):
+    """Texts become windows where they are read, some bytes at a time: no numbered text is written and read again as one large cell."""
+    kinds, stored = [], P.stored
+    monkeypatch.setattr(P, "stored", lambda df, kind: kinds.append(kind) or stored(df, kind))
+    monkeypatch.setattr(P, "TEXTS", 40)
+    rows = [("en" if i % 3 else "fr", "A b, c d e " * (i % 5) + "a b") for i in range(40)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    assert rows_of(P.collocations(docs, least=4)) == plain(rows, 4) != []
+    assert kinds == ["words", "vocabulary", "counted", "frequent"]
