@@ -2,16 +2,17 @@
 
 Pairs are found and scored by joins: headlines within the window meet by a shared token, in
 bands of time. Which are accepted depends on order: newest first, each unassigned row takes
-the pairs it may, and they are gone. That goes in rounds of joins, in which rows are settled as
-soon as the newer ones they are paired with are.
+the pairs it may, and they are gone. That goes in slabs of rows, in their order, of a bounded number
+of pairs each; a slab is settled again where what it was told of the others has changed.
 """
 
 from __future__ import annotations
 
-import functools
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from newsloom.shared import stored
 
 from .order import numbered
 
+#: Links that lead to a slab of nodes, about, and the slabs that are settled again in a round.
+SLAB, AT_ONCE = 1 << 20, 16
 WINDOW_HOURS, SIMILAR, RARE_SHARE, FEWEST, FLOOR, MOST_ROWS = 36, 0.55, 0.5, 15, 0.05, 1500
 
 
@@ -132,25 +135,56 @@ def placed(articles: DataFrame) -> DataFrame:
     )
 
 
-def homes_of(links: DataFrame) -> DataFrame:
+def settled(rows: pa.Table) -> pa.Table:
+    """slab, node: the anchors of a slab, in one pass over its nodes. rows: slab, kind (0: node b, 1: b is taken from without, 2: a links to b)."""
+    kind, a, b = (rows.column(c).to_numpy() for c in ("kind", "a", "b"))
+    nodes = np.unique(b[kind == 0])
+    taken = np.zeros(len(nodes), bool)
+    taken[np.searchsorted(nodes, b[kind == 1])] = True
+    start, end = np.searchsorted(nodes, a[kind == 2]), np.searchsorted(nodes, b[kind == 2])
+    end = end[np.argsort(start, kind="stable")]
+    edges = np.concatenate([[0], np.cumsum(np.bincount(start, minlength=len(nodes)))])
+    for i in range(len(nodes)):
+        if not taken[i]:
+            taken[end[edges[i] : edges[i + 1]]] = True
+    found = nodes[~taken]
+    return pa.table({"slab": pa.array(np.full(len(found), rows.column("slab")[0].as_py()), pa.int64()), "node": pa.array(found, pa.int64())})
+
+
+def homes_of(links: DataFrame, slab: int = SLAB) -> DataFrame:
     """node, home for the nodes that an anchor takes. links: a, b, with a before b; in order, each node that none has taken is an
     anchor and takes all that it links to.
 
-    So a node is an anchor if no anchor links to it. In rounds, those that no undecided node links to become anchors, those they link to are taken,
-    and the links of these are gone; each round is two joins of written tables, whatever the size of a component.
-    There are as many rounds as the longest chain of nodes that wait for each other. The first anchor that links to a node has it.
+    So a node is an anchor if no anchor links to it. Nodes are dealt in their order to slabs that some ``slab`` links lead to, and a task settles a slab in one pass,
+    told which of its nodes anchors of other slabs take. Where that changes by what is found there, slabs are settled again, the first ``AT_ONCE`` at a time, until it doesn't: then all is as
+    defined, from the first slab on. There are at most as many rounds as slabs, however long the chains of nodes that wait for each other; the first anchor that links to a node has it.
     """
-    left, anchors = stored(links.select("a", "b").where("a < b").distinct(), "undecided"), []
-    while left.take(1):
-        free = stored(left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti"), "anchors")
-        taken = stored(left.join(free, "a").select(F.col("b").alias("node")).distinct(), "taken")
-        left = left.join(free, "a", "left_anti").join(taken.withColumnRenamed("node", "a"), "a", "left_anti").join(taken.withColumnRenamed("node", "b"), "b", "left_anti")
-        left = stored(left.select("a", "b"), "undecided")
-        anchors.append(free)
-    if not anchors:
-        return links.select(F.col("b").alias("node"), F.col("a").alias("home")).limit(0)
-    every = functools.reduce(DataFrame.unionByName, anchors)
-    return links.join(every, "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("home"))
+    ranked = numbered(links.select("a", "b").where("a < b").distinct(), F.asc("b"))
+    part = stored(ranked.groupBy("b").agg(F.floor(F.min("rank") / slab).alias("slab")), "slabs")
+    origin = part.select(F.col("b").alias("a"), F.col("slab").alias("origin"))
+    dealt = stored(ranked.join(part, "b").join(origin, "a", "left").select("slab", "origin", "a", "b"), "dealt")
+    inner = stored(dealt.where("origin = slab").select("slab", F.lit(2).alias("kind"), "a", "b").repartition("slab"), "inner")
+    cross = stored(dealt.where("origin <> slab").select("slab", "a", "b"), "cross")
+    first = stored(dealt.where("origin IS NULL").select("slab", "b").distinct(), "taken")  # nothing links to what links to them
+    of_kind = lambda rows, kind: rows.select("slab", F.lit(kind).alias("kind"), F.col("b").alias("a"), "b")
+
+    def anchors_of(taken, which=F.lit(True)):
+        rows = of_kind(part, 0).unionByName(of_kind(taken, 1)).unionByName(inner).where(which)
+        return rows.groupBy("slab").applyInArrow(settled, "slab long, node long")
+
+    taken, anchors = first, stored(anchors_of(first), "anchors")
+    while True:
+        met = cross.join(anchors.select(F.col("node").alias("a")), "a").select("slab", "b")
+        now = stored(first.unionByName(met).distinct(), "taken")
+        other = now.join(taken, ["slab", "b"], "left_anti").unionByName(taken.join(now, ["slab", "b"], "left_anti"))
+        again = [r.slab for r in other.select("slab").distinct().orderBy("slab").limit(AT_ONCE).collect()]
+        if not again:
+            break
+        these = F.col("slab").isin(again)
+        taken = stored(taken.where(~these).unionByName(now.where(these)), "taken")
+        anchors = stored(anchors.where(~these).unionByName(anchors_of(taken, these)), "anchors")
+    by_anchor = dealt.where("origin IS NULL").select("a", "b").unionByName(dealt.join(anchors.select(F.col("node").alias("a")), "a").select("a", "b"))
+    return by_anchor.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("home"))
 
 
 def clusters(articles: DataFrame, max_input: int | None = MOST_ROWS, words: Words = Words()) -> DataFrame:

@@ -527,6 +527,40 @@ def test_anchors_by_rounds_against_the_fold(spark, density):
     assert got == {k: v for k, v in home.items() if k != v}
 
 
+def taken_in_order(links, most=200):
+    """Plain fold: node, the anchor that takes it."""
+    home = {}
+    for x in range(most):
+        if home.setdefault(x, x) == x:
+            for a, b in links:
+                if a == x:
+                    home.setdefault(b, x)
+    return {k: v for k, v in home.items() if k != v}
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """What is written doesn't grow with the length of a chain of nodes that wait for each other."""
+    links, kinds, stored = [(i, i + 1) for i in range(60)], [], cluster.stored
+    monkeypatch.setattr(cluster, "stored", lambda df, kind: kinds.append(kind) or stored(df, kind))
+    got = {r.node: r.home for r in cluster.homes_of(frame(spark, "a long, b long", *links)).collect()}
+    assert got == taken_in_order(links) and len(got) == 30 and len(kinds) <= 10
+
+
+def test_an_anchor_settled_late_has_what_a_later_one_took(spark):
+    """3 is an anchor as 1 takes 2; so it has 5, which 4 links to as well and takes at once."""
+    got = {r.node: r.home for r in cluster.homes_of(frame(spark, "a long, b long", (1, 2), (2, 3), (3, 5), (4, 5))).collect()}
+    assert got == {2: 1, 5: 3}
+
+
+def test_homes_of_many_slabs(spark, monkeypatch):
+    """Slabs of a few links, two of them settled again at a time, give what one pass gives."""
+    monkeypatch.setattr(cluster, "AT_ONCE", 2)
+    rng = random.Random(3)
+    links = [(a, a + rng.randint(1, 9)) for a in (rng.randrange(100) for _ in range(160))]
+    got = {r.node: r.home for r in cluster.homes_of(frame(spark, "a long, b long", *links), 20).collect()}
+    assert got == taken_in_order(links)
+
+
 def test_no_links_no_homes(spark):
     assert cluster.homes_of(frame(spark, "a long, b long", (1, 2)).limit(0)).count() == 0
 
