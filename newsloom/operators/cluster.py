@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as T
 from newsloom.shared import stored
 
+from . import tiles
 from .order import numbered
 
 #: Links that lead to a slab of nodes, about, and the slabs that are settled again in a round.
@@ -68,11 +69,13 @@ def opposed(a: Column, b: Column, terms=()) -> Column:
 def pair_scores(articles: DataFrame, words: Words = Words(), least_shared: int = 3, least_dice: float = 0.0) -> DataFrame:
     """feed, anchor, link, shared, rare_shared, rare_least, dice: pairs of dated titles, newer first, with ``least_shared`` tokens in common or two rare ones.
 
-    Such a pair shares a token that is not among the last ``least_shared - 1`` of either title, tokens put in order of their
+    Without ``least_dice`` all titles that are near in time are counted with each other, in tiles (``tiles.pairs_of``).
+
+    With it, just pairs of that weighted similarity or more are found. A pair shares a token that is not among the last ``least_shared - 1`` of either title, tokens put in order of their
     number of titles and then of the token; or a rare token. So titles meet by those tokens only, and common ones, which very
     many titles have, bring no pairs together on their own. All that a pair shares is then counted from the two titles.
 
-    With ``least_dice`` just pairs of that weighted similarity or more are found. What a pair shares is at most what either title weighs from the first
+    What a pair shares is at most what either title weighs from the first
     token that both have on; titles meet by tokens from which on that is enough for the pair, and by none that leave too little for any.
     """
     tokens = tokens_of(articles, words)
@@ -83,7 +86,11 @@ def pair_scores(articles: DataFrame, words: Words = Words(), least_shared: int =
     listed = weighed.groupBy("feed", "link").agg(F.array_sort(F.collect_list(F.struct("df", "token", "weight", "rare", "rest"))).alias("all"), F.max("rest").alias("total"))
     titles = listed.withColumn("tokens", F.transform("all", lambda t: F.struct(t["df"].alias("df"), t["token"].alias("token"), t["weight"].alias("weight"), t["rare"].alias("rare"))))
     dated = articles.where("published IS NOT NULL").select("feed", "link", "published")
-    rows = stored(titles.join(dated, ["feed", "link"]).withColumn("band", F.floor(F.unix_seconds("published") / (WINDOW_HOURS * 3600))), "titles")
+    rows = titles.join(dated, ["feed", "link"]).withColumn("band", F.floor(F.unix_seconds("published") / (WINDOW_HOURS * 3600)))
+    if not least_dice:
+        slim = F.transform("tokens", lambda t: F.struct(t["token"].alias("token"), t["weight"].alias("weight"), t["rare"].alias("rare")))
+        return tiles.pairs_of(stored(rows.select("feed", "link", "published", "band", slim.alias("tokens")), "titles"), WINDOW_HOURS, least_shared)
+    rows = stored(rows, "titles")
     n, least = F.size("all"), F.lit(least_dice - 1e-9)  # sums of weights differ by their order
     enough = lambda t: t["rest"] * (2 - least) >= F.col("total") * least
     meets = F.filter("all", lambda t, i: ((i <= n - least_shared) | t["rare"]) & enough(t))

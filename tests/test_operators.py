@@ -489,6 +489,41 @@ def test_pairs_against_all_pairs(spark):
         assert alike == {k: v for k, v in want.items() if v[2] >= least} and len(alike) < len(want)
 
 
+@pytest.mark.parametrize("dense", [0.0, 0.2, 2.0])
+def test_pairs_are_counted_in_tiles(spark, monkeypatch, dense):
+    """Blocks of few titles, tokens counted by lists or by matrices, a band of no neighbour, stamps of one second: all pairs, each once, and none joined as a row."""
+    from newsloom.operators import tiles
+
+    for name, value in {"TITLES": 7, "TILES": 2, "LISTED": 50, "COLUMNS": 3, "DENSE": dense}.items():
+        monkeypatch.setattr(tiles, name, value)
+    random.seed(6)
+    words = [f"word{i}" for i in range(40)]
+    at = [datetime(2024, 1, 1) + timedelta(minutes=53 * i) for i in range(70)] + [datetime(2024, 5, 1, 2, 3, 4, i % 3) for i in range(20)]
+    rows = [("f" if i % 5 else "g", f"l{i:02}", " ".join(random.choices(words[:8], k=3) + random.choices(words, k=4)), "s", t) for i, t in enumerate(at)]
+    rows += [("f", "undated", " ".join(words), "s", None), ("f", "empty", "", "s", at[0]), ("alone", "x", "word1 word2 word3", "s", at[0])]
+    a = frame(spark, "feed string, link string, title string, source string, published timestamp", *rows)
+    weights = {(r.feed, r.token): r.weight for r in cluster.weights_of(cluster.tokens_of(a)).collect()}
+    medians = {r.feed: r.median for r in cluster.upper_median(cluster.weights_of(cluster.tokens_of(a))).collect()}
+    tokens, want = {}, {}
+    for r in cluster.tokens_of(a).collect():
+        tokens.setdefault((r.feed, r.link), {})[r.token] = weights[r.feed, r.token]
+    is_rare = lambda feed, t: medians[feed] is not None and weights[feed, t] >= medians[feed]
+    dated = [(r[0], r[1], r[4]) for r in rows if r[4] and (r[0], r[1]) in tokens]
+    for feed, x, at_x in dated:
+        for other, y, at_y in dated:
+            seconds = (at_x.replace(microsecond=0) - at_y.replace(microsecond=0)).total_seconds()
+            if feed == other and x != y and 0 <= seconds <= 36 * 3600 and (at_x > at_y or x < y):
+                one, two = tokens[feed, x], tokens[feed, y]
+                both, rares = one.keys() & two.keys(), [sum(is_rare(feed, t) for t in side) for side in (one, two)]
+                rare = sum(is_rare(feed, t) for t in both)
+                if len(both) >= 3 or rare >= 2:
+                    want[feed, x, y] = (len(both), rare, min(rares), round(2 * sum(one[t] for t in both) / (sum(one.values()) + sum(two.values())), 9))
+    pairs = cluster.pair_scores(a)
+    got = pairs.withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.feed, r.anchor, r.link): (r.shared, r.rare_shared, r.rare_least, round(r.dice, 9)) for r in got} == want and len(got) == len(want) > 200
+    assert len({r.task for r in got}) > 3 and "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
+
+
 def test_tagging_masks_in_order(spark):
     """The fold gives what masking names one after another gives."""
     import re
