@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
 
-from .order import tasks_for
+from .order import MOST_TASKS, tasks_for
 
-#: Teams of a nickname that meet the others of it in one task, about.
+#: Teams of a nickname that meet as many others of it at once, about, or more where that makes too many tasks.
 TOGETHER = 500
 
 
@@ -20,21 +22,36 @@ def _held(teams: DataFrame) -> DataFrame:
 def _hazards(held: DataFrame, others: DataFrame, reserved: DataFrame) -> DataFrame:
     owned = held.join(reserved.select(F.lower("nickname").alias("nickname"), "owner"), "nickname").where("owner IS NULL OR owner <> slug")
     taken = owned.select("slug", "nickname", F.lit("reserved").alias("kind"), F.coalesce("owner", F.lit("")).alias("detail"))
-    # dealt by nickname and by hundreds of teams, so that many teams of one nickname are no single task
+    # dealt by nickname and in blocks on both sides, so that many teams of one nickname are no single task; blocks grow with the teams, so that they are sent no more often
     sizes = others.groupBy("nickname").agg(F.count("*").alias("m")).join(held.groupBy("nickname").agg(F.count("*").alias("n")), "nickname")
-    tasks = tasks_for(sizes.agg(F.sum(F.col("n") * F.col("m"))).first()[0])
-    parts = sizes.select("nickname", F.ceil(F.col("n") / TOGETHER).alias("parts"))
-    one = held.join(parts, "nickname").withColumn("_part", F.pmod(F.xxhash64("slug", "sources"), "parts")).drop("parts")
-    other = others.join(parts, "nickname").select("nickname", F.col("slug").alias("other"), F.col("sources").alias("theirs"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("_part"))
-    dealt = lambda rows: rows.repartition(tasks, "nickname", "_part")
-    pairs = dealt(one).join(dealt(other), ["nickname", "_part"]).where("slug <> other")
-    shared = pairs.select("slug", "nickname", "other", F.array_join(F.sort_array(F.array_intersect("sources", "theirs")), ",").alias("common"), F.arrays_overlap("sources", "theirs").alias("meet"))
-    meet = F.coalesce("meet", F.lit(False))
-    detail = F.when(meet, F.concat_ws(",", "other", "common")).otherwise(F.col("other"))
-    rows = shared.select("slug", "nickname", F.when(meet, "shared-source").otherwise("contested").alias("kind"), detail.alias("detail"))
+    made = int(sizes.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0)
+    together = max(TOGETHER, math.isqrt(made // MOST_TASKS))
+    parts = sizes.select("nickname", F.ceil(F.col("n") / together).alias("parts"), F.ceil(F.col("m") / together).alias("other_parts"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    key = ("nickname", "_part", "_other_part")
+    one = _blocks(held.join(parts, "nickname"), "parts", "_part", "other_parts", "ones").withColumn("_other_part", upto("other_parts"))
+    other = _blocks(others.join(parts, "nickname"), "other_parts", "_other_part", "parts", "theirs").withColumn("_part", upto("parts"))
+    dealt = lambda rows, blocks: rows.select(*key, blocks).repartition(tasks_for(made), *key)
+    tiles = dealt(one, "ones").join(dealt(other, "theirs"), list(key)).select("nickname", F.explode("ones").alias("one"), "theirs")
+    mine = F.col("one.sources")
+    met = lambda t: F.struct(
+        t["slugs"].alias("others"), F.coalesce(F.arrays_overlap(mine, t["sources"]), F.lit(False)).alias("meet"),
+        F.concat(F.lit(","), F.array_join(F.sort_array(F.array_intersect(mine, t["sources"])), ",")).alias("common")
+    )
+    listed = tiles.select("nickname", F.col("one.slugs").alias("slugs"), F.inline(F.transform("theirs", met)))  # what two lists of sources share is worked out once for all teams that have them
+    kind = F.when(F.col("meet"), "shared-source").otherwise("contested")
+    each = listed.select("nickname", "slugs", "others", kind.alias("kind"), F.when(F.col("meet"), F.col("common")).otherwise("").alias("more"))
+    pairs = each.withColumn("slug", F.explode("slugs")).drop("slugs").withColumn("other", F.explode("others")).where("slug <> other")
+    rows = pairs.select("slug", "nickname", "kind", F.concat("other", "more").alias("detail"))
     return taken.distinct().unionByName(rows if _plain(held) and _plain(others) else rows.distinct())
 
 
+def _blocks(rows: DataFrame, parts: str, part: str, other_parts: str, name: str) -> DataFrame:
+    """nickname, part, other_parts, and as name the teams of a block by their sources: sources, slugs."""
+    by_sources = rows.groupBy("nickname", F.pmod(F.xxhash64("slug", "sources"), parts).alias(part), other_parts, "sources").agg(F.collect_list("slug").alias("slugs"))
+    return by_sources.groupBy("nickname", part, other_parts).agg(F.collect_list(F.struct("sources", "slugs")).alias(name))
+
+
 def _plain(held: DataFrame) -> bool:
     """Has each team a nickname once, and no slug a comma? Then no two pairs of teams read alike."""
     several = held.groupBy("slug", "nickname").agg(F.count("*").alias("n")).where("n > 1 OR contains(slug, ',')")

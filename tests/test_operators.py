@@ -392,6 +392,29 @@ def test_hazards_of_one_nickname_are_many_tasks(spark, monkeypatch):
     assert sorted((r.slug, r.detail) for r in curation.nickname_hazards(alike, reserved).collect()) == [("a", "b,c,d"), ("b", "a,c,d"), ("b", "b,c,d"), ("b,c", "a,d"), ("b,c", "b,d")]
 
 
+def test_hazards_meet_in_blocks_that_grow_with_the_teams(spark, monkeypatch):
+    """Blocks on both sides against plain pairs; with few tasks there are few blocks, so that a team is sent no more often the more teams there are."""
+    monkeypatch.setattr(curation, "TOGETHER", 3)
+    monkeypatch.setattr(curation, "MOST_TASKS", 4)
+    lists = [["s"], ["s", "t"], ["u", None], [None], [], ["t", "s"], None]
+    rows = [(f"t{i}", ["Cats", "owls"] if i % 5 else ["OWLS"], lists[i % 7]) for i in range(60)] + [(None, ["cats"], ["s"]), ("none", None, ["s"])]
+    teams = frame(spark, "slug string, nicknames array<string>, sources array<string>", *rows)
+    sent, blocks = [], curation._blocks
+    monkeypatch.setattr(curation, "_blocks", lambda rows, *names: sent.append(rows.agg(F.max("parts")).first()[0]) or blocks(rows, *names))
+    made = curation.nickname_hazards(teams, frame(spark, "nickname string, owner string"))
+    held = [(slug, n.lower(), sources) for slug, nicknames, sources in rows if sources and slug for n in nicknames or []]
+    want = []
+    for x, n, mine in held:
+        for y, other, theirs in held:
+            if n == other and x != y:
+                common = sorted({v for v in mine if v} & {v for v in theirs if v})
+                want.append((x, n, "shared-source" if common else "contested", ",".join([y, *common])))
+    assert sorted(tuple(r) for r in made.collect()) == sorted(want) and len(want) > 1000
+    assert sent and max(sent) <= 2  # blocks of three would be twenty
+    tried = curation.hypothetical(teams, frame(spark, "slug string, word string", ("t1", "Cats"), ("t2", "dogs")), frame(spark, "nickname string, owner string"))
+    assert sorted((r.slug, r.detail) for r in tried.collect()) == sorted((x, d) for x, n, _, d in want if x == "t1" and n == "cats")
+
+
 def test_logs_and_status(spark):
     events = frame(spark, "event string", ('{"eventTimestamp": 0, "scriptName": "w", "outcome": "ok", "event": {"request": {"url": "https://h/v1/x?q", "method": "GET"}, "response": {"status": 503}}, "logs": [{"level": "log", "message": ["hi"]}]}',), ("nonsense",))
     rows = curation.shaped_logs(events.coalesce(1)).collect()
