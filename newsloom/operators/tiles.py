@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from newsloom.shared import stored
 
 #: Titles and tokens of a block, about; tiles that a task counts, about, and the most tasks.
-TITLES, TOKENS, TILES, MOST_TASKS = 512, 1 << 19, 16, 4096
+TITLES, TOKENS, TILES, MOST_TASKS = 1024, 1 << 19, 4, 4096
 #: Pairs of a token that are listed at once; a token of more than this share of a tile's cells is counted by a product of matrices, so many tokens at once.
 LISTED, DENSE, COLUMNS = 1 << 22, 1 / 16, 512
 TILE = ("feed", "band", "lag", "x", "y")
